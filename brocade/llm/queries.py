@@ -1,8 +1,10 @@
 """The training-data operators as queries over whole tables, and SQL for those that SQL can express."""
 
+from .passages import op2_repeats
 from .simhash import op3_simhash
 
 QUERIES = {
+    "op2_repeats": op2_repeats,
     "op3_simhash": op3_simhash,
 }
 
