@@ -106,9 +106,8 @@ def anchors(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         n = begin[s + 1] - begin[s]
         row = np.repeat(np.arange(len(x)), n)
         at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[s], n)
-        parts.append((row, block[row] ^ patterns[at], excess[at], n))
-    (r0, c0, e0, n0), (r1, c1, e1, n1) = parts
-    off0, off1 = np.cumsum(n0) - n0, np.cumsum(n1) - n1
+        parts.append((row, block[row] ^ patterns[at], excess[at]))
+    (r0, c0, e0), (r1, c1, e1) = parts
     rows, code, home = [], [], []
     for e in range(reach + 1):  # the first block's excess; the second has what is left
         i = np.flatnonzero(e0 == e)
@@ -121,84 +120,80 @@ def anchors(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         rows.append(r0[left])
         code.append(c0[left] | (c1[right] << LENGTH))
         home.append((e0[left] == 0) & (e1[right] == 0))
-    del off0, off1
     return np.concatenate(rows), np.concatenate(code), np.concatenate(home)
 
 
-ENTRY = np.dtype([("anchor", "<i8"), ("fp", "<u8"), ("home", "?")])
+SENT = [("anchor", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())]
 
 
-def _send(reach: int, buckets: int):
-    """Each fingerprint to its anchors; entries of one bucket of anchors travel as one row."""
+def _send(reach: int):
+    """Each fingerprint to its anchors."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        all_fp = batch.column(0).to_numpy().view(U64)
-        for at in range(0, len(all_fp), 10_000):
-            fp = all_fp[at : at + 10_000]
-            row, code, home = anchors(fp, reach)
-            bucket = (mix_anchor(code) % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            entries = np.empty(len(order), ENTRY)
-            entries["anchor"], entries["fp"], entries["home"] = code[order], fp[row[order]], home[order]
-            own, first = np.unique(bucket[order], return_index=True)
-            cut = np.append(first, len(order))
-            yield record([("bucket", pa.int64()), ("entries", pa.binary())], own, [entries[i:j].tobytes() for i, j in zip(cut, cut[1:])])
+        for at in range(0, batch.num_rows, 2_000):
+            fp = batch.column(0).slice(at, 2_000).to_numpy()
+            row, code, home = anchors(fp.view(U64), reach)
+            yield record(SENT, code, fp[row], home)
 
     return run
 
 
-def mix_anchor(code: np.ndarray) -> np.ndarray:
-    from .common import mix
-
-    return mix(code.view(U64))
+def _pairs(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges among whole anchors, whose entries lie together: each one at home against all that are there."""
+    order = np.lexsort((~home, anchor))
+    anchor, fp, home = anchor[order], fp[order], home[order]
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    size = np.diff(np.append(first, len(fp)))
+    homes = np.add.reduceat(home.astype(np.int64), first)
+    busy = (homes > 0) & (size > 1)
+    first, size, homes = first[busy], size[busy], homes[busy]
+    h = np.repeat(first - np.cumsum(homes) + homes, homes) + np.arange(homes.sum())
+    first, size = np.repeat(first, homes), np.repeat(size, homes)
+    a, b, at, total = [fp[:0]], [fp[:0]], 0, np.cumsum(size)
+    while at < len(h):  # pairs in blocks of bounded size
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, side="right")))
+        n = size[at:to]
+        x = fp[np.repeat(h[at:to], n)]
+        y = fp[np.arange(n.sum()) + np.repeat(first[at:to] - np.cumsum(n) + n, n)]
+        near = (x != y) & (np.bitwise_count(x.view(U64) ^ y.view(U64)) <= most)
+        u, v = forest(x[near], y[near])
+        a.append(u)
+        b.append(v)
+        at = to
+    return forest(np.concatenate(a), np.concatenate(b))
 
 
 def _compare(most: int):
-    """Star edges between fingerprints that differ in at most `most` bits, anchor by anchor."""
+    """Entries come sorted by anchor; what is held at a time is some batches and the anchor that they end in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+
+        def take(last: bool) -> tuple[np.ndarray, np.ndarray] | None:
+            nonlocal held, rows
+            anchor, fp, home = (np.concatenate(c) for c in zip(*held, strict=True))
+            cut = len(anchor) if last else int(np.searchsorted(anchor, anchor[-1]))
+            held, rows = [(anchor[cut:], fp[cut:], home[cut:])], len(anchor) - cut
+            return _pairs(anchor[:cut], fp[:cut], home[:cut], most) if cut else None
+
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(k, []).append(x)
-        for k in list(held):
-            e = np.frombuffer(b"".join(held.pop(k)), ENTRY)
-            e = e[np.lexsort((~e["home"], e["anchor"]))]
-            anchor = e["anchor"]
-            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            size = np.diff(np.append(first, len(e)))
-            homes = np.add.reduceat(e["home"].astype(np.int64), first)
-            busy = (homes > 0) & (size > 1)
-            first, size, homes = first[busy], size[busy], homes[busy]
-            if not len(first):
-                continue
-            h = np.repeat(first, homes) + np.arange(homes.sum()) - np.repeat(np.cumsum(homes) - homes, homes)
-            own_first, own_size = np.repeat(first, homes), np.repeat(size, homes)
-            a, b, at = [], [], 0
-            total = np.cumsum(own_size)
-            while at < len(h):  # pairs in blocks of bounded size
-                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, side="right")))
-                n = own_size[at:to]
-                x = e["fp"][np.repeat(h[at:to], n)]
-                y = e["fp"][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(own_first[at:to], n)]
-                near = (x != y) & (np.bitwise_count(x ^ y) <= most)
-                u, v = forest(x[near].view(np.int64), y[near].view(np.int64))
-                a.append(u)
-                b.append(v)
-                at = to
-            u, v = forest(np.concatenate(a), np.concatenate(b))
-            if len(u):
-                yield record(EDGE, u, v)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)))
+            rows += batch.num_rows
+            if rows >= 200_000 and (got := take(False)) is not None:
+                yield record(EDGE, *got)
+        if rows and (got := take(True)) is not None:
+            yield record(EDGE, *got)
 
     return run
 
 
 def link_fingerprints(fps: DataFrame, most: int = 2, fp: str = "fp") -> DataFrame:
     """(node, root) of every distinct fingerprint that has another one within `most` bits, directly or through others."""
-    buckets = 8 * shuffle_count(fps.sparkSession)
     distinct = fps.select(F.col(fp).alias("fp")).filter("fp is not null").distinct()
-    sent = map_rows(distinct, _send(most, buckets), "bucket long, entries binary")
-    edges = sent.repartition(shuffle_count(fps.sparkSession), "bucket").mapInArrow(_compare(most), "a long, b long")
+    sent = map_rows(distinct, _send(most), "anchor long, fp long, home boolean")
+    dealt = sent.repartition(shuffle_count(fps.sparkSession), "anchor").sortWithinPartitions("anchor")
+    edges = dealt.mapInArrow(_compare(most), "a long, b long")
     return components(edges)
 
 
