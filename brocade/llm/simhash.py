@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import EDGE, U64, components, forest, map_rows, record, settle, shuffle_count, texts
+from .common import EDGE, U64, components, forest, map_rows, mix, pieces, record, settle, shuffle_count, texts
+from .words import grams, hashes, split
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -95,19 +96,21 @@ def syndromes(block: np.ndarray) -> np.ndarray:
     return out
 
 
+def near_words(block: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of 23-bit blocks, the code words within 3 + reach of each, and their excess over 3."""
+    patterns, excess, begin = cosets(reach)
+    s = syndromes(block)
+    n = begin[s + 1] - begin[s]
+    row = np.repeat(np.arange(len(block)), n)
+    at = np.arange(len(row)) + np.repeat(begin[s] - np.cumsum(n) + n, n)
+    return row, block[row] ^ patterns[at], excess[at]
+
+
 def anchors(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of fp, their anchors (46 bits) and whether each is the home; the guests' excess is at most `reach`."""
-    patterns, excess, begin = cosets(reach)
     x = fp.astype(U64)
-    parts = []
-    for shift in (0, LENGTH):
-        block = ((x >> U64(shift)) & U64((1 << LENGTH) - 1)).astype(np.int64)
-        s = syndromes(block)
-        n = begin[s + 1] - begin[s]
-        row = np.repeat(np.arange(len(x)), n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[s], n)
-        parts.append((row, block[row] ^ patterns[at], excess[at]))
-    (r0, c0, e0), (r1, c1, e1) = parts
+    blocks = [((x >> U64(shift)) & U64((1 << LENGTH) - 1)).astype(np.int64) for shift in (0, LENGTH)]
+    (r0, c0, e0), (r1, c1, e1) = (near_words(b, reach) for b in blocks)
     rows, code, home = [], [], []
     for e in range(reach + 1):  # the first block's excess; the second has what is left
         i = np.flatnonzero(e0 == e)
@@ -213,6 +216,170 @@ def simhash_groups(docs: DataFrame, width: int = 3, most: int = 2, key: str = "d
     return fps.join(named, "fp").select(F.col("__key").alias(key), "fp", "component_id")
 
 
+# --- near copies of a stated similarity ---------------------------------------------------------------------------
+
+#: Bits of the anchor blocks and of the sketch that estimates similarity.
+TABLES, SKETCH = 4, 128
+
+
+def bit_sums(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many of the values h have each of the 64 bits, for rows that begin at `first` (none is empty)."""
+    size = np.diff(np.append(first, len(h)))
+    parts = -(-size // 255)  # sums of up to 255 values fit into the bytes of a word
+    begin = np.repeat(first, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    row = np.cumsum(parts) - parts
+    out = np.empty((len(first), 64), np.int64)
+    for s in range(8):
+        lanes = np.add.reduceat((h >> U64(s)) & U64(0x0101010101010101), begin)
+        out[:, s::8] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), row, axis=0)
+    return out
+
+
+def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit fingerprint of each row."""
+    size = np.diff(np.append(first, len(h)))
+    ones = 2 * bit_sums(h, first) > size[:, None]
+    return np.packbits(ones, axis=1, bitorder="little").view(U64).ravel()
+
+
+def shingles(h: np.ndarray, doc: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of each row and where rows begin; a row of fewer words has one, of all its words."""
+    n = np.bincount(doc, minlength=rows)
+    g = grams(h, width)
+    g = g[doc[: len(g)] == doc[width - 1 :]] if len(g) else g
+    count = np.maximum(n - width + 1, 1)
+    out = np.empty(count.sum(), U64)
+    first = np.cumsum(count) - count
+    full = n >= width
+    out[np.repeat(full, count)] = g
+    at = np.cumsum(n) - n
+    for i in np.flatnonzero(~full):
+        with np.errstate(over="ignore"):
+            value = U64(n[i])
+            for x in h[at[i] : at[i] + n[i]]:
+                value = value * U64(0x9E3779B97F4A7C15) + x
+        out[first[i]] = mix(np.array([value]))[0]
+    return out, first
+
+
+def sketches(width: int):
+    kinds = [("node", pa.int64()), *[(f"c{i}", pa.int64()) for i in range(2)], *[(f"v{i}", pa.int64()) for i in range(2)]]
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batch, "text", 2 << 20):
+            w = split([x.translate(CASE) for x in texts(part.column("text"))])
+            h, rows = hashes(w), part.num_rows
+            short, first2 = shingles(h, w.doc, rows, 2)
+            long, first5 = shingles(h, w.doc, rows, width)
+            columns = [majority(x, f) for g, f in ((short, first2), (long, first5)) for x in (g, mix(g))]
+            yield record(kinds, part.column("node").to_numpy(), *[c.view(np.int64) for c in columns])
+
+    return run
+
+
+def _send_blocks(reach: int):
+    """Each sketch to the anchors of its blocks: two 23-bit blocks of each of two fingerprints."""
+    kinds = [("anchor", pa.int64()), ("node", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64()), ("home", pa.bool_())]
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 5_000):
+            part = batch.slice(at, 5_000)
+            c = [part.column(k).to_numpy().view(U64) for k in ("c0", "c1")]
+            node, v0, v1 = (part.column(k).to_numpy() for k in ("node", "v0", "v1"))
+            for t in range(TABLES):
+                block = ((c[t // 2] >> U64(LENGTH * (t % 2))) & U64((1 << LENGTH) - 1)).astype(np.int64)
+                row, code, excess = near_words(block, reach)
+                yield record(kinds, code | t << LENGTH, node[row], v0[row], v1[row], excess == 0)
+
+    return run
+
+
+def _compare_sketches(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+
+        def take(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = rows if last else int(np.searchsorted(cols[0], cols[0][-1]))
+            held, rows = [tuple(c[cut:] for c in cols)], rows - cut
+            anchor, node, v0, v1, home = (c[:cut] for c in cols)
+            if not cut:
+                return
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            for i, j in zip(first.tolist(), np.append(first[1:], cut).tolist(), strict=True):
+                at = i + np.flatnonzero(home[i:j])
+                a, b = [], []
+                step = max(1, 1_000_000 // (j - i))
+                for k in range(0, len(at), step):  # blocks of homes against all that are at the anchor
+                    x = at[k : k + step]
+                    apart = np.bitwise_count(v0[x, None] ^ v0[i:j]).astype(np.int16)
+                    apart += np.bitwise_count(v1[x, None] ^ v1[i:j])
+                    p, q = np.nonzero(apart <= most)
+                    u, v = node[x[p]], node[i + q]
+                    u, v = forest(u[u != v], v[u != v])
+                    a.append(u)
+                    b.append(v)
+                if a:
+                    u, v = forest(np.concatenate(a), np.concatenate(b))
+                    if len(u):
+                        yield record(EDGE, u, v)
+
+        for batch in batches:
+            held.append((*(batch.column(i).to_numpy() for i in range(3)), batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)))
+            rows += batch.num_rows
+            if rows >= 100_000:
+                yield from take(False)
+        if rows:
+            yield from take(True)
+
+    return run
+
+
+def bits_apart(similarity: float, bits: int = SKETCH) -> int:
+    """Bits that sketches of two shingle sets of that Jaccard similarity differ in, rounded up: half the angle's share, by cosine 2J / (1 + J)."""
+    from math import acos, ceil, pi
+
+    return ceil(bits * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """(node, root) of every distinct text with a near copy: node is xxhash64 of the text, null as empty.
+
+    A 128-bit SimHash over word shingles of `width` (A-Z lower-cased, repeats included) estimates the similarity; pairs
+    to be compared share an anchor of one of four 23-bit blocks of a SimHash over word pairs, within two bits. A text
+    of fewer words is one shingle. The estimate has a spread of about 0.03 and so has the cut.
+    """
+    n = shuffle_count(docs.sparkSession)
+    given = docs.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    kinds = "node long, c0 long, c1 long, v0 long, v1 long"
+    rows = settle(map_rows(given, sketches(width), kinds))
+    classes = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("c0", "c1", "v0", "v1")])
+    sent = map_rows(classes, _send_blocks(2), "anchor long, node long, v0 long, v1 long, home boolean")
+    edges = sent.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare_sketches(bits_apart(similarity)), "a long, b long")
+    return components(edges)
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all their columns, with one of each group of exact and near copies: that of the least key, then least text hash.
+
+    Null and empty texts are copies of each other. A row with a null key stays only where its group has no other.
+    """
+    from pyspark.sql import Window
+
+    roots = near_copies(docs, width, similarity, text)
+    node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keys = docs.select(F.col(key).alias("__key"), node.alias("node")).groupBy("node").agg(F.min("__key").alias("__key"))
+    of = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key"), F.col("node"))
+    stay = of.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.__key").alias("__key"), F.col("s.node").alias("__node"))
+    known = docs.withColumn("__own", node)
+    kept = known.join(stay, (known["__own"] == stay["__node"]) & known[key].eqNullSafe(stay["__key"]))
+    one = Window.partitionBy("__own", "__key").orderBy("__node")
+    return kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*[kept[f"`{c}`"] for c in docs.columns])
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """Three-word SimHash fingerprints of whole texts, linked at two bits or fewer."""
     from .common import table
