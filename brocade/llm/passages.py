@@ -1,12 +1,12 @@
 """Removal of repeated passages with sharded Aho-Corasick automata.
 
-1. Each window of words is represented by its minimizer, the least-hashed short gram in it; equal windows have equal
-   minimizers. Minimizers seen in two documents at least are set in a bitmap of fixed size.
-2. Every document is read again; the stretches whose minimizer is in the bitmap (fragments) go to a shard by minimizer.
-3. In each shard the windows of its distinct fragments are counted word for word; those of two or more documents are
-   compiled into an automaton, and all fragments are streamed through it. A shard with many fragments is dealt over
-   several tasks, each with the shard's automaton.
-4. The word ranges found go back to their documents.
+1. Each window of words is represented by its minimizer, the first in rank of the short grams in it; equal windows
+   have equal minimizers. Minimizers seen in two documents at least are set in a bitmap of fixed size.
+2. Every document is read again; each stretch of windows whose minimizer is in the bitmap (a fragment) is noted by its
+   place, its minimizer and its hash. Its words go to the minimizer's shard, once per batch of documents.
+3. In each shard the windows of its distinct fragments are counted word for word; passages of windows that start in
+   two documents at least are compiled into an automaton, and all its distinct fragments are streamed through it.
+4. What is found in a fragment holds for all its places: they are joined with it and go back to their documents.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, map_rows, pieces, record, settle, shuffle_count, texts
-from .words import Words, gather, grams, hashes, split
+from .common import U64, map_rows, mix, pieces, record, settle, shuffle_count, texts
+from .words import BASE, INVERSE, Words, gather, grams, hashes, powers, split
 
 PIECE = 2 << 20
 
@@ -31,7 +31,9 @@ def minimizers(w: Words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndar
     if n <= 0:
         return h[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = grams(h, gram)
-    at = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1).argmin(axis=1) + np.arange(n)
+    long = w.end[gram - 1 :] - w.start[: len(g)]  # grams of long words rank first: they are rarer
+    rank = (g >> U64(2)) | (3 - np.searchsorted(4 + gram * np.array([4, 5, 7]), long)).astype(U64) << U64(62)
+    at = np.lib.stride_tricks.sliding_window_view(rank, window - gram + 1).argmin(axis=1) + np.arange(n)
     i = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :])
     if not len(i):
         return h[:0], i, i
@@ -52,14 +54,18 @@ def _seeds(window: int, gram: int):
     return run
 
 
-def _fragments(window: int, gram: int, bitmap, bits: int, passes: int, turn: int, shards: int):
-    kinds = [("shard", pa.int32()), ("doc", pa.int64()), ("same", pa.int64()), ("at", pa.int32()), ("fragment", pa.binary())]
+NOTES = "seed long, hash long, doc long, same long, at int, low long, high long, fragment binary"
+
+
+def _fragments(window: int, gram: int, bitmap, bits: int, passes: int, turn: int):
+    kinds = [(n, pa.binary() if n == "fragment" else pa.int32() if n == "at" else pa.int64()) for n in (x.split()[0] for x in NOTES.split(", "))]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bitmap.value, np.uint8)
         for part in pieces(batch, "text", PIECE):
             w = split(texts(part.column("text")))
-            seed, first, last = minimizers(w, hashes(w), window, gram)
+            h = hashes(w)
+            seed, first, last = minimizers(w, h, window, gram)
             bit = (seed % U64(bits)).astype(np.int64)
             hit = (known[bit >> 3] >> (bit & 7)) & 1 > 0
             if passes > 1:
@@ -67,91 +73,129 @@ def _fragments(window: int, gram: int, bitmap, bits: int, passes: int, turn: int
             seed, first, last = seed[hit], first[hit], last[hit]
             if not len(seed):
                 continue
-            data, offsets = gather(w.buffer, w.start[first], w.end[last + window - 1])
-            fragment = pa.Array.from_buffers(pa.binary(), len(seed), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            stop = last + window
+            with np.errstate(over="ignore"):  # the words' hash by prefix sums
+                sums = np.concatenate([np.zeros(1, U64), np.cumsum(h * powers(BASE, len(h)), dtype=U64)])
+                own = mix((sums[stop] - sums[first]) * powers(INVERSE, len(h) + 1)[first] + (stop - first).astype(U64)).view(np.int64)
             row = w.doc[first]
-            shard = ((seed >> U64(8)) % U64(shards)).astype(np.int32)
-            yield record(kinds, shard, part.column("doc").to_numpy()[row], part.column("same").to_numpy()[row], (first - w.first[row]).astype(np.int32), fragment)
+            doc = part.column("doc").to_numpy()[row]
+            order = np.lexsort((own, seed))
+            new = np.ones(len(order), bool)
+            new[1:] = (seed[order][1:] != seed[order][:-1]) | (own[order][1:] != own[order][:-1])
+            group, start = np.cumsum(new) - 1, np.flatnonzero(new)
+            low, high = np.minimum.reduceat(doc[order], start)[group], np.maximum.reduceat(doc[order], start)[group]
+            size = np.where(new, (w.end[stop - 1] - w.start[first])[order], 0)
+            data, offsets = gather(w.buffer, w.start[first][order], w.start[first][order] + size)
+            nulls = pa.py_buffer(np.packbits(new, bitorder="little").tobytes())
+            fragment = pa.Array.from_buffers(pa.binary(), len(order), [nulls, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield record(kinds, seed.view(np.int64)[order], own[order], doc[order], part.column("same").to_numpy()[row][order], (first - w.first[row]).astype(np.int32)[order], low, high, fragment)
 
     return run
 
 
 class Shard:
-    """The automaton of one shard: phrases of `window` words that start in two documents at least, each with its least document."""
+    """The automaton of one shard's fragments.
+
+    A phrase is `window` words that start in two documents at least. Consecutive phrases that never occur apart, with
+    the same least document, are one passage. Words are spelled with letters of alphabets that differ by place, so a
+    match begins and ends with whole words.
+    """
 
-    def __init__(self, window: int, fragments: list[bytes], least: list[int], most: list[int]):
+    def __init__(self, window: int, fragments: dict[bytes, tuple[int, int]]):
         import ahocorasick
 
-        self.window, self.ids, seen = window, {}, {}
-        for text, low, high in zip(fragments, least, most, strict=True):
-            ids = self.words(text)
-            for i in range(len(ids) - window + 1):
-                phrase = ids[i : i + window]
+        self.window = window
+        rows = [x.split(b" ") for x in fragments]
+        ids: dict[bytes, int] = {}
+        for row in rows:
+            for x in row:
+                ids.setdefault(x, len(ids))
+        self.letters = 2 if len(ids) <= 1 << 16 else 4
+        spell = {x: "".join(chr(0x100 + (p << 8) + (i >> (8 * p) & 255)) for p in range(self.letters)) for x, i in ids.items()}
+        k = self.letters
+        size = k * window
+        self.spelled = [("".join([spell[x] for x in row]), len(row)) for row in rows]
+        seen: dict[str, list[int]] = {}
+        pairs: dict[str, int] = {}
+        for f, ((text, n), (low, high)) in enumerate(zip(self.spelled, fragments.values(), strict=True)):
+            for i in range(0, k * (n - window + 1), k):
+                phrase = text[i : i + size]
                 got = seen.get(phrase)
                 if got is None:
-                    seen[phrase] = [low, high]
+                    seen[phrase] = [low, high, 1, f]
                 else:
-                    got[0], got[1] = min(got[0], low), max(got[1], high)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, (low, high) in seen.items():
-            if low < high:
-                self.automaton.add_word(phrase, low)
+                    if low < got[0]:
+                        got[0] = low
+                    if high > got[1]:
+                        got[1] = high
+                    got[2] += 1
+                if i:
+                    pair = text[i - k : i + size]
+                    pairs[pair] = pairs.get(pair, 0) + 1
+        self.automaton = ahocorasick.Automaton()
+        for f, (text, n) in enumerate(self.spelled):
+            i, stop = 0, k * (n - window + 1)
+            while i < stop:
+                low, high, times, own = seen[text[i : i + size]]
+                if own != f or low >= high:
+                    i += k
+                    continue
+                j = i + k
+                while j < stop:
+                    nxt = seen[text[j : j + size]]
+                    if nxt[3] != f or nxt[0] != low or nxt[2] != times or pairs[text[j - k : j + size]] != times:
+                        break
+                    j += k
+                self.automaton.add_word(text[i : j - k + size], (low, (j - i) // k))
+                i = j
         self.any = len(self.automaton) > 0
         if self.any:
             self.automaton.make_automaton()
-        self.found: dict[bytes, list[tuple[int, int]]] = {}
 
-    def words(self, text: bytes) -> tuple[int, ...]:
-        ids = self.ids
-        return tuple([ids.setdefault(x, len(ids) + 1) for x in text.split(b" ")])
+    def occurrences(self, f: int) -> list[tuple[int, int, int]]:
+        """(first word, number of phrases, least document) of each passage in the f-th fragment."""
+        if not self.any:
+            return []
+        k = self.letters
+        return [((end + 1) // k - (self.window + n - 1), n, low) for end, (low, n) in self.automaton.iter(self.spelled[f][0])]
+
 
-    def occurrences(self, text: bytes) -> list[tuple[int, int]]:
-        """(first word, least document) of each recurring phrase in a fragment."""
-        got = self.found.get(text)
-        if got is None:
-            got = self.found[text] = [(end - self.window + 1, low) for end, low in self.automaton.iter(self.words(text))] if self.any else []
-        return got
+FOUND = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("low", pa.int64())]))
 
 
 def _stream(window: int):
-    """Rows come sorted by shard and salt, the shard's distinct fragments before those to be searched."""
-    kinds = [("doc", pa.int64()), ("same", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]
+    """Rows come sorted by shard; a shard's fragments are held together, those of equal words as one."""
+    names = ["seed", "hash", "found"]
+
+    def search(seeds: dict, fragments: dict) -> pa.RecordBatch | None:
+        shard, out = Shard(window, fragments), ([], [], [])
+        for f, (seed, own) in enumerate(seeds.values()):
+            if got := shard.occurrences(f):
+                for to, x in zip(out, (seed, own, [(i, i + n - 1 + window, low) for i, n, low in got]), strict=True):
+                    to.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], FOUND)], names=names) if out[0] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shard, phrases = None, None, ([], [], [])
+        now, seeds, fragments = None, {}, {}
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            of, salt, kind, doc, most, same, at, text = (batch.column(k).to_pylist() for k in ("shard", "salt", "kind", "doc", "most", "same", "at", "fragment"))
-            for i in range(batch.num_rows):
-                if now != (of[i], salt[i]):
-                    now, shard, phrases = (of[i], salt[i]), None, ([], [], [])
-                if kind[i] == 0:
-                    for to, x in zip(phrases, (text[i], doc[i], most[i]), strict=True):
-                        to.append(x)
-                    continue
-                if shard is None:
-                    shard = Shard(window, *phrases)
-                start = stop = -1
-                for first, low in shard.occurrences(text[i]):
-                    if low >= doc[i]:
-                        continue
-                    if first > stop - window + 1:  # not the next window of a run
-                        if stop >= 0:
-                            for to, x in zip(out, (doc[i], same[i], at[i] + start, at[i] + stop), strict=True):
-                                to.append(x)
-                        start = first
-                    stop = first + window
-                if stop >= 0:
-                    for to, x in zip(out, (doc[i], same[i], at[i] + start, at[i] + stop), strict=True):
-                        to.append(x)
-            if out[0]:
-                yield record(kinds, *out)
+            for of, seed, own, low, high, text in zip(*(batch.column(k).to_pylist() for k in ("shard", "seed", "hash", "low", "high", "fragment")), strict=True):
+                if of != now:
+                    if fragments and (got := search(seeds, fragments)) is not None:
+                        yield got
+                    now, seeds, fragments = of, {}, {}
+                had = fragments.get(text)
+                if had is None:
+                    seeds[text], fragments[text] = (seed, own), (low, high)
+                elif low < had[0] or high > had[1]:
+                    fragments[text] = (min(low, had[0]), max(high, had[1]))
+        if fragments and (got := search(seeds, fragments)) is not None:
+            yield got
 
     return run
 
 
 def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 6, bits: int = 1 << 27) -> DataFrame:
-    """(doc, same, start, stop): word ranges made of windows that also start in a document of a smaller id.
+    """(doc, same, spans): word ranges (start, stop) made of windows that also start in a document of a smaller id.
 
     docs: long doc, long same (hash of the text, parts rows of equal id), string text. Ranges may overlap. The bitmap
     of recurring minimizers has `bits` bits however large the corpus is; where more than an eighth of that many recur,
@@ -163,7 +207,7 @@ def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 6, bits: int
     seeds = map_rows(docs.select("doc", "text"), _seeds(window, gram), "seed long, doc long")
     recurring = settle(seeds.groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("seed"))
     passes = max(1, -(-recurring.count() * 8 // bits))
-    shards = 4 * n
+    shards = 8 * n
     found = None
     for turn in range(passes):
         # the hash is unsigned to numpy; bits and shifts are taken so that both sides agree
@@ -174,18 +218,15 @@ def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 6, bits: int
         for chunk in chunks.toLocalIterator():
             bitmap[chunk["chunk"]] = np.frombuffer(chunk["set"], np.uint8)
         sent = spark.sparkContext.broadcast(bitmap.tobytes())
-        fragments = settle(map_rows(docs.select("doc", "same", "text"), _fragments(window, gram, sent, bits, passes, turn, shards), "shard int, doc long, same long, at int, fragment binary"))
-        phrases = fragments.groupBy("shard", "fragment").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"))
-        sizes = fragments.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))  # one row a shard
-        total = fragments.count()
-        each = max(500, total // (4 * n))
-        sizes = F.broadcast(sizes.select("shard", F.ceil(F.col("rows") / each).cast("int").alias("salts")))
-        patterns = phrases.join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "doc", "most", F.lit(0).cast("long").alias("same"), F.lit(0).alias("at"), "fragment")
-        searched = fragments.join(sizes, "shard").select("shard", F.pmod(F.xxhash64("doc", "same", "at"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc", F.col("doc").alias("most"), "same", "at", "fragment")
-        dealt = patterns.unionByName(searched).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-        ranges = dealt.mapInArrow(_stream(window), "doc long, same long, start int, stop int")
+        notes = settle(map_rows(docs.select("doc", "same", "text"), _fragments(window, gram, sent, bits, passes, turn), NOTES))
+        shard = F.pmod(F.shiftrightunsigned("seed", 8), F.lit(shards)).alias("shard")
+        patterns = notes.filter("fragment is not null").select(shard, "seed", "hash", "low", "high", "fragment").repartition(n, "shard").sortWithinPartitions("shard")
+        passages = patterns.mapInArrow(_stream(window), "seed long, hash long, found array<struct<start:int,stop:int,low:long>>")
+        places = notes.select("seed", "hash", "doc", "same", "at").join(passages, ["seed", "hash"])
+        spans = F.transform(F.filter("found", lambda x: x["low"] < F.col("doc")), lambda x: F.struct((x["start"] + F.col("at")).alias("start"), (x["stop"] + F.col("at")).alias("stop")))
+        ranges = places.select("doc", "same", spans.alias("spans")).filter("size(spans) > 0")
         found = ranges if found is None else found.unionByName(ranges)
-    return found
+    return found.groupBy("doc", "same").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _kept(key: str):
@@ -214,9 +255,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     document to each other: they don't repeat each other. Ties and extra columns don't matter.
     """
     given = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("same", F.xxhash64("text"))
-    ranges = repeated_ranges(given, window)
-    spans = ranges.groupBy("doc", "same").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = given.join(spans, ["doc", "same"], "left").select(F.col("doc").alias(key), "text", "spans")
+    joined = given.join(repeated_ranges(given, window), ["doc", "same"], "left").select(F.col("doc").alias(key), "text", "spans")
     return map_rows(joined, _kept(key), f"`{key}` long, n_words long, n_removed long, kept string")
 
 
