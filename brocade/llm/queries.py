@@ -1,11 +1,19 @@
 """The training-data operators as queries over whole tables, and SQL for those that SQL can express."""
 
+from .decontaminate import op9_leaks
+from .mixing import OP7_SQL, op7_poisson_mix
 from .passages import op2_repeats
+from .quality import op5_quality
 from .simhash import op3_simhash
+from .tokens import op10_token_ids
 
 QUERIES = {
     "op2_repeats": op2_repeats,
     "op3_simhash": op3_simhash,
+    "op5_quality": op5_quality,
+    "op7_poisson_mix": op7_poisson_mix,
+    "op9_leaks": op9_leaks,
+    "op10_token_ids": op10_token_ids,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_poisson_mix": OP7_SQL}
