@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import U64, map_rows, mix, shuffle_count
+from .common import MASK, U64, map_rows, mix, shuffle_count
 
 END_ID = 2
 BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 20
@@ -104,7 +104,7 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return (np.zeros(0, "<u4"),) * 3
     b, s, p = key_hashes(keys)
-    m = max(1, n // 3)
+    m = max(1, n // 2)
     buckets: dict[int, list[int]] = {}
     for i, k in enumerate((b % U64(m)).tolist()):
         buckets.setdefault(k, []).append(i)
@@ -134,9 +134,11 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _slot(x: int, d: int, n: int) -> int:
-    """Displacement d = turn * n + shift: shift all, after a step that depends on the key and the turn."""
+    """Displacement d = turn * n + shift: a hash of the key and the turn, shifted."""
     turn, shift = divmod(d, n)
-    return (x + shift + turn * (x // n % (n - 1 or 1) + 1)) % n
+    if turn:
+        x = ((x ^ turn * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & MASK) >> 32
+    return (x + shift) % n
 
 
 def _displacement_to(x: int, slot: int, n: int) -> int:
