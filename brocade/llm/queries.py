@@ -3,11 +3,13 @@
 from .decontaminate import op9_leaks
 from .mixing import OP7_SQL, op7_poisson_mix
 from .passages import op2_repeats
+from .pii import op1_pii
 from .quality import op5_quality
 from .simhash import op3_simhash
 from .tokens import op10_token_ids
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_repeats": op2_repeats,
     "op3_simhash": op3_simhash,
     "op5_quality": op5_quality,
