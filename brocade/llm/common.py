@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,10 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that later failures don't recompute what led to it."""
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it back, so that later failures don't recompute what led to it.
+
+    Shuffle files of what led to it are of no more use; Spark deletes those of plans that its driver's collector has
+    found unused, so the collector is asked to run.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
 
 
 def shuffle_count(spark: SparkSession) -> int:

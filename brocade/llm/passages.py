@@ -1,6 +1,6 @@
 """Removal of repeated passages with sharded Aho-Corasick automata.
 
-1. Each window of words is represented by its minimizer, the first in rank of the short grams in it; equal windows
+1. Each window of words is represented by its minimizer, the least-hashed short gram in it; equal windows
    have equal minimizers. Minimizers seen in two documents at least are set in a bitmap of fixed size.
 2. Every document is read again; each stretch of windows whose minimizer is in the bitmap (a fragment) is noted by its
    place, its minimizer and its hash. Its words go to the minimizer's shard, once per batch of documents.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import U64, map_rows, mix, pieces, record, settle, shuffle_count, texts
 from .words import BASE, INVERSE, Words, gather, grams, hashes, powers, split
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def minimizers(w: Words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,9 +31,7 @@ def minimizers(w: Words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndar
     if n <= 0:
         return h[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = grams(h, gram)
-    long = w.end[gram - 1 :] - w.start[: len(g)]  # grams of long words rank first: they are rarer
-    rank = (g >> U64(2)) | (3 - np.searchsorted(4 + gram * np.array([4, 5, 7]), long)).astype(U64) << U64(62)
-    at = np.lib.stride_tricks.sliding_window_view(rank, window - gram + 1).argmin(axis=1) + np.arange(n)
+    at = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1).argmin(axis=1) + np.arange(n)
     i = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :])
     if not len(i):
         return h[:0], i, i
@@ -194,7 +192,7 @@ def _stream(window: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 6, bits: int = 1 << 27) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 5, bits: int = 1 << 27) -> DataFrame:
     """(doc, same, spans): word ranges (start, stop) made of windows that also start in a document of a smaller id.
 
     docs: long doc, long same (hash of the text, parts rows of equal id), string text. Ranges may overlap. The bitmap
@@ -221,10 +219,10 @@ def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 6, bits: int
         notes = settle(map_rows(docs.select("doc", "same", "text"), _fragments(window, gram, sent, bits, passes, turn), NOTES))
         shard = F.pmod(F.shiftrightunsigned("seed", 8), F.lit(shards)).alias("shard")
         patterns = notes.filter("fragment is not null").select(shard, "seed", "hash", "low", "high", "fragment").repartition(n, "shard").sortWithinPartitions("shard")
-        passages = patterns.mapInArrow(_stream(window), "seed long, hash long, found array<struct<start:int,stop:int,low:long>>")
+        passages = settle(patterns.mapInArrow(_stream(window), "seed long, hash long, found array<struct<start:int,stop:int,low:long>>"))
         places = notes.select("seed", "hash", "doc", "same", "at").join(passages, ["seed", "hash"])
         spans = F.transform(F.filter("found", lambda x: x["low"] < F.col("doc")), lambda x: F.struct((x["start"] + F.col("at")).alias("start"), (x["stop"] + F.col("at")).alias("stop")))
-        ranges = places.select("doc", "same", spans.alias("spans")).filter("size(spans) > 0")
+        ranges = settle(places.select("doc", "same", spans.alias("spans")).filter("size(spans) > 0"))
         found = ranges if found is None else found.unionByName(ranges)
     return found.groupBy("doc", "same").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

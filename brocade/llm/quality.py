@@ -84,7 +84,7 @@ def features(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batch, "__text", 2 << 20):
+        for part in pieces(batch, "__text", 1 << 20):
             x = statistics(texts(part.column("__text")))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], rows], names=[*keys, "x"])
@@ -187,7 +187,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     names, kinds = docs.columns, docs.schema
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batch, text, 2 << 20):
+        for part in pieces(batch, text, 1 << 20):
             good = sent.value.scores(statistics(texts(part.column(text)))) >= 0.5
             yield part.filter(pa.array(good))
 

@@ -266,7 +266,7 @@ def sketches(width: int):
     kinds = [("node", pa.int64()), *[(f"c{i}", pa.int64()) for i in range(2)], *[(f"v{i}", pa.int64()) for i in range(2)]]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batch, "text", 2 << 20):
+        for part in pieces(batch, "text", 1 << 20):
             w = split([x.translate(CASE) for x in texts(part.column("text"))])
             h, rows = hashes(w), part.num_rows
             short, first2 = shingles(h, w.doc, rows, 2)
