@@ -1,6 +1,7 @@
 """The training-data operators as queries over whole tables, and SQL for those that SQL can express."""
 
 from .decontaminate import op9_leaks
+from .language import op8_language
 from .mixing import OP7_SQL, op7_poisson_mix
 from .passages import op2_repeats
 from .pii import op1_pii
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_quality": op5_quality,
     "op7_poisson_mix": op7_poisson_mix,
+    "op8_language": op8_language,
     "op9_leaks": op9_leaks,
     "op10_token_ids": op10_token_ids,
 }
