@@ -1,6 +1,7 @@
 """The training-data operators as queries over whole tables, and SQL for those that SQL can express."""
 
 from .decontaminate import op9_leaks
+from .embeddings import op4_embeddings
 from .language import op8_language
 from .mixing import OP7_SQL, op7_poisson_mix
 from .passages import op2_repeats
@@ -8,12 +9,15 @@ from .pii import op1_pii
 from .quality import op5_quality
 from .simhash import op3_simhash
 from .tokens import op10_token_ids
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_repeats": op2_repeats,
     "op3_simhash": op3_simhash,
+    "op4_embeddings": op4_embeddings,
     "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_poisson_mix": op7_poisson_mix,
     "op8_language": op8_language,
     "op9_leaks": op9_leaks,
