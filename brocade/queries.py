@@ -1,4 +1,339 @@
 """Queries of the evaluation engine and the SQL they are held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .constants import AXES, METHODS, SETTINGS
+from .functions import geometry, records as record_functions, text
+from .operators import joins, masks, order, summary, validate
+from .plans import compare, judge, prepare
+from .sources.derived import DERIVED_SQL, cases, pixels, records, table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(fn):
+        QUERIES[name or fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[name or fn.__name__] = sql if sql.lstrip().startswith("WITH") else f"WITH {DERIVED_SQL} {sql}"
+        return fn
+
+    return add
+
+
+def _rates(c: str, most: int = 7) -> str:
+    v = f"(CASE WHEN status = 'missing_output' THEN false ELSE {c} END)"
+    yes, no, n = f"count_if({v})", f"count_if(NOT {v})", "count(*)"
+    parts = [f"{yes} AS {c}_success", f"{no} AS {c}_failure", f"{n} - {yes} - {no} AS {c}_unknown", f"({yes} + {no}) / {n} AS {c}_coverage", f"{yes} / nullif({yes} + {no}, 0) AS {c}_rate",
+             f"{yes} / {n} AS {c}_lower", f"({n} - {no}) / {n} AS {c}_upper"]
+    return ", ".join(parts[:most])
+
+
+def _axis(a: str) -> str:
+    return f"avg({a}) AS {a}_mean, count({a}) AS {a}_decidable, count(*) - count({a}) AS {a}_unknown, " + ", ".join(f"count_if({a} = {s}) AS {a}_{s}" for s in range(5))
+
+
+SUMMARY_SQL = f"count(*) AS n, {_rates('all_edits_success')}, {_rates('strict_success')}, {', '.join(_axis(a) for a in AXES)}"
+
+
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).join(cases(spark, sf_dir), "eval_index")
+
+
+@query(f"SELECT method, count(DISTINCT eval_index) AS cases, {SUMMARY_SQL}, list_position({list(METHODS)!r}, method) - 1 AS position FROM records GROUP BY method")
+def method_summary(spark, sf_dir):
+    return summary.method_table(records(spark, sf_dir))
+
+
+@query(f"SELECT variant, method, setting, split, source_dataset, {SUMMARY_SQL} FROM records JOIN cases USING (eval_index) GROUP BY ALL")
+def group_summary(spark, sf_dir):
+    return summary.summarize(_full(spark, sf_dir), "variant", "method", "setting", "split", "source_dataset")
+
+
+@query("SELECT method, map_from_entries(list((edit, c) ORDER BY edit))::VARCHAR AS distribution FROM (SELECT method, edit, count(*) AS c FROM records WHERE edit IS NOT NULL GROUP BY ALL) GROUP BY method")
+def edit_distribution(spark, sf_dir):
+    got = summary.distribution(records(spark, sf_dir), "edit", "method")
+    return got.select("method", F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("distribution"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ", "), F.lit("}")).alias("distribution"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count FROM cases GROUP BY {c}" for c in ("source_dataset", "edit_type", "region_count", "split")))
+def case_value_counts(spark, sf_dir):
+    return summary.value_counts(cases(spark, sf_dir), "source_dataset", "edit_type", "region_count", "split")
+
+
+_SETS = ("edit_type", "region_count", "setting")
+_STRICT5 = _rates("strict_success", 5)
+
+
+@query(" UNION ALL ".join(f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, method, count(*) AS n, avg(edit) AS edit_mean, avg(preservation) AS preservation_mean, avg(quality) AS quality_mean, {_STRICT5} FROM records JOIN cases USING (eval_index) GROUP BY {d}, method" for d in _SETS))
+def method_breakdown(spark, sf_dir):
+    return summary.breakdown(_full(spark, sf_dir), _SETS)
+
+
+@query("SELECT method, " + ", ".join(f"avg(edit) FILTER (setting = '{s}') AS {s}" for s in SETTINGS) + " FROM records GROUP BY method")
+def method_setting_matrix(spark, sf_dir):
+    return summary.mean_matrix(records(spark, sf_dir), "edit")
+
+
+@query()
+def bootstrap_intervals(spark, sf_dir):
+    return summary.bootstrap(records(spark, sf_dir), "method")
+
+
+@query("""SELECT b.variant, count_if(a.status = 'ok' AND b.status = 'ok') AS paired, count_if(NOT (a.status = 'ok' AND b.status = 'ok')) AS unpaired,
+ count_if(a.status = 'ok' AND b.status = 'ok' AND (a.edit IS DISTINCT FROM b.edit OR a.preservation IS DISTINCT FROM b.preservation OR a.quality IS DISTINCT FROM b.quality)) AS any_axis_changed,
+ count_if(a.status = 'ok' AND b.status = 'ok' AND a.strict_success IS DISTINCT FROM b.strict_success) AS strict_changed
+ FROM (SELECT * FROM records WHERE variant = 'r1' QUALIFY row_number() OVER (PARTITION BY eval_index, method, setting ORDER BY line) = 1) a
+ JOIN (SELECT * FROM records WHERE variant <> 'r1' QUALIFY row_number() OVER (PARTITION BY eval_index, method, setting, variant ORDER BY line) = 1) b USING (eval_index, method, setting) GROUP BY b.variant""")
+def variant_stability(spark, sf_dir):
+    return summary.stability(records(spark, sf_dir), "r1")
+
+
+_EXPECTED = "(CASE WHEN eval_index % 3 = 0 THEN true WHEN eval_index % 3 = 1 THEN false END)"
+
+
+@query(f"""SELECT variant, split AS provenance, count(*) AS total, count({_EXPECTED}) AS binary_labeled, count_if({_EXPECTED} IS NOT NULL AND all_edits_success IS NULL) AS unresolved,
+ count_if({_EXPECTED} AND all_edits_success) AS true_positive, count_if({_EXPECTED} AND NOT all_edits_success) AS false_negative, count_if(NOT {_EXPECTED} AND all_edits_success) AS false_positive,
+ count_if(NOT {_EXPECTED} AND NOT all_edits_success) AS true_negative FROM records JOIN cases USING (eval_index) GROUP BY ALL""")
+def control_confusion(spark, sf_dir):
+    e = F.when(F.col("eval_index") % 3 == 0, True).when(F.col("eval_index") % 3 == 1, False)
+    return summary.control_counts(_full(spark, sf_dir), e, "variant", "split").withColumnRenamed("split", "provenance")
+
+
+_U = "status = 'ok' AND edit IS NOT NULL AND preservation IS NOT NULL AND quality IS NOT NULL"
+_S = f"{_U} AND edit = 4 AND preservation >= 3 AND quality >= 3"
+_CASE = f"""SELECT eval_index, count(*) AS records, count_if({_U}) AS usable, avg(edit) FILTER ({_U}) AS edit_mean, max(edit) FILTER ({_U}) AS edit_max, count_if({_U} AND edit = 4) AS edit_successes, count_if({_S}) AS strict_successes,
+ {', '.join(f"max(edit) FILTER ({_U} AND method = '{m}') AS best_{m}" for m in METHODS)}, {', '.join(f"count_if({_S} AND method = '{m}') AS strict_{m}" for m in METHODS)},
+ {', '.join(f"max(edit) FILTER ({_U} AND setting = '{s}') AS best_{s}" for s in SETTINGS)},
+ count(DISTINCT method) FILTER ({_S}) AS strict_methods, count(DISTINCT setting) FILTER ({_S}) AS strict_settings,
+ coalesce(string_agg(method || '/' || setting, ',' ORDER BY list_position({list(METHODS)!r}, method), list_position({list(SETTINGS)!r}, setting)) FILTER ({_S}), '') AS strict_outputs FROM records GROUP BY eval_index"""
+
+
+@query(_CASE)
+def case_summaries(spark, sf_dir):
+    return summary.case_summary(records(spark, sf_dir)).withColumn("strict_outputs", F.array_join("strict_outputs", ","))
+
+
+_TIERS = {"edit_at_most_1": "edit_max <= 1", "edit_at_most_2": "edit_max <= 2", "no_edit_success": "edit_successes = 0", "no_strict_success": "strict_successes = 0",
+          **{f"strict_at_most_{k}": f"strict_successes <= {k}" for k in (1, 2, 3, 4)}, "strict_in_few_methods": "strict_successes >= 1 AND strict_methods <= 2",
+          "strict_in_one_setting": "strict_successes >= 1 AND strict_settings = 1", "concentrated": "strict_successes >= 1 AND (strict_methods <= 2 OR strict_settings = 1)",
+          **{f"{s}_edit_at_most_1": f"best_{s} <= 1" for s in SETTINGS}}
+
+
+@query(f"WITH {DERIVED_SQL}, s AS ({_CASE}) " + " UNION ALL ".join(f"SELECT '{t}' AS tier, eval_index FROM s WHERE usable = 2 AND {c}" for t, c in _TIERS.items()))
+def failure_tiers(spark, sf_dir):
+    return summary.failure_tiers(summary.case_summary(records(spark, sf_dir)), complete=2, many=1)
+
+
+@query(f"WITH {DERIVED_SQL}, s AS ({_CASE}) SELECT strict_successes, count(*) AS count FROM s GROUP BY ALL")
+def strict_histogram(spark, sf_dir):
+    return summary.histogram(summary.case_summary(records(spark, sf_dir)), "strict_successes")
+
+
+@query("SELECT status, count(*) AS count FROM records GROUP BY status")
+def status_counts(spark, sf_dir):
+    return summary.histogram(records(spark, sf_dir), "status")
+
+
+_GRID = f"grid AS (SELECT eval_index, method, setting FROM cases, unnest({list(METHODS)!r}) m(method), unnest({list(SETTINGS)!r}) s(setting))"
+_FIRST = "first AS (SELECT * FROM records WHERE variant = 'r1' QUALIFY row_number() OVER (PARTITION BY eval_index, method, setting ORDER BY line) = 1)"
+
+
+@query(f"WITH {DERIVED_SQL}, {_GRID}, {_FIRST} SELECT method, setting, coalesce(status, 'pending') AS status, count(*) AS count FROM grid LEFT JOIN first USING (eval_index, method, setting) GROUP BY ALL")
+def pending_jobs(spark, sf_dir):
+    """Every case, method and setting with its first record, pending where there is none."""
+    first = records(spark, sf_dir).filter("variant = 'r1'").groupBy("eval_index", "method", "setting").agg(F.min_by("status", "line").alias("status"))
+    rows = joins.with_pending(joins.expected_jobs(cases(spark, sf_dir).select("eval_index")), first, "eval_index", "method", "setting")
+    return rows.groupBy("method", "setting", "status").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query(f"WITH {DERIVED_SQL}, {_GRID}, k AS (SELECT eval_index, method, setting, sum(e) AS e, sum(a) AS a FROM (SELECT eval_index, method, setting, 1 AS e, 0 AS a FROM grid WHERE eval_index % 4 > 0 UNION ALL SELECT eval_index, method, setting, 0, 1 FROM records) GROUP BY ALL) "
+       "SELECT eval_index, method, setting, CASE WHEN a = 0 THEN 'missing' WHEN e = 0 THEN 'unexpected' ELSE 'duplicate' END AS problem FROM k WHERE a = 0 OR e = 0 OR a > 1")
+def coverage_errors(spark, sf_dir):
+    grid = joins.expected_jobs(cases(spark, sf_dir).select("eval_index").filter(F.col("eval_index") % 4 > 0))
+    return joins.coverage_errors(grid, records(spark, sf_dir), "eval_index", "method", "setting")
+
+
+@query(f"WITH {DERIVED_SQL}, {_GRID} SELECT method, setting, count(*) AS count FROM grid WHERE NOT EXISTS (SELECT 1 FROM records r WHERE r.eval_index = grid.eval_index AND r.method = grid.method AND r.setting = grid.setting AND r.status = 'ok') GROUP BY ALL")
+def jobs_to_resume(spark, sf_dir):
+    done = records(spark, sf_dir).filter("status = 'ok'")
+    left = joins.unfinished(joins.expected_jobs(cases(spark, sf_dir).select("eval_index")), done, "eval_index", "method", "setting")
+    return left.groupBy("method", "setting").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("""SELECT method, count(*) AS n, avg(edit) AS edit_mean FROM records WHERE method IN ('alpha', 'beta') AND (eval_index, setting) IN
+ (SELECT (eval_index, setting) FROM records WHERE method IN ('alpha', 'beta') GROUP BY eval_index, setting HAVING count(DISTINCT method) = 2) GROUP BY method""")
+def matched_cohort(spark, sf_dir):
+    two = records(spark, sf_dir).filter(F.col("method").isin("alpha", "beta"))
+    return joins.common_cohort(two, 2).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg("edit").alias("edit_mean"))
+
+
+@query("SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS position, CAST((row_number() OVER (ORDER BY case_id) - 1 + 3) % 8 AS BIGINT) AS shard, CAST(floor((row_number() OVER (ORDER BY case_id) - 1) / 20) AS BIGINT) AS page FROM cases")
+def case_positions(spark, sf_dir):
+    placed = order.with_position(cases(spark, sf_dir).select("case_id"), "case_id")
+    return placed.select("case_id", "position", order.shard(F.col("position"), 8, 3).alias("shard"), order.page(F.col("position"), 20).alias("page"))
+
+
+@query("SELECT eval_index, line, method, status FROM records QUALIFY row_number() OVER (PARTITION BY eval_index ORDER BY coalesce(edit, -1) DESC, line) = 1")
+def latest_records(spark, sf_dir):
+    rows = records(spark, sf_dir).select("eval_index", "line", "method", "status", F.coalesce("edit", F.lit(-1)).alias("at"))
+    return order.latest(rows, "eval_index", "at", "line").drop("at")
+
+
+@query("SELECT method, setting, count(*) AS done, max(line) AS latest, round_even(100 * count(*) / 1000, 2) AS percent FROM records WHERE status = 'ok' GROUP BY ALL")
+def judging_progress(spark, sf_dir):
+    done = records(spark, sf_dir).filter("status = 'ok'")
+    grid = joins.expected_jobs(spark.range(1).select(F.lit(0).alias("one"))).select("method", "setting")
+    return summary.progress(done, grid, "method", "setting", per_key=1000)
+
+
+@query("SELECT eval_index, (greatest(32, CAST(round_even(sqrt(1048576 * width / height) / 32, 0) * 32 AS INT))) AS out_width, (greatest(32, CAST(round_even(sqrt(1048576 * height / width) / 32, 0) * 32 AS INT))) AS out_height, least(1.0, sqrt(65536.0 / (width * height))) AS scale, greatest(3, CAST(round_even(least(width, height) * 0.006, 0) AS INT)) AS line_width FROM cases")
+def output_sizes(spark, sf_dir):
+    w, h = F.col("width"), F.col("height")
+    return cases(spark, sf_dir).select("eval_index", geometry.output_side(w, h).alias("out_width"), geometry.output_side(h, w).alias("out_height"), geometry.view_scale(w, h, 65536).alias("scale"), geometry.marker(F.least(w, h), 0.006, 3).alias("line_width"))
+
+
+_LINE_BOX = "lb AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_partkey % 100 AS INT) AS x1, CAST(l_suppkey % 80 AS INT) AS y1, CAST(l_partkey % 100 AS INT) + CAST(trunc(l_quantity) AS INT) AS x2, CAST(l_suppkey % 80 AS INT) + 10 + l_linenumber AS y2 FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1)"
+
+
+def _boxes(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    x, y = (F.col("l_partkey") % 100).cast("int"), (F.col("l_suppkey") % 80).cast("int")
+    rows = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.struct("l_partkey", "l_suppkey", "l_quantity").alias("o"), F.array(x, y, x + F.col("l_quantity").cast("int"), y + 10 + F.col("l_linenumber")).alias("box"))
+    return rows.groupBy("k", "n").agg(F.min_by("box", "o").alias("box"))
+
+
+_IOU = "greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+_AREA = "CAST(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1) AS DOUBLE)"
+_BOTH = f"({_IOU}) / greatest(1e-9, {_AREA.format('a')} + {_AREA.format('b')} - ({_IOU}))"
+
+
+@query(f"WITH {_LINE_BOX}, pairs AS (SELECT a.k, a.n AS first, b.n AS second, {_BOTH} AS iou FROM lb a JOIN lb b ON a.k = b.k AND a.n < b.n) SELECT k, first, second, iou FROM pairs WHERE iou < 0.75 QUALIFY row_number() OVER (PARTITION BY k ORDER BY iou DESC, first, second) = 1")
+def best_region_pairs(spark, sf_dir):
+    """The two regions of each case that overlap most, below 0.75: pairs form within a case, of a few lines."""
+    boxes = _boxes(spark, sf_dir)
+    iou = geometry.box_iou(F.col("l.box"), F.col("r.box"))
+    score = F.struct(iou, -F.col("l.n"), -F.col("r.n"))
+    got = joins.best_pair(boxes.select("k", "n", "box"), boxes.select("k", "n", "box"), "k", (F.col("l.n") < F.col("r.n")) & (iou < 0.75), score)
+    return got.select("k", (-F.col("score.col2")).alias("first"), (-F.col("score.col3")).alias("second"), F.col("score.col1").alias("iou"))
+
+
+@query(f"""WITH {_LINE_BOX} SELECT k AS eval_index, n AS line, rule FROM (SELECT *, unnest(list_filter([CASE WHEN NOT (x1 >= 0 AND x1 < x2 AND x2 <= 130 AND y1 >= 0 AND y1 < y2 AND y2 <= 90) THEN 'box' END, CASE WHEN NOT (x1 < 95) THEN 'left' END], lambda r: r IS NOT NULL)) AS rule FROM lb)""")
+def box_errors(spark, sf_dir):
+    rules = {"box": geometry.box_valid(F.col("box"), F.lit(130), F.lit(90)), "left": F.element_at("box", 1) < 95}
+    return _boxes(spark, sf_dir).select(F.col("k").alias("eval_index"), F.col("n").alias("line"), F.explode(validate.broken(rules)).alias("rule"))
+
+
+@query("SELECT count(*) AS total, count(DISTINCT case_id) AS unique_ids, count(DISTINCT source_dataset) AS sources, count_if(source_dataset <> 'POLYGON') AS \"references\", sum(region_count)::BIGINT AS regions, count_if(region_count > 1) AS multi_region FROM cases")
+def validation_report(spark, sf_dir):
+    return validate.report(cases(spark, sf_dir).withColumn("target", F.when(F.col("source_dataset") != "POLYGON", F.col("case_id"))))
+
+
+@query("SELECT mask, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS area FROM pixels GROUP BY mask")
+def mask_boxes(spark, sf_dir):
+    return masks.boxes(pixels(spark, sf_dir))
+
+
+@query("SELECT mask, count_if(a + b = 1) AS mismatched FROM (SELECT mask, x, y, max(a) AS a, max(b) AS b FROM (SELECT mask, x, y, 1 AS a, 0 AS b FROM pixels WHERE x > 3 UNION ALL SELECT mask, x, y, 0, 1 FROM pixels WHERE y > 2) GROUP BY ALL) GROUP BY mask")
+def mask_mismatches(spark, sf_dir):
+    p = pixels(spark, sf_dir)
+    return masks.difference(p.filter("x > 3"), p.filter("y > 2"))
+
+
+@query("SELECT mask % 7 AS mask, count(*) AS area FROM (SELECT DISTINCT mask % 7 AS mask, x, y FROM pixels) GROUP BY ALL")
+def mask_unions(spark, sf_dir):
+    got = masks.union(pixels(spark, sf_dir).withColumn("whole", F.col("mask") % 7))
+    return got.groupBy("mask").agg(F.count(F.lit(1)).alias("area"))
+
+
+@query(f"""WITH {DERIVED_SQL}, l AS (SELECT mask, 0 AS axis, x AS place, count(*) AS n FROM pixels GROUP BY ALL UNION ALL SELECT mask, 1, y, count(*) FROM pixels GROUP BY ALL),
+ s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY mask, axis ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lf, sum(n) OVER (PARTITION BY mask, axis) AS area, max(n) OVER (PARTITION BY mask, axis) AS most, min(place) OVER (PARTITION BY mask, axis) AS a, max(place) OVER (PARTITION BY mask, axis) AS b FROM l)
+ SELECT mask, axis, place, n / most + 0.18 * abs(1 - 2 * lf / area) AS score FROM s WHERE place >= a + (b - a + 1) * 0.15 AND place <= a + (b - a + 1) * 0.85 AND lf / area >= 0.12 AND 1 - lf / area >= 0.12 QUALIFY row_number() OVER (PARTITION BY mask ORDER BY n / most + 0.18 * abs(1 - 2 * lf / area), axis, place) = 1""")
+def mask_splits(spark, sf_dir):
+    return masks.split_scan(pixels(spark, sf_dir))
+
+
+@query()
+def mask_components(spark, sf_dir):
+    return masks.components(pixels(spark, sf_dir), 64, 48)
+
+
+@query("SELECT mask, count(*) AS area FROM (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM pixels, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1),(1,1),(1,-1),(-1,1),(-1,-1)) d(dx, dy) WHERE dx * dx + dy * dy <= 1.5 AND x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 47) GROUP BY mask")
+def mask_dilations(spark, sf_dir):
+    return masks.dilated(pixels(spark, sf_dir), 64, 48).groupBy("mask").agg(F.count(F.lit(1)).alias("area"))
+
+
+@query()
+def mask_inner_points(spark, sf_dir):
+    return masks.innermost_points(pixels(spark, sf_dir), 64, 48)
+
+
+_CENTRES = "(VALUES (0, 10, 10), (1, 50, 12), (2, 30, 40)) c(centre, cx, cy)"
+
+
+@query(f"SELECT mask, centre, count(*) AS pixels FROM (SELECT mask, x, y, centre FROM pixels, {_CENTRES} QUALIFY row_number() OVER (PARTITION BY mask, x, y ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), centre) = 1) GROUP BY ALL")
+def nearest_centres(spark, sf_dir):
+    p = pixels(spark, sf_dir)
+    three = F.explode(F.array(*[F.struct(F.lit(c).alias("centre"), F.lit(x).alias("cx"), F.lit(y).alias("cy")) for c, x, y in ((0, 10, 10), (1, 50, 12), (2, 30, 40))])).alias("c")
+    centres = p.select("mask").distinct().select("mask", three).select("mask", "c.*")
+    return joins.nearest(p, centres, "mask").groupBy("mask", "centre").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Replace the ' || p_name || ' with a big ' || p_name || '.' WHEN 1 THEN 'swap it for  two ' || p_name || '!' WHEN 2 THEN 'Turn the thing into ' || p_name || '' ELSE 'Add a ' || p_name END AS s FROM part)
+ SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a big ' || regexp_extract(s, '(?i)\breplace the (.*) with', 1) WHEN 1 THEN regexp_extract(s, 'swap it for  (.*)!', 1) WHEN 2 THEN regexp_extract(s, 'into (.*)$', 1) END AS target,
+ regexp_replace(regexp_replace(s, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') || '-' || substr(sha256(s), 1, 8) AS file,
+ replace(replace(s, '&', '&amp;'), '<', '&lt;') AS escaped FROM t""")
+def instruction_texts(spark, sf_dir):
+    n = F.col("p_name")
+    s = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Replace the "), n, F.lit(" with a big "), n, F.lit("."))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("swap it for  two "), n, F.lit("!"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("Turn the thing into "), n)).otherwise(F.concat(F.lit("Add a "), n))
+    t = table(spark, sf_dir, "part").select("p_partkey", s.alias("s"))
+    return t.select("p_partkey", text.replacement_target(F.col("s")).alias("target"), text.safe_name(F.col("s")).alias("file"), text.html_escape(F.col("s")).alias("escaped"))
+
+
+@query("""SELECT eval_index, CASE WHEN region_count = 1 THEN 'Remove {region_1}.' ELSE 'Remove {region_1} and {region_2}.' END AS instruction, region_count AS found,
+ CASE WHEN region_count = 1 THEN 'the box' ELSE 'the box R1 and the box R2' END AS named FROM cases WHERE edit_type = 'remove'""")
+def region_instructions(spark, sf_dir):
+    c = cases(spark, sf_dir).filter("edit_type = 'remove'")
+    made = text.region_only_instruction(F.col("edit_type"), F.col("region_count"), F.col("case_id"), F.array("case_id"))
+    rows = c.withColumn("instruction", made)
+    named = F.regexp_extract(text.locator_prompt(F.col("instruction"), F.col("region_count"), "box"), r"Remove (.*)\.$", 1)
+    return rows.select("eval_index", "instruction", F.size(text.placeholders(F.col("instruction"))).alias("found"), named.alias("named"))
+
+
+@query(f"SELECT setting, count(*) AS items, sum(CASE setting WHEN 'text_only' THEN 1 ELSE 2 END)::BIGINT AS images FROM cases, unnest({list(SETTINGS)!r}) s(setting) GROUP BY setting")
+def prepared_inputs(spark, sf_dir):
+    c = cases(spark, sf_dir).select("eval_index", "region_count", F.concat(F.lit("Edit "), "case_id").alias("instruction"), F.array_join(text.region_references(F.col("region_count")), " and ").alias("region_instruction"))
+    return prepare.prepared(c).groupBy("setting").agg(F.count(F.col("prompt")).alias("items"), F.sum(F.size("images")).alias("images"))
+
+
+@query("SELECT eval_index, sha256('{\"case_id\": \"' || case_id || '\", \"eval_index\": ' || eval_index || '}') AS digest FROM cases")
+def case_digests(spark, sf_dir):
+    return cases(spark, sf_dir).select("eval_index", record_functions.digest(F.to_json(F.struct("eval_index", "case_id"))).alias("digest"))
+
+
+@query("""SELECT CASE WHEN l_linenumber > 4 THEN 'axis' WHEN l_linenumber = 4 THEN 'trailing' ELSE 'good' END AS reply, count(*) AS n, count_if(l_linenumber < 4) AS accepted, sum(CASE WHEN l_linenumber < 4 THEN l_linenumber END)::BIGINT AS edits FROM lineitem GROUP BY ALL""")
+def parsed_replies(spark, sf_dir):
+    n = F.col("l_linenumber")
+    kind = F.when(n > 4, "axis").when(n == 4, "trailing").otherwise("good")
+    body = F.concat(F.lit('<think>hm</think>{"edit": '), n.cast("string"), F.lit(', "preservation": 3, "quality": null, "edit_evidence": "a", "preservation_evidence": "b", "quality_evidence": "c"}'), F.when(n == 4, " and more").otherwise(""))
+    rows = table(spark, sf_dir, "lineitem").select(kind.alias("reply"), record_functions.parsed(body).alias("p"))
+    return rows.groupBy("reply").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p.error").isNull()).alias("accepted"), F.sum("p.edit").alias("edits"))
+
+
+def _backend(rows: list[dict]) -> list[str]:
+    return [f'{{"edit": {r["eval_index"] % 5}, "preservation": 4, "quality": 3, "edit_evidence": "e", "preservation_evidence": "p", "quality_evidence": "q"}}' if r["eval_index"] % 11 else "none" for r in rows]
+
+
+@query(f"WITH {DERIVED_SQL}, {_GRID}, made AS (SELECT DISTINCT eval_index, method, setting FROM records) SELECT CASE WHEN m.eval_index IS NULL THEN 'missing_output' WHEN g.eval_index % 11 = 0 THEN 'judge_parse_error' ELSE 'ok' END AS status, CASE WHEN m.eval_index IS NOT NULL AND g.eval_index % 11 > 0 THEN CAST(g.eval_index % 5 AS INT) END AS edit, count(*) AS n FROM grid g LEFT JOIN made m USING (eval_index, method, setting) GROUP BY ALL")
+def judged_jobs(spark, sf_dir):
+    todo = judge.jobs(cases(spark, sf_dir), records(spark, sf_dir), "run-1")
+    return judge.judged(todo, _backend).groupBy("status", "edit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def method_comparison(spark, sf_dir):
+    return compare.comparison(records(spark, sf_dir))
