@@ -20,7 +20,9 @@ slice that the slot names.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,41 +36,50 @@ from pyspark.sql import window as W
 from .common import MASK, U64, map_rows, mix, shuffle_count
 
 END_ID = 2
+assert sys.byteorder == "little"
 BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 20
 
 # --- encoding -----------------------------------------------------------------------------------------------------
 
-#: Unicode white space; a chunk is a run of it with the run of other characters that follows. The byte-level pattern
-#: never joins characters before a white-space run to those in it, so chunks are encoded apart.
-SPACE = r"\t-\r \xa0  -     　"
-CHUNK = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+\Z")
+#: Unicode white space. A chunk is a run of it, perhaps empty, with the run of other characters that follows, or with
+#: the letters that run begins with where an ASCII mark, a digit, white space or the end comes next. The byte-level
+#: pattern never joins characters before a white-space run to those in it, nor a letter to a mark or digit after it,
+#: so chunks are encoded apart.
+SPACE = r"\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+CHUNK = re.compile(rf"[{SPACE}]*[{LETTERS}]+(?=[!-@\[-`{{-~{SPACE}]|\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+\Z")
 #: Texts with characters on which engines differ about white space, or with a special token, are encoded whole.
-WHOLE = re.compile(r"[\x1c-\x1f\x85᠎​⁠﻿]|<\|endoftext\|>")
+WHOLE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|<\|endoftext\|>")
 
 
 class Encoder:
-    """Texts to ids as bytes, with a bounded memory of chunks already encoded."""
+    """Texts to ids as bytes, with a bounded memory of chunks: a generation in use and the one before."""
 
-    def __init__(self, tokenizer_file: str, most: int = 300_000):
+    def __init__(self, tokenizer_file: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.dtype, self.most, self.known = f"<u{self.width}", most, {}
+        self.dtype, self.letter, self.most = f"<u{self.width}", "H" if self.width == 2 else "I", most
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.letter, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
         whole = [WHOLE.search(t) is not None for t in texts]
         chunks = [[] if w else CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
-        new = list({c for row in chunks for c in row if c not in known})
-        if len(known) + len(new) > self.most:
-            known = self.known = {}
-            new = list({c for row in chunks for c in row})
-        known.update(zip(new, self._encode(new), strict=True))
-        return [self._encode([t])[0] if w else b"".join([known[c] for c in row]) for t, w, row in zip(texts, whole, chunks, strict=True)]
+        all_ = set().union(*chunks)
+        new = all_ - self.known.keys()
+        if len(self.known) + len(new) > self.most:
+            self.before, self.known, new = self.known, {}, all_
+        old = new & self.before.keys()
+        self.known.update((c, self.before[c]) for c in old)
+        new = list(new - old)
+        self.known.update(zip(new, self._encode(new), strict=True))
+        get = self.known.__getitem__
+        return [self._encode([t])[0] if w else b"".join(map(get, row)) for t, w, row in zip(texts, whole, chunks, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
