@@ -305,6 +305,7 @@ def _compare_sketches(most: int):
             cut = rows if last else int(np.searchsorted(cols[0], cols[0][-1]))
             held, rows = [tuple(c[cut:] for c in cols)], rows - cut
             anchor, node, v0, v1, home = (c[:cut] for c in cols)
+            v0, v1 = v0.view(U64), v1.view(U64)  # counting bits takes signed values by their absolute
             if not cut:
                 return
             first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
