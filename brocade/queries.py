@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .constants import AXES, METHODS, SETTINGS
 from .functions import geometry, records as record_functions, text
-from .operators import joins, masks, order, summary, validate
+from .operators import audit, joins, masks, order, summary, validate
 from .plans import compare, judge, prepare
 from .sources.derived import DERIVED_SQL, cases, pixels, records, table
 
@@ -337,3 +337,88 @@ def judged_jobs(spark, sf_dir):
 @query()
 def method_comparison(spark, sf_dir):
     return compare.comparison(records(spark, sf_dir))
+
+
+_PLAN = """plan AS (SELECT l_orderkey AS eval_index, ['text_only','mask_annotation','box_annotation','point_annotation'][(l_partkey % 4) + 1] AS setting, l_suppkey % 3 AS model,
+ CAST(l_partkey % 5 AS DOUBLE) AS x1, CAST(l_suppkey % 4 AS DOUBLE) AS y1, CAST(l_linenumber AS DOUBLE) AS x2, CAST(3 AS DOUBLE) AS y2, CASE WHEN l_linenumber = 5 THEN ' ' ELSE 'hint' END AS hint FROM lineitem)"""
+
+
+@query(f"""WITH {_PLAN} SELECT model, count(*) AS scanned, count_if(x1 = 1 AND y1 = 2 AND x2 = 3 OR x1 = 0 AND y1 = 0 AND x2 = 4) AS records,
+ count(DISTINCT eval_index) FILTER (x1 = 1 AND y1 = 2 AND x2 = 3 OR x1 = 0 AND y1 = 0 AND x2 = 4) AS cases, count(DISTINCT (eval_index, setting)) FILTER (x1 = 1 AND y1 = 2 AND x2 = 3 OR x1 = 0 AND y1 = 0 AND x2 = 4) AS case_settings,
+ count_if(x2 > x1 AND y2 > y1 AND trim(hint) <> '') AS usable_regions FROM plan GROUP BY model""")
+def planner_audit(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    box = F.array((F.col("l_partkey") % 5).cast("double"), (F.col("l_suppkey") % 4).cast("double"), n.cast("double"), F.lit(3.0))
+    region = F.struct(box.alias("box"), F.when(n == 5, " ").otherwise("hint").alias("hint"))
+    rows = li.select(F.col("l_orderkey").alias("eval_index"), F.element_at(F.array(*[F.lit(s) for s in SETTINGS]), (F.col("l_partkey") % 4).cast("int") + 1).alias("setting"), (F.col("l_suppkey") % 3).alias("model"), F.array(region).alias("regions"))
+    return audit.planner_audit(rows, [(1, 2, 3, 3), (0, 0, 4, 3)], "model")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT eval_index) AS \"distinct\", min(eval_index) AS least, max(eval_index) AS greatest, count(*) = count(DISTINCT eval_index) AND min(eval_index) = 0 AND max(eval_index) = count(*) - 1 AS gap_free FROM cases")
+def index_check(spark, sf_dir):
+    return audit.index_gaps(cases(spark, sf_dir))
+
+
+_VALUES = "vals AS (SELECT l_suppkey AS mask, l_orderkey AS x, l_linenumber AS y, CASE l_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 255 ELSE CAST(l_partkey % 256 AS INT) END AS v FROM lineitem)"
+
+
+@query(f"WITH {_VALUES} SELECT mask, count_if(v NOT IN (0, 255)) = 0 AS only_binary, count_if(v = 255) > 0 AS has_region FROM vals GROUP BY mask")
+def binary_mask_assets(spark, sf_dir):
+    p = F.col("l_partkey")
+    v = F.when(p % 3 == 0, 0).when(p % 3 == 1, 255).otherwise((p % 256).cast("int"))
+    return audit.binary_assets(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("mask"), v.alias("v")))
+
+
+@query(f"WITH {_VALUES} SELECT mask, count_if(v >= 128) AS above, count_if(v < 128) AS below FROM vals GROUP BY mask HAVING count_if(v >= 128) > 0 AND count_if(v < 128) > 0")
+def mask_thresholds(spark, sf_dir):
+    p = F.col("l_partkey")
+    v = F.when(p % 3 == 0, 0).when(p % 3 == 1, 255).otherwise((p % 256).cast("int"))
+    values = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("mask"), F.col("l_orderkey").alias("x"), F.col("l_linenumber").alias("y"), v.alias("v"))
+    above = audit.thresholded(values).groupBy("mask").agg(F.count(F.lit(1)).alias("above"))
+    return above.join(audit.thresholded(values, inverted=True).groupBy("mask").agg(F.count(F.lit(1)).alias("below")), "mask")
+
+
+@query("SELECT mask, bx1, by1, bx2, by2, count_if(x >= 3 AND x < 31 AND y >= 5 AND y < 26) / (28 * 21.0) AS coverage FROM (SELECT mask, x, y, 3.5::DOUBLE AS bx1, 5.2::DOUBLE AS by1, 30.1::DOUBLE AS bx2, 25.5::DOUBLE AS by2 FROM pixels) GROUP BY ALL")
+def box_coverage(spark, sf_dir):
+    p = pixels(spark, sf_dir)
+    boxed = p.select("mask").distinct().select("mask", F.lit(3.5).alias("bx1"), F.lit(5.2).alias("by1"), F.lit(30.1).alias("bx2"), F.lit(25.5).alias("by2"))
+    return masks.coverage(p, boxed)
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_quantity) AS rank FROM lineitem) WHERE rank <= 2""")
+def top_candidates(spark, sf_dir):
+    tie = F.struct("l_partkey", "l_suppkey", "l_quantity").alias("tie")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("score"), tie)
+    return order.top_candidates(rows, "k", "score", "tie", 2).select("k", "n", "score", "rank")
+
+
+@query()
+def boxes_apart(spark, sf_dir):
+    """Per case the boxes, widest first, that overlap none kept before by 0.65, two at most."""
+    boxes = _boxes(spark, sf_dir).withColumn("w", F.element_at("box", 3) - F.element_at("box", 1))
+    listed = boxes.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "n", "box"))), lambda s: s["box"]).alias("boxes"))
+    return listed.select("k", F.size(order.greedy_apart(F.col("boxes"), geometry.box_iou, 2)).alias("kept"), F.size("boxes").alias("boxes"))
+
+
+@query("SELECT l_orderkey AS eval_index, CASE WHEN count(DISTINCT l_linenumber % 3) = 1 THEN ['add', 'remove', 'replace'][any_value(l_linenumber % 3) + 1] ELSE 'mixed' END AS operation FROM lineitem GROUP BY l_orderkey")
+def case_operations(spark, sf_dir):
+    first = F.element_at(F.array(F.lit("Add a hat"), F.lit(" remove it"), F.lit("Make it blue")), (F.col("l_linenumber") % 3) + 1)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("eval_index"), text.operation(first).alias("o"))
+    return rows.groupBy("eval_index").agg(text.aggregate_operation(F.collect_list("o")).alias("operation"))
+
+
+@query("SELECT p_partkey, 'Move the ' || p_name || ', and paint the ' || p_brand || '.' AS located, 'For {region_1}, move the ' || p_name || '. For {region_2}, paint the ' || p_brand || '.' AS regional FROM part")
+def clause_instructions(spark, sf_dir):
+    whole = F.concat(F.lit("move the "), "p_name", F.lit(", and lift it, AND turn it, and paint the "), "p_brand", F.lit(".,  and stop"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.clauses(whole).alias("c"))
+    picked = F.array(F.element_at("c", 1), F.element_at("c", 4))
+    return rows.select("p_partkey", text.location_instruction(F.col("c"), F.array(F.lit(1), F.lit(4))).alias("located"), text.region_instruction(picked).alias("regional"))
+
+
+@query("SELECT eval_index, line, list_sort(list_filter([CASE WHEN edit IS DISTINCT FROM 4 THEN 'edit' END, CASE WHEN quality IS DISTINCT FROM 3 THEN 'quality' END], lambda x: x IS NOT NULL))::VARCHAR AS differing FROM records")
+def score_disagreements(spark, sf_dir):
+    want = F.create_map(F.lit("edit"), F.lit(4), F.lit("quality"), F.lit(3))
+    have = F.create_map(F.lit("edit"), F.col("edit"), F.lit("quality"), F.col("quality"))
+    keys = F.array_sort(F.map_keys(summary.disagreements(want, have)))
+    return records(spark, sf_dir).select("eval_index", "line", F.concat(F.lit("["), F.array_join(keys, ", "), F.lit("]")).alias("differing"))
