@@ -27,14 +27,14 @@ def query(sql: str | None = None, name: str | None = None):
 
 def _rates(c: str, most: int = 7) -> str:
     v = f"(CASE WHEN status = 'missing_output' THEN false ELSE {c} END)"
-    yes, no, n = f"count_if({v})", f"count_if(NOT {v})", "count(*)"
+    yes, no, n = f"count(CASE WHEN {v} THEN 1 END)", f"count(CASE WHEN NOT {v} THEN 1 END)", "count(*)"
     parts = [f"{yes} AS {c}_success", f"{no} AS {c}_failure", f"{n} - {yes} - {no} AS {c}_unknown", f"({yes} + {no}) / {n} AS {c}_coverage", f"{yes} / nullif({yes} + {no}, 0) AS {c}_rate",
              f"{yes} / {n} AS {c}_lower", f"({n} - {no}) / {n} AS {c}_upper"]
     return ", ".join(parts[:most])
 
 
 def _axis(a: str) -> str:
-    return f"avg({a}) AS {a}_mean, count({a}) AS {a}_decidable, count(*) - count({a}) AS {a}_unknown, " + ", ".join(f"count_if({a} = {s}) AS {a}_{s}" for s in range(5))
+    return f"avg({a}) AS {a}_mean, count({a}) AS {a}_decidable, count(*) - count({a}) AS {a}_unknown, " + ", ".join(f"count(CASE WHEN {a} = {s} THEN 1 END) AS {a}_{s}" for s in range(5))
 
 
 SUMMARY_SQL = f"count(*) AS n, {_rates('all_edits_success')}, {_rates('strict_success')}, {', '.join(_axis(a) for a in AXES)}"
@@ -44,7 +44,7 @@ def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).join(cases(spark, sf_dir), "eval_index")
 
 
-@query(f"SELECT method, count(DISTINCT eval_index) AS cases, {SUMMARY_SQL}, list_position({list(METHODS)!r}, method) - 1 AS position FROM records GROUP BY method")
+@query(f"SELECT method, count(DISTINCT eval_index) AS cases, {SUMMARY_SQL}, CAST(list_position({list(METHODS)!r}, method) - 1 AS BIGINT) AS position FROM records GROUP BY method")
 def method_summary(spark, sf_dir):
     return summary.method_table(records(spark, sf_dir))
 
@@ -84,9 +84,9 @@ def bootstrap_intervals(spark, sf_dir):
     return summary.bootstrap(records(spark, sf_dir), "method")
 
 
-@query("""SELECT b.variant, count_if(a.status = 'ok' AND b.status = 'ok') AS paired, count_if(NOT (a.status = 'ok' AND b.status = 'ok')) AS unpaired,
- count_if(a.status = 'ok' AND b.status = 'ok' AND (a.edit IS DISTINCT FROM b.edit OR a.preservation IS DISTINCT FROM b.preservation OR a.quality IS DISTINCT FROM b.quality)) AS any_axis_changed,
- count_if(a.status = 'ok' AND b.status = 'ok' AND a.strict_success IS DISTINCT FROM b.strict_success) AS strict_changed
+@query("""SELECT b.variant, count(CASE WHEN a.status = 'ok' AND b.status = 'ok' THEN 1 END) AS paired, count(CASE WHEN NOT (a.status = 'ok' AND b.status = 'ok') THEN 1 END) AS unpaired,
+ count(CASE WHEN a.status = 'ok' AND b.status = 'ok' AND (a.edit IS DISTINCT FROM b.edit OR a.preservation IS DISTINCT FROM b.preservation OR a.quality IS DISTINCT FROM b.quality) THEN 1 END) AS any_axis_changed,
+ count(CASE WHEN a.status = 'ok' AND b.status = 'ok' AND a.strict_success IS DISTINCT FROM b.strict_success THEN 1 END) AS strict_changed
  FROM (SELECT * FROM records WHERE variant = 'r1' QUALIFY row_number() OVER (PARTITION BY eval_index, method, setting ORDER BY line) = 1) a
  JOIN (SELECT * FROM records WHERE variant <> 'r1' QUALIFY row_number() OVER (PARTITION BY eval_index, method, setting, variant ORDER BY line) = 1) b USING (eval_index, method, setting) GROUP BY b.variant""")
 def variant_stability(spark, sf_dir):
@@ -96,9 +96,9 @@ def variant_stability(spark, sf_dir):
 _EXPECTED = "(CASE WHEN eval_index % 3 = 0 THEN true WHEN eval_index % 3 = 1 THEN false END)"
 
 
-@query(f"""SELECT variant, split AS provenance, count(*) AS total, count({_EXPECTED}) AS binary_labeled, count_if({_EXPECTED} IS NOT NULL AND all_edits_success IS NULL) AS unresolved,
- count_if({_EXPECTED} AND all_edits_success) AS true_positive, count_if({_EXPECTED} AND NOT all_edits_success) AS false_negative, count_if(NOT {_EXPECTED} AND all_edits_success) AS false_positive,
- count_if(NOT {_EXPECTED} AND NOT all_edits_success) AS true_negative FROM records JOIN cases USING (eval_index) GROUP BY ALL""")
+@query(f"""SELECT variant, split AS provenance, count(*) AS total, count({_EXPECTED}) AS binary_labeled, count(CASE WHEN {_EXPECTED} IS NOT NULL AND all_edits_success IS NULL THEN 1 END) AS unresolved,
+ count(CASE WHEN {_EXPECTED} AND all_edits_success THEN 1 END) AS true_positive, count(CASE WHEN {_EXPECTED} AND NOT all_edits_success THEN 1 END) AS false_negative, count(CASE WHEN NOT {_EXPECTED} AND all_edits_success THEN 1 END) AS false_positive,
+ count(CASE WHEN NOT {_EXPECTED} AND NOT all_edits_success THEN 1 END) AS true_negative FROM records JOIN cases USING (eval_index) GROUP BY ALL""")
 def control_confusion(spark, sf_dir):
     e = F.when(F.col("eval_index") % 3 == 0, True).when(F.col("eval_index") % 3 == 1, False)
     return summary.control_counts(_full(spark, sf_dir), e, "variant", "split").withColumnRenamed("split", "provenance")
@@ -106,8 +106,8 @@ def control_confusion(spark, sf_dir):
 
 _U = "status = 'ok' AND edit IS NOT NULL AND preservation IS NOT NULL AND quality IS NOT NULL"
 _S = f"{_U} AND edit = 4 AND preservation >= 3 AND quality >= 3"
-_CASE = f"""SELECT eval_index, count(*) AS records, count_if({_U}) AS usable, avg(edit) FILTER ({_U}) AS edit_mean, max(edit) FILTER ({_U}) AS edit_max, count_if({_U} AND edit = 4) AS edit_successes, count_if({_S}) AS strict_successes,
- {', '.join(f"max(edit) FILTER ({_U} AND method = '{m}') AS best_{m}" for m in METHODS)}, {', '.join(f"count_if({_S} AND method = '{m}') AS strict_{m}" for m in METHODS)},
+_CASE = f"""SELECT eval_index, count(*) AS records, count(CASE WHEN {_U} THEN 1 END) AS usable, avg(edit) FILTER ({_U}) AS edit_mean, max(edit) FILTER ({_U}) AS edit_max, count(CASE WHEN {_U} AND edit = 4 THEN 1 END) AS edit_successes, count(CASE WHEN {_S} THEN 1 END) AS strict_successes,
+ {', '.join(f"max(edit) FILTER ({_U} AND method = '{m}') AS best_{m}" for m in METHODS)}, {', '.join(f"count(CASE WHEN {_S} AND method = '{m}' THEN 1 END) AS strict_{m}" for m in METHODS)},
  {', '.join(f"max(edit) FILTER ({_U} AND setting = '{s}') AS best_{s}" for s in SETTINGS)},
  count(DISTINCT method) FILTER ({_S}) AS strict_methods, count(DISTINCT setting) FILTER ({_S}) AS strict_settings,
  coalesce(string_agg(method || '/' || setting, ',' ORDER BY list_position({list(METHODS)!r}, method), list_position({list(SETTINGS)!r}, setting)) FILTER ({_S}), '') AS strict_outputs FROM records GROUP BY eval_index"""
@@ -228,7 +228,7 @@ def box_errors(spark, sf_dir):
     return _boxes(spark, sf_dir).select(F.col("k").alias("eval_index"), F.col("n").alias("line"), F.explode(validate.broken(rules)).alias("rule"))
 
 
-@query("SELECT count(*) AS total, count(DISTINCT case_id) AS unique_ids, count(DISTINCT source_dataset) AS sources, count_if(source_dataset <> 'POLYGON') AS \"references\", sum(region_count)::BIGINT AS regions, count_if(region_count > 1) AS multi_region FROM cases")
+@query("SELECT count(*) AS total, count(DISTINCT case_id) AS unique_ids, count(DISTINCT source_dataset) AS sources, count(CASE WHEN source_dataset <> 'POLYGON' THEN 1 END) AS \"references\", sum(region_count)::BIGINT AS regions, count(CASE WHEN region_count > 1 THEN 1 END) AS multi_region FROM cases")
 def validation_report(spark, sf_dir):
     return validate.report(cases(spark, sf_dir).withColumn("target", F.when(F.col("source_dataset") != "POLYGON", F.col("case_id"))))
 
@@ -238,7 +238,7 @@ def mask_boxes(spark, sf_dir):
     return masks.boxes(pixels(spark, sf_dir))
 
 
-@query("SELECT mask, count_if(a + b = 1) AS mismatched FROM (SELECT mask, x, y, max(a) AS a, max(b) AS b FROM (SELECT mask, x, y, 1 AS a, 0 AS b FROM pixels WHERE x > 3 UNION ALL SELECT mask, x, y, 0, 1 FROM pixels WHERE y > 2) GROUP BY ALL) GROUP BY mask")
+@query("SELECT mask, count(CASE WHEN a + b = 1 THEN 1 END) AS mismatched FROM (SELECT mask, x, y, max(a) AS a, max(b) AS b FROM (SELECT mask, x, y, 1 AS a, 0 AS b FROM pixels WHERE x > 3 UNION ALL SELECT mask, x, y, 0, 1 FROM pixels WHERE y > 2) GROUP BY ALL) GROUP BY mask")
 def mask_mismatches(spark, sf_dir):
     p = pixels(spark, sf_dir)
     return masks.difference(p.filter("x > 3"), p.filter("y > 2"))
@@ -315,7 +315,7 @@ def case_digests(spark, sf_dir):
     return cases(spark, sf_dir).select("eval_index", record_functions.digest(F.to_json(F.struct("eval_index", "case_id"))).alias("digest"))
 
 
-@query("""SELECT CASE WHEN l_linenumber > 4 THEN 'axis' WHEN l_linenumber = 4 THEN 'trailing' ELSE 'good' END AS reply, count(*) AS n, count_if(l_linenumber < 4) AS accepted, sum(CASE WHEN l_linenumber < 4 THEN l_linenumber END)::BIGINT AS edits FROM lineitem GROUP BY ALL""")
+@query("""SELECT CASE WHEN l_linenumber > 4 THEN 'axis' WHEN l_linenumber = 4 THEN 'trailing' ELSE 'good' END AS reply, count(*) AS n, count(CASE WHEN l_linenumber < 4 THEN 1 END) AS accepted, sum(CASE WHEN l_linenumber < 4 THEN l_linenumber END)::BIGINT AS edits FROM lineitem GROUP BY ALL""")
 def parsed_replies(spark, sf_dir):
     n = F.col("l_linenumber")
     kind = F.when(n > 4, "axis").when(n == 4, "trailing").otherwise("good")
@@ -343,9 +343,9 @@ _PLAN = """plan AS (SELECT l_orderkey AS eval_index, ['text_only','mask_annotati
  CAST(l_partkey % 5 AS DOUBLE) AS x1, CAST(l_suppkey % 4 AS DOUBLE) AS y1, CAST(l_linenumber AS DOUBLE) AS x2, CAST(3 AS DOUBLE) AS y2, CASE WHEN l_linenumber = 5 THEN ' ' ELSE 'hint' END AS hint FROM lineitem)"""
 
 
-@query(f"""WITH {_PLAN} SELECT model, count(*) AS scanned, count_if(x1 = 1 AND y1 = 2 AND x2 = 3 OR x1 = 0 AND y1 = 0 AND x2 = 4) AS records,
+@query(f"""WITH {_PLAN} SELECT model, count(*) AS scanned, count(CASE WHEN x1 = 1 AND y1 = 2 AND x2 = 3 OR x1 = 0 AND y1 = 0 AND x2 = 4 THEN 1 END) AS records,
  count(DISTINCT eval_index) FILTER (x1 = 1 AND y1 = 2 AND x2 = 3 OR x1 = 0 AND y1 = 0 AND x2 = 4) AS cases, count(DISTINCT (eval_index, setting)) FILTER (x1 = 1 AND y1 = 2 AND x2 = 3 OR x1 = 0 AND y1 = 0 AND x2 = 4) AS case_settings,
- count_if(x2 > x1 AND y2 > y1 AND trim(hint) <> '') AS usable_regions FROM plan GROUP BY model""")
+ count(CASE WHEN x2 > x1 AND y2 > y1 AND trim(hint) <> '' THEN 1 END) AS usable_regions FROM plan GROUP BY model""")
 def planner_audit(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     n = F.col("l_linenumber")
@@ -363,14 +363,14 @@ def index_check(spark, sf_dir):
 _VALUES = "vals AS (SELECT l_suppkey AS mask, l_orderkey AS x, l_linenumber AS y, CASE l_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 255 ELSE CAST(l_partkey % 256 AS INT) END AS v FROM lineitem)"
 
 
-@query(f"WITH {_VALUES} SELECT mask, count_if(v NOT IN (0, 255)) = 0 AS only_binary, count_if(v = 255) > 0 AS has_region FROM vals GROUP BY mask")
+@query(f"WITH {_VALUES} SELECT mask, count(CASE WHEN v NOT IN (0, 255) THEN 1 END) = 0 AS only_binary, count(CASE WHEN v = 255 THEN 1 END) > 0 AS has_region FROM vals GROUP BY mask")
 def binary_mask_assets(spark, sf_dir):
     p = F.col("l_partkey")
     v = F.when(p % 3 == 0, 0).when(p % 3 == 1, 255).otherwise((p % 256).cast("int"))
     return audit.binary_assets(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("mask"), v.alias("v")))
 
 
-@query(f"WITH {_VALUES} SELECT mask, count_if(v >= 128) AS above, count_if(v < 128) AS below FROM vals GROUP BY mask HAVING count_if(v >= 128) > 0 AND count_if(v < 128) > 0")
+@query(f"WITH {_VALUES} SELECT mask, count(CASE WHEN v >= 128 THEN 1 END) AS above, count(CASE WHEN v < 128 THEN 1 END) AS below FROM vals GROUP BY mask HAVING count(CASE WHEN v >= 128 THEN 1 END) > 0 AND count(CASE WHEN v < 128 THEN 1 END) > 0")
 def mask_thresholds(spark, sf_dir):
     p = F.col("l_partkey")
     v = F.when(p % 3 == 0, 0).when(p % 3 == 1, 255).otherwise((p % 256).cast("int"))
@@ -379,14 +379,14 @@ def mask_thresholds(spark, sf_dir):
     return above.join(audit.thresholded(values, inverted=True).groupBy("mask").agg(F.count(F.lit(1)).alias("below")), "mask")
 
 
-@query("SELECT mask, bx1, by1, bx2, by2, count_if(x >= 3 AND x < 31 AND y >= 5 AND y < 26) / (28 * 21.0) AS coverage FROM (SELECT mask, x, y, 3.5::DOUBLE AS bx1, 5.2::DOUBLE AS by1, 30.1::DOUBLE AS bx2, 25.5::DOUBLE AS by2 FROM pixels) GROUP BY ALL")
+@query("SELECT mask, bx1, by1, bx2, by2, count(CASE WHEN x >= 3 AND x < 31 AND y >= 5 AND y < 26 THEN 1 END) / (28 * 21.0) AS coverage FROM (SELECT mask, x, y, 3.5::DOUBLE AS bx1, 5.2::DOUBLE AS by1, 30.1::DOUBLE AS bx2, 25.5::DOUBLE AS by2 FROM pixels) GROUP BY ALL")
 def box_coverage(spark, sf_dir):
     p = pixels(spark, sf_dir)
     boxed = p.select("mask").distinct().select("mask", F.lit(3.5).alias("bx1"), F.lit(5.2).alias("by1"), F.lit(30.1).alias("bx2"), F.lit(25.5).alias("by2"))
     return masks.coverage(p, boxed)
 
 
-@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_quantity) AS rank FROM lineitem) WHERE rank <= 2""")
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_quantity) AS rank FROM lineitem) WHERE rank <= 2""")
 def top_candidates(spark, sf_dir):
     tie = F.struct("l_partkey", "l_suppkey", "l_quantity").alias("tie")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("score"), tie)
