@@ -89,4 +89,4 @@ def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "copy_no", "shuffle_key", "n_chars", "text")
 
 
-OP7_SQL = mix_sql("documents", f"doc_id, source, lang, copy_no, md5('{SEED}/order:' || copy_no || ':' || doc_id) AS shuffle_key, n_chars, text")
+OP7_SQL = mix_sql("documents", f"doc_id, source, lang, CAST(copy_no AS INT) AS copy_no, md5('{SEED}/order:' || copy_no || ':' || doc_id) AS shuffle_key, n_chars, text")
