@@ -23,7 +23,7 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import MASK, U64, map_rows, mix, shuffle_count
+from .common import MASK, U64, map_rows, mix, pieces, shuffle_count, texts
+from .words import BASE, BYTE, INVERSE, powers
 
 END_ID = 2
 assert sys.byteorder == "little"
@@ -41,15 +42,40 @@ BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 20
 
 # --- encoding -----------------------------------------------------------------------------------------------------
 
-#: Unicode white space. A chunk is a run of it, perhaps empty, with the run of other characters that follows, or with
-#: the letters that run begins with where an ASCII mark, a digit, white space or the end comes next. The byte-level
-#: pattern never joins characters before a white-space run to those in it, nor a letter to a mark or digit after it,
-#: so chunks are encoded apart.
-SPACE = r"\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-CHUNK = re.compile(rf"[{SPACE}]*[{LETTERS}]+(?=[!-@\[-`{{-~{SPACE}]|\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+\Z")
-#: Texts with characters on which engines differ about white space, or with a special token, are encoded whole.
-WHOLE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|<\|endoftext\|>")
+#: Texts with white space beyond ASCII, with characters on which engines differ about it, or with a special token, are
+#: encoded whole.
+WHOLE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\\|endoftext\\|>")
+SPACE, LETTER, MARK, LEAD, TAIL = 1, 2, 4, 8, 16
+
+
+def _kinds() -> np.ndarray:
+    kind = np.full(256, MARK, np.uint8)
+    kind[[*range(9, 14), 32]] = SPACE
+    kind[[*range(65, 91), *range(97, 123)]] = LETTER
+    kind[128:] = 0
+    kind[0xC3:0xCA] = LEAD  # of U+00C0 to U+027F, letters but for two signs
+    kind[0x80:0xC0] = TAIL
+    return kind
+
+
+KIND = _kinds()
+
+
+def chunks(buffer: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the chunks of texts that begin at `first` in a buffer of UTF-8.
+
+    A chunk begins where white space does, and where an ASCII mark or digit follows a letter: the byte-level pattern
+    joins neither with what stands before, so chunks can be encoded apart.
+    """
+    kind = KIND[buffer]
+    space = (kind & SPACE) > 0
+    letter = (kind & LETTER) > 0
+    letter[1:] |= ((kind[1:] & TAIL) > 0) & ((kind[:-1] & LEAD) > 0) & ~((buffer[:-1] == 0xC3) & ((buffer[1:] == 0x97) | (buffer[1:] == 0xB7)))
+    cut = np.zeros(len(buffer), bool)
+    cut[first] = True
+    cut[1:] |= (space[1:] & ~space[:-1]) | (((kind[1:] & MARK) > 0) & letter[:-1])
+    start = np.flatnonzero(cut)
+    return start, np.append(start[1:], len(buffer))
 
 
 class Encoder:
@@ -61,25 +87,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype, self.letter, self.most = f"<u{self.width}", "H" if self.width == 2 else "I", most
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.letter, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [WHOLE.search(t) is not None for t in texts]
-        chunks = [[] if w else CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
-        all_ = set().union(*chunks)
-        new = all_ - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.before, self.known, new = self.known, {}, all_
-        old = new & self.before.keys()
-        self.known.update((c, self.before[c]) for c in old)
-        new = list(new - old)
-        self.known.update(zip(new, self._encode(new), strict=True))
-        get = self.known.__getitem__
-        return [self._encode([t])[0] if w else b"".join(map(get, row)) for t, w, row in zip(texts, whole, chunks, strict=True)]
+    def _look_up(self, distinct: list[bytes]) -> list[bytes]:
+        if len(self.known) + len(distinct) > self.most:
+            self.before, self.known = self.known, {}
+        found = list(map(self.known.get, distinct))
+        open_ = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in open_:
+            if (x := self.before.get(distinct[i])) is None:
+                new.append(i)
+            else:
+                found[i] = self.known[distinct[i]] = x
+        for i, x in zip(new, self._encode([distinct[i].decode() for i in new]), strict=True):
+            found[i] = self.known[distinct[i]] = x
+        return found
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; a text is taken apart with all others, by way of the batch's distinct chunks."""
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if WHOLE.search(s := t.decode()):
+                out[i] = self._encode([s])[0]
+            elif t:
+                plain.append(i)
+        if not plain:
+            return out
+        raw = b"".join([texts[i] for i in plain])
+        buffer = np.frombuffer(raw, np.uint8)
+        size = np.array([len(texts[i]) for i in plain], np.int64)
+        first = np.cumsum(size) - size
+        start, end = chunks(buffer, first)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(buffer) + 1, U64)
+            np.cumsum(BYTE[buffer] * powers(BASE, len(buffer)), out=sums[1:])
+            h = (sums[end] - sums[start]) * powers(INVERSE, len(buffer))[start] + (end - start).astype(U64)
+        _, one, place = np.unique(h, return_index=True, return_inverse=True)
+        ids = self._look_up([raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
+        length = np.array([len(x) for x in ids], np.int64) // self.width
+        offset = np.cumsum(length) - length
+        stored = np.frombuffer(b"".join(ids), self.dtype)
+        n = length[place]
+        upto = np.cumsum(n)
+        tokens = stored[np.arange(upto[-1]) + np.repeat(offset[place] - upto + n, n)].tobytes()
+        edge = np.append(0, upto)[np.append(np.searchsorted(start, first), len(start))] * self.width
+        for i, a, b in zip(plain, edge.tolist(), edge[1:].tolist(), strict=False):
+            out[i] = tokens[a:b]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -189,9 +249,8 @@ def _blocks(tokenizer_file: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
-            text, key = batch.column("text"), batch.column("key").to_pylist()
-            for at in range(0, batch.num_rows, 256):
-                for k, x in zip(key[at : at + 256], encode([t or "" for t in text.slice(at, 256).to_pylist()]), strict=True):
+            for part in pieces(batch, "text", 1 << 20):
+                for k, x in zip(part.column("key").to_pylist(), encode(texts(part.column("text"))), strict=True):
                     keys.append(k)
                     ids.append(x + end)
                     size += len(x) // encode.width + 1
@@ -281,5 +340,3 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return read_ids(spark, path)
 
-
-Encode = Callable[[list[str]], list[bytes]]
