@@ -16,12 +16,16 @@ U64 = np.uint64
 MASK = (1 << 64) - 1
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is made only where the session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-settled-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-settled-")
+        _own_dirs[app] = where
     return where.rstrip("/")
 
 

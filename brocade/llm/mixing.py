@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_count
+from .common import settle, shuffle_count
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
@@ -39,15 +39,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     in proportion to its size to the power `temperature`. The expected size of the result is `total` documents, the
     number of the input's unless given.
     """
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = settle(docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n")))
     if weights is None:
         weighed = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else F.create_map().cast("map<string,double>")
         weighed = sizes.withColumn("w", F.coalesce(named[F.coalesce("source", F.lit(""))], F.lit(0.0)))
-    whole = weighed.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    rate = F.col("w") / F.col("all_w") * (F.lit(float(total)) if total is not None else F.col("all_n")) / F.col("n")
-    return weighed.crossJoin(F.broadcast(whole)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))  # one row
+    whole = weighed.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()  # one row
+    rate = F.try_divide(F.col("w"), F.lit(whole["w"])) * F.lit(float(total if total is not None else whole["n"] or 0)) / F.col("n")
+    return weighed.select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float | None = None, seed: str = SEED, key: str = "doc_id", source: str = "source") -> DataFrame:

@@ -205,6 +205,7 @@ def test_mixing(spark, docs, odd, none):
     assert {r["source"] for r in rate if r["rate"] > 0} == set(want)
     cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(900.0)).alias("c")).first()["c"]
     assert abs(sum(1 - c for c in cdf) - 900) < 1e-6
+    assert mixing.poisson_mix(docs, {"nowhere": 1.0}).count() == 0
     mixed = mixing.poisson_mix(odd)
     assert mixed.columns == [*odd.columns, "copy_no", "shuffle_key"] and mixing.poisson_mix(none).count() == 0
     n = Counter(r["doc_id"] for r in mixed.collect())
