@@ -317,11 +317,21 @@ def _compare_sketches(most: int):
                     x = at[k : k + step]
                     apart = np.bitwise_count(v0[x, None] ^ v0[i:j]).astype(np.int16)
                     apart += np.bitwise_count(v1[x, None] ^ v1[i:j])
-                    p, q = np.nonzero(apart <= most)
-                    u, v = node[x[p]], node[i + q]
-                    u, v = forest(u[u != v], v[u != v])
-                    a.append(u)
-                    b.append(v)
+                    near = apart <= most
+                    if np.count_nonzero(near) == len(x):  # each only to itself
+                        continue
+                    # the least home that each entry reaches within the block: a large group gives a star, not its pairs
+                    own, far = np.arange(len(x)), len(x)
+                    while True:
+                        there = np.where(near, own[:, None], far).min(axis=0)
+                        new = np.where(near, there[None, :], far).min(axis=1)
+                        if np.array_equal(new, own):
+                            break
+                        own = new
+                    q = np.flatnonzero(there < far)
+                    u, v = node[i + q], node[x[there[q]]]
+                    a.append(u[u != v])
+                    b.append(v[u != v])
                 if a:
                     u, v = forest(np.concatenate(a), np.concatenate(b))
                     if len(u):
