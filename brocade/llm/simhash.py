@@ -218,8 +218,10 @@ def simhash_groups(docs: DataFrame, width: int = 3, most: int = 2, key: str = "d
 
 # --- near copies of a stated similarity ---------------------------------------------------------------------------
 
-#: Bits of the anchor blocks and of the sketch that estimates similarity.
-TABLES, SKETCH = 4, 128
+#: Keys by which near copies meet, least values that a key joins, and bits of the sketch that drops far pairs.
+BANDS, LEAST, SKETCH = 20, 4, 128
+#: Sets of fewer shingles are compared without the sketch, whose majorities depend on single shingles there.
+SMALL = 10
 
 
 def bit_sums(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -262,92 +264,157 @@ def shingles(h: np.ndarray, doc: np.ndarray, rows: int, width: int) -> tuple[np.
     return out, first
 
 
+def once(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct value of each row once, ascending, and where rows begin."""
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    order = np.lexsort((h, row))
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.searchsorted(row[new], np.arange(len(first)))
+
+
+def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BANDS keys of each row: each joins the least values of LEAST hashes (MinHash), so rows share one with chance J**LEAST."""
+    out = np.empty((len(first), BANDS), U64)
+    with np.errstate(over="ignore"):
+        for t in range(BANDS):
+            key = np.full(len(first), U64(t))
+            for factor in mix(np.arange(LEAST, dtype=U64) + U64(1000 + t * LEAST)) | U64(1):
+                key = mix(key ^ np.minimum.reduceat(h * factor, first))
+            out[:, t] = key
+    return out
+
+
+def _shingle_sets(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of a batch's texts and where rows begin, with repeats and without."""
+    w = split([x.translate(CASE) for x in texts(part.column("text"))])
+    every, begin = shingles(hashes(w), w.doc, part.num_rows, width)
+    return every, begin, *once(every, begin)
+
+
+SKETCHED = [("node", pa.int64()), ("size", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64()), ("keys", pa.binary())]
+MET = [("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64())]
+
+
 def sketches(width: int):
-    kinds = [("node", pa.int64()), *[(f"c{i}", pa.int64()) for i in range(2)], *[(f"v{i}", pa.int64()) for i in range(2)]]
+    """Of each text: number of distinct shingles, sketch and keys."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in pieces(batch, "text", 1 << 20):
-            w = split([x.translate(CASE) for x in texts(part.column("text"))])
-            h, rows = hashes(w), part.num_rows
-            short, first2 = shingles(h, w.doc, rows, 2)
-            long, first5 = shingles(h, w.doc, rows, width)
-            columns = [majority(x, f) for g, f in ((short, first2), (long, first5)) for x in (g, mix(g))]
-            yield record(kinds, part.column("node").to_numpy(), *[c.view(np.int64) for c in columns])
+            every, begin, h, first = _shingle_sets(part, width)
+            v0, v1 = (majority(x, begin).view(np.int64) for x in (every, mix(every)))
+            keys = [k.tobytes() for k in band_keys(h, first)]
+            yield record(SKETCHED, part.column("node").to_numpy(), np.diff(np.append(first, len(h))), v0, v1, keys)
 
     return run
 
 
-def _send_blocks(reach: int):
-    """Each sketch to the anchors of its blocks: two 23-bit blocks of each of two fingerprints."""
-    kinds = [("anchor", pa.int64()), ("node", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64()), ("home", pa.bool_())]
-
+def shingle_sets(width: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 5_000):
-            part = batch.slice(at, 5_000)
-            c = [part.column(k).to_numpy().view(U64) for k in ("c0", "c1")]
-            node, v0, v1 = (part.column(k).to_numpy() for k in ("node", "v0", "v1"))
-            for t in range(TABLES):
-                block = ((c[t // 2] >> U64(LENGTH * (t % 2))) & U64((1 << LENGTH) - 1)).astype(np.int64)
-                row, code, excess = near_words(block, reach)
-                yield record(kinds, code | t << LENGTH, node[row], v0[row], v1[row], excess == 0)
+        for part in pieces(batch, "text", 1 << 20):
+            *_, h, first = _shingle_sets(part, width)
+            sets = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("node"), sets], names=["node", "shingles"])
 
     return run
 
 
-def _compare_sketches(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
+def _deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Each text to its keys."""
+    keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+    rest = [batch.column(k).to_numpy() for k in ("node", "size", "v0", "v1")]
+    for t in range(BANDS):
+        yield record(MET, keys[:, t], *rest)
 
-        def take(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            cut = rows if last else int(np.searchsorted(cols[0], cols[0][-1]))
-            held, rows = [tuple(c[cut:] for c in cols)], rows - cut
-            anchor, node, v0, v1, home = (c[:cut] for c in cols)
-            v0, v1 = v0.view(U64), v1.view(U64)  # counting bits takes signed values by their absolute
-            if not cut:
-                return
-            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            for i, j in zip(first.tolist(), np.append(first[1:], cut).tolist(), strict=True):
-                at = i + np.flatnonzero(home[i:j])
-                a, b = [], []
-                step = max(1, 1_000_000 // (j - i))
-                for k in range(0, len(at), step):  # blocks of homes against all that are at the anchor
-                    x = at[k : k + step]
-                    apart = np.bitwise_count(v0[x, None] ^ v0[i:j]).astype(np.int16)
-                    apart += np.bitwise_count(v1[x, None] ^ v1[i:j])
-                    near = apart <= most
-                    if np.count_nonzero(near) == len(x):  # each only to itself
-                        continue
-                    # the least home that each entry reaches within the block: a large group gives a star, not its pairs
-                    own, far = np.arange(len(x)), len(x)
-                    while True:
-                        there = np.where(near, own[:, None], far).min(axis=0)
-                        new = np.where(near, there[None, :], far).min(axis=1)
-                        if np.array_equal(new, own):
-                            break
-                        own = new
-                    q = np.flatnonzero(there < far)
-                    u, v = node[i + q], node[x[there[q]]]
-                    a.append(u[u != v])
-                    b.append(v[u != v])
-                if a:
-                    u, v = forest(np.concatenate(a), np.concatenate(b))
-                    if len(u):
-                        yield record(EDGE, u, v)
 
+def _whole_keys(fn):
+    """mapInArrow of a function of columns; entries come sorted by the first, those of one value stay together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, most = [], 0, 200_000
         for batch in batches:
-            held.append((*(batch.column(i).to_numpy() for i in range(3)), batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)))
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             rows += batch.num_rows
-            if rows >= 100_000:
-                yield from take(False)
+            if rows >= most:
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))
+                held, rows = [[c[cut:] for c in cols]], rows - cut
+                most = max(200_000, 2 * rows)
+                if cut:
+                    yield from fn(*(c[:cut] for c in cols))
         if rows:
-            yield from take(True)
+            yield from fn(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
+def _alike(size: np.ndarray, v0: np.ndarray, v1: np.ndarray, similarity: float):
+    """Whether entries i and j may be that similar: by their sizes, surely, and by a sketch too far apart for all but one in 10,000."""
+    most = loose_bits(similarity)
+    v0, v1 = v0.view(U64), v1.view(U64)  # counting bits takes signed values by their absolute
+
+    def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        more = np.maximum(size[i], size[j])
+        apart = np.bitwise_count(v0[i] ^ v0[j]).astype(np.int16) + np.bitwise_count(v1[i] ^ v1[j])
+        return (np.minimum(size[i], size[j]) / more >= similarity) & ((apart <= most) | (more < SMALL))
+
+    return test
+
+
+def _begins(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return first, np.diff(np.append(first, len(key)))
+
+
+def _lead(similarity: float):
+    """Entries of keys with several texts, the first text of each, and whether the two are to be compared."""
+    kinds = [*MET, ("leader", pa.int64()), ("near", pa.bool_())]
+
+    def run(key, node, size, v0, v1) -> Iterator[pa.RecordBatch]:
+        first, n = _begins(key)
+        lead = np.repeat(first, n)
+        alike = _alike(size, v0, v1, similarity)
+        shared = np.flatnonzero(np.repeat(n > 1, n))
+        for at in range(0, len(shared), 50_000):
+            i = shared[at : at + 50_000]
+            j = lead[i]
+            yield record(kinds, key[i], node[i], size[i], v0[i], v1[i], node[j], (i != j) & alike(i, j))
+
+    return _whole_keys(run)
+
+
+def _cross(similarity: float):
+    """Pairs of one key to be compared that the leaders' comparison left in different groups; a leader's own are done."""
+
+    def run(key, node, size, v0, v1, leader, root) -> Iterator[pa.RecordBatch]:
+        first, n = _begins(key)
+        mixed = np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first)
+        alike = _alike(size, v0, v1, similarity)
+        for at, many in zip(first[mixed].tolist(), n[mixed].tolist(), strict=True):
+            own = at + np.flatnonzero(node[at : at + many] != leader[at])
+            step = max(1, 1_000_000 // max(1, len(own)))
+            for k in range(0, len(own), step):
+                i, j = np.meshgrid(own[k : k + step], own[k:], indexing="ij")
+                i, j = i.ravel(), j.ravel()
+                open_ = (i < j) & (root[i] != root[j])
+                i, j = i[open_], j[open_]
+                near = alike(i, j)
+                a, b = node[i[near]], node[j[near]]
+                if len(a):
+                    yield record(EDGE, np.minimum(a, b), np.maximum(a, b))
+
+    return _whole_keys(run)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have that Jaccard similarity."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, "a").join(other, "b").filter(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
+
+
 def bits_apart(similarity: float, bits: int = SKETCH) -> int:
     """Bits that sketches of two shingle sets of that Jaccard similarity differ in, rounded up: half the angle's share, by cosine 2J / (1 + J)."""
     from math import acos, ceil, pi
@@ -355,21 +422,36 @@ def bits_apart(similarity: float, bits: int = SKETCH) -> int:
     return ceil(bits * acos(2 * similarity / (1 + similarity)) / pi)
 
 
+def loose_bits(similarity: float, bits: int = SKETCH) -> int:
+    """Bits that sketches at that similarity hardly ever exceed: four standard deviations over the mean."""
+    from math import acos, floor, pi
+
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return floor(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(node, root) of every distinct text with a near copy: node is xxhash64 of the text, null as empty.
 
-    A 128-bit SimHash over word shingles of `width` (A-Z lower-cased, repeats included) estimates the similarity; pairs
-    to be compared share an anchor of one of four 23-bit blocks of a SimHash over word pairs, within two bits. A text
-    of fewer words is one shingle. The estimate has a spread of about 0.03 and so has the cut.
+    Near copies are texts whose sets of word shingles of `width` (A-Z lower-cased) have that Jaccard similarity. Pairs
+    share one of BANDS MinHash keys, which misses one pair at 0.8 in some 38,000; sizes and a 128-bit SimHash drop far ones;
+    the others are compared exactly. First every text is compared with the first one of its keys; then, of each key,
+    pairs that are not in one group by then. A text of fewer words is one shingle.
     """
     n = shuffle_count(docs.sparkSession)
     given = docs.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    kinds = "node long, c0 long, c1 long, v0 long, v1 long"
-    rows = settle(map_rows(given, sketches(width), kinds))
-    classes = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("c0", "c1", "v0", "v1")])
-    sent = map_rows(classes, _send_blocks(2), "anchor long, node long, v0 long, v1 long, home boolean")
-    edges = sent.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare_sketches(bits_apart(similarity)), "a long, b long")
-    return components(edges)
+    rows = settle(map_rows(given, sketches(width), "node long, size long, v0 long, v1 long, keys binary"))
+    classes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "v0", "v1", "keys")])
+    met = "key long, node long, size long, v0 long, v1 long"
+    dealt = map_rows(classes, _deal, met).repartition(n, "key").sortWithinPartitions("key", "node")
+    shared = settle(dealt.mapInArrow(_lead(similarity), f"{met}, leader long, near boolean"))
+    needed = given.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = settle(map_rows(needed, shingle_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    stars = similar(shared.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets, similarity)
+    groups = components(stars)
+    entries = shared.join(groups, "node", "left").select("key", "node", "size", "v0", "v1", "leader", F.coalesce("root", "node").alias("root"))
+    apart = entries.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_cross(similarity), "a long, b long").distinct()
+    return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(apart, sets, similarity)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -152,6 +152,50 @@ def test_near_copies(spark, docs, odd, none):
     assert simhash.bits_apart(1.0) == 0 and 18 <= simhash.bits_apart(0.8) <= 21
 
 
+def five(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def groups_of(rows, at=0.8):
+    """Components of pairs with that similarity of five-word shingles, each as the set of its places."""
+    sets = [five(t) for t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) / len(x | y) >= at:
+                up[find(i)] = find(j)
+    return {frozenset(j for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))}
+
+
+def found_groups(spark, rows):
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    of = {r["node"]: r["root"] for r in simhash.near_copies(df).collect()}
+    node = {r["doc_id"]: r["n"] for r in df.select("doc_id", F.xxhash64("text").alias("n")).collect()}
+    return {frozenset(j for j in node if of.get(node[j], node[j]) == of.get(node[i], node[i])) for i in node}
+
+
+def test_near_copies_exact(spark):
+    # scattered edits, with similarities from 0.7 to 0.9: links are those of the exact similarity, not of an estimate
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        v = list(w)
+        for k in rng.choice(300, int(rng.integers(3, 12)), replace=False):
+            v[k] = "new"
+        rows += [" ".join(w), " ".join(v)]
+    near = [len(five(a) & five(b)) / len(five(a) | five(b)) for a, b in zip(rows[::2], rows[1::2])]
+    assert sum(0.7 <= x < 0.8 for x in near) > 20 and sum(0.8 <= x < 0.9 for x in near) > 20
+    assert found_groups(spark, rows) == groups_of(rows)
+
+
 def test_embeddings(spark, none):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(40, 16))
