@@ -196,6 +196,18 @@ def test_near_copies_exact(spark):
     assert found_groups(spark, rows) == groups_of(rows)
 
 
+def test_near_copies_blocks(spark):
+    # one paragraph replaced or dropped
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in range(200):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        k, at = int(rng.integers(24, 30)) if n % 2 else int(rng.integers(48, 58)), int(rng.integers(20, 200))
+        rows += [" ".join(w), " ".join(w[:at] + [f"v{x}" for x in rng.integers(0, 10**6, k if n % 2 else 0)] + w[at + k :])]
+    want = groups_of(rows)
+    assert sum(len(g) == 2 for g in want) > 100 and found_groups(spark, rows) == want
+
+
 def test_embeddings(spark, none):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(40, 16))
