@@ -286,11 +286,10 @@ def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shingle_sets(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of a batch's texts and where rows begin, with repeats and without."""
+def _shingle_sets(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a batch's texts and where rows begin."""
     w = split([x.translate(CASE) for x in texts(part.column("text"))])
-    every, begin = shingles(hashes(w), w.doc, part.num_rows, width)
-    return every, begin, *once(every, begin)
+    return once(*shingles(hashes(w), w.doc, part.num_rows, width))
 
 
 SKETCHED = [("node", pa.int64()), ("size", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64()), ("keys", pa.binary())]
@@ -302,8 +301,8 @@ def sketches(width: int):
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in pieces(batch, "text", 1 << 20):
-            every, begin, h, first = _shingle_sets(part, width)
-            v0, v1 = (majority(x, begin).view(np.int64) for x in (every, mix(every)))
+            h, first = _shingle_sets(part, width)
+            v0, v1 = (majority(x, first).view(np.int64) for x in (h, mix(h)))
             keys = [k.tobytes() for k in band_keys(h, first)]
             yield record(SKETCHED, part.column("node").to_numpy(), np.diff(np.append(first, len(h))), v0, v1, keys)
 
@@ -313,7 +312,7 @@ def sketches(width: int):
 def shingle_sets(width: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in pieces(batch, "text", 1 << 20):
-            *_, h, first = _shingle_sets(part, width)
+            h, first = _shingle_sets(part, width)
             sets = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("node"), sets], names=["node", "shingles"])
 
@@ -434,7 +433,8 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     """(node, root) of every distinct text with a near copy: node is xxhash64 of the text, null as empty.
 
     Near copies are texts whose sets of word shingles of `width` (A-Z lower-cased) have that Jaccard similarity. Pairs
-    share one of BANDS MinHash keys, which misses one pair at 0.8 in some 38,000; sizes and a 128-bit SimHash drop far ones;
+    share one of BANDS MinHash keys, which misses one pair at 0.8 in some 38,000; sizes and a 128-bit SimHash of
+    the distinct shingles drop far ones;
     the others are compared exactly. First every text is compared with the first one of its keys; then, of each key,
     pairs that are not in one group by then. A text of fewer words is one shingle.
     """

@@ -208,6 +208,24 @@ def test_near_copies_blocks(spark):
     assert sum(len(g) == 2 for g in want) > 100 and found_groups(spark, rows) == want
 
 
+def test_near_copies_repeats(spark):
+    # distinct texts with one line many times, and near copies of texts that repeat themselves
+    rng = np.random.default_rng(13)
+    line = " ".join(f"line{i}" for i in range(10))
+    rows = []
+    for _ in range(40):
+        own = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 150)) for _ in range(2)]
+        rows.append(own[0] + f" {line}" * 30 + " " + own[1])
+    for i in range(20):
+        w = [f"r{i}x{x}" for x in range(100)]
+        rows += [" ".join(w + w[:10] * 20), " ".join(w + w[:10] * 3)]
+    want = groups_of(rows)
+    assert sum(len(g) == 2 for g in want) == 20 and found_groups(spark, rows) == want
+    node = spark.createDataFrame([(t,) for t in rows[:2]], "text string").withColumn("node", F.lit(0).cast("long")).toArrow().to_batches()
+    sketch = [r for b in node for part in simhash.sketches(5)(b) for r in part.to_pylist()]
+    assert sum(((sketch[0][v] ^ sketch[1][v]) & (2**64 - 1)).bit_count() for v in ("v0", "v1")) > simhash.loose_bits(0.8)
+
+
 def test_embeddings(spark, none):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(40, 16))
