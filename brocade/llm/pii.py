@@ -67,7 +67,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "@" in text:
         out += [(a, 0, b) for a, b in emails(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m.group().split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := DIGITS.sub("", m.group())) <= 19 and luhn(d):
             out.append((m.start(), 2, m.end()))
@@ -172,7 +172,7 @@ class Field:
         before = shapes[i - 1] if i else "^"
         word = tokens[i].group().lower() if tokens[i].group().lower() in KEYWORDS else ""
         check = luhn(digits) if 14 <= len(digits) <= 19 else False
-        octets = span.count(".") == 3 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in span.split("."))
+        octets = span.count(".") == 3 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in span.split("."))
         key = (tuple(shapes[i:j]), before, shapes[j] if j < len(tokens) else "$", word, check, octets)
         got = self.known.get(key)
         if got is None:

@@ -79,6 +79,15 @@ def test_pii_odd_rows(odd, none):
     assert got[7]["n_phone"] == 120 and pii.personal_data(none, model).count() == 0
 
 
+def test_pii_odd_digits():
+    model = pii.train([])
+    many = "0" * 5000 + "1.2.3.4"
+    for t in ("see 1.2.3.4² or ①.2.3.4 there", many, "1.2.3.4²"):
+        base, _ = pii.find_spans(t, model)
+        assert base == pii.base_spans(t) and base
+        assert isinstance(model.decode(t), list) and isinstance(model.decode("v 1.2.3.²4"), list)
+
+
 def test_repeats(spark, docs, odd, none):
     mixed = docs.select("doc_id", "text").union(odd.filter("doc_id <> 5").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
     want = passages.brute_force([(r["doc_id"], r["text"]) for r in mixed.collect()])
