@@ -227,25 +227,30 @@ def find(key: int, seeds: np.ndarray, slots: np.ndarray, prints: np.ndarray) ->
 
 # --- files --------------------------------------------------------------------------------------------------------
 
-BLOCK = "shard long, block long, start long, keys binary, ends binary, payload binary, width int, seeds binary, slots binary, prints binary, low long, high long"
+BLOCK = "shard long, block long, start long, keys binary, keyless binary, ends binary, payload binary, width int, seeds binary, slots binary, prints binary, low long, high long"
 
 
 def _blocks(tokenizer_file: str, end_id: int):
     names = [x.split()[0] for x in BLOCK.split(", ")]
-    kinds = [pa.int64()] * 3 + [pa.binary()] * 3 + [pa.int32()] + [pa.binary()] * 3 + [pa.int64()] * 2
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 4 + [pa.int32()] + [pa.binary()] * 3 + [pa.int64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_file)
         end = np.array([end_id], encode.dtype).tobytes()
         shard, block, start = TaskContext.get().partitionId(), 0, 0
-        keys: list[int] = []
+        keys: list[int | None] = []
         ids: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            k = np.array(keys, "<i8")
+            k = np.array([x or 0 for x in keys], "<i8")
+            has = np.flatnonzero([x is not None for x in keys])
+            low, high = (int(k[has].min()), int(k[has].max())) if len(has) else (None, None)
+            seeds, slots, prints = build_index(k[has])
+            index = [x.tobytes() for x in (seeds, has[slots].astype("<u4"), prints)]
+            keyless = np.packbits([x is None for x in keys]).tobytes() if len(has) < len(keys) else b""
             ends = np.cumsum([len(x) for x in ids], dtype="<i8") // encode.width
-            row = [shard, block, start, k.tobytes(), ends.tobytes(), b"".join(ids), encode.width, *(x.tobytes() for x in build_index(k)), int(k.min()), int(k.max())]
+            row = [shard, block, start, k.tobytes(), keyless, ends.tobytes(), b"".join(ids), encode.width, *index, low, high]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -263,16 +268,20 @@ def _blocks(tokenizer_file: str, end_id: int):
     return run
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_file: str, key: str = "doc_id", text: str = "text", order: list[Column] | None = None, end_id: int = END_ID) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer_file: str, key: str = "doc_id", text: str = "text", order: list[Column] | None = None, end_id: int = END_ID, keyless: bool = False) -> None:
     """Encode whole texts and write them as blocks in ascending order of `order` (the key unless given).
 
-    Null text is empty: it has the end id alone. Rows with a null key can't be addressed and raise an error. Rows of
-    equal key all keep their ids, in order of their text; the index names the first of a block. An empty table
-    gives a table without blocks. Texts are moved once, to the range of their key.
+    Null text is empty: it has the end id alone. Rows with a null key can't be addressed: with `keyless` they keep their
+    ids, after all others in order of key, and are read with a null doc_id but not found by the index; without it
+    they raise an error. Rows of equal key all keep their ids, in order of their text; the index names the first of a
+    block. An empty table gives a table without blocks. Texts are moved once, to the range of their key.
     """
-    given = docs.select(F.coalesce(F.col(key).cast("long"), F.raise_error(F.lit("a document without a key can't be indexed")).cast("long")).alias("key"), F.col(text).alias("text"), *[c.alias(f"order{i}") for i, c in enumerate(order or [])])
-    by = [f"order{i}" for i in range(len(order or []))] or ["key"]
-    dealt = given.repartitionByRange(shuffle_count(docs.sparkSession), *by).sortWithinPartitions(*by, "key", "text").select("key", "text")
+    known = F.col(key).cast("long")
+    if not keyless:
+        known = F.coalesce(known, F.raise_error(F.lit("a document without a key can't be indexed")).cast("long"))
+    given = docs.select(known.alias("key"), F.col(text).alias("text"), *[c.alias(f"order{i}") for i, c in enumerate(order or [])])
+    by = [F.col(f"order{i}") for i in range(len(order or []))] or [F.col("key").asc_nulls_last()]
+    dealt = given.repartitionByRange(shuffle_count(docs.sparkSession), *by).sortWithinPartitions(*by, F.col("key").asc_nulls_last(), "text").select("key", "text")
     dealt.mapInArrow(_blocks(tokenizer_file, end_id), BLOCK).write.option("compression", "zstd").parquet(path)
 
 
@@ -287,17 +296,18 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def _documents(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for i in range(batch.num_rows):
-        row = {k: batch.column(k)[i].as_py() for k in ("keys", "ends", "payload", "width", "start", "base")}
+        row = {k: batch.column(k)[i].as_py() for k in ("keys", "keyless", "ends", "payload", "width", "start", "base")}
         keys, ends = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["ends"], "<i8")
         raw = memoryview(np.frombuffer(row["payload"], f"<u{row['width']}").astype("<u4").tobytes())
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts + row["start"] + row["base"], ends - starts, crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        none = np.unpackbits(np.frombuffer(row["keyless"], np.uint8), count=len(keys)).astype(bool) if row["keyless"] else None
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=none), *(pa.array(x, pa.int64()) for x in (starts + row["start"] + row["base"], ends - starts, crc))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a written table: doc_id, start (ids of all documents before it), n_tokens and ids_crc32."""
-    return map_rows(read_blocks(spark, path).select("keys", "ends", "payload", "width", "start", "base"), _documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_rows(read_blocks(spark, path).select("keys", "keyless", "ends", "payload", "width", "start", "base"), _documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
@@ -337,6 +347,6 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import shared_dir, table
 
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path(), keyless=True)
     return read_ids(spark, path)
 

@@ -375,6 +375,23 @@ def test_token_ids(spark, docs, odd, tmp_path):
         tokens.write_ids(odd.withColumn("doc_id", F.lit(None).cast("long")), str(tmp_path / "bad"), tokens.tokenizer_path())
 
 
+def test_token_ids_without_keys(spark, tmp_path):
+    rows = [(None, "b"), (3, "a"), (None, None), (1, "c d"), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, order in (("key", None), ("shuffled", [F.md5(F.coalesce("text", F.lit("")))])):
+        path = str(tmp_path / name)
+        tokens.write_ids(df.coalesce(1), path, tokens.tokenizer_path(), order=order, keyless=True)
+        got = sorted(tokens.read_ids(spark, path).collect(), key=lambda r: r["start"])
+        assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+        assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+        if not order:
+            assert [r["doc_id"] for r in got] == [1, 3, None, None, None]
+        assert {r["key"]: len(r["ids"]) for r in tokens.lookup(spark, path, [0, 1, 3]).collect()} == {r["doc_id"]: r["n_tokens"] for r in got if r["doc_id"]}
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert tokens.op10_token_ids(spark, str(tmp_path)).filter("doc_id is null").count() == 3
+    assert corpus_pipeline.encode(spark, df, "").filter("doc_id is null").count() == 3
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 4096])
 def test_perfect_hash(n):
     keys = np.arange(n) * 37 - 5
