@@ -406,10 +406,20 @@ def _cross(similarity: float):
     return _whole_keys(run)
 
 
+#: Shingles of all sets that may be broadcast (16 MB); beyond, pairs and sets are shuffled.
+BROADCAST = 1 << 21
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have that Jaccard similarity."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    """Those of the settled pairs (a, b) whose shingle sets have that Jaccard similarity.
+
+    A group of many texts just below it has a great many pairs of few sets: those sets aren't sent once a pair.
+    """
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = sets.join(ends, "node", "left_semi")
+    if (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST:
+        sets = F.broadcast(sets)
+    one, other = (sets.select(F.col("node").alias(a), F.col("shingles").alias(x)) for a, x in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(one, "a").join(other, "b").filter(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
 
@@ -447,10 +457,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     shared = settle(dealt.mapInArrow(_lead(similarity), f"{met}, leader long, near boolean"))
     needed = given.join(shared.select("node").distinct(), "node", "left_semi")
     sets = settle(map_rows(needed, shingle_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    stars = similar(shared.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets, similarity)
+    stars = similar(settle(shared.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()), sets, similarity)
     groups = components(stars)
     entries = shared.join(groups, "node", "left").select("key", "node", "size", "v0", "v1", "leader", F.coalesce("root", "node").alias("root"))
-    apart = entries.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_cross(similarity), "a long, b long").distinct()
+    apart = settle(entries.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_cross(similarity), "a long, b long").distinct())
     return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(apart, sets, similarity)))
 
 
