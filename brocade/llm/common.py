@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 MASK = (1 << 64) - 1
@@ -20,15 +21,27 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. In local mode one is made where it is unset; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        where = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-settled-")
+        where = _own_dirs.get(app) or tempfile.mkdtemp(prefix="spark-settled-")
         _own_dirs[app] = where
     return where.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at.getParent())
+    files.deleteOnExit(at)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, so that later failures don't recompute what led to it.
 
@@ -36,15 +49,48 @@ def settle(df: DataFrame) -> DataFrame:
     found unused, so the collector is asked to run.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    path = shared_path(spark, "settled")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
     del df
     gc.collect()
     spark._jvm.System.gc()
     return out
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for t in tables:
+        spark, path = t.sparkSession, t.settled_at
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drawn(rows: DataFrame, most: int, *key: Column, n: int | None = None) -> DataFrame:
+    """A sample of the rows, those whose key hash h lies below a threshold set from their number; rows of equal key count once.
+
+    No row is ranked against others, so a task passes on only its own share of the sample, whatever the size of the
+    table. `most` is the expected size if all keys differ; the real one is binomial about it, and less if keys repeat.
+    """
+    n = rows.count() if n is None else n
+    hashed = rows.withColumn("h", F.xxhash64(*key))
+    return hashed.filter(hash_share("h") < most / max(n, 1)).dropDuplicates(["h"])
+
+
+def hash_share(h: str) -> Column:
+    """A signed 64-bit hash as a number from 0 to 1."""
+    return F.shiftrightunsigned(h, 12).cast("double") / F.lit(float(1 << 52))
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """The name, or the name with underscores after it, that is no column of the tables in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,7 +99,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow for a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +218,16 @@ def components(edges: DataFrame) -> DataFrame:
         pa_, pb_ = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
         on = left.join(pa_, "a").join(pb_, "b").filter("x <> y")
         on = on.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        left = settle(on.mapInArrow(_local_forest, "a long, b long"))
+        before, left = left, settle(on.mapInArrow(_local_forest, "a long, b long"))
+        forget(before)
+    forget(left)
     if not rounds:
         return edges.sparkSession.createDataFrame([], "node long, root long")
     found = rounds[-1].select("node", F.col("up").alias("root"))
+    last = rounds[-1]
     for up in reversed(rounds[:-1]):
         later = found.select(F.col("node").alias("up"), "root")
         found = settle(up.join(later, "up", "left").select("node", F.coalesce("root", "up").alias("root")))
+        forget(up, last)
+        last = found
     return found

@@ -8,7 +8,10 @@ bit-parallel distance, and the match counts when the whole item is within the bu
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,15 +79,24 @@ class Item:
                 got[c] = got.get(c, 0) | 1 << i
         return got
 
-    def verify(self, text: str, j: int, at: int) -> tuple[int, int] | None:
-        """(distance, end) of the item in text if piece j, found at `at`, belongs to a match within the budget."""
+    def verify(self, text: str, j: int, at: int, seen: dict) -> tuple[int, int] | None:
+        """(distance, end) of the item in text if piece j, found at `at`, belongs to a match within the budget.
+
+        What a part gives depends on its diagonal only; `seen` keeps it for the other pieces that hit there.
+        """
+        diagonal = at - self.cuts[j]
         best, end = 0, at + self.cuts[j + 1] - self.cuts[j]
         for a, b, most in self.above[j]:
-            begin = max(0, at - (self.cuts[j] - a) - most)
-            best, end = myers(self.mask(a, b), b - a, text[begin : at + (b - self.cuts[j]) + most], most)
+            got = seen.get((diagonal, a, b))
+            if got is None:
+                begin = max(0, diagonal + a - most)
+                best, end = myers(self.mask(a, b), b - a, text[begin : diagonal + b + most], most)
+                if len(seen) > 10_000:
+                    seen.clear()
+                got = seen[diagonal, a, b] = best, end + begin
+            best, end = got
             if best > most:
                 return None
-            end += begin
         return best, end
 
 
@@ -105,25 +117,60 @@ def compile_items(items: list[tuple[int, str]], rate: float):
 def matches(text: str, automaton, compiled) -> dict[int, tuple[int, int]]:
     """For each item within its budget in a normalised text: least distance and the first end it is reached at."""
     found: dict[int, tuple[int, int]] = {}
+    seen: defaultdict[int, dict] = defaultdict(dict)
     for end, (size, where) in automaton.iter(text):
         for n, j in where:
             got = found.get(n)
             if got is not None and got[0] == 0:
                 continue
-            hit = compiled[n][1].verify(text, j, end - size + 1)
+            hit = compiled[n][1].verify(text, j, end - size + 1, seen[n])
             if hit is not None and (got is None or hit < got):
                 found[n] = hit
     return found
 
 
-def _search(sent, rate: float):
-    kinds = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("stop", pa.int64())]
+def holds_any(text: str, automaton, compiled) -> bool:
+    """Whether a normalised text holds any item within its budget."""
+    seen: defaultdict[int, dict] = defaultdict(dict)
+    return any(compiled[n][1].verify(text, j, end - size + 1, seen[n]) is not None for end, (size, where) in automaton.iter(text) for n, j in where)
+
+
+class Sent:
+    """A broadcast block of items, compiled once in each Python worker."""
+
     ready: dict = {}
 
+    def __init__(self, block, rate: float):
+        self.name, self.block, self.rate = uuid.uuid4().hex, block, rate
+
+    def __call__(self):
+        if self.name not in Sent.ready:
+            Sent.ready.clear()
+            Sent.ready[self.name] = compile_items(self.block.value, self.rate)
+        return Sent.ready[self.name]
+
+
+def blocks_of(benchmark: DataFrame, rate: float, item: str, item_text: str) -> Iterator[Sent]:
+    """The items with their normalised texts, broadcast in blocks of about BLOCK_CHARS characters; blank ones are left out."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).filter(F.trim(F.coalesce("t", F.lit(""))) != "")
+    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = -(-chars // BLOCK_CHARS)
+    for b in range(blocks):
+        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
+        rows = [(r["i"], n) for r in own.collect() if (n := normal(r["t"]))]
+        if rows:
+            yield Sent(spark.sparkContext.broadcast(rows), rate)
+
+
+FOUND = "key long, item_id long, distance int, stop long"
+
+
+def _search(block: Sent):
+    kinds = [("key", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("stop", pa.int64())]
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if "it" not in ready:
-            ready["it"] = compile_items(sent.value, rate)
-        automaton, compiled = ready["it"]
+        automaton, compiled = block()
         out: tuple[list, list, list, list] = ([], [], [], [])
         for doc, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if not text:
@@ -141,29 +188,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: str =
 
     Both texts are compared in lower case with white space collapsed; distance is the least over the whole text and
     stop the first place in the collapsed text where such a match ends. Null and empty items and texts match nothing.
-    Repeated documents and items give repeated rows. Items are broadcast in blocks of bounded size, with one reading
-    of the documents for each block.
+    Repeated documents and items give repeated rows; other columns of either table are not read, whatever their names.
+    Items are broadcast in blocks of bounded size, with one reading of the documents for each block.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).filter(F.trim(F.coalesce("t", F.lit(""))) != "")
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS)
     given = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    kinds = "doc_id long, item_id long, distance int, stop long"
-    found = None
-    for b in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        rows = [(r["i"], n) for r in own.collect() if (n := normal(r["t"]))]
-        if rows:
-            hits = map_rows(given, _search(spark.sparkContext.broadcast(rows), rate), kinds)
-            found = hits if found is None else found.unionByName(hits)
-    found = spark.createDataFrame([], kinds) if found is None else found
-    return found.withColumnRenamed("doc_id", key)
+    found = [map_rows(given, _search(block), FOUND) for block in blocks_of(benchmark, rate, item, item_text)]
+    whole = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], FOUND)
+    return whole.withColumnRenamed("key", key)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, all their columns, without those that hold a test item within the budget.
+
+    Each row is judged by its own text as it passes: nothing is joined, so equal hashes or names can't mislead. Null
+    and empty texts stay. A further block of items sees only what the earlier ones left.
+    """
+    kept = docs
+    for block in blocks_of(benchmark, rate, item, item_text):
 
+        def run(batch: pa.RecordBatch, block: Sent = block) -> Iterator[pa.RecordBatch]:
+            automaton, compiled = block()
+            yield batch.filter(pa.array([not t or not holds_any(normal(t), automaton, compiled) for t in batch.column(text).to_pylist()], pa.bool_()))
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text") -> DataFrame:
-    """The documents, all their columns, without those that hold a test item within the budget; rows are judged one by one."""
-    return docs.join(leaks(docs.select(F.xxhash64(text).alias("__same"), F.col(text).alias("__text")), benchmark, rate, "__same", "__text").select("__same").distinct(), F.xxhash64(text) == F.col("__same"), "left_anti")
+        kept = kept.mapInArrow(lambda batches, run=run: (y for x in batches if x.num_rows for y in run(x)), docs.schema)
+    return kept
 
 
 def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, map_rows, pieces, texts
+from .common import U64, hash_share, map_rows, pieces, texts
 from .quality import held_out
 from .words import Words, hashes, split
 
 SIZE = 1 << 18
 CHAIN = 64
-#: Documents trained on in each language, at most, and words taken from each, from a random place in it.
-SAMPLE_DOCS, SAMPLE_WORDS = 800, 160
+#: Documents trained on in each language, at most, words taken from each, from a random place in it, and languages.
+SAMPLE_DOCS, SAMPLE_WORDS, MOST_LANGS = 800, 160, 200
 UNKNOWN = "und"
 
 
@@ -231,28 +231,27 @@ def label_words(model: Chain, text: str) -> list[tuple[str, str]]:
 
 
 def samples(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[bytes]]:
-    """By language, a run of words of up to SAMPLE_DOCS documents of least id hash outside the held-out fold.
+    """By language, a run of SAMPLE_WORDS words of up to SAMPLE_DOCS documents of least id hash outside the held-out fold.
 
-    The documents are chosen by id and language alone, in a first reading that doesn't touch texts.
+    The documents are chosen by id and language alone, in a first reading that doesn't touch texts: ids whose hash lies
+    below a threshold set from the language's size, of these the first SAMPLE_DOCS. The MOST_LANGS languages with most
+    rows are learned. An id counts once in each language, with the least of its rows' runs of words, so repeated rows
+    don't make the sample larger.
     """
     from pyspark.sql import Window
 
-    known = docs.select(key, lang).filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key, 5, 0))
-    hashed = known.withColumn("h", F.xxhash64(F.col(key).cast("string")))
-    cuts = hashed.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
-    # a hash below this bound leaves about twice the documents wanted; the exact ones are picked among them
-    bound = {r[lang]: min(1.0, 2.0 * SAMPLE_DOCS / r["n"] + 20.0 / r["n"]) for r in cuts}
-    share = (F.shiftrightunsigned("h", 12).cast("double")) / F.lit(float(1 << 52))
-    near = F.lit(False)
-    for name, b in bound.items():
-        near = near | ((F.col(lang) == name) & (share < b))
-    chosen = hashed.filter(near).withColumn("i", F.row_number().over(Window.partitionBy(lang).orderBy("h"))).filter(F.col("i") <= SAMPLE_DOCS)
-    ids = [r[key] for r in chosen.select(key).collect()]
-    words = F.split(F.col(text), "[\\x20\\x09-\\x0D]+")
-    start = F.pmod(F.xxhash64(F.col(key), F.lit("start")), F.greatest(F.size(words) - SAMPLE_WORDS, F.lit(1))).cast("int") + 1
-    rows = docs.filter(F.col(key).isin(ids) & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.array_join(F.slice(words, start, SAMPLE_WORDS), " ").alias("t")).collect()
+    known = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("key").isNotNull() & ~held_out("key", 5, 0))
+    hashed = known.withColumn("h", F.xxhash64(F.col("key").cast("string")))
+    share = F.least(F.lit(1.0), (2.0 * SAMPLE_DOCS + 20) / F.col("n"))  # about twice the documents wanted
+    cuts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).select("lang", share.alias("share"))
+    near = hashed.join(F.broadcast(cuts), "lang").filter(hash_share("h") < F.col("share")).select("lang", "key", "h").distinct()
+    chosen = near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("i") <= SAMPLE_DOCS).select("lang", "key")
+    given = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(chosen), ["lang", "key"])  # MOST_LANGS * SAMPLE_DOCS keys
+    words = F.split("text", "[\\x20\\x09-\\x0D]+")
+    start = F.pmod(F.xxhash64("key", F.lit("start")), F.greatest(F.size(words) - SAMPLE_WORDS, F.lit(1))).cast("int") + 1
+    runs = given.select("lang", "key", F.array_join(F.slice(words, start, SAMPLE_WORDS), " ").alias("t"))
     out: dict[str, list[bytes]] = {}
-    for r in sorted(rows):
+    for r in sorted(runs.groupBy("lang", "key").agg(F.min("t").alias("t")).collect(), key=lambda r: (r["lang"], r["t"])):
         out.setdefault(r["lang"], []).append(r["t"].encode())
     return out
 
@@ -261,7 +260,8 @@ def languages(docs: DataFrame, model: Chain, key: str = "doc_id", text: str = "t
     """One row per document: key, held_out, lang_pred and score (0 to 1).
 
     Null texts and those without letters are `und` with score 0, and so is every text if nothing could be learned.
-    Ties go to the first language by name. Source and the lang column are never read here.
+    Ties go to the first language by name. Repeated rows are labelled alike. Source, lang and other columns are never
+    read here, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.schema[key].dataType.simpleString()

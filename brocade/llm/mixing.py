@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, shuffle_count
+from .common import fresh, settle, shuffle_count
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
-#: Up to so many sources their rates are broadcast; beyond it the join shuffles.
-MOST_BROADCAST = 20_000
+#: Up to so many numbers in all sources' arrays (8 MB) they are broadcast; beyond it the join shuffles.
+MOST_BROADCAST = 1 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -55,19 +55,25 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
 
     The number of copies inverts the Poisson distribution with the source's rate at a uniform number made from the
     seed and the key. Rows of equal key and source get equal counts; a null key counts as an empty one; null sources
-    are a source of their own, with no weight unless sizes make the weights. Clashing names: docs must not have
-    copy_no or shuffle_key. The copies go to random tasks by shuffle_key and lie in its order there.
+    are a source of their own, with no weight unless sizes make the weights. Where docs has a column named copy_no or
+    shuffle_key it stays as it is, and the new one has underscores after its name. The copies go to random tasks by
+    shuffle_key and lie in its order there.
     """
     spark = docs.sparkSession
-    tables = rates(docs, weights, temperature, total, source).select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("__cdf"))
-    if docs.select(source).distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    copy_no, shuffle_key = fresh("copy_no", docs), fresh("shuffle_key", docs)
+    tables = rates(docs, weights, temperature, total, source).select("source", poisson_cdf(F.col("rate")).alias("cdf"))
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, plain, strict=True))
+    rows = docs.toDF(*plain).withColumns({"key": F.col(own[key]).cast("string"), "of": F.col(own[source])})
+    reach = tables.agg(F.sum(F.size("cdf")).alias("n")).first()["n"] or 0  # numbers in all arrays
+    if reach <= MOST_BROADCAST:
         tables = F.broadcast(tables)
-    drawn = docs.join(tables, docs[source].eqNullSafe(F.col("__source")))
-    drawn = drawn.withColumn("__u", uniform(F.lit(seed), F.col(key)))
-    drawn = drawn.withColumn("__n", F.size(F.filter("__cdf", lambda c: F.col("__u") >= c))).filter("__n > 0").drop("__source", "__cdf", "__u")
-    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.col("copy_no").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    return copies.repartition(shuffle_count(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+    drawn = rows.join(tables, rows["of"].eqNullSafe(tables["source"])).withColumn("u", uniform(F.lit(seed), F.col("key")))
+    drawn = drawn.select(*plain, "key", F.size(F.filter("cdf", lambda c: F.col("u") >= c)).alias("n")).filter("n > 0")
+    copies = drawn.select(*plain, "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("no"))
+    order = F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.col("no").cast("string"), F.coalesce("key", F.lit(""))))
+    copies = copies.select(*[F.col(own[c]).alias(c) for c in docs.columns], F.col("no").alias(copy_no), order.alias(shuffle_key))
+    return copies.repartition(shuffle_count(spark), shuffle_key).sortWithinPartitions(shuffle_key)
 
 
 def mix_sql(docs: str, columns: str, temperature: float = TEMPERATURE, seed: str = SEED) -> str:

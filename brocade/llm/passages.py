@@ -1,9 +1,12 @@
 """Removal of repeated passages with sharded Aho-Corasick automata.
 
 1. Each window of words is represented by its minimizer, the least-hashed short gram in it; equal windows
-   have equal minimizers. Minimizers seen in two documents at least are set in a bitmap of fixed size.
-2. Every document is read again; each stretch of windows whose minimizer is in the bitmap (a fragment) is noted by its
-   place, its minimizer and its hash. Its words go to the minimizer's shard, once per batch of documents.
+   have equal minimizers. Minimizers seen in two documents at least are counted and set in a bitmap.
+2. Every document is read again, once; each stretch of windows whose minimizer is in the bitmap (a fragment) is noted by
+   its place, its key and its hash. The key is the minimizer, or for very frequent ones a hash of each window, so that a
+   common phrase in ever new surroundings spreads over shards. A fragment's words go to its key's shard, once per batch
+   of documents. The bitmap only drops most of what doesn't recur: where it is too small for that, a join with the
+   recurring minimizers drops the rest.
 3. In each shard the windows of its distinct fragments are counted word for word; passages of windows that start in
    two documents at least are compiled into an automaton, and all its distinct fragments are streamed through it.
 4. What is found in a fragment holds for all its places: they are joined with it and go back to their documents.
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, map_rows, mix, pieces, record, settle, shuffle_count, texts
+from .common import U64, forget, map_rows, mix, pieces, record, settle, shuffle_count, texts
 from .words import BASE, INVERSE, Words, gather, grams, hashes, powers, split
 
 PIECE = 1 << 20
@@ -52,41 +55,54 @@ def _seeds(window: int, gram: int):
     return run
 
 
-NOTES = "seed long, hash long, doc long, same long, at int, low long, high long, fragment binary"
+NOTES = "seed long, key long, hash long, doc long, same long, at int, low long, high long, fragment binary"
 
 
-def _fragments(window: int, gram: int, bitmap, bits: int, passes: int, turn: int):
+def _is_set(bitmap: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    bit = (seed % U64(8 * len(bitmap))).astype(np.int64)
+    return (bitmap[bit >> 3] >> (bit & 7)) & 1 > 0
+
+
+def spread(h: np.ndarray, seed: np.ndarray, first: np.ndarray, last: np.ndarray, common: np.ndarray, window: int):
+    """Fragments (seed, key, first and last window): those of a common seed are taken apart into single windows, whose hash is the key."""
+    n = np.where(common, last - first + 1, 1)
+    of = np.repeat(np.arange(len(seed)), n)
+    shift = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    seed, common, at = seed[of], common[of], first[of] + shift
+    own = grams(h, window)[at]
+    return seed, np.where(common, mix(seed ^ own), seed), at, np.where(common, at, last[of])
+
+
+def _fragments(window: int, gram: int, recurring, common):
     kinds = [(n, pa.binary() if n == "fragment" else pa.int32() if n == "at" else pa.int64()) for n in (x.split()[0] for x in NOTES.split(", "))]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(bitmap.value, np.uint8)
+        known, often = (np.frombuffer(b.value, np.uint8) for b in (recurring, common))
         for part in pieces(batch, "text", PIECE):
             w = split(texts(part.column("text")))
             h = hashes(w)
             seed, first, last = minimizers(w, h, window, gram)
-            bit = (seed % U64(bits)).astype(np.int64)
-            hit = (known[bit >> 3] >> (bit & 7)) & 1 > 0
-            if passes > 1:
-                hit &= (seed >> U64(40)) % U64(passes) == turn
+            hit = _is_set(known, seed)
             seed, first, last = seed[hit], first[hit], last[hit]
             if not len(seed):
                 continue
+            seed, key, first, last = spread(h, seed, first, last, _is_set(often, seed), window)
             stop = last + window
             with np.errstate(over="ignore"):  # the words' hash by prefix sums
                 sums = np.concatenate([np.zeros(1, U64), np.cumsum(h * powers(BASE, len(h)), dtype=U64)])
                 own = mix((sums[stop] - sums[first]) * powers(INVERSE, len(h) + 1)[first] + (stop - first).astype(U64)).view(np.int64)
             row = w.doc[first]
             doc = part.column("doc").to_numpy()[row]
-            order = np.lexsort((own, seed))
+            order = np.lexsort((own, key))
             new = np.ones(len(order), bool)
-            new[1:] = (seed[order][1:] != seed[order][:-1]) | (own[order][1:] != own[order][:-1])
+            new[1:] = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
             group, start = np.cumsum(new) - 1, np.flatnonzero(new)
             low, high = np.minimum.reduceat(doc[order], start)[group], np.maximum.reduceat(doc[order], start)[group]
             size = np.where(new, (w.end[stop - 1] - w.start[first])[order], 0)
             data, offsets = gather(w.buffer, w.start[first][order], w.start[first][order] + size)
             nulls = pa.py_buffer(np.packbits(new, bitorder="little").tobytes())
             fragment = pa.Array.from_buffers(pa.binary(), len(order), [nulls, pa.py_buffer(offsets), pa.py_buffer(data)])
-            yield record(kinds, seed.view(np.int64)[order], own[order], doc[order], part.column("same").to_numpy()[row][order], (first - w.first[row]).astype(np.int32)[order], low, high, fragment)
+            yield record(kinds, seed.view(np.int64)[order], key.view(np.int64)[order], own[order], doc[order], part.column("same").to_numpy()[row][order], (first - w.first[row]).astype(np.int32)[order], low, high, fragment)
 
     return run
 
@@ -163,7 +179,7 @@ FOUND = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("low",
 
 def _stream(window: int):
     """Rows come sorted by shard; a shard's fragments are held together, those of equal words as one."""
-    names = ["seed", "hash", "found"]
+    names = ["key", "hash", "found"]
 
     def search(seeds: dict, fragments: dict) -> pa.RecordBatch | None:
         shard, out = Shard(window, fragments), ([], [], [])
@@ -176,7 +192,7 @@ def _stream(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seeds, fragments = None, {}, {}
         for batch in batches:
-            for of, seed, own, low, high, text in zip(*(batch.column(k).to_pylist() for k in ("shard", "seed", "hash", "low", "high", "fragment")), strict=True):
+            for of, seed, own, low, high, text in zip(*(batch.column(k).to_pylist() for k in ("shard", "key", "hash", "low", "high", "fragment")), strict=True):
                 if of != now:
                     if fragments and (got := search(seeds, fragments)) is not None:
                         yield got
@@ -192,39 +208,49 @@ def _stream(window: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 5, bits: int = 1 << 27) -> DataFrame:
+def bitmap_of(seeds: DataFrame, bits: int) -> bytes:
+    """A bit for each seed; built by tasks in chunks of 4 KB, of which the driver puts together bits / 8 bytes whatever the seeds' number."""
+    bit = seeds.select(F.col("seed").bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    chunks = bit.groupBy(F.floor(F.col("bit") / 32768).alias("chunk")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("set"))
+    whole = np.zeros((bits // 32768, 4096), np.uint8)
+    for chunk in chunks.toLocalIterator():
+        whole[chunk["chunk"]] = np.frombuffer(chunk["set"], np.uint8)
+    return whole.tobytes()
+
+
+def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 5, bits: int = 1 << 27, a_shard: int = 16_384) -> DataFrame:
     """(doc, same, spans): word ranges (start, stop) made of windows that also start in a document of a smaller id.
 
-    docs: long doc, long same (hash of the text, parts rows of equal id), string text. Ranges may overlap. The bitmap
-    of recurring minimizers has `bits` bits however large the corpus is; where more than an eighth of that many recur,
-    the second reading is done in several turns, each with the minimizers of its own hash range.
+    docs: long doc, long same (hash of the text, parts rows of equal id), string text. Ranges may overlap. Documents are
+    read twice whatever the size of the corpus. The bitmap of recurring minimizers has 8 bits for each, and `bits` (16
+    MB) at most; where that is not enough, most fragments pass it and those that don't recur are dropped by a join with
+    the recurring minimizers, split by Spark where one is hot. A shard has about `a_shard` occurrences of fragments, and
+    minimizers that alone have half as many are spread by window.
     """
     spark = docs.sparkSession
     n = shuffle_count(spark)
     docs = docs.filter("doc is not null and text is not null")
     seeds = map_rows(docs.select("doc", "text"), _seeds(window, gram), "seed long, doc long")
-    recurring = settle(seeds.groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("seed"))
-    passes = max(1, -(-recurring.count() * 8 // bits))
-    shards = 8 * n
-    found = None
-    for turn in range(passes):
-        # the hash is unsigned to numpy; bits and shifts are taken so that both sides agree
-        own = recurring if passes == 1 else recurring.filter(F.pmod(F.shiftrightunsigned("seed", 40), F.lit(passes)) == turn)
-        own = own.select(F.col("seed").bitwiseAND(F.lit(bits - 1)).alias("bit"))
-        chunks = own.groupBy(F.floor(F.col("bit") / 32768).alias("chunk")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("set"))
-        bitmap = np.zeros((bits // 32768, 4096), np.uint8)
-        for chunk in chunks.toLocalIterator():
-            bitmap[chunk["chunk"]] = np.frombuffer(chunk["set"], np.uint8)
-        sent = spark.sparkContext.broadcast(bitmap.tobytes())
-        notes = settle(map_rows(docs.select("doc", "same", "text"), _fragments(window, gram, sent, bits, passes, turn), NOTES))
-        shard = F.pmod(F.shiftrightunsigned("seed", 8), F.lit(shards)).alias("shard")
-        patterns = notes.filter("fragment is not null").select(shard, "seed", "hash", "low", "high", "fragment").repartition(n, "shard").sortWithinPartitions("shard")
-        passages = settle(patterns.mapInArrow(_stream(window), "seed long, hash long, found array<struct<start:int,stop:int,low:long>>"))
-        places = notes.select("seed", "hash", "doc", "same", "at").join(passages, ["seed", "hash"])
-        spans = F.transform(F.filter("found", lambda x: x["low"] < F.col("doc")), lambda x: F.struct((x["start"] + F.col("at")).alias("start"), (x["stop"] + F.col("at")).alias("stop")))
-        ranges = settle(places.select("doc", "same", spans.alias("spans")).filter("size(spans) > 0"))
-        found = ranges if found is None else found.unionByName(ranges)
-    return found.groupBy("doc", "same").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    recurring = settle(seeds.groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("times")).filter("low < high").select("seed", "times"))
+    whole = recurring.agg(F.count(F.lit(1)).alias("seeds"), F.coalesce(F.sum("times"), F.lit(0)).alias("times")).first()
+    shards = max(8 * n, -(-whole["times"] // a_shard))
+    size = min(bits, 1 << max(20, (8 * whole["seeds"]).bit_length()))
+    common = recurring.filter(F.col("times") > max(256, whole["times"] // (2 * shards)))
+    sent = [spark.sparkContext.broadcast(bitmap_of(x, size)) for x in (recurring, common)]
+    notes = map_rows(docs.select("doc", "same", "text"), _fragments(window, gram, *sent), NOTES)
+    if size < 4 * whole["seeds"]:
+        notes = notes.join(recurring.select("seed"), "seed", "left_semi")
+    notes = settle(notes.drop("seed"))
+    shard = F.pmod(F.shiftrightunsigned("key", 8), F.lit(shards)).alias("shard")
+    patterns = notes.filter("fragment is not null").select(shard, "key", "hash", "low", "high", "fragment").repartition(n, "shard").sortWithinPartitions("shard")
+    passages = settle(patterns.mapInArrow(_stream(window), "key long, hash long, found array<struct<start:int,stop:int,low:long>>"))
+    forget(recurring)
+    places = notes.select("key", "hash", "doc", "same", "at").join(passages, ["key", "hash"])
+    spans = F.transform(F.filter("found", lambda x: x["low"] < F.col("doc")), lambda x: F.struct((x["start"] + F.col("at")).alias("start"), (x["stop"] + F.col("at")).alias("stop")))
+    # rows of equal id and text have equal spans: as a set they count once
+    found = settle(places.select("doc", "same", spans.alias("spans")).filter("size(spans) > 0").groupBy("doc", "same").agg(F.flatten(F.collect_set("spans")).alias("spans")))
+    forget(notes, passages)
+    return found
 
 
 def _kept(key: str):

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import drawn, map_rows
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 MOST = 12
-#: Documents read for training and islands trained on, at most.
-SAMPLE_DOCS, SAMPLE_ISLANDS = 3000, 900
+#: Documents drawn for training, islands taken from each, islands trained on, and characters that one of them has, at most.
+SAMPLE_DOCS, A_DOCUMENT, SAMPLE_ISLANDS, LONGEST = 30_000, 4, 900, 400
 
 # --- fixed patterns -----------------------------------------------------------------------------------------------
 
@@ -309,22 +309,30 @@ def labelled(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def train(texts: list[str], most: int = SAMPLE_ISLANDS, rounds: int = 3) -> Field:
-    """A field fitted to islands of the texts; their order is the order of the texts."""
+Island = tuple[str, list[tuple[int, int, int]]]
+
+
+def gold_islands(text: str, most: int | None = None) -> list[Island]:
+    """Islands of a text of under LONGEST characters with their labelled spans; those of least hash if there are more than `most`."""
+    spans = labelled(text)
+    out = []
+    for a, b in islands(text):
+        if b - a < LONGEST:
+            out.append((text[a:b], [(s - a, k, e - a) for s, k, e in spans if s >= a and e <= b]))
+    return out if most is None or len(out) <= most else sorted(out, key=lambda x: zlib.crc32(x[0].encode()))[:most]
+
+
+def train(given: list[Island], most: int = SAMPLE_ISLANDS, rounds: int = 3) -> Field:
+    """A field fitted to labelled islands, the first ones of each kind up to an equal share of `most`."""
     chance = random.Random(11)
     model = Field(np.zeros((SIZE, len(KINDS))), np.zeros((2, len(KINDS))))
     model.weights[_id("bias")] = -1.0
     rows, left = [], {k: most // 4 for k in range(-1, len(KINDS))}
-    for text in texts:
-        spans = labelled(text)
-        for a, b in islands(text):
-            gold = [(s - a, k, e - a) for s, k, e in spans if s >= a and e <= b]
-            kind = gold[0][1] if gold else -1
-            if left[kind] > 0 and b - a < 400:
-                left[kind] -= 1
-                rows.append(rewritten(text[a:b], gold, chance))
-        if len(rows) >= most:
-            break
+    for text, gold in given:
+        kind = gold[0][1] if gold else -1
+        if left[kind] > 0 and len(rows) < most:
+            left[kind] -= 1
+            rows.append(rewritten(text, gold, chance))
     squares = np.zeros_like(model.weights)
     for turn in range(rounds):
         chance.shuffle(rows)
@@ -333,11 +341,20 @@ def train(texts: list[str], most: int = SAMPLE_ISLANDS, rounds: int = 3) -> Fiel
     return Field(model.weights, model.after)
 
 
-def sample_texts(docs: DataFrame, most: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text") -> list[str]:
-    """Texts of up to `most` documents with a digit or an at sign, those of least key hash; texts over 20,000 characters are not trained on."""
-    near = docs.filter(F.col(text).rlike("[0-9@]") & (F.length(text) <= 20_000))
-    rows = near.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), F.col(text).alias("text")).orderBy("h").limit(most).collect()
-    return [r["text"] for r in rows]
+def sample_islands(docs: DataFrame, most: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text") -> list[Island]:
+    """Labelled islands of about `most` documents of least hash of key and text, up to A_DOCUMENT of each; only islands go to the driver."""
+    given = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"))
+    chosen = drawn(given, most, F.col("k"), F.col("text"), n=docs.count()).filter(F.col("text").rlike("[0-9@]")).select("h", "text")
+    names = ["h", "n", "island", "gold"]
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = [(h, n, *x) for h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n, x in enumerate(gold_islands(t, A_DOCUMENT))]
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32())]
+        columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [[v for span in r[3] for v in span] for r in rows]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    rows = map_rows(chosen, run, "h long, n int, island string, gold array<int>").collect()
+    return [(r["island"], list(zip(*[iter(r["gold"])] * 3, strict=True))) for r in sorted(rows, key=lambda r: (r["h"], r["n"]))]
 
 
 # --- the operator -------------------------------------------------------------------------------------------------
@@ -363,7 +380,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def personal_data(docs: DataFrame, model: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_email, n_ip, n_card, n_phone and base_sha256 of the fixed patterns, spans with the field's, n_added.
 
-    Null and empty texts have no spans. Repeated rows get the same spans. Ends are exclusive, in code points.
+    Null and empty texts have no spans. Repeated rows get the same spans. Ends are exclusive, in code points. Other
+    columns are not read, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
@@ -389,4 +407,4 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
-    return personal_data(docs, train(sample_texts(docs)))
+    return personal_data(docs, train(sample_islands(docs)))

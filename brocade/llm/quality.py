@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_rows, pieces, settle, texts
+from .common import fresh, map_rows, pieces, settle, texts
 from .words import grams, hashes, split
 
 STATISTICS = (
@@ -171,8 +172,9 @@ def train(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: key, held_out, score (likelihood of label 1) and predicted (1 from a score of 0.5).
 
-    Null and empty texts are scored by the statistics of an empty text. Repeated rows are scored alike. Without any
-    labels every score is 0.5. Labels, source and language are never inputs of a score.
+    Null and empty texts are scored by the statistics of an empty text. Repeated rows are scored alike, and a label
+    counts once for each row of its document. Without any labels every score is 0.5. Labels, source, language and other
+    columns are never inputs of a score, whatever their names.
     """
     rows = settle(features(docs, key))
     got = score(rows, train(rows, labels, key), key)
@@ -180,18 +182,28 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all their columns, that the classifier does not reject."""
-    rows = settle(features(docs, key))
-    model = train(rows, labels, key)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names, kinds = docs.columns, docs.schema
+    """The documents, all their columns, that the classifier does not reject; null and empty texts are judged as empty ones.
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    Texts are read once: each row is written with its statistics, and the model from the labelled ones filters those.
+    """
+    x = fresh("x", docs)
+    columns = docs.columns
+
+    def measure(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in pieces(batch, text, 1 << 20):
-            good = sent.value.scores(statistics(texts(part.column(text)))) >= 0.5
-            yield part.filter(pa.array(good))
+            v = statistics(texts(part.column(text)))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * N), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([*part.columns, rows], names=[*columns, x])
+
+    kinds = T.StructType([*docs.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])
+    rows = settle(map_rows(docs, measure, kinds))
+    sent = docs.sparkSession.sparkContext.broadcast(train(rows.select(key, F.col(x).alias("x")), labels, key))
+
+    def judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        good = sent.value.scores(batch.column(x).flatten().to_numpy().reshape(-1, N)) >= 0.5
+        yield batch.filter(pa.array(good)).select(columns)
 
-    return docs.select(*names).mapInArrow(lambda batches: (y for x in batches if x.num_rows for y in run(x)), kinds)
+    return map_rows(rows, judge, docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,10 +127,12 @@ def anchors(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 SENT = [("anchor", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())]
+#: Entries at home that one task holds of an anchor, about, and anchors with more that are broadcast.
+HOMES, MOST_BROADCAST = 20_000, 1_000_000
 
 
 def _send(reach: int):
-    """Each fingerprint to its anchors."""
+    """Each fingerprint to its anchors; with a reach of 0 to its home only."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2_000):
@@ -167,7 +169,7 @@ def _pairs(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int) -> t
 
 
 def _compare(most: int):
-    """Entries come sorted by anchor; what is held at a time is some batches and the anchor that they end in."""
+    """Entries come sorted by anchor, those at home first; what is held at a time is some batches, and of an anchor that goes on only those at home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -177,7 +179,10 @@ def _compare(most: int):
             nonlocal held, rows
             anchor, fp, home = (np.concatenate(c) for c in zip(*held, strict=True))
             cut = len(anchor) if last else int(np.searchsorted(anchor, anchor[-1]))
-            held, rows = [(anchor[cut:], fp[cut:], home[cut:])], len(anchor) - cut
+            stay = np.arange(len(anchor)) >= cut
+            if not cut and rows >= 1_000_000:  # guests of one anchor: they meet those at home and go
+                cut, stay = len(anchor), home
+            held, rows = [(anchor[stay], fp[stay], home[stay])], int(stay.sum())
             return _pairs(anchor[:cut], fp[:cut], home[:cut], most) if cut else None
 
         for batch in batches:
@@ -191,13 +196,25 @@ def _compare(most: int):
     return run
 
 
-def link_fingerprints(fps: DataFrame, most: int = 2, fp: str = "fp") -> DataFrame:
-    """(node, root) of every distinct fingerprint that has another one within `most` bits, directly or through others."""
-    distinct = fps.select(F.col(fp).alias("fp")).filter("fp is not null").distinct()
-    sent = map_rows(distinct, _send(most), "anchor long, fp long, home boolean")
-    dealt = sent.repartition(shuffle_count(fps.sparkSession), "anchor").sortWithinPartitions("anchor")
-    edges = dealt.mapInArrow(_compare(most), "a long, b long")
-    return components(edges)
+def link_fingerprints(fps: DataFrame, most: int = 2, fp: str = "fp", homes: int = HOMES) -> DataFrame:
+    """(node, root) of every distinct fingerprint that has another one within `most` bits, directly or through others.
+
+    An anchor that is home to more than about `homes` fingerprints is split: each of them is at home in one part and a
+    guest in the others, and guests go to all parts.
+    """
+    n = shuffle_count(fps.sparkSession)
+    # dealt anew, since each row becomes dozens next and a few merged partitions would make them all
+    distinct = settle(fps.select(F.col(fp).alias("fp")).filter("fp is not null").distinct()).repartition(n)
+    kinds = "anchor long, fp long, home boolean"
+    full = map_rows(distinct, _send(0), kinds).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > homes)
+    full = settle(full.select(F.col("anchor"), F.ceil(F.col("n") / homes).cast("int").alias("parts")))
+    sent, many = map_rows(distinct, _send(most), kinds), full.count()
+    if many:
+        sent = sent.join(F.broadcast(full) if many <= MOST_BROADCAST else full, "anchor", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        sent = sent.withColumn("home", F.col("home") & (F.col("part") == F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1)))))
+        sent = sent.select(F.xxhash64("anchor", "part").alias("anchor"), "fp", "home")
+    dealt = sent.repartition(n, "anchor").sortWithinPartitions("anchor", F.desc("home"))
+    return components(dealt.mapInArrow(_compare(most), "a long, b long"))
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, most: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
