@@ -127,8 +127,8 @@ def runs_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return run, at % CHAIN, w.doc[new]
 
 
-def fit(samples: dict[str, list[bytes]], rounds: int = 40) -> Chain:
-    """By gradient ascent on the likelihood of word labels; runs switch language now and then, as code-switched text does."""
+def fit(samples: dict[str, list[bytes]], rounds: int = 40, least: float = 0.001) -> Chain:
+    """By gradient ascent on the likelihood of word labels, until a round gains less than `least` a word; runs switch language now and then, as code-switched text does."""
     langs = sorted(samples)
     k = len(langs)
     model = Chain(langs, np.zeros((SIZE, k)), np.log(np.full((k, k), 0.02 / max(1, k - 1)) + np.eye(k) * 0.98), np.zeros(k))
@@ -167,9 +167,14 @@ def fit(samples: dict[str, list[bytes]], rounds: int = 40) -> Chain:
     both = real[:, 1:]
     np.add.at(true_moves, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     squares = np.full((SIZE, k), 1e-8)
-    for turn in range(rounds):
+    before = -np.inf
+    for _ in range(rounds):
         scores = np.add.reduceat(model.weights[ids], first, axis=0) / np.sqrt(n)[:, None]
         post, moves, begin, _ = model.forward_backward(scores[index], real)
+        now = np.log(np.maximum((post * target).sum(axis=2)[real], 1e-12)).mean()
+        if now - before < least:
+            break
+        before = now
         miss = (target - post) * real[:, :, None]
         by_word = np.stack([np.bincount(index[real], miss[real][:, c], len(n)) for c in range(k)], axis=1)
         step = np.stack([np.bincount(ids, by_word[owner, c] * scale, SIZE) for c in range(k)], axis=1) - 1e-3 * model.weights
