@@ -42,16 +42,30 @@ def view_scale(width: Column, height: Column, most: int) -> Column:
     return F.least(F.lit(1.0), F.sqrt(F.lit(float(most)) / (width * height)))
 
 
+def view_side(side: Column, scale: Column) -> Column:
+    """A side of a picture scaled down, one pixel at least."""
+    return F.when(scale < 1, F.greatest(F.lit(1), F.bround(side * scale, 0).cast("int"))).otherwise(side)
+
+
 def marker(short_side: Column, share: float, least: int) -> Column:
     return F.greatest(F.lit(least), F.bround(short_side * share, 0).cast("int"))
 
 
+#: Share of the short side and least size of a locator's line, of its dot's radius and of the dot's outline.
+MARKERS = {"line_width": (0.006, 3), "point_radius": (0.018, 10), "point_outline": (0.005, 3)}
+
+
 def padded(box: Column, width: Column, height: Column, ratio: float = 0.02) -> Column:
-    """The box widened by a share of its short side, one pixel at least, within the canvas."""
-    pad = F.greatest(F.lit(1), F.bround(F.least(corner(box, 3) - corner(box, 1), corner(box, 4) - corner(box, 2)) * ratio, 0).cast("int"))
+    """The box widened by a share of the canvas's short side, one pixel at least, within the canvas."""
+    pad = F.greatest(F.lit(1), F.bround(F.least(width, height) * ratio, 0).cast("int"))
     return F.array(F.greatest(F.lit(0), corner(box, 1) - pad), F.greatest(F.lit(0), corner(box, 2) - pad), F.least(width, corner(box, 3) + pad), F.least(height, corner(box, 4) + pad))
 
 
+def unwrapped(nested: Column) -> Column:
+    """The flat list of a polygon that comes as a list of one list."""
+    return F.when(F.size(nested) == 1, F.element_at(nested, 1)).otherwise(F.raise_error(F.lit("not a polygon")).cast("array<double>"))
+
+
 def polygon_points(flat: Column) -> Column:
     """Pairs of a flat list of at least three points; another length is an error."""
     good = (F.size(flat) >= 6) & (F.size(flat) % 2 == 0)

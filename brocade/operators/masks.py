@@ -32,40 +32,75 @@ def union(parts: DataFrame, whole: str = "whole") -> DataFrame:
     return parts.select(F.col(whole).alias("mask"), "x", "y").distinct()
 
 
-def coverage(pixels: DataFrame, boxed: DataFrame) -> DataFrame:
-    """Share of each box (mask, bx1, by1, bx2, by2 with fractions) that the mask sets, over the pixels it touches."""
-    a, b = (F.floor(c).cast("int") for c in ("bx1", "by1"))
-    c, d = (F.ceil(c).cast("int") for c in ("bx2", "by2"))
+def coverage(pixels: DataFrame, boxed: DataFrame, width: int, height: int) -> DataFrame:
+    """Share of each box (mask, bx1, by1, bx2, by2 with fractions) that the mask sets, over the pixels it touches within the canvas; 0 for a box outside it."""
+    a, b = (F.greatest(F.lit(0), F.floor(c).cast("int")) for c in ("bx1", "by1"))
+    c, d = F.least(F.lit(width), F.ceil("bx2").cast("int")), F.least(F.lit(height), F.ceil("by2").cast("int"))
     inside = (F.col("x") >= a) & (F.col("x") < c) & (F.col("y") >= b) & (F.col("y") < d)
-    joined = boxed.join(pixels, "mask", "left")
-    return joined.groupBy("mask", "bx1", "by1", "bx2", "by2").agg((F.count_if(inside) / F.first((c - a) * (d - b))).alias("coverage"))
+    area = F.greatest(c - a, F.lit(0)) * F.greatest(d - b, F.lit(0))
+    joined = boxed.join(pixels, "mask", "left").withColumns({"inside": inside, "area": area})
+    share = F.when(F.first("area") > 0, F.count_if("inside") / F.first("area")).otherwise(0.0)
+    return joined.groupBy("mask", "bx1", "by1", "bx2", "by2").agg(share.alias("coverage"))
 
 
 def split_scan(pixels: DataFrame, low: float = 0.15, high: float = 0.85, least: float = 0.12, balance: float = 0.18) -> DataFrame:
-    """The best straight cut of each mask in two: axis, place, score.
+    """The best straight cut of each mask in two: axis (0 for x), place, score; masks without one are left out.
 
-    Every place from 15 to 85 percent of the span along x and y is tried; neither side may have less than 12 percent of
-    the area. The score is the pixels on the cut over the most on any line of that axis, plus 0.18 times the
-    imbalance; the first of the least wins, x before y.
+    Along x and y every line is tried from the whole part of 15 percent of the span to before that of 85 percent, empty
+    ones too, where the span has four lines at least; neither side may have less than 12 percent of the area. The score
+    is the pixels on the line over the most on any line of that axis, plus 0.18 times the imbalance; the first of the
+    least wins, x before y. What lies before the line is one part, the line and what follows the other.
     """
     lines = pixels.select("mask", F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("x").alias("place")), F.struct(F.lit(1).alias("axis"), F.col("y").alias("place")))).alias("l"))
     counts = lines.groupBy("mask", "l.axis", "l.place").agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy("mask", "axis")
-    ordered = own.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    scanned = counts.select("*", F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias("left"), F.sum("n").over(own).alias("area"), F.max("n").over(own).alias("most"), F.min("place").over(own).alias("a"), F.max("place").over(own).alias("b"))
-    span = F.col("b") - F.col("a") + 1
-    share = F.col("left") / F.col("area")
-    tried = scanned.filter((F.col("place") >= F.col("a") + span * low) & (F.col("place") <= F.col("a") + span * high) & (share >= least) & (1 - share >= least))
-    score = F.col("n") / F.col("most") + balance * F.abs(1 - 2 * share)
-    return tried.groupBy("mask").agg(F.min(F.struct(score.alias("score"), "axis", "place")).alias("s")).select("mask", "s.axis", "s.place", "s.score")
+    # a mask has no more lines than its canvas has, so they are lists
+    axes = counts.groupBy("mask", "axis").agg(F.min("place").alias("a"), (F.max("place") - F.min("place") + 1).alias("span"), F.max("n").alias("most"), F.sum("n").alias("area"), F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("at"))
+    begin = F.greatest(F.lit(1), F.floor(F.col("span") * low).cast("int"))
+    stop = F.least(F.col("span") - 1, F.floor(F.col("span") * high).cast("int"))
+    n = lambda place: F.coalesce(F.element_at("at", place), F.lit(0))
+    sums = F.aggregate(F.sequence(F.col("a"), F.col("a") + F.col("span") - 2), F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + n(p))))
+    tried = axes.filter((F.col("span") >= 4) & (begin < stop)).withColumn("before", sums).withColumn("o", F.explode(F.sequence(begin, stop - 1)))
+    tried = tried.select("mask", "axis", (F.col("a") + F.col("o")).alias("place"), "area", "most", n(F.col("a") + F.col("o")).alias("n"), F.element_at("before", F.col("o") + 1).alias("left"))
+    fair = F.least(F.col("left"), F.col("area") - F.col("left")) >= F.col("area") * least
+    score = F.col("n") / F.greatest(F.lit(1.0), F.col("most").cast("double")) + balance * (F.abs(2 * F.col("left") - F.col("area")) / F.col("area"))
+    return tried.filter(fair).groupBy("mask").agg(F.min(F.struct(score.alias("score"), "axis", "place")).alias("s")).select("mask", "s.axis", "s.place", "s.score")
+
+
+def in_order(regions: DataFrame) -> DataFrame:
+    """Regions (mask, region, x, y) numbered anew from 1 in order of mean x, then mean y; a mask has few."""
+    means = regions.groupBy("mask", "region").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    ranked = means.select("mask", "region", F.row_number().over(Window.partitionBy("mask").orderBy("mx", "my", "region")).alias("nth"))
+    return regions.join(ranked, ["mask", "region"]).select("mask", F.col("nth").alias("region"), "x", "y")
+
+
+def split_parts(pixels: DataFrame) -> DataFrame:
+    """(mask, region, x, y): the two parts of each mask at its best cut, in order of their means."""
+    cut = split_scan(pixels).select("mask", "axis", "place")
+    side = F.when(F.when(F.col("axis") == 0, F.col("x")).otherwise(F.col("y")) < F.col("place"), 1).otherwise(2)
+    return in_order(pixels.join(cut, "mask").select("mask", side.alias("region"), "x", "y"))
+
+
+def whole_parts(parts: DataFrame, union: DataFrame, least: int = 16) -> DataFrame:
+    """Regions (mask, region, x, y) where every one has `least` pixels; the masks of others are split at their best cut instead."""
+    small = parts.groupBy("mask", "region").agg(F.count(F.lit(1)).alias("n")).groupBy("mask").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter((F.col("n") < least) | (F.col("parts") < 2)).select("mask")
+    return parts.join(small, "mask", "left_anti").unionByName(split_parts(union.join(small, "mask", "left_semi")))
+
+
+def difference_free(parts: DataFrame, whole: DataFrame) -> DataFrame:
+    """Masks whose parts overlap or don't make up the whole, with the pixels in question."""
+    n = parts.groupBy("mask", "x", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("whole", F.lit(0)).unionByName(whole.select("mask", "x", "y", F.lit(0).cast("long").alias("n"), F.lit(1).alias("whole")))
+    wrong = n.groupBy("mask", "x", "y").agg(F.sum("n").alias("n"), F.sum("whole").alias("w")).filter("n <> 1 or w <> 1")
+    return wrong.groupBy("mask").agg(F.count(F.lit(1)).alias("pixels"))
 
 
 # --- kernels on one mask ------------------------------------------------------------------------------------------
 
 
 def disc(radius: int) -> np.ndarray:
+    """Offsets of a round kernel: each row of it reaches as far to both sides as the circle does there, rounded half to even."""
     y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]
-    return x * x + y * y <= radius * radius + radius / 2
+    reach = np.rint(radius * np.sqrt((radius * radius - y * y) * (1.0 / max(1, radius * radius))))
+    return np.abs(x) <= reach
 
 
 def dilate(mask: np.ndarray, radius: int) -> np.ndarray:
@@ -77,31 +112,73 @@ def dilate(mask: np.ndarray, radius: int) -> np.ndarray:
 
 
 def label_components(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of 8-connected components, 0 outside; numbered by their first pixel in reading order."""
+    """Labels from 1 of 8-connected components, 0 outside, numbered by their first pixel in reading order: runs of each row, joined by the runs they touch in the row before."""
     h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:
-        wide = np.pad(np.where(label > 0, label, h * w + 1), 1, constant_values=h * w + 1)
-        low = np.minimum.reduce([wide[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)])
-        new = np.where(mask, low, 0)
-        if np.array_equal(new, label):
-            break
-        label = new
-    return np.searchsorted(np.unique(label[label > 0]), label) * mask + mask if mask.any() else label
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edge == 1)
+    stop = np.nonzero(edge == -1)[1]
+    up = np.arange(len(row))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    of_row = np.searchsorted(row, np.arange(h + 1))
+    for y in range(1, h):
+        i, n, j, m = of_row[y - 1], of_row[y], of_row[y], of_row[y + 1]
+        while i < n and j < m:
+            if start[i] <= stop[j] and start[j] <= stop[i]:  # they touch, at a corner too
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+            if stop[i] < stop[j]:
+                i += 1
+            else:
+                j += 1
+    names = np.array([root(i) for i in range(len(row))], int)
+    number = np.searchsorted(np.unique(names), names) + 1
+    out = np.zeros((h, w), int)
+    out[mask] = np.repeat(number, stop - start)
+    return out
+
+
+def squared_distance(outside: np.ndarray) -> np.ndarray:
+    """Exact squared Euclidean distance of each pixel to the nearest one of `outside`: along columns first, then the lower envelope of parabolas along each row."""
+    h, w = outside.shape
+    far = h + w
+    column = np.full((h, w), far, float)
+    last = np.full(w, -far, float)
+    for y in range(h):
+        last = np.where(outside[y], y, last)
+        column[y] = y - last
+    last = np.full(w, h - 1 + far, float)
+    for y in range(h - 1, -1, -1):
+        last = np.where(outside[y], y, last)
+        column[y] = np.minimum(column[y], last - y)
+    out = np.empty((h, w))
+    for y in range(h):
+        g = column[y] ** 2
+        at, begin = [0], [-np.inf]
+        for x in range(1, w):
+            while True:
+                cross = (g[x] + x * x - g[at[-1]] - at[-1] ** 2) / (2 * (x - at[-1]))
+                if cross > begin[-1]:
+                    break
+                at.pop()
+                begin.pop()
+            at.append(x)
+            begin.append(cross)
+        place = np.array(at)[np.searchsorted(begin, np.arange(w), side="right") - 1]
+        out[y] = (np.arange(w) - place) ** 2 + g[place]
+    return out
 
 
 def innermost(mask: np.ndarray) -> tuple[int, int]:
-    """(x, y) of the pixel farthest from the outside by exact Euclidean distance, the first in reading order."""
-    inside = mask.copy()
-    inside[[0, -1], :] = inside[:, [0, -1]] = False
-    ys, xs = np.nonzero(inside)
-    if not len(ys):
-        y, x = np.argwhere(mask)[0]
-        return int(x), int(y)
-    oy, ox = np.nonzero(~inside)
-    best = np.array([((oy - y) ** 2 + (ox - x) ** 2).min() for y, x in zip(ys, xs, strict=True)])
-    at = int(best.argmax())
-    return int(xs[at]), int(ys[at])
+    """(x, y) of the pixel farthest from the outside by exact Euclidean distance, the first in reading order; all around the canvas is outside."""
+    inside = np.where(mask, squared_distance(~np.pad(mask, 1))[1:-1, 1:-1], -1)
+    y, x = np.unravel_index(int(inside.argmax()), mask.shape)
+    return int(x), int(y)
 
 
 def significant(area: int, pixels: int) -> bool:
@@ -109,10 +186,40 @@ def significant(area: int, pixels: int) -> bool:
     return area >= max(16, int(np.ceil(5e-5 * pixels)))
 
 
+def significant_components(mask: np.ndarray) -> list[np.ndarray]:
+    """The components that count, in bands of about 15 percent of the height, then by mean x and mean y."""
+    label = label_components(mask)
+    found = []
+    for k in range(1, label.max() + 1):
+        own = label == k
+        if significant(int(own.sum()), mask.size):
+            ys, xs = np.nonzero(own)
+            found.append((round(ys.mean() / max(1, mask.shape[0] * 0.15)), xs.mean(), ys.mean(), own))
+    return [f[3] for f in sorted(found, key=lambda f: f[:3])]
+
+
+def regions_of(mask: np.ndarray, several: bool) -> list[np.ndarray]:
+    """A mask's regions in order: itself, or where several objects are meant its two components that count, with every other pixel at the nearer one.
+
+    One component stays whole, since nothing tells where its objects part; another number of them is an error.
+    """
+    if not several:
+        return [mask]
+    parts = significant_components(mask)
+    if len(parts) == 1:
+        return [mask]
+    if len(parts) != 2:
+        raise ValueError(f"{len(parts)} components, one or two are expected")
+    parts.sort(key=lambda p: (np.nonzero(p)[1].mean(), np.nonzero(p)[0].mean()))
+    left = mask & ~(parts[0] | parts[1])
+    first = squared_distance(parts[0]) <= squared_distance(parts[1])
+    return [parts[0] | left & first, parts[1] | left & ~first]
+
+
 def raster(points: np.ndarray, width: int, height: int) -> np.ndarray:
     """Pixels whose centre lies in a polygon, by crossings of each pixel row, and those its outline passes."""
     y, x = np.mgrid[:height, :width]
-    inside = np.zeros((height, width), bool)
+    inside, outline = np.zeros((height, width), bool), np.zeros((height, width), bool)
     a, b = points, np.roll(points, -1, axis=0)
     for (x1, y1), (x2, y2) in zip(a, b, strict=True):
         if y1 != y2:
@@ -121,8 +228,8 @@ def raster(points: np.ndarray, width: int, height: int) -> np.ndarray:
         n = int(max(abs(x2 - x1), abs(y2 - y1))) + 1
         px, py = np.rint(np.linspace(x1, x2, n + 1)).astype(int), np.rint(np.linspace(y1, y2, n + 1)).astype(int)
         ok = (px >= 0) & (px < width) & (py >= 0) & (py < height)
-        inside[py[ok], px[ok]] = True
-    return inside
+        outline[py[ok], px[ok]] = True
+    return inside | outline
 
 
 def per_mask(pixels: DataFrame, width: int, height: int, fn: Callable[[np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
@@ -139,17 +246,48 @@ def per_mask(pixels: DataFrame, width: int, height: int, fn: Callable[[np.ndarra
 
 
 def components(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """(mask, component, area, cx, cy) of 8-connected components."""
+    """(mask, component, area, cx, cy) of the 8-connected components that count, numbered from 1 in bands of rows, then by mean x and mean y."""
 
     def fn(m: np.ndarray) -> pd.DataFrame:
-        label = label_components(m)
-        ys, xs = np.nonzero(m)
-        g = pd.DataFrame({"component": label[ys, xs], "x": xs, "y": ys}).groupby("component")
-        return pd.DataFrame({"area": g.size(), "cx": g["x"].mean(), "cy": g["y"].mean()}).reset_index()[["component", "area", "cx", "cy"]]
+        rows = [(n, int(p.sum()), np.nonzero(p)[1].mean(), np.nonzero(p)[0].mean()) for n, p in enumerate(significant_components(m), 1)]
+        return pd.DataFrame(rows, columns=["component", "area", "cx", "cy"])
 
     return per_mask(pixels, width, height, fn, "component long, area long, cx double, cy double")
 
 
+def regions(pixels: DataFrame, width: int, height: int, several: bool = True, strict: bool = True) -> DataFrame:
+    """(mask, region, x, y): regions of masks, numbered from 1. A mask of another number of objects than one or two is an error, or is left out unless strict."""
+
+    def fn(m: np.ndarray) -> pd.DataFrame:
+        try:
+            parts = regions_of(m, several)
+        except ValueError:
+            if strict:
+                raise
+            parts = []
+        rows = [pd.DataFrame({"region": n, "x": np.nonzero(p)[1], "y": np.nonzero(p)[0]}) for n, p in enumerate(parts, 1)]
+        return pd.concat(rows) if rows else pd.DataFrame({"region": [], "x": [], "y": []}).astype(int)
+
+    return per_mask(pixels, width, height, fn, "region int, x int, y int")
+
+
+def evaluation_masks(parts: DataFrame, width: int, height: int, ratio: float = 0.02) -> DataFrame:
+    """Pixels (mask, x, y) where a case's result is judged: the union of its regions, widened."""
+    return dilated(parts.select("mask", "x", "y").distinct(), width, height, ratio)
+
+
+def edges(pixels: DataFrame, width: int, height: int, reach: int = 1) -> DataFrame:
+    """Pixels (mask, x, y) at a mask's edge: where the greatest value within `reach` to all sides is above the least one."""
+
+    def fn(m: np.ndarray) -> pd.DataFrame:
+        # beyond the canvas nothing is seen: its own edge makes no edge
+        near = lambda outside: np.lib.stride_tricks.sliding_window_view(np.pad(m, reach, constant_values=outside), (2 * reach + 1, 2 * reach + 1))
+        ys, xs = np.nonzero(near(False).any(axis=(2, 3)) & ~near(True).all(axis=(2, 3)))
+        return pd.DataFrame({"x": xs, "y": ys})
+
+    return per_mask(pixels, width, height, fn, "x int, y int")
+
+
 def dilated(pixels: DataFrame, width: int, height: int, ratio: float = 0.02) -> DataFrame:
     """Pixels of each mask widened by a disc of a share of the canvas's short side, one pixel at least."""
     radius = max(1, round(min(width, height) * ratio))

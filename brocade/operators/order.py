@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import METHODS, SETTINGS
+
 
 def with_position(rows: DataFrame, *by: str, name: str = "position") -> DataFrame:
     """0-based place in the order of `by`, without bringing all rows together.
@@ -19,6 +21,21 @@ def with_position(rows: DataFrame, *by: str, name: str = "position") -> DataFram
     return dealt.join(F.broadcast(before), "__part").select(*rows.columns, (F.col("__before") + F.col("__at")).alias(name))
 
 
+def place(column: str, names: tuple[str, ...] | None = None) -> Column:
+    """0-based place of a method or setting (or of stated names) in its list; an unknown one is an error."""
+    names = names or {"method": METHODS, "setting": SETTINGS}[column]
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column)) - 1
+    return F.when(at >= 0, at).otherwise(F.raise_error(F.concat(F.lit(f"unknown {column}: "), F.coalesce(column, F.lit("null")))).cast("long"))
+
+
+def subset(rows: DataFrame, positions: list[int], most: int | None = None, by: str = "eval_index") -> DataFrame:
+    """Rows at a stated set of positions, in their own order, of these the first `most`; a position that no row has is an error."""
+    wanted = rows.sparkSession.createDataFrame([(int(p),) for p in sorted(set(positions))], f"{by} long")
+    found = F.broadcast(wanted).join(rows.withColumn("there", F.lit(True)), by, "left")
+    checked = found.filter(F.coalesce("there", F.raise_error(F.concat(F.lit("no such position: "), F.col(by).cast("string"))).cast("boolean"))).select(*rows.columns)
+    return checked if most is None else checked.orderBy(by).limit(most)
+
+
 def shard(position: Column, world: int, shift: int = 0) -> Column:
     """Round-robin shard of a position, shifted for repeats."""
     return F.pmod(position + shift, F.lit(world))

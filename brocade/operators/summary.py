@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import AXES, BOOTSTRAP_DRAWS, BOOTSTRAP_QUANTILES, BOOTSTRAP_SEED, METHODS, SETTINGS
@@ -97,19 +97,36 @@ def bootstrap(records: DataFrame, *keys: str, axes: Sequence[str] = AXES, draws:
     return pairs.groupBy(*keys, "axis").applyInPandas(interval, f"{kinds}{', ' if keys else ''}axis string, cases long, mean double, low double, high double")
 
 
-def stability(records: DataFrame, reference: str) -> DataFrame:
-    """Each other variant against the reference: pairs that are both ok, and how many differ on any axis or in success."""
-    key = ["eval_index", "method", "setting"]
-    cut = lambda v: records.filter(v).groupBy(*key, "variant").agg(F.min_by(F.struct("status", *AXES, "strict_success"), "line").alias("r"))
-    a = cut(F.col("variant") == reference).select(*key, F.col("r").alias("a"))
-    b = cut(F.col("variant") != reference).select(*key, "variant", F.col("r").alias("b"))
-    both = a.join(b, key)
-    ok = (F.col("a.status") == "ok") & (F.col("b.status") == "ok")
+SAMPLE = ("eval_index", "method", "setting")
+
+
+def _pairs(records: DataFrame, reference: str) -> DataFrame:
+    """(sample, variant, ok, changed, strict): each other variant's first record of a sample with the reference's."""
+    cut = lambda v: records.filter(v).groupBy(*SAMPLE, "variant").agg(F.min_by(F.struct("status", *AXES, "strict_success"), "line").alias("r"))
+    a = cut(F.col("variant") == reference).select(*SAMPLE, F.col("r").alias("a"))
+    b = cut(F.col("variant") != reference).select(*SAMPLE, "variant", F.col("r").alias("b"))
     changed = F.lit(False)
     for axis in AXES:
         changed = changed | ~F.col(f"a.{axis}").eqNullSafe(F.col(f"b.{axis}"))
-    strict = ~F.col("a.strict_success").eqNullSafe(F.col("b.strict_success"))
-    return both.groupBy("variant").agg(F.count_if(ok).alias("paired"), F.count_if(~ok).alias("unpaired"), F.count_if(ok & changed).alias("any_axis_changed"), F.count_if(ok & strict).alias("strict_changed"))
+    ok = (F.col("a.status") == "ok") & (F.col("b.status") == "ok")
+    return a.join(b, list(SAMPLE)).select(*SAMPLE, "variant", ok.alias("ok"), changed.alias("changed"), (~F.col("a.strict_success").eqNullSafe(F.col("b.strict_success"))).alias("strict"))
+
+
+def stability(records: DataFrame, reference: str, samples: DataFrame | None = None) -> DataFrame:
+    """Each other variant against the reference over all samples: pairs that are both ok, all other samples, and pairs that differ on any axis or in success.
+
+    samples: the distinct samples of the run; those of the records unless given.
+    """
+    total = (records.select(*SAMPLE).distinct() if samples is None else samples).agg(F.count(F.lit(1)).alias("total"))
+    both = _pairs(records, reference).groupBy("variant").agg(F.count_if("ok").alias("paired"), F.count_if(F.col("ok") & F.col("changed")).alias("any_axis_changed"), F.count_if(F.col("ok") & F.col("strict")).alias("strict_changed"))
+    others = records.select("variant").filter(F.col("variant") != reference).distinct().join(F.broadcast(total))  # one row
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("paired", "any_axis_changed", "strict_changed")}
+    return others.join(both, "variant", "left").withColumns(none).select(F.lit(reference).alias("reference"), "variant", "paired", (F.col("total") - F.col("paired")).alias("unpaired"), "any_axis_changed", "strict_changed")
+
+
+def changed_samples(records: DataFrame, reference: str) -> DataFrame:
+    """(sample, variant, any_axis, strict): the samples behind the counts of stability."""
+    return _pairs(records, reference).filter("ok and (changed or strict)").select(*SAMPLE, "variant", F.col("changed").alias("any_axis"), "strict")
 
 
 def control_counts(records: DataFrame, expected: Column, *keys: str) -> DataFrame:
@@ -127,11 +144,29 @@ def disagreements(expected: Column, actual: Column) -> Column:
     return F.map_filter(expected, lambda k, v: ~v.eqNullSafe(F.element_at(actual, k)))
 
 
+def out_of_range(ranges: Column, actual: Column) -> Column:
+    """Axes of a map of expected ranges (low, high) whose actual value is unknown or outside."""
+    return F.map_filter(ranges, lambda k, r: ~F.coalesce(F.element_at(actual, k).between(r["low"], r["high"]), F.lit(False)))
+
+
+def record_summary(records: DataFrame) -> DataFrame:
+    """One row: records, seconds they took in all (unknown counts as none), and those made from another output."""
+    return records.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(F.coalesce(F.col("elapsed_seconds"), F.lit(0.0))), F.lit(0.0)).alias("elapsed_seconds_total"), F.count("derived_from_output").alias("derived_outputs"))
+
+
+def first_seen(rows: DataFrame, group: str, by: str) -> DataFrame:
+    """(group, position): groups in the order in which they first come, by a column that orders rows. Groups are few."""
+    seen = rows.groupBy(group).agg(F.min(by).alias("at"))
+    return seen.select(group, (F.row_number().over(Window.orderBy("at", group)) - 1).cast("long").alias("position"))
+
+
 def case_summary(records: DataFrame, methods: Sequence[str] = METHODS, settings: Sequence[str] = SETTINGS) -> DataFrame:
     """One row per case: usable records, best and mean edit, successes by method and setting, and the ordered strict outputs."""
     ok = logic.usable(F.col("status"), *[F.col(a) for a in AXES])
     strict = ok & logic.strict_or_false(*[F.col(a) for a in AXES])
     place = lambda values, c: F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c))
+    # distinct values as bits of a sum: two distinct counts would send every row three times
+    bits = lambda use, values, c: F.coalesce(F.bit_count(F.bit_or(F.when(use, F.call_function("shiftleft", F.lit(1), place(values, c).cast("int"))))), F.lit(0)).cast("long")
     output = F.struct(place(methods, "method").alias("m"), place(settings, "setting").alias("s"), "method", "setting")
     return records.groupBy("eval_index").agg(
         F.count(F.lit(1)).alias("records"), F.count_if(ok).alias("usable"), F.avg(F.when(ok, F.col("edit"))).alias("edit_mean"), F.max(F.when(ok, F.col("edit"))).alias("edit_max"),
@@ -139,7 +174,7 @@ def case_summary(records: DataFrame, methods: Sequence[str] = METHODS, settings:
         *[F.max(F.when(ok & (F.col("method") == m), F.col("edit"))).alias(f"best_{m}") for m in methods],
         *[F.count_if(strict & (F.col("method") == m)).alias(f"strict_{m}") for m in methods],
         *[F.max(F.when(ok & (F.col("setting") == s), F.col("edit"))).alias(f"best_{s}") for s in settings],
-        F.countDistinct(F.when(strict, F.col("method"))).alias("strict_methods"), F.countDistinct(F.when(strict, F.col("setting"))).alias("strict_settings"),
+        bits(strict, methods, "method").alias("strict_methods"), bits(strict, settings, "setting").alias("strict_settings"),
         F.transform(F.array_sort(F.collect_list(F.when(strict, output))), lambda x: F.concat(x["method"], F.lit("/"), x["setting"])).alias("strict_outputs"),
     )
 
@@ -160,8 +195,14 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
 
 
-def progress(done: DataFrame, expected: DataFrame, *keys: str, when: str = "line", per_key: int = 1) -> DataFrame:
-    """Done rows of each expected key, zero where none is, with the share of per_key and the latest row (first of ties)."""
+def progress(done: DataFrame, expected: DataFrame, *keys: str, when: str = "updated_at", per_key: int = 1) -> DataFrame:
+    """Done rows of each expected key, zero where none is, with the time of the last and the share of per_key."""
     n = done.groupBy(*keys).agg(F.count(F.lit(1)).alias("done"), F.max(when).alias("latest"))
     full = expected.join(n, list(keys), "left").withColumn("done", F.coalesce("done", F.lit(0)))
     return full.withColumn("percent", F.bround(100 * F.col("done") / per_key, 2))
+
+
+def latest_done(done: DataFrame, *columns: str, when: str = "updated_at", tie: Sequence[str] = ("method", "setting", "eval_index")) -> DataFrame:
+    """One row: the record that was written last, of equal times the first by `tie`."""
+    order = F.struct(-F.unix_micros(F.col(when).cast("timestamp")), *tie)
+    return done.agg(F.min_by(F.struct(*columns, when), order).alias("r")).filter("r is not null").select("r.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ROLES, SETTINGS
 from ..functions import text
+from ..operators import validate
 
 
 def settings_of(values: str | None, allowed: tuple[str, ...] = SETTINGS) -> list[str]:
@@ -35,6 +36,31 @@ def nested(rows: DataFrame, key: str = "eval_index") -> DataFrame:
     return rows.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("setting", F.struct("prompt", "roles", "images"))))).alias("settings"))
 
 
+def contract(rows: DataFrame, protocol: str, settings: tuple[str, ...] = SETTINGS) -> DataFrame:
+    """(eval_index, rule) of what a prepared table (one row per case and setting, with protocol) breaks.
+
+    A case has every setting once, indices have no gap, prompts aren't blank, roles are the setting's and there are as
+    many images, and all rows are of one protocol.
+    """
+    roles = F.create_map(*[x for s in settings for x in (F.lit(s), F.array(*[F.lit(r) for r in ROLES[s]]))])
+    rules = {
+        "protocol": F.col("protocol") == protocol, "setting": F.col("setting").isin(*settings), "prompt": ~text.is_blank(F.col("prompt")),
+        "roles": F.element_at(roles, F.col("setting")) == F.col("roles"), "images": F.size("images") == F.size("roles"),
+    }
+    each = rows.select("eval_index", F.explode(validate.broken(rules)).alias("rule")).distinct()
+    per_case = rows.groupBy("eval_index").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("setting")).alias("d"))
+    incomplete = per_case.filter((F.col("n") != len(settings)) | (F.col("d") != len(settings))).select("eval_index", F.lit("settings").alias("rule"))
+    # a gap is an index without the one before it, other than 0
+    before = per_case.select((F.col("eval_index") + 1).alias("eval_index"))
+    gaps = per_case.select("eval_index").filter("eval_index <> 0").join(before, "eval_index", "left_anti").select("eval_index", F.lit("gap").alias("rule"))
+    return each.unionByName(incomplete).unionByName(gaps)
+
+
+def assets(rows: DataFrame) -> DataFrame:
+    """Each distinct image of a prepared table once, for one check of each file."""
+    return rows.select(F.explode("images").alias("path")).distinct()
+
+
 def leaks_target(rows: DataFrame, forbidden: tuple[str, ...] = ("target", "evaluation")) -> DataFrame:
     """Rows that would show a model what it is judged by."""
     return rows.filter(F.exists("roles", lambda r: r.isin(*forbidden)))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .constants import AXES, METHODS, SETTINGS
 from .functions import geometry, records as record_functions, text
 from .operators import audit, joins, masks, order, summary, validate
-from .plans import compare, judge, prepare
-from .sources.derived import DERIVED_SQL, cases, pixels, records, table
+from .plans import build, compare, judge, prepare
+from .sources.derived import DERIVED_SQL, cases, judge_records, pixels, records, selections, shapes, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,15 +84,24 @@ def bootstrap_intervals(spark, sf_dir):
     return summary.bootstrap(records(spark, sf_dir), "method")
 
 
-@query("""SELECT b.variant, count(CASE WHEN a.status = 'ok' AND b.status = 'ok' THEN 1 END) AS paired, count(CASE WHEN NOT (a.status = 'ok' AND b.status = 'ok') THEN 1 END) AS unpaired,
- count(CASE WHEN a.status = 'ok' AND b.status = 'ok' AND (a.edit IS DISTINCT FROM b.edit OR a.preservation IS DISTINCT FROM b.preservation OR a.quality IS DISTINCT FROM b.quality) THEN 1 END) AS any_axis_changed,
- count(CASE WHEN a.status = 'ok' AND b.status = 'ok' AND a.strict_success IS DISTINCT FROM b.strict_success THEN 1 END) AS strict_changed
- FROM (SELECT * FROM records WHERE variant = 'r1' QUALIFY row_number() OVER (PARTITION BY eval_index, method, setting ORDER BY line) = 1) a
- JOIN (SELECT * FROM records WHERE variant <> 'r1' QUALIFY row_number() OVER (PARTITION BY eval_index, method, setting, variant ORDER BY line) = 1) b USING (eval_index, method, setting) GROUP BY b.variant""")
+_CUT = "(SELECT * FROM records WHERE variant {0} 'r1' QUALIFY row_number() OVER (PARTITION BY eval_index, method, setting, variant ORDER BY line) = 1)"
+_BOTH_OK = "a.status = 'ok' AND b.status = 'ok'"
+_CHANGED = "(a.edit IS DISTINCT FROM b.edit OR a.preservation IS DISTINCT FROM b.preservation OR a.quality IS DISTINCT FROM b.quality)"
+
+
+@query(f"""SELECT 'r1' AS reference, v.variant, count(CASE WHEN {_BOTH_OK} THEN 1 END) AS paired, (SELECT count(*) FROM (SELECT DISTINCT eval_index, method, setting FROM records)) - count(CASE WHEN {_BOTH_OK} THEN 1 END) AS unpaired,
+ count(CASE WHEN {_BOTH_OK} AND {_CHANGED} THEN 1 END) AS any_axis_changed, count(CASE WHEN {_BOTH_OK} AND a.strict_success IS DISTINCT FROM b.strict_success THEN 1 END) AS strict_changed
+ FROM (SELECT DISTINCT variant FROM records WHERE variant <> 'r1') v LEFT JOIN {_CUT.format('<>')} b ON b.variant = v.variant LEFT JOIN {_CUT.format('=')} a USING (eval_index, method, setting) GROUP BY v.variant""")
 def variant_stability(spark, sf_dir):
     return summary.stability(records(spark, sf_dir), "r1")
 
 
+@query(f"""SELECT eval_index, method, setting, b.variant, {_CHANGED} AS any_axis, a.strict_success IS DISTINCT FROM b.strict_success AS strict FROM {_CUT.format('=')} a JOIN {_CUT.format('<>')} b USING (eval_index, method, setting)
+ WHERE {_BOTH_OK} AND ({_CHANGED} OR a.strict_success IS DISTINCT FROM b.strict_success)""")
+def changed_samples(spark, sf_dir):
+    return summary.changed_samples(records(spark, sf_dir), "r1")
+
+
 _EXPECTED = "(CASE WHEN eval_index % 3 = 0 THEN true WHEN eval_index % 3 = 1 THEN false END)"
 
 
@@ -119,19 +128,28 @@ def case_summaries(spark, sf_dir):
 
 
 _TIERS = {"edit_at_most_1": "edit_max <= 1", "edit_at_most_2": "edit_max <= 2", "no_edit_success": "edit_successes = 0", "no_strict_success": "strict_successes = 0",
-          **{f"strict_at_most_{k}": f"strict_successes <= {k}" for k in (1, 2, 3, 4)}, "strict_in_few_methods": "strict_successes >= 1 AND strict_methods <= 2",
-          "strict_in_one_setting": "strict_successes >= 1 AND strict_settings = 1", "concentrated": "strict_successes >= 1 AND (strict_methods <= 2 OR strict_settings = 1)",
+          **{f"strict_at_most_{k}": f"strict_successes <= {k}" for k in (1, 2, 3, 4)}, "strict_in_few_methods": "strict_successes >= 5 AND strict_methods <= 2",
+          "strict_in_one_setting": "strict_successes >= 5 AND strict_settings = 1", "concentrated": "strict_successes >= 5 AND (strict_methods <= 2 OR strict_settings = 1)",
           **{f"{s}_edit_at_most_1": f"best_{s} <= 1" for s in SETTINGS}}
 
 
-@query(f"WITH {DERIVED_SQL}, s AS ({_CASE}) " + " UNION ALL ".join(f"SELECT '{t}' AS tier, eval_index FROM s WHERE usable = 2 AND {c}" for t, c in _TIERS.items()))
+_WHOLE_CASE = _CASE.replace("FROM records", "FROM judge_records")
+
+
+@query(_WHOLE_CASE)
+def whole_case_summaries(spark, sf_dir):
+    """Cases that have every method and setting."""
+    return summary.case_summary(judge_records(spark, sf_dir)).withColumn("strict_outputs", F.array_join("strict_outputs", ","))
+
+
+@query(f"WITH {DERIVED_SQL}, s AS ({_WHOLE_CASE}) " + " UNION ALL ".join(f"SELECT '{t}' AS tier, eval_index FROM s WHERE usable = 20 AND {c}" for t, c in _TIERS.items()))
 def failure_tiers(spark, sf_dir):
-    return summary.failure_tiers(summary.case_summary(records(spark, sf_dir)), complete=2, many=1)
+    return summary.failure_tiers(summary.case_summary(judge_records(spark, sf_dir)))
 
 
-@query(f"WITH {DERIVED_SQL}, s AS ({_CASE}) SELECT strict_successes, count(*) AS count FROM s GROUP BY ALL")
+@query(f"WITH {DERIVED_SQL}, s AS ({_WHOLE_CASE}) SELECT strict_successes, count(*) AS count FROM s GROUP BY ALL")
 def strict_histogram(spark, sf_dir):
-    return summary.histogram(summary.case_summary(records(spark, sf_dir)), "strict_successes")
+    return summary.histogram(summary.case_summary(judge_records(spark, sf_dir)), "strict_successes")
 
 
 @query("SELECT status, count(*) AS count FROM records GROUP BY status")
@@ -151,10 +169,10 @@ def pending_jobs(spark, sf_dir):
     return rows.groupBy("method", "setting", "status").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query(f"WITH {DERIVED_SQL}, {_GRID}, k AS (SELECT eval_index, method, setting, sum(e) AS e, sum(a) AS a FROM (SELECT eval_index, method, setting, 1 AS e, 0 AS a FROM grid WHERE eval_index % 4 > 0 UNION ALL SELECT eval_index, method, setting, 0, 1 FROM records) GROUP BY ALL) "
+@query(f"WITH {DERIVED_SQL}, {_GRID}, k AS (SELECT eval_index, method, setting, sum(e) AS e, sum(a) AS a FROM (SELECT eval_index, method, setting, 1 AS e, 0 AS a FROM grid UNION ALL SELECT eval_index, method, setting, 0, 1 FROM records) GROUP BY ALL) "
        "SELECT eval_index, method, setting, CASE WHEN a = 0 THEN 'missing' WHEN e = 0 THEN 'unexpected' ELSE 'duplicate' END AS problem FROM k WHERE a = 0 OR e = 0 OR a > 1")
 def coverage_errors(spark, sf_dir):
-    grid = joins.expected_jobs(cases(spark, sf_dir).select("eval_index").filter(F.col("eval_index") % 4 > 0))
+    grid = joins.expected_jobs(cases(spark, sf_dir).select("eval_index"))
     return joins.coverage_errors(grid, records(spark, sf_dir), "eval_index", "method", "setting")
 
 
@@ -165,11 +183,11 @@ def jobs_to_resume(spark, sf_dir):
     return left.groupBy("method", "setting").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("""SELECT method, count(*) AS n, avg(edit) AS edit_mean FROM records WHERE method IN ('alpha', 'beta') AND (eval_index, setting) IN
- (SELECT (eval_index, setting) FROM records WHERE method IN ('alpha', 'beta') GROUP BY eval_index, setting HAVING count(DISTINCT method) = 2) GROUP BY method""")
+@query("""WITH """ + DERIVED_SQL + """, ok AS (SELECT * FROM judge_records WHERE status = 'ok') SELECT method, count(*) AS n, avg(edit) AS edit_mean FROM ok WHERE (eval_index, setting) IN
+ (SELECT (eval_index, setting) FROM ok GROUP BY eval_index, setting HAVING count(DISTINCT method) = 5) GROUP BY method""")
 def matched_cohort(spark, sf_dir):
-    two = records(spark, sf_dir).filter(F.col("method").isin("alpha", "beta"))
-    return joins.common_cohort(two, 2).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg("edit").alias("edit_mean"))
+    """Means over the cases and settings for which every method has a result."""
+    return joins.common_cohort(judge_records(spark, sf_dir).filter("status = 'ok'")).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg("edit").alias("edit_mean"))
 
 
 @query("SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS position, CAST((row_number() OVER (ORDER BY case_id) - 1 + 3) % 8 AS BIGINT) AS shard, CAST(floor((row_number() OVER (ORDER BY case_id) - 1) / 20) AS BIGINT) AS page FROM cases")
@@ -184,17 +202,51 @@ def latest_records(spark, sf_dir):
     return order.latest(rows, "eval_index", "at", "line").drop("at")
 
 
-@query("SELECT method, setting, count(*) AS done, max(line) AS latest, round_even(100 * count(*) / 1000, 2) AS percent FROM records WHERE status = 'ok' GROUP BY ALL")
+@query("SELECT method, setting, count(*) AS done, max(updated_at) AS latest, round_even(100 * count(*) / 1000, 2) AS percent FROM judge_records WHERE status = 'ok' GROUP BY ALL")
 def judging_progress(spark, sf_dir):
-    done = records(spark, sf_dir).filter("status = 'ok'")
+    done = judge_records(spark, sf_dir).filter("status = 'ok'")
     grid = joins.expected_jobs(spark.range(1).select(F.lit(0).alias("one"))).select("method", "setting")
     return summary.progress(done, grid, "method", "setting", per_key=1000)
 
 
-@query("SELECT eval_index, (greatest(32, CAST(round_even(sqrt(1048576 * width / height) / 32, 0) * 32 AS INT))) AS out_width, (greatest(32, CAST(round_even(sqrt(1048576 * height / width) / 32, 0) * 32 AS INT))) AS out_height, least(1.0, sqrt(65536.0 / (width * height))) AS scale, greatest(3, CAST(round_even(least(width, height) * 0.006, 0) AS INT)) AS line_width FROM cases")
+@query("SELECT method, setting, eval_index, updated_at FROM judge_records WHERE status = 'ok' ORDER BY updated_at DESC, method, setting, eval_index LIMIT 1")
+def latest_result(spark, sf_dir):
+    return summary.latest_done(judge_records(spark, sf_dir).filter("status = 'ok'"), "method", "setting", "eval_index")
+
+
+@query("SELECT count(*) AS count, sum(elapsed_seconds) AS elapsed_seconds_total, count(derived_from_output) AS derived_outputs FROM judge_records")
+def run_summary(spark, sf_dir):
+    return summary.record_summary(judge_records(spark, sf_dir))
+
+
+@query("SELECT status, row_number() OVER (ORDER BY min(line), status) - 1 AS position FROM judge_records GROUP BY status")
+def statuses_as_seen(spark, sf_dir):
+    return summary.first_seen(judge_records(spark, sf_dir), "status", "line")
+
+
+_RANGES = {"edit": (2, 4), "preservation": (0, 2), "quality": (1, 3)}
+
+
+@query("SELECT line, list_sort(list_filter([" + ", ".join(f"CASE WHEN {k} IS NULL OR {k} NOT BETWEEN {a} AND {b} THEN '{k}' END" for k, (a, b) in _RANGES.items()) + "], lambda x: x IS NOT NULL))::VARCHAR AS outside FROM judge_records")
+def range_checks(spark, sf_dir):
+    """Axes of controls outside their expected ranges; an unknown score is outside."""
+    want = F.create_map(*[x for k, (a, b) in _RANGES.items() for x in (F.lit(k), F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")))])
+    have = F.create_map(*[x for k in _RANGES for x in (F.lit(k), F.col(k))])
+    keys = F.array_sort(F.map_keys(summary.out_of_range(want, have)))
+    return judge_records(spark, sf_dir).select("line", F.concat(F.lit("["), F.array_join(keys, ", "), F.lit("]")).alias("outside"))
+
+
+_SIDE = "greatest(32, CAST(round_even(sqrt(1048576 * {0} / {1}) / 32, 0) * 32 AS INT))"
+_SHORT = "greatest({1}, CAST(round_even(least(width, height) * {0}, 0) AS INT))"
+_VIEW = "CASE WHEN sqrt(65536.0 / (width * height)) < 1 THEN greatest(1, CAST(round_even({0} * sqrt(65536.0 / (width * height)), 0) AS INT)) ELSE {0} END"
+
+
+@query(f"SELECT eval_index, {_SIDE.format('width', 'height')} AS out_width, {_SIDE.format('height', 'width')} AS out_height, {_VIEW.format('width')} AS view_width, {_VIEW.format('height')} AS view_height, " + ", ".join(f"{_SHORT.format(*v)} AS {k}" for k, v in geometry.MARKERS.items()) + " FROM cases")
 def output_sizes(spark, sf_dir):
     w, h = F.col("width"), F.col("height")
-    return cases(spark, sf_dir).select("eval_index", geometry.output_side(w, h).alias("out_width"), geometry.output_side(h, w).alias("out_height"), geometry.view_scale(w, h, 65536).alias("scale"), geometry.marker(F.least(w, h), 0.006, 3).alias("line_width"))
+    scale = geometry.view_scale(w, h, 65536)
+    markers = [geometry.marker(F.least(w, h), share, least).alias(k) for k, (share, least) in geometry.MARKERS.items()]
+    return cases(spark, sf_dir).select("eval_index", geometry.output_side(w, h).alias("out_width"), geometry.output_side(h, w).alias("out_height"), geometry.view_side(w, scale).alias("view_width"), geometry.view_side(h, scale).alias("view_height"), *markers)
 
 
 _LINE_BOX = "lb AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_partkey % 100 AS INT) AS x1, CAST(l_suppkey % 80 AS INT) AS y1, CAST(l_partkey % 100 AS INT) + CAST(trunc(l_quantity) AS INT) AS x2, CAST(l_suppkey % 80 AS INT) + 10 + l_linenumber AS y2 FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1)"
@@ -212,14 +264,12 @@ _AREA = "CAST(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1) AS DOUBLE)"
 _BOTH = f"({_IOU}) / greatest(1e-9, {_AREA.format('a')} + {_AREA.format('b')} - ({_IOU}))"
 
 
-@query(f"WITH {_LINE_BOX}, pairs AS (SELECT a.k, a.n AS first, b.n AS second, {_BOTH} AS iou FROM lb a JOIN lb b ON a.k = b.k AND a.n < b.n) SELECT k, first, second, iou FROM pairs WHERE iou < 0.75 QUALIFY row_number() OVER (PARTITION BY k ORDER BY iou DESC, first, second) = 1")
+@query(f"""WITH {_LINE_BOX}, scored AS (SELECT *, n AS rank, n * 0.25 + (x2 - x1) * 0.0625 AS score FROM lb), pairs AS (SELECT a.k, a.rank AS first, b.rank AS second, a.score + b.score - 0.15 * ({_BOTH}) AS score, {_BOTH} AS iou FROM scored a JOIN scored b ON a.k = b.k AND a.n % 2 = 1 AND b.n % 2 = 0)
+ SELECT k, first, second, score FROM pairs WHERE iou < 0.75 QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, first, second) = 1""")
 def best_region_pairs(spark, sf_dir):
-    """The two regions of each case that overlap most, below 0.75: pairs form within a case, of a few lines."""
-    boxes = _boxes(spark, sf_dir)
-    iou = geometry.box_iou(F.col("l.box"), F.col("r.box"))
-    score = F.struct(iou, -F.col("l.n"), -F.col("r.n"))
-    got = joins.best_pair(boxes.select("k", "n", "box"), boxes.select("k", "n", "box"), "k", (F.col("l.n") < F.col("r.n")) & (iou < 0.75), score)
-    return got.select("k", (-F.col("score.col2")).alias("first"), (-F.col("score.col3")).alias("second"), F.col("score.col1").alias("iou"))
+    """For each case the best pair of a box of one list (odd lines) and of the other (even ones): pairs form within a case, of a few lines."""
+    scored = _boxes(spark, sf_dir).withColumns({"rank": F.col("n"), "score": F.col("n") * 0.25 + (F.element_at("box", 3) - F.element_at("box", 1)) * 0.0625})
+    return joins.box_pairs(scored.filter("n % 2 = 1"), scored.filter("n % 2 = 0"), "k")
 
 
 @query(f"""WITH {_LINE_BOX} SELECT k AS eval_index, n AS line, rule FROM (SELECT *, unnest(list_filter([CASE WHEN NOT (x1 >= 0 AND x1 < x2 AND x2 <= 130 AND y1 >= 0 AND y1 < y2 AND y2 <= 90) THEN 'box' END, CASE WHEN NOT (x1 < 95) THEN 'left' END], lambda r: r IS NOT NULL)) AS rule FROM lb)""")
@@ -228,9 +278,10 @@ def box_errors(spark, sf_dir):
     return _boxes(spark, sf_dir).select(F.col("k").alias("eval_index"), F.col("n").alias("line"), F.explode(validate.broken(rules)).alias("rule"))
 
 
-@query("SELECT count(*) AS total, count(DISTINCT case_id) AS unique_ids, count(DISTINCT source_dataset) AS sources, count(CASE WHEN source_dataset <> 'POLYGON' THEN 1 END) AS \"references\", sum(region_count)::BIGINT AS regions, count(CASE WHEN region_count > 1 THEN 1 END) AS multi_region FROM cases")
+@query("SELECT count(*) AS total, count(DISTINCT case_id) AS unique_ids, count(DISTINCT source_group) AS unique_sources, count(CASE WHEN source_dataset <> 'POLYGON' THEN 1 END) AS \"references\", sum(1 + mask % 2)::BIGINT AS regions, count(CASE WHEN mask % 2 = 1 THEN 1 END) AS multi_region, count(region_only) AS region_only_instructions FROM selections")
 def validation_report(spark, sf_dir):
-    return validate.report(cases(spark, sf_dir).withColumn("target", F.when(F.col("source_dataset") != "POLYGON", F.col("case_id"))))
+    made = {"source_image": F.col("source_group"), "target": F.when(F.col("source_dataset") != "POLYGON", F.col("case_id")), "region_count": 1 + F.col("mask") % 2, "region_instruction": F.col("region_only")}
+    return validate.report(selections(spark, sf_dir).withColumns(made))
 
 
 @query("SELECT mask, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS area FROM pixels GROUP BY mask")
@@ -250,69 +301,242 @@ def mask_unions(spark, sf_dir):
     return got.groupBy("mask").agg(F.count(F.lit(1)).alias("area"))
 
 
-@query(f"""WITH {DERIVED_SQL}, l AS (SELECT mask, 0 AS axis, x AS place, count(*) AS n FROM pixels GROUP BY ALL UNION ALL SELECT mask, 1, y, count(*) FROM pixels GROUP BY ALL),
- s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY mask, axis ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lf, sum(n) OVER (PARTITION BY mask, axis) AS area, max(n) OVER (PARTITION BY mask, axis) AS most, min(place) OVER (PARTITION BY mask, axis) AS a, max(place) OVER (PARTITION BY mask, axis) AS b FROM l)
- SELECT mask, axis, place, n / most + 0.18 * abs(1 - 2 * lf / area) AS score FROM s WHERE place >= a + (b - a + 1) * 0.15 AND place <= a + (b - a + 1) * 0.85 AND lf / area >= 0.12 AND 1 - lf / area >= 0.12 QUALIFY row_number() OVER (PARTITION BY mask ORDER BY n / most + 0.18 * abs(1 - 2 * lf / area), axis, place) = 1""")
+def _split_sql(pixels: str) -> str:
+    """cut: the best cut of each mask, every line of the range tried, empty ones too."""
+    return f"""l AS (SELECT mask, 0 AS axis, x AS place, count(*) AS n FROM {pixels} GROUP BY ALL UNION ALL SELECT mask, 1, y, count(*) FROM {pixels} GROUP BY ALL),
+ ax AS (SELECT mask, axis, min(place) AS a, max(place) - min(place) + 1 AS span, max(n) AS most, sum(n) AS area FROM l GROUP BY mask, axis),
+ tried AS (SELECT ax.*, a + o AS place, coalesce((SELECT sum(n) FROM l WHERE l.mask = ax.mask AND l.axis = ax.axis AND l.place < a + o), 0) AS lf, coalesce((SELECT sum(n) FROM l WHERE l.mask = ax.mask AND l.axis = ax.axis AND l.place = a + o), 0) AS n
+  FROM ax, range(1, 64) t(o) WHERE span >= 4 AND o >= greatest(1, floor(span * 0.15)) AND o < least(span - 1, floor(span * 0.85))),
+ cut AS (SELECT mask, axis, place, n / greatest(1.0, most) + 0.18 * (abs(2 * lf - area) / area) AS score FROM tried WHERE least(lf, area - lf) >= area * 0.12
+  QUALIFY row_number() OVER (PARTITION BY mask ORDER BY n / greatest(1.0, most) + 0.18 * (abs(2 * lf - area) / area), axis, place) = 1)"""
+
+
+@query(f"WITH {DERIVED_SQL}, {_split_sql('shapes')} SELECT mask, axis, CAST(place AS INT) AS place, score FROM cut")
 def mask_splits(spark, sf_dir):
-    return masks.split_scan(pixels(spark, sf_dir))
+    return masks.split_scan(shapes(spark, sf_dir))
 
 
-@query()
+_PARTS = "parts AS (SELECT mask, CASE WHEN CASE WHEN axis = 0 THEN x ELSE y END < place THEN 1 ELSE 2 END AS part, x, y FROM {0} JOIN cut USING (mask)), named AS (SELECT mask, part, row_number() OVER (PARTITION BY mask ORDER BY avg(x), avg(y), part) AS region FROM parts GROUP BY mask, part)"
+
+
+@query(f"WITH {DERIVED_SQL}, {_split_sql('pixels')}, {_PARTS.format('pixels')} SELECT mask, CAST(region AS INT) AS region, count(*) AS area, min(x) AS x1, min(y) AS y1 FROM parts JOIN named USING (mask, part) GROUP BY ALL")
+def split_regions(spark, sf_dir):
+    """The two parts of each mask at its best cut, in order of their means."""
+    return masks.split_parts(pixels(spark, sf_dir)).groupBy("mask", "region").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("x1"), F.min("y").alias("y1"))
+
+
+#: Labels of 8-connected components by the least pixel that can be reached, those of 16 pixels or more in bands of rows.
+_COMPONENTS = """steps AS (WITH RECURSIVE r(mask, x, y, label) USING KEY (mask, x, y) AS (SELECT mask, x, y, y * 64 + x FROM shapes
+  UNION SELECT p.mask, p.x, p.y, min(r.label) FROM r JOIN (VALUES (-1,-1),(0,-1),(1,-1),(-1,0),(1,0),(-1,1),(0,1),(1,1)) d(dx, dy) ON true JOIN recurring.r p ON p.mask = r.mask AND p.x = r.x + dx AND p.y = r.y + dy WHERE r.label < p.label GROUP BY p.mask, p.x, p.y) SELECT * FROM r),
+ large AS (SELECT mask, label, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM steps GROUP BY mask, label HAVING count(*) >= 16),
+ comps AS (SELECT *, row_number() OVER (PARTITION BY mask ORDER BY round_even(cy / 7.199999999999999, 0), cx, cy) AS component FROM large)"""
+
+
+@query(f"WITH {DERIVED_SQL}, {_COMPONENTS} SELECT mask, component, area, cx, cy FROM comps")
 def mask_components(spark, sf_dir):
-    return masks.components(pixels(spark, sf_dir), 64, 48)
+    return masks.components(shapes(spark, sf_dir), 64, 48)
+
+
+#: Masks of one or two components; of two, every pixel at the nearer one, the left one of ties.
+_REGIONS = f"""{_COMPONENTS}, number AS (SELECT mask, count(*) AS n FROM comps GROUP BY mask), sided AS (SELECT mask, label, row_number() OVER (PARTITION BY mask ORDER BY cx, cy) AS region FROM comps JOIN number USING (mask) WHERE n = 2),
+ held AS (SELECT steps.mask, x, y, region FROM steps JOIN sided USING (mask, label)), loose AS (SELECT steps.mask, x, y FROM steps JOIN number USING (mask) LEFT JOIN sided USING (mask, label) WHERE n = 2 AND region IS NULL),
+ near AS (SELECT l.mask, l.x, l.y, h.region FROM loose l JOIN held h USING (mask) GROUP BY l.mask, l.x, l.y, h.region QUALIFY row_number() OVER (PARTITION BY l.mask, l.x, l.y ORDER BY min((l.x - h.x) * (l.x - h.x) + (l.y - h.y) * (l.y - h.y)), h.region) = 1),
+ regs AS (SELECT mask, CAST(region AS INT) AS region, x, y FROM held UNION ALL SELECT mask, CAST(region AS INT), x, y FROM near UNION ALL SELECT mask, 1, x, y FROM steps JOIN number USING (mask) WHERE n = 1)"""
+
 
+@query(f"WITH {DERIVED_SQL}, {_REGIONS} SELECT mask, region, count(*) AS area, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM regs GROUP BY ALL")
+def mask_regions(spark, sf_dir):
+    """Regions of masks: two components with all stray pixels at the nearer one, or the whole mask."""
+    parts = masks.regions(shapes(spark, sf_dir), 64, 48)
+    return parts.groupBy("mask", "region").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"))
 
-@query("SELECT mask, count(*) AS area FROM (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM pixels, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1),(1,1),(1,-1),(-1,1),(-1,-1)) d(dx, dy) WHERE dx * dx + dy * dy <= 1.5 AND x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 47) GROUP BY mask")
+
+def _disc_sql(radius: int) -> str:
+    return f"(SELECT dx, dy FROM range(-{radius}, {radius + 1}) a(dx), range(-{radius}, {radius + 1}) b(dy) WHERE abs(dx) <= round_even({radius} * sqrt(({radius * radius} - dy * dy) * (1.0::DOUBLE / {radius * radius})), 0)) d"
+
+
+@query(f"SELECT mask, count(*) AS area, sum(x)::BIGINT AS xs, sum(y)::BIGINT AS ys FROM (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM pixels, {_disc_sql(3)} WHERE x + dx BETWEEN 0 AND 199 AND y + dy BETWEEN 0 AND 149) GROUP BY mask")
 def mask_dilations(spark, sf_dir):
-    return masks.dilated(pixels(spark, sf_dir), 64, 48).groupBy("mask").agg(F.count(F.lit(1)).alias("area"))
+    return masks.dilated(pixels(spark, sf_dir), 200, 150).groupBy("mask").agg(F.count(F.lit(1)).alias("area"), F.sum("x").alias("xs"), F.sum("y").alias("ys"))
 
 
-@query()
+@query(f"SELECT mask, count(*) AS area FROM (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM shapes, {_disc_sql(1)} WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 47) GROUP BY mask")
+def evaluation_masks(spark, sf_dir):
+    """Union of a case's regions, widened."""
+    return masks.evaluation_masks(masks.regions(shapes(spark, sf_dir), 64, 48, strict=False), 64, 48).groupBy("mask").agg(F.count(F.lit(1)).alias("area"))
+
+
+@query(f"""WITH {DERIVED_SQL}, square AS (SELECT dx, dy FROM range(-2, 3) a(dx), range(-2, 3) b(dy)), wide AS (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM shapes, square WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 47),
+ inner_ AS (SELECT s.mask, s.x, s.y FROM shapes s, square LEFT JOIN shapes o ON o.mask = s.mask AND o.x = s.x + dx AND o.y = s.y + dy GROUP BY ALL HAVING count(CASE WHEN o.mask IS NULL AND s.x + dx BETWEEN 0 AND 63 AND s.y + dy BETWEEN 0 AND 47 THEN 1 END) = 0)
+ SELECT mask, count(*) AS area FROM (SELECT * FROM wide EXCEPT SELECT * FROM inner_) GROUP BY mask""")
+def mask_edges(spark, sf_dir):
+    return masks.edges(shapes(spark, sf_dir), 64, 48, 2).groupBy("mask").agg(F.count(F.lit(1)).alias("area"))
+
+
+# the nearest pixel outside is beside one inside: only those beside the mask are tried
+@query(f"""WITH {DERIVED_SQL}, beside AS (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM shapes, (VALUES (1,0),(-1,0),(0,1),(0,-1)) d(dx, dy)), border AS (SELECT * FROM beside EXCEPT SELECT * FROM shapes),
+ far AS (SELECT s.mask, s.x, s.y, min((s.x - b.x) * (s.x - b.x) + (s.y - b.y) * (s.y - b.y)) AS d FROM shapes s JOIN border b USING (mask) GROUP BY ALL) SELECT mask, x, y FROM far QUALIFY row_number() OVER (PARTITION BY mask ORDER BY d DESC, y, x) = 1""")
 def mask_inner_points(spark, sf_dir):
-    return masks.innermost_points(pixels(spark, sf_dir), 64, 48)
+    return masks.innermost_points(shapes(spark, sf_dir), 64, 48)
 
 
-_CENTRES = "(VALUES (0, 10, 10), (1, 50, 12), (2, 30, 40)) c(centre, cx, cy)"
+_CENTRES = "(VALUES (0, 10.0, 10.0, 4, 8), (1, 50.0, 12.0, 20, 5), (2, 30.0, 40.0, 0, 9)) c(centre, cx, cy, sx, sy)"
+_FAR = "((x - cx) / greatest(1.0, sx)) * ((x - cx) / greatest(1.0, sx)) + ((y - cy) / greatest(1.0, sy)) * ((y - cy) / greatest(1.0, sy))"
 
 
-@query(f"SELECT mask, centre, count(*) AS pixels FROM (SELECT mask, x, y, centre FROM pixels, {_CENTRES} QUALIFY row_number() OVER (PARTITION BY mask, x, y ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), centre) = 1) GROUP BY ALL")
+@query(f"SELECT mask, centre, count(*) AS pixels FROM (SELECT mask, x, y, centre FROM pixels, {_CENTRES} QUALIFY row_number() OVER (PARTITION BY mask, x, y ORDER BY {_FAR}, centre) = 1) GROUP BY ALL")
 def nearest_centres(spark, sf_dir):
+    """Pixels by the nearest of three boxes' centres, in units of the boxes' sides."""
     p = pixels(spark, sf_dir)
-    three = F.explode(F.array(*[F.struct(F.lit(c).alias("centre"), F.lit(x).alias("cx"), F.lit(y).alias("cy")) for c, x, y in ((0, 10, 10), (1, 50, 12), (2, 30, 40))])).alias("c")
-    centres = p.select("mask").distinct().select("mask", three).select("mask", "c.*")
+    rows = [F.struct(*[F.lit(v).alias(k) for k, v in zip(("centre", "cx", "cy", "sx", "sy"), r, strict=True)]) for r in ((0, 10.0, 10.0, 4, 8), (1, 50.0, 12.0, 20, 5), (2, 30.0, 40.0, 0, 9))]
+    centres = p.select("mask").distinct().select("mask", F.explode(F.array(*rows)).alias("c")).select("mask", "c.*")
     return joins.nearest(p, centres, "mask").groupBy("mask", "centre").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@query(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Replace the ' || p_name || ' with a big ' || p_name || '.' WHEN 1 THEN 'swap it for  two ' || p_name || '!' WHEN 2 THEN 'Turn the thing into ' || p_name || '' ELSE 'Add a ' || p_name END AS s FROM part)
- SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a big ' || regexp_extract(s, '(?i)\breplace the (.*) with', 1) WHEN 1 THEN regexp_extract(s, 'swap it for  (.*)!', 1) WHEN 2 THEN regexp_extract(s, 'into (.*)$', 1) END AS target,
- regexp_replace(regexp_replace(s, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') || '-' || substr(sha256(s), 1, 8) AS file,
- replace(replace(s, '&', '&amp;'), '<', '&lt;') AS escaped FROM t""")
+_TWO = "two AS (SELECT mask, 1 AS region, mask % 20 AS x1, mask % 13 AS y1, mask % 20 + 30 AS x2, 48 AS y2 FROM (SELECT DISTINCT mask FROM shapes) UNION ALL SELECT mask, 2, 20 + mask % 9, 10, 64, 48 FROM (SELECT DISTINCT mask FROM shapes))"
+
+
+@query(f"""WITH {DERIVED_SQL}, {_TWO}, inst AS (SELECT s.mask, region, x, y FROM shapes s JOIN two USING (mask) WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2 AND (x + y) % 7 > 0), own AS (SELECT mask, x, y, min(region) AS region FROM inst GROUP BY ALL HAVING count(*) = 1),
+ near AS (SELECT s.mask, s.x, s.y, two.region FROM shapes s JOIN two USING (mask) ANTI JOIN own USING (mask, x, y) QUALIFY row_number() OVER (PARTITION BY s.mask, s.x, s.y ORDER BY ((s.x - (x1 + x2) / 2) / (x2 - x1)) * ((s.x - (x1 + x2) / 2) / (x2 - x1)) + ((s.y - (y1 + y2) / 2) / (y2 - y1)) * ((s.y - (y1 + y2) / 2) / (y2 - y1)), two.region) = 1),
+ dealt AS (SELECT mask, region, x, y FROM own UNION ALL SELECT mask, region, x, y FROM near), bad AS (SELECT mask FROM (SELECT mask, region, count(*) AS n FROM dealt GROUP BY ALL) GROUP BY mask HAVING min(n) < 16 OR count(*) < 2), again AS (SELECT * FROM shapes SEMI JOIN bad USING (mask)),
+ {_split_sql('again')}, {_PARTS.format('again')} SELECT mask, CAST(region AS INT) AS region, count(*) AS area FROM (SELECT mask, region, x, y FROM dealt ANTI JOIN bad USING (mask) UNION ALL SELECT mask, named.region, x, y FROM parts JOIN named USING (mask, part)) GROUP BY ALL""")
+def instance_partition(spark, sf_dir):
+    """Masks dealt to two overlapping instances with gaps; where one would keep fewer than 16 pixels, split at the best cut instead."""
+    whole = shapes(spark, sf_dir)
+    ids, m = whole.select("mask").distinct(), F.col("mask")
+    box = lambda r, *v: F.struct(F.lit(r).alias("region"), *[(F.lit(x) if isinstance(x, int) else x).cast("int").alias(k) for k, x in zip(("x1", "y1", "x2", "y2"), v, strict=True)])
+    boxes = ids.select("mask", F.explode(F.array(box(1, m % 20, m % 13, m % 20 + 30, 48), box(2, 20 + m % 9, 10, 64, 48))).alias("b")).select("mask", "b.*")
+    x, y = F.col("x"), F.col("y")
+    inside = (x >= F.col("x1")) & (x < F.col("x2")) & (y >= F.col("y1")) & (y < F.col("y2")) & ((x + y) % 7 > 0)
+    instances = whole.join(boxes, "mask").filter(inside).select("mask", "region", "x", "y")
+    parts = masks.whole_parts(joins.partition(whole, instances, boxes), whole)
+    return parts.groupBy("mask", "region").agg(F.count(F.lit(1)).alias("area"))
+
+
+@query(r"""SELECT mask, wanted AS target, regexp_replace(regexp_replace(instruction_original, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') || '-' || substr(sha256(instruction_original), 1, 8) AS file,
+ replace(replace(instruction_original || '<&>', '&', '&amp;'), '<', '&lt;').replace('>', '&gt;') AS escaped, contains(lower(case_id || ' ' || instruction_original), 'big') AS hit FROM selections""")
 def instruction_texts(spark, sf_dir):
-    n = F.col("p_name")
-    s = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Replace the "), n, F.lit(" with a big "), n, F.lit("."))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("swap it for  two "), n, F.lit("!"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("Turn the thing into "), n)).otherwise(F.concat(F.lit("Add a "), n))
-    t = table(spark, sf_dir, "part").select("p_partkey", s.alias("s"))
-    return t.select("p_partkey", text.replacement_target(F.col("s")).alias("target"), text.safe_name(F.col("s")).alias("file"), text.html_escape(F.col("s")).alias("escaped"))
+    """Targets by all six patterns and none, file names, escaped texts, search hits."""
+    t, i = selections(spark, sf_dir), F.col("instruction_original")
+    return t.select("mask", text.replacement_target(i).alias("target"), text.safe_name(i).alias("file"), text.html_escape(F.concat(i, F.lit("<&>"))).alias("escaped"), text.gallery_hit("BIG", F.col("case_id"), i).alias("hit"))
+
+
+_BARE = "trim(regexp_replace(instruction_original, '\\s+', ' ', 'g'))"
+_UPPER = f"regexp_replace(upper(substr({_BARE}, 1, 1)) || substr({_BARE}, 2), '\\.+$', '')"
+_ONLY = f"""CASE WHEN edit_type = 'counting' OR needs_reference THEN NULL
+ WHEN edit_type IN ('remove', 'multi_object_remove') THEN CASE WHEN n = 1 THEN 'Remove {{region_1}}.' ELSE 'Remove {{region_1}} and {{region_2}}.' END
+ WHEN rewrite IS NOT NULL THEN rewrite WHEN edit_type = 'add' THEN 'Use {{region_1}} as the exact placement region. ' || {_UPPER} || '.'
+ WHEN edit_type = 'multi_object_add' AND n = 1 THEN 'Add a ' || p_name || ' in {{region_1}}.'
+ WHEN edit_type = 'multi_object_add' AND mask % 4 < 2 THEN 'Add a ' || p_name || ' in {{region_1}} and a ' || p_name || ' in {{region_2}}.'
+ WHEN edit_type = 'multi_object_add' THEN 'Add a ' || p_name || ' in {{region_1}} and one ' || p_brand || ' in {{region_2}}.'
+ WHEN wanted IS NOT NULL THEN 'Replace {{region_1}} with ' || wanted || '.' ELSE 'Edit {{region_1}} to match this expected result: ' || local_caption || '.' END"""
+#: Regions of a selection as far as its captions allow: two captions need two regions where several objects are added.
+_N = "CASE WHEN edit_type = 'multi_object_add' AND mask % 4 >= 2 THEN 2 ELSE 1 + mask % 2 END"
+_SPOKEN = {
+    "mask": ("the region marked by the red mask in Image 2", "R1 (red mask) in Image 2", "R2 (green mask) in Image 2"),
+    "box": ("the region inside the red box in Image 2", "R1 (red box) in Image 2", "R2 (green box) in Image 2"),
+    "point": ("the object or location at the center of the red point in Image 2", "the object or location at the center of R1 (red point) in Image 2", "the object or location at the center of R2 (green point) in Image 2"),
+}
 
 
-@query("""SELECT eval_index, CASE WHEN region_count = 1 THEN 'Remove {region_1}.' ELSE 'Remove {region_1} and {region_2}.' END AS instruction, region_count AS found,
- CASE WHEN region_count = 1 THEN 'the box' ELSE 'the box R1 and the box R2' END AS named FROM cases WHERE edit_type = 'remove'""")
+def _prompt_sql(only: str, kind: str) -> str:
+    one, first, second = _SPOKEN[kind]
+    named = f"CASE WHEN n = 1 THEN replace({only}, '{{region_1}}', '{one}') ELSE replace(replace({only}, '{{region_1}}', '{first}'), '{{region_2}}', '{second}') END"
+    return f"'Edit Image 1. ' || {named} || ' Keep everything else unchanged. Return only the edited Image 1 without any markers from Image 2.'"
+
+
+def _selected(spark, sf_dir):
+    """Selections that aren't of polygons with their number of regions and their region-only instruction."""
+    given = selections(spark, sf_dir).filter("source_dataset <> 'POLYGON'").drop("rewrite")
+    rewrites = selections(spark, sf_dir).filter("rewrite is not null").select("case_id", "rewrite")
+    rows = text.rewritten_instruction(given, rewrites, (F.col("source_dataset") == "EDITED") & (F.col("edit_type") == "add"))
+    n = F.when((F.col("edit_type") == "multi_object_add") & (F.col("mask") % 4 >= 2), 2).otherwise(1 + F.col("mask") % 2).cast("int")
+    only = text.region_only_instruction(F.col("edit_type"), F.col("n"), F.col("instruction_original"), F.col("local_caption"), F.col("rewrite"), F.col("needs_reference"))
+    return rows.withColumn("n", n).withColumn("only", only)
+
+
+_SELECTED = f"sel AS (SELECT *, {_ONLY} AS alone FROM (SELECT *, {_N} AS n FROM selections WHERE source_dataset <> 'POLYGON'))"
+
+
+@query(f"""WITH {DERIVED_SQL}, {_SELECTED} SELECT mask, alone AS instruction, {', '.join(f"{_prompt_sql('alone', k)} AS {k}" for k in _SPOKEN)}, replace(local_caption, ' | ', CASE WHEN edit_type = 'multi_object_add' THEN '; ' ELSE ' ;  ' END) AS content FROM sel""")
 def region_instructions(spark, sf_dir):
-    c = cases(spark, sf_dir).filter("edit_type = 'remove'")
-    made = text.region_only_instruction(F.col("edit_type"), F.col("region_count"), F.col("case_id"), F.array("case_id"))
-    rows = c.withColumn("instruction", made)
-    named = F.regexp_extract(text.locator_prompt(F.col("instruction"), F.col("region_count"), "box"), r"Remove (.*)\.$", 1)
-    return rows.select("eval_index", "instruction", F.size(text.placeholders(F.col("instruction"))).alias("found"), named.alias("named"))
+    """Region-only instructions of every edit type, the prompts of all three locators, and the texts of what regions are to show."""
+    rows = _selected(spark, sf_dir)
+    return rows.select("mask", F.col("only").alias("instruction"), *[text.locator_prompt(F.col("only"), F.col("n"), k).alias(k) for k in _SPOKEN], text.local_content(F.col("edit_type"), F.col("local_caption")).alias("content"))
+
+
+_PREPARED = "prepared AS (" + " UNION ALL ".join(
+    [f"SELECT mask AS eval_index, 'text_only' AS setting, {_BARE} AS prompt, 'source' AS roles, 'source/' || lpad(mask::VARCHAR, 4, '0') || '.png' AS images FROM sel WHERE alone IS NOT NULL"]
+    + [f"SELECT mask, '{k}_annotation', {_prompt_sql('alone', k)}, 'source,{k}', 'source/' || lpad(mask::VARCHAR, 4, '0') || '.png,{k}/' || lpad(mask::VARCHAR, 4, '0') || '.png' FROM sel WHERE alone IS NOT NULL" for k in _SPOKEN]
+) + ")"
+
 
+def _prepared(spark, sf_dir):
+    rows = _selected(spark, sf_dir).filter("only is not null")
+    return prepare.prepared(rows.select(F.col("mask").alias("eval_index"), F.col("n").alias("region_count"), text.clean(F.col("instruction_original")).alias("instruction"), F.col("only").alias("region_instruction")))
 
-@query(f"SELECT setting, count(*) AS items, sum(CASE setting WHEN 'text_only' THEN 1 ELSE 2 END)::BIGINT AS images FROM cases, unnest({list(SETTINGS)!r}) s(setting) GROUP BY setting")
+
+@query(f"WITH {DERIVED_SQL}, {_SELECTED}, {_PREPARED} SELECT * FROM prepared")
 def prepared_inputs(spark, sf_dir):
-    c = cases(spark, sf_dir).select("eval_index", "region_count", F.concat(F.lit("Edit "), "case_id").alias("instruction"), F.array_join(text.region_references(F.col("region_count")), " and ").alias("region_instruction"))
-    return prepare.prepared(c).groupBy("setting").agg(F.count(F.col("prompt")).alias("items"), F.sum(F.size("images")).alias("images"))
+    return _prepared(spark, sf_dir).select("eval_index", "setting", "prompt", F.array_join("roles", ",").alias("roles"), F.array_join("images", ",").alias("images"))
+
+
+@query(f"""WITH {DERIVED_SQL}, {_SELECTED}, {_PREPARED}, cut AS (SELECT * FROM prepared WHERE NOT (eval_index % 10 = 0 AND setting = 'box_annotation') AND eval_index % 17 > 0),
+ per AS (SELECT eval_index, count(*) AS n FROM cut GROUP BY eval_index) SELECT eval_index, 'settings' AS rule FROM per WHERE n <> 4 UNION ALL SELECT eval_index, 'gap' FROM per WHERE eval_index <> 0 AND eval_index - 1 NOT IN (SELECT eval_index FROM per)
+ UNION ALL SELECT DISTINCT eval_index, 'prompt' FROM cut WHERE eval_index % 6 = 1 UNION ALL SELECT DISTINCT eval_index, 'roles' FROM cut WHERE setting = 'mask_annotation' AND eval_index % 4 = 1 UNION ALL SELECT DISTINCT eval_index, 'protocol' FROM cut WHERE eval_index % 9 = 4""")
+def prepared_errors(spark, sf_dir):
+    """What a damaged table of prepared inputs breaks."""
+    i = F.col("eval_index")
+    rows = _prepared(spark, sf_dir).filter(~((i % 10 == 0) & (F.col("setting") == "box_annotation")) & (i % 17 > 0))
+    wrong = {"prompt": F.when(i % 6 == 1, " \t").otherwise(F.col("prompt")), "roles": F.when((i % 4 == 1) & (F.col("setting") == "mask_annotation"), F.array(F.lit("source"), F.lit("target"))).otherwise(F.col("roles")), "protocol": F.when(i % 9 == 4, "old").otherwise("new")}
+    return prepare.contract(rows.withColumns(wrong), "new")
+
+
+@query(f"WITH {DERIVED_SQL}, {_SELECTED}, {_PREPARED} SELECT eval_index, setting FROM prepared WHERE eval_index % 4 = 1 AND setting = 'mask_annotation'")
+def leaking_inputs(spark, sf_dir):
+    """Inputs that would show the target."""
+    bad = (F.col("eval_index") % 4 == 1) & (F.col("setting") == "mask_annotation")
+    return prepare.leaks_target(_prepared(spark, sf_dir).withColumn("roles", F.when(bad, F.array(F.lit("source"), F.lit("target"))).otherwise(F.col("roles")))).select("eval_index", "setting")
+
+
+@query(f"""WITH {DERIVED_SQL}, {_SELECTED} SELECT mask, 'edit_type' AS field FROM sel WHERE mask % 5 = 1 AND mask % 8 > 0 UNION ALL SELECT mask, 'instruction_original' FROM sel WHERE mask % 6 = 4 AND mask % 8 > 0 UNION ALL SELECT mask, 'missing' FROM sel WHERE mask % 8 = 0""")
+def frozen_differences(spark, sf_dir):
+    """Fields in which a frozen copy of a table differs from it, row by row."""
+    rows = _selected(spark, sf_dir).select("mask", "case_id", "edit_type", "instruction_original", "target_prompt")
+    m = F.col("mask")
+    frozen = rows.filter(m % 8 > 0).withColumns({"edit_type": F.when(m % 5 == 1, "other").otherwise(F.col("edit_type")), "instruction_original": F.when(m % 6 == 4, None).otherwise(F.col("instruction_original"))})
+    return joins.same_rows(rows, frozen, "mask", ["case_id", "edit_type", "instruction_original", "target_prompt"])
+
+
+_PATH = "lower(source_dataset)"
+_FILE = "regexp_replace(regexp_replace({0}, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') || '-' || substr(sha256({0}), 1, 8)"
+_STATED = "CASE WHEN source_dataset = 'POLYGON' THEN region_only ELSE alone END"
+_FAR_IN = "beside AS (SELECT DISTINCT mask, region, x + dx AS x, y + dy AS y FROM regs, (VALUES (1,0),(-1,0),(0,1),(0,-1)) d(dx, dy)), border AS (SELECT * FROM beside EXCEPT SELECT mask, region, x, y FROM regs), far AS (SELECT s.mask, s.region, s.x, s.y, min((s.x - b.x) * (s.x - b.x) + (s.y - b.y) * (s.y - b.y)) AS d FROM regs s JOIN border b USING (mask, region) GROUP BY ALL), deep AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY mask, region ORDER BY d DESC, y, x) = 1)"
+
+
+@query(f"""WITH {DERIVED_SQL}, {_REGIONS}, {_FAR_IN}, bx AS (SELECT mask, region, greatest(0, min(x) - 1) AS x1, greatest(0, min(y) - 1) AS y1, least(64, max(x) + 2) AS x2, least(48, max(y) + 2) AS y2 FROM regs GROUP BY ALL), cnt AS (SELECT mask, max(region) AS n FROM regs GROUP BY mask),
+ sel AS (SELECT *, {_ONLY} AS alone FROM selections JOIN cnt USING (mask) WHERE edit_type <> 'multi_object_add' OR mask % 4 < 2 OR n = 2)
+ SELECT case_id AS id, bx.region, {_PATH} AS source_dataset, CASE edit_type WHEN 'multi_object_add' THEN 'add' WHEN 'multi_object_remove' THEN 'remove' ELSE edit_type END AS edit_type, 'images/source/' || {_PATH} || '/' || {_FILE.format('source_group')} || '.png' AS source_image,
+ {_BARE} AS located, {_STATED} AS regional, 'regions/input/' || {_PATH} || '/' || {_FILE.format('case_id')} || '_r' || lpad(bx.region::VARCHAR, 2, '0') || '.png' AS mask_path, x1 || ',' || y1 || ',' || x2 || ',' || y2 AS box, deep.x || ',' || deep.y AS point,
+ CASE WHEN source_dataset <> 'POLYGON' THEN 'images/target/' || {_PATH} || '/' || {_FILE.format('case_id')} || '.png' END AS reference, trim(regexp_replace(target_prompt, '\\s+', ' ', 'g')) AS expected, coalesce(same_class, true) AS same_class FROM sel JOIN bx USING (mask) JOIN deep USING (mask, region)""")
+def built_cases(spark, sf_dir):
+    """Nested cases from selections and derived regions, one row a region."""
+    found = build.region_assets(masks.regions(shapes(spark, sf_dir), 64, 48, strict=False), 64, 48)
+    chosen = selections(spark, sf_dir).join(found, "mask")
+    fits = (F.col("edit_type") != "multi_object_add") | (F.col("mask") % 4 < 2) | (F.size("regions") == 2)
+    rows = build.built_cases(chosen.filter(fits).drop("regions"), chosen.select("case_id", "regions"))
+    flat = rows.select("*", F.posexplode("regions").alias("at", "r"))
+    return flat.select(
+        "id", (F.col("at") + 1).alias("region"), "source_dataset", "edit_type", "source_image", F.col("instruction.with_location_reference").alias("located"), F.col("instruction.region_only").alias("regional"),
+        F.col("r.mask").alias("mask_path"), F.array_join("r.box", ",").alias("box"), F.array_join("r.point", ",").alias("point"), F.col("target.reference_image").alias("reference"),
+        F.col("target.expected_global_description").alias("expected"), F.col("difficulty.same_class_multi_instance").alias("same_class"),
+    )
 
 
 @query("SELECT eval_index, sha256('{\"case_id\": \"' || case_id || '\", \"eval_index\": ' || eval_index || '}') AS digest FROM cases")
 def case_digests(spark, sf_dir):
-    return cases(spark, sf_dir).select("eval_index", record_functions.digest(F.to_json(F.struct("eval_index", "case_id"))).alias("digest"))
+    rows = cases(spark, sf_dir)
+    return rows.select("eval_index", record_functions.digest_of({c: rows.schema[c].dataType for c in ("case_id", "eval_index")}).alias("digest"))
 
 
 @query("""SELECT CASE WHEN l_linenumber > 4 THEN 'axis' WHEN l_linenumber = 4 THEN 'trailing' ELSE 'good' END AS reply, count(*) AS n, count(CASE WHEN l_linenumber < 4 THEN 1 END) AS accepted, sum(CASE WHEN l_linenumber < 4 THEN l_linenumber END)::BIGINT AS edits FROM lineitem GROUP BY ALL""")
@@ -324,14 +548,65 @@ def parsed_replies(spark, sf_dir):
     return rows.groupBy("reply").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p.error").isNull()).alias("accepted"), F.sum("p.edit").alias("edits"))
 
 
-def _backend(rows: list[dict]) -> list[str]:
-    return [f'{{"edit": {r["eval_index"] % 5}, "preservation": 4, "quality": 3, "edit_evidence": "e", "preservation_evidence": "p", "quality_evidence": "q"}}' if r["eval_index"] % 11 else "none" for r in rows]
+_REPLY = """'<think>hm</think>{{"edit": ' || coalesce({0}edit::VARCHAR, 'null') || ', "preservation": ' || coalesce({0}preservation::VARCHAR, 'null') || ', "quality": ' || coalesce({0}quality::VARCHAR, 'null') || ', "edit_evidence": "e", "preservation_evidence": "p", "quality_evidence": "q"}}'"""
+
+
+def _recorded_jobs(spark, sf_dir):
+    """Jobs of all cases with the replies that were recorded for them, two at most, as their prompt."""
+    r = records(spark, sf_dir)
+    score = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    good = F.concat(F.lit('<think>hm</think>{"edit": '), score("edit"), F.lit(', "preservation": '), score("preservation"), F.lit(', "quality": '), score("quality"), F.lit(', "edit_evidence": "e", "preservation_evidence": "p", "quality_evidence": "q"}'))
+    said = F.when(F.col("status") == "judge_parse_error", F.lit("I can't say")).otherwise(good)
+    reply = F.struct("line", F.struct(said.alias("text"), F.when(F.col("status") == "pending", "length").otherwise("stop").alias("finish_reason")).alias("r"))
+    replies = r.groupBy("eval_index", "method", "setting").agg(F.to_json(F.slice(F.transform(F.array_sort(F.collect_list(reply)), lambda x: x["r"]), 1, 2)).alias("prompt"))
+    all_jobs = judge.jobs(cases(spark, sf_dir).select("eval_index", "case_id", "edit_type", "source_dataset", "split"), r, "run-1", conflicts=cases(spark, sf_dir).filter("eval_index % 50 = 21"))
+    return all_jobs.join(replies, ["eval_index", "method", "setting"], "left").withColumns({"source_image": F.lit("before.png"), "output_image": F.lit("after.png")})
+
+
+_TRIED = f"""tried AS (SELECT eval_index, method, setting, line, status, edit, preservation, quality, row_number() OVER (PARTITION BY eval_index, method, setting ORDER BY line) AS turn FROM records),
+ ok AS (SELECT *, status NOT IN ('judge_parse_error', 'pending') AS good FROM tried WHERE turn <= 2),
+ done AS (SELECT eval_index, method, setting, min(turn) FILTER (good) AS turn FROM ok GROUP BY ALL),
+ result AS (SELECT g.eval_index, g.method, g.setting, CASE WHEN d.eval_index IS NULL THEN 'missing_output' WHEN g.eval_index % 50 = 21 THEN 'annotation_conflict' WHEN d.turn IS NULL THEN 'judge_parse_error' ELSE 'ok' END AS status, d.turn FROM grid g LEFT JOIN done d USING (eval_index, method, setting)),
+ scored_result AS (SELECT r.*, CASE WHEN r.status = 'ok' THEN o.edit END AS edit, CASE WHEN r.status IN ('missing_output', 'annotation_conflict') THEN 0 ELSE coalesce(r.turn, 2) END AS attempts FROM result r LEFT JOIN ok o ON o.eval_index = r.eval_index AND o.method = r.method AND o.setting = r.setting AND o.turn = r.turn)"""
 
 
-@query(f"WITH {DERIVED_SQL}, {_GRID}, made AS (SELECT DISTINCT eval_index, method, setting FROM records) SELECT CASE WHEN m.eval_index IS NULL THEN 'missing_output' WHEN g.eval_index % 11 = 0 THEN 'judge_parse_error' ELSE 'ok' END AS status, CASE WHEN m.eval_index IS NOT NULL AND g.eval_index % 11 > 0 THEN CAST(g.eval_index % 5 AS INT) END AS edit, count(*) AS n FROM grid g LEFT JOIN made m USING (eval_index, method, setting) GROUP BY ALL")
+@query(f"WITH {DERIVED_SQL}, {_GRID}, {_TRIED} SELECT method, setting, status, attempts, count(*) AS n, sum(edit)::BIGINT AS edits FROM scored_result GROUP BY ALL")
 def judged_jobs(spark, sf_dir):
-    todo = judge.jobs(cases(spark, sf_dir), records(spark, sf_dir), "run-1")
-    return judge.judged(todo, _backend).groupBy("status", "edit").agg(F.count(F.lit(1)).alias("n"))
+    """Recorded replies judged again: malformed and cut ones are asked for once more."""
+    got = judge.judged(_recorded_jobs(spark, sf_dir), judge.recorded())
+    return got.groupBy("method", "setting", "status", F.size("attempts").alias("attempts")).agg(F.count(F.lit(1)).alias("n"), F.sum("edit").alias("edits"))
+
+
+_JOB_JSON = """'{"case_id": "' || case_id || '", "edit_type": "' || edit_type || '", "eval_index": ' || eval_index || ', "method": "' || method || '", "setting": "' || setting || '", "source_dataset": "' || source_dataset || '", "split": "' || split || '"}'"""
+
+
+@query(f"""WITH {DERIVED_SQL}, {_GRID}, d AS (SELECT *, sha256({_JOB_JSON}) AS input_digest FROM grid JOIN cases USING (eval_index))
+ SELECT lpad(eval_index::VARCHAR, greatest(4, length(eval_index::VARCHAR))::INT, '0') || '/' || method || '/' || setting AS sample_id, input_digest, sha256('{{"input": "' || input_digest || '", "run_id": "run-1", "variant": "first"}}') AS key FROM d""")
+def job_keys(spark, sf_dir):
+    """Digests of all jobs' inputs and keys of their records."""
+    rows = cases(spark, sf_dir).select("eval_index", "case_id", "edit_type", "source_dataset", "split")
+    return judge.jobs(rows, records(spark, sf_dir), "run-1").select("sample_id", "input_digest", "key")
+
+
+@query(f"WITH {DERIVED_SQL} SELECT eval_index, method, setting, row_number() OVER (ORDER BY list_position({list(METHODS)!r}, method), list_position({list(SETTINGS)!r}, setting), eval_index) - 1 AS position FROM judge_records")
+def job_order(spark, sf_dir):
+    return judge.ordered(judge_records(spark, sf_dir).select("eval_index", "method", "setting"))
+
+
+@query(f"WITH {DERIVED_SQL}, {_GRID}, p AS (SELECT *, row_number() OVER (ORDER BY list_position({list(METHODS)!r}, method), list_position({list(SETTINGS)!r}, setting), eval_index) - 1 AS position FROM grid JOIN cases USING (eval_index)) SELECT eval_index, method, setting, position FROM p WHERE split = 'dev' ORDER BY position LIMIT 500")
+def dev_jobs(spark, sf_dir):
+    """The first jobs of the development split in job order."""
+    rows = joins.expected_jobs(cases(spark, sf_dir).select("eval_index", "split"))
+    return judge.selected(judge.ordered(rows), "dev", 500).select("eval_index", "method", "setting", "position")
+
+
+_RUBRIC = "Judge the edit."
+
+
+@query(f"""WITH {DERIVED_SQL}, {_SELECTED} SELECT mask, 'Judge the edit.' || chr(10) || 'TASK:' || chr(10) || '{{"instruction": "' || instruction_original || '", "region_instruction": ' || coalesce('"' || alone || '"', 'null') || ', "target_contours": [' || CASE WHEN n = 1 THEN '"R1 = red contour"' ELSE '"R1 = red contour", "R2 = green contour"' END || ']}}' AS prompt FROM sel""")
+def judge_prompts(spark, sf_dir):
+    rows = _selected(spark, sf_dir)
+    return rows.select("mask", text.judge_prompt(_RUBRIC, F.col("instruction_original"), F.col("only"), F.col("n")).alias("prompt"))
 
 
 @query()
@@ -379,11 +654,12 @@ def mask_thresholds(spark, sf_dir):
     return above.join(audit.thresholded(values, inverted=True).groupBy("mask").agg(F.count(F.lit(1)).alias("below")), "mask")
 
 
-@query("SELECT mask, bx1, by1, bx2, by2, count(CASE WHEN x >= 3 AND x < 31 AND y >= 5 AND y < 26 THEN 1 END) / (28 * 21.0) AS coverage FROM (SELECT mask, x, y, 3.5::DOUBLE AS bx1, 5.2::DOUBLE AS by1, 30.1::DOUBLE AS bx2, 25.5::DOUBLE AS by2 FROM pixels) GROUP BY ALL")
+@query("SELECT mask, bx1, by1, bx2, by2, count(CASE WHEN x >= 0 AND x < 31 AND y >= 5 AND y < 48 THEN 1 END) / (31 * 43.0) AS coverage FROM (SELECT mask, x, y, -3.5::DOUBLE AS bx1, 5.2::DOUBLE AS by1, 30.1::DOUBLE AS bx2, 55.5::DOUBLE AS by2 FROM pixels) GROUP BY ALL")
 def box_coverage(spark, sf_dir):
+    """Coverage of a box that reaches beyond the canvas."""
     p = pixels(spark, sf_dir)
-    boxed = p.select("mask").distinct().select("mask", F.lit(3.5).alias("bx1"), F.lit(5.2).alias("by1"), F.lit(30.1).alias("bx2"), F.lit(25.5).alias("by2"))
-    return masks.coverage(p, boxed)
+    boxed = p.select("mask").distinct().select("mask", F.lit(-3.5).alias("bx1"), F.lit(5.2).alias("by1"), F.lit(30.1).alias("bx2"), F.lit(55.5).alias("by2"))
+    return masks.coverage(p, boxed, 64, 48)
 
 
 @query("""SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_quantity) AS rank FROM lineitem) WHERE rank <= 2""")
@@ -393,7 +669,7 @@ def top_candidates(spark, sf_dir):
     return order.top_candidates(rows, "k", "score", "tie", 2).select("k", "n", "score", "rank")
 
 
-@query()
+@query(f"WITH {_LINE_BOX}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x2 - x1 DESC, n, x1, y1, y2) AS nth FROM lb), a AS (SELECT * FROM o WHERE nth = 1), s AS (SELECT a.k, min(b.nth) AS nth FROM a JOIN o b ON a.k = b.k AND b.nth > 1 WHERE {_BOTH} < 0.65 GROUP BY a.k) SELECT o.k, CAST(CASE WHEN any_value(s.nth) IS NULL THEN 1 ELSE 2 END AS INT) AS kept, CAST(count(*) AS INT) AS boxes FROM o LEFT JOIN s USING (k) GROUP BY o.k")
 def boxes_apart(spark, sf_dir):
     """Per case the boxes, widest first, that overlap none kept before by 0.65, two at most."""
     boxes = _boxes(spark, sf_dir).withColumn("w", F.element_at("box", 3) - F.element_at("box", 1))

@@ -57,6 +57,53 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_suppkey").alias("mask"), (F.col("l_partkey") % 64).cast("int").alias("x"), (F.col("l_quantity").cast("int") % 48).alias("y")).distinct()
 
 
+def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections of cases, one a part: all sources and edit types, instructions of all forms, captions of one or two objects."""
+    p, n, b = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
+    words = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    forms = [words("Replace the ", b, " with a big ", n, "."), words("swap it for  two ", n, "!"), words("Turn the thing into ", n), words("the cup is replaced with ", n, ".."), words("it turns into ", n, "!"), words("please switch to ", n, "."), words("make it  nicer.")]
+    instruction = F.element_at(F.array(*forms), (p % 7).cast("int") + 1)
+    dataset, group = pick(DATASETS, p), F.floor(p / 3)
+    kind = F.when(p % 3 == 1, pick(("add", "remove", "replace"), group)).otherwise(pick(("add", "remove", "replace", "multi_object_add", "multi_object_remove", "counting"), group))
+    return table(spark, sf_dir, "part").select(
+        p.cast("long").alias("mask"), words("part ", p.cast("string")).alias("case_id"), dataset.alias("source_dataset"), words("group ", (p % 11).cast("string")).alias("source_group"),
+        kind.alias("edit_type"), instruction.alias("instruction_original"), F.when(p % 4 < 2, words("a ", n)).otherwise(words("a ", n, " | one ", b)).alias("local_caption"),
+        F.when(p % 5 > 0, words(" all of  ", n)).alias("target_prompt"), F.when(p % 3 == 2, words("For {region_1}, use ", n, ".")).alias("region_only"),
+        F.when((p % 3 == 1) & (group % 3 == 0), words("Add ", n, " in {region_1}.")).alias("rewrite"), (p % 13 == 0).alias("needs_reference"),
+        F.when(p % 2 == 0, p % 4 == 0).alias("same_class"), F.lit(None).cast("boolean").alias("multi_object"),
+    )
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels (mask, x, y) of one or two rectangles and a stray pixel for each part, on a canvas of 64 by 48."""
+    p = F.col("p_partkey")
+    rect = lambda x, y, w, h: F.struct(*[v.cast("int").alias(k) for k, v in zip("xywh", (x, y, w, h), strict=True)])
+    first = rect(p % 20, p % 13, 6 + p % 9, 5 + p % 7)
+    second = F.when(p % 4 > 0, rect(22 + p % 23, 14 + p % 17, 5 + p % 6, 4 + p % 5))
+    stray = rect(p % 64, 47 - p % 5, F.lit(1), F.lit(1))
+    each = table(spark, sf_dir, "part").select(p.cast("long").alias("mask"), F.explode(F.array_compact(F.array(first, second, stray))).alias("r"))
+    rows = each.select("mask", "r", F.explode(F.sequence(F.col("r.x"), F.col("r.x") + F.col("r.w") - 1)).alias("x"))
+    return rows.select("mask", "x", F.explode(F.sequence(F.col("r.y"), F.col("r.y") + F.col("r.h") - 1)).alias("y")).distinct()
+
+
+def judge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of cases with every method and setting once: twenty events in a row are a case."""
+    e, cents = F.col("event_id"), F.round(F.col("value") * 100).cast("long")
+    case, m, s = F.floor(e / 20), e % 5, F.floor(e / 5) % 4
+    bad = (case % 4 == 0) & (F.col("event_type") == "error")
+    status = F.when(bad & (F.col("user_id") % 3 == 0), "missing_output").when(bad, "judge_parse_error").otherwise("ok")
+    easy = ((case % 6 == 1) & (m <= 1) & (cents % 4 != 0)) | ((case % 6 == 5) & (s == 0))
+    most = F.when(case % 12 == 3, 2).when(case % 12 == 9, 3).when(case % 6 == 5, 4).otherwise(5)
+    rows = table(spark, sf_dir, "events").select(
+        case.alias("eval_index"), pick(METHODS, m).alias("method"), pick(SETTINGS, s).alias("setting"), e.alias("line"), status.alias("status"),
+        F.when(easy, 4).otherwise(cents % most).cast("int").alias("edit"), F.when(easy, 4).otherwise(F.floor(cents / 7) % 5).cast("int").alias("preservation"), F.when(easy, 3).otherwise(F.floor(cents / 3) % 5).cast("int").alias("quality"),
+        F.col("ts").alias("updated_at"), cents.cast("double").alias("elapsed_seconds"), F.when(e % 9 == 0, e.cast("string")).alias("derived_from_output"),
+    )
+    axes = ("edit", "preservation", "quality")
+    rows = rows.withColumns({a: F.when((F.col("status") == "ok") & ((F.col("eval_index") % 4 != 0) | (F.col("line") % 17 != 0)), F.col(a)) for a in axes})
+    return rows.withColumn("all_edits_success", logic.all_edits(F.col("edit"))).withColumn("strict_success", logic.strict(*[F.col(a) for a in axes]))
+
+
 DERIVED_SQL = """
 cases AS (SELECT o_orderkey AS eval_index, 'case-' || o_orderkey AS case_id, ['COMPOSED','EDITED','POLYGON'][(o_custkey % 3) + 1] AS source_dataset,
   ['add','remove','replace','mixed'][((o_custkey + o_orderkey) % 4) + 1] AS edit_type, CAST(o_orderkey % 2 + 1 AS INT) AS region_count,
@@ -69,5 +116,25 @@ raw_records AS (SELECT l_orderkey AS eval_index, l_linenumber * 100000000000000
 scored AS (SELECT eval_index, line, method, setting, variant, status, CASE WHEN status = 'ok' AND e <= 4 THEN e END AS edit,
   CASE WHEN status = 'ok' AND p <= 4 THEN p END AS preservation, CASE WHEN status = 'ok' AND q <= 4 THEN q END AS quality FROM raw_records),
 records AS (SELECT *, edit = 4 AS all_edits_success, (edit = 4) AND (preservation >= 3) AND (quality >= 3) AS strict_success FROM scored),
-pixels AS (SELECT DISTINCT l_suppkey AS mask, CAST(l_partkey % 64 AS INT) AS x, CAST(trunc(l_quantity) AS INT) % 48 AS y FROM lineitem)
+pixels AS (SELECT DISTINCT l_suppkey AS mask, CAST(l_partkey % 64 AS INT) AS x, CAST(trunc(l_quantity) AS INT) % 48 AS y FROM lineitem),
+selections AS (SELECT p_partkey AS mask, 'part ' || p_partkey AS case_id, ['COMPOSED','EDITED','POLYGON'][(p_partkey % 3) + 1] AS source_dataset, 'group ' || (p_partkey % 11) AS source_group,
+  CASE WHEN p_partkey % 3 = 1 THEN ['add','remove','replace'][((p_partkey // 3) % 3) + 1] ELSE ['add','remove','replace','multi_object_add','multi_object_remove','counting'][((p_partkey // 3) % 6) + 1] END AS edit_type,
+  CASE p_partkey % 7 WHEN 0 THEN 'Replace the ' || p_brand || ' with a big ' || p_name || '.' WHEN 1 THEN 'swap it for  two ' || p_name || '!' WHEN 2 THEN 'Turn the thing into ' || p_name WHEN 3 THEN 'the cup is replaced with ' || p_name || '..' WHEN 4 THEN 'it turns into ' || p_name || '!' WHEN 5 THEN 'please switch to ' || p_name || '.' ELSE 'make it  nicer.' END AS instruction_original,
+  CASE p_partkey % 7 WHEN 0 THEN 'a big ' || p_name WHEN 1 THEN 'two ' || p_name WHEN 6 THEN NULL ELSE p_name END AS wanted,
+  CASE WHEN p_partkey % 4 < 2 THEN 'a ' || p_name ELSE 'a ' || p_name || ' | one ' || p_brand END AS local_caption, CASE WHEN p_partkey % 5 > 0 THEN ' all of  ' || p_name END AS target_prompt,
+  CASE WHEN p_partkey % 3 = 2 THEN 'For {region_1}, use ' || p_name || '.' END AS region_only, CASE WHEN p_partkey % 3 = 1 AND (p_partkey // 3) % 3 = 0 THEN 'Add ' || p_name || ' in {region_1}.' END AS rewrite,
+  p_partkey % 13 = 0 AS needs_reference, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 4 = 0 END AS same_class, p_name, p_brand FROM part),
+rectangles AS (SELECT p_partkey AS mask, p_partkey % 20 AS x0, p_partkey % 13 AS y0, 6 + p_partkey % 9 AS w, 5 + p_partkey % 7 AS h FROM part
+  UNION ALL SELECT p_partkey, 22 + p_partkey % 23, 14 + p_partkey % 17, 5 + p_partkey % 6, 4 + p_partkey % 5 FROM part WHERE p_partkey % 4 > 0
+  UNION ALL SELECT p_partkey, p_partkey % 64, 47 - p_partkey % 5, 1, 1 FROM part),
+shapes AS (SELECT DISTINCT mask, CAST(x0 + dx AS INT) AS x, CAST(y0 + dy AS INT) AS y FROM rectangles, range(0, 20) a(dx), range(0, 20) b(dy) WHERE dx < w AND dy < h),
+event_rows AS (SELECT event_id AS e, user_id, event_type, ts, CAST(round(value * 100) AS BIGINT) AS cents, event_id // 20 AS c, event_id % 5 AS m, (event_id // 5) % 4 AS s FROM events),
+event_scores AS (SELECT *, CASE WHEN c % 4 = 0 AND event_type = 'error' AND user_id % 3 = 0 THEN 'missing_output' WHEN c % 4 = 0 AND event_type = 'error' THEN 'judge_parse_error' ELSE 'ok' END AS status,
+  c % 6 = 1 AND m <= 1 AND cents % 4 <> 0 OR c % 6 = 5 AND s = 0 AS easy, CASE WHEN c % 12 = 3 THEN 2 WHEN c % 12 = 9 THEN 3 WHEN c % 6 = 5 THEN 4 ELSE 5 END AS most FROM event_rows),
+judge_scores AS (SELECT c AS eval_index, ['alpha','beta','gamma','delta','epsilon'][m + 1] AS method, ['text_only','mask_annotation','box_annotation','point_annotation'][s + 1] AS setting, e AS line, status,
+  CASE WHEN status = 'ok' AND (c % 4 <> 0 OR e % 17 <> 0) THEN CAST(CASE WHEN easy THEN 4 ELSE cents % most END AS INT) END AS edit,
+  CASE WHEN status = 'ok' AND (c % 4 <> 0 OR e % 17 <> 0) THEN CAST(CASE WHEN easy THEN 4 ELSE (cents // 7) % 5 END AS INT) END AS preservation,
+  CASE WHEN status = 'ok' AND (c % 4 <> 0 OR e % 17 <> 0) THEN CAST(CASE WHEN easy THEN 3 ELSE (cents // 3) % 5 END AS INT) END AS quality,
+  ts AS updated_at, CAST(cents AS DOUBLE) AS elapsed_seconds, CASE WHEN e % 9 = 0 THEN CAST(e AS VARCHAR) END AS derived_from_output FROM event_scores),
+judge_records AS (SELECT *, edit = 4 AS all_edits_success, (edit = 4) AND (preservation >= 3) AND (quality >= 3) AS strict_success FROM judge_scores)
 """
