@@ -156,21 +156,31 @@ def squared_distance(outside: np.ndarray) -> np.ndarray:
     for y in range(h - 1, -1, -1):
         last = np.where(outside[y], y, last)
         column[y] = np.minimum(column[y], last - y)
+    # the lowest of parabolas (x - place)^2 + g(place), all rows at a time: which places are lowest somewhere, and from where
+    g = column**2
+    if w <= 128:  # few places: all of a row are tried at once
+        apart = (np.arange(w)[:, None] - np.arange(w)) ** 2
+        return np.stack([(apart + row).min(axis=1) for row in g])
+    rows = np.arange(h)
+    top, place, begin = np.zeros(h, int), np.zeros((h, w), int), np.full((h, w + 1), np.inf)
+    begin[:, 0] = -np.inf
+    for x in range(1, w):
+        open_ = rows
+        cross = np.empty(h)
+        while len(open_):
+            p = place[open_, top[open_]]
+            cross[open_] = (g[open_, x] + x * x - g[open_, p] - p * p) / (2.0 * (x - p))
+            open_ = open_[cross[open_] <= begin[open_, top[open_]]]
+            top[open_] -= 1
+        top += 1
+        place[rows, top], begin[rows, top], begin[rows, top + 1] = x, cross, np.inf
     out = np.empty((h, w))
-    for y in range(h):
-        g = column[y] ** 2
-        at, begin = [0], [-np.inf]
-        for x in range(1, w):
-            while True:
-                cross = (g[x] + x * x - g[at[-1]] - at[-1] ** 2) / (2 * (x - at[-1]))
-                if cross > begin[-1]:
-                    break
-                at.pop()
-                begin.pop()
-            at.append(x)
-            begin.append(cross)
-        place = np.array(at)[np.searchsorted(begin, np.arange(w), side="right") - 1]
-        out[y] = (np.arange(w) - place) ** 2 + g[place]
+    at = np.zeros(h, int)
+    for x in range(w):
+        while (late := begin[rows, at + 1] < x).any():
+            at[late] += 1
+        p = place[rows, at]
+        out[:, x] = (x - p) ** 2 + g[rows, p]
     return out
 
 

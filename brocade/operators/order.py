@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..constants import METHODS, SETTINGS
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """The rows as they were dealt once, for two uses that must see the same deal: a checkpoint in the folder that spark.checkpoint.dir names, else kept by the executors."""
+    return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows.persist()
+
+
 def with_position(rows: DataFrame, *by: str, name: str = "position") -> DataFrame:
     """0-based place in the order of `by`, without bringing all rows together.
 
@@ -16,6 +21,7 @@ def with_position(rows: DataFrame, *by: str, name: str = "position") -> DataFram
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    dealt = held(dealt)  # range bounds come from a sample: dealt twice, partitions could differ
     sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return dealt.join(F.broadcast(before), "__part").select(*rows.columns, (F.col("__before") + F.col("__at")).alias(name))
