@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators import audit, validate
+
 OUTPUT = "eval_index long, case_id string, setting string, prompt string, images array<string>, manifest_hash string, width int, height int, image binary, seconds double, error string"
 PROVENANCE = ("case_id", "prompt", "images", "manifest_hash")
 
@@ -39,6 +42,46 @@ def generated(todo: DataFrame, edit: Callable[[dict], tuple[bytes, int, int]], c
     return todo.select("eval_index", "case_id", "setting", "prompt", "images", "manifest_hash", "width", "height").mapInPandas(run, OUTPUT)
 
 
+PLAN = "eval_index long, case_id string, setting string, prompt string, images array<string>, reply string, regions array<struct<box:array<double>,hint:string>>, guidance string, seconds double, error string"
+
+
+def planned(todo: DataFrame, plan: Callable[[dict], dict], clock: Callable[[], float] | None = None) -> DataFrame:
+    """Replies of a planner to prepared rows, with the regions and guidance read from them (the columns of PLAN).
+
+    plan: a row to a dictionary of reply, regions (box and hint each) and guidance. Regions are kept as they come; what
+    audit.well_formed passes over stays visible. An error is a row of its own.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        now = clock or time.perf_counter
+        for rows in batches:
+            out = []
+            for row in rows.to_dict("records"):
+                began, said, error = now(), {}, None
+                try:
+                    said = plan(row)
+                except Exception as wrong:  # noqa: BLE001  the planner is foreign code; its error is the row's result
+                    error = f"{type(wrong).__name__}: {wrong}"[:500]
+                out.append({**row, "reply": said.get("reply"), "regions": said.get("regions"), "guidance": said.get("guidance"), "seconds": now() - began, "error": error})
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in PLAN.split(", ")[:6]] + ["regions", "guidance", "seconds", "error"])
+
+    return todo.select("eval_index", "case_id", "setting", "prompt", "images").mapInPandas(run, PLAN)
+
+
+def unsound_plans(plans: DataFrame, prepared: DataFrame) -> DataFrame:
+    """(eval_index, setting, rule) of planner outputs that can't be used: none or another case's, another prompt or images, an error, a blank reply or no well-formed region."""
+    key = ["eval_index", "setting"]
+    both = prepared.select(*key, "case_id", "prompt", "images").alias("p").join(plans.alias("o"), key, "left")
+    rules = {
+        "missing": F.col("o.case_id").isNotNull(), "case_id": F.col("o.case_id") == F.col("p.case_id"), "prompt": F.col("o.prompt").eqNullSafe(F.col("p.prompt")), "images": F.col("o.images").eqNullSafe(F.col("p.images")),
+        "error": F.col("o.error").isNull(), "reply": ~text.is_blank(F.col("o.reply")), "regions": F.size(audit.well_formed(F.col("o.regions"))) > 0,
+    }
+    broken = F.when(F.col("o.case_id").isNull(), F.array(F.lit("missing"))).otherwise(validate.broken(rules))
+    return both.select(*key, F.explode(broken).alias("rule"))
+
+
 def valid_outputs(outputs: DataFrame, prepared: DataFrame, fields: Sequence[str] = PROVENANCE) -> DataFrame:
     """Finished (eval_index, setting) whose provenance equals what is asked for now; others are done again."""
     same = F.lit(True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ROLES, SETTINGS
+from ..constants import METHODS, ROLES, SETTINGS
 from ..functions import text
 from ..operators import validate
 
@@ -20,6 +20,13 @@ def settings_of(values: str | None, allowed: tuple[str, ...] = SETTINGS) -> list
     return names
 
 
+def settings_for(method: str, values: str | None = None, methods: tuple[str, ...] = METHODS) -> list[dict]:
+    """The settings of a method, each with its input and the instruction it goes with; an unknown method is an error."""
+    if method not in methods:
+        raise ValueError(f"unknown method: {method}")
+    return [{"method": method, "setting": s, "input": "source" if s == "text_only" else s, "prompt": "with_location_reference" if s == "text_only" else "region_only"} for s in settings_of(values)]
+
+
 def prepared(cases: DataFrame, settings: tuple[str, ...] = SETTINGS) -> DataFrame:
     """Cases (eval_index, region_count, instruction, region_instruction) by setting, with prompt, roles and images."""
     item = lambda s: F.struct(

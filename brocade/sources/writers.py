@@ -32,6 +32,15 @@ def append_records(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def append_new(rows: DataFrame, path: str, key: str = "key") -> None:
+    """Append those finished records whose key the table doesn't have yet, each key once, so that a repeated append adds nothing."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    new = rows.join(spark.read.parquet(path).select(key), key, "left_anti") if there else rows
+    append_records(new.dropDuplicates([key]), path)
+
+
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without and with an error."""
     return rows.filter("error is null"), rows.filter("error is not null")

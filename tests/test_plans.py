@@ -45,6 +45,62 @@ def test_generation(spark):
     generate.same_run(config, config | {"seed": 1}, but=["seed"])
 
 
+def test_planning(spark):
+    todo = spark.createDataFrame([(i, f"c{i}", "text_only", f"p{i}", ["a"]) for i in range(4)], "eval_index long, case_id string, setting string, prompt string, images array<string>")
+
+    def plan(row):
+        if row["eval_index"] == 1:
+            raise RuntimeError("no memory")
+        return {"reply": "<gen>" if row["eval_index"] != 2 else " ", "regions": [{"box": [0.0, 0.0, 2.0, 2.0], "hint": "h"}] if row["eval_index"] != 3 else [{"box": [0.0, 0.0, 0.0, 2.0], "hint": "h"}], "guidance": "g"}
+
+    got = generate.planned(todo, plan)
+    assert {r["eval_index"]: r["error"] for r in got.collect()} == {0: None, 1: "RuntimeError: no memory", 2: None, 3: None}
+    found = {(r["eval_index"], r["rule"]) for r in generate.unsound_plans(got.filter("eval_index < 4"), todo.union(todo.limit(1).selectExpr("9", "'c9'", "setting", "prompt", "images"))).collect()}
+    assert found == {(1, "error"), (1, "reply"), (1, "regions"), (2, "reply"), (3, "regions"), (9, "missing")}
+
+
+def test_settings_and_dry_run(spark):
+    from brocade.plans import judge, prepare
+
+    assert [s["prompt"] for s in prepare.settings_for("alpha", "text_only,box_annotation")] == ["with_location_reference", "region_only"]
+    with pytest.raises(ValueError, match="unknown method"):
+        prepare.settings_for("nobody")
+    jobs = spark.createDataFrame([("a", None, "judge this", "s", "o"), ("b", "missing_output", None, None, None)], "key string, status string, prompt string, source_image string, output_image string")
+    assert [(r["key"], r["characters"], len(r["messages"])) for r in judge.dry_run(jobs).collect()] == [("a", 10, 5)]
+    with pytest.raises(Exception, match="without prompt"):
+        judge.dry_run(jobs.withColumn("status", F.lit(None).cast("string"))).collect()
+
+
+def test_appending_twice(spark, tmp_path):
+    from brocade.sources import writers
+    from brocade.streaming import ingest
+
+    rows = spark.createDataFrame([("a", "r"), ("b", "r"), ("a", "r")], "key string, run_id string")
+    path = str(tmp_path / "records")
+    for _ in range(2):
+        writers.append_new(rows, path)
+    assert spark.read.parquet(path).count() == 2
+    writers.append_new(rows.withColumn("key", F.lit("c")), path)
+    assert sorted(r["key"] for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+    good, bad = writers.split_errors(rows.withColumn("error", F.when(F.col("key") == "b", "x")))
+    assert (good.count(), bad.count()) == (2, 1)
+    assert writers.markdown_table([{"a": 0.12345, "b": None}], ["a", "b"]) == "| a | b |\n| --- | --- |\n| 0.123 |  |\n"
+    assert {(r["method"], r["done"]) for r in ingest.running_counts(rows.selectExpr("key as method", "run_id as setting")).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_publication_gate(spark):
+    from brocade.plans import compare
+
+    records = spark.createDataFrame([(m, i, s, "ok" if i else "annotation_conflict", "p1") for m in ("alpha", "beta") for i in range(3) for s in ("t", "b")], "method string, eval_index int, setting string, status string, protocol string")
+    compare.complete(records, 2, 3, 2)
+    compare.one_protocol(records, "p1")
+    for wrong in (records.filter("eval_index < 2 or method = 'beta'"), records.withColumn("status", F.lit("pending")), records.union(records.limit(1))):
+        with pytest.raises(ValueError):
+            compare.complete(wrong, 2, 3, 2)
+    with pytest.raises(ValueError):
+        compare.one_protocol(records.withColumn("protocol", F.when(F.col("eval_index") == 1, None).otherwise("p1")), "p1")
+
+
 def test_audit(spark):
     rows = spark.createDataFrame([(1, "s", [([10.0, 150.0, 150.0, 210.0], "a"), ([1.0, float("nan"), 2.0, 3.0], "b"), ([5.0, 5.0, 4.0, 9.0], "c"), ([0.0, 0.0, 1.0, 1.0], " ")])], "eval_index long, setting string, regions array<struct<box:array<double>,hint:string>>")
     r = audit.planner_audit(rows, [(10, 150, 150, 210)]).first()
