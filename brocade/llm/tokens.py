@@ -13,8 +13,10 @@ A written table has one row per block: a few thousand documents of one shard, in
     prints            for each slot: fingerprint of its key, uint32
     low, high         least and largest key, so that a reader's filter skips other blocks
 
-A key is found in constant time: hash it, add its bucket's displacement, compare the slot's fingerprint, read the
-slice that the slot names.
+In a block, a key is found in constant time: hash it, add its bucket's displacement, compare the slot's fingerprint,
+read the slice that the slot names. An index table beside the files does the same for all of them, in whatever order
+they were written: it has one row for each bucket of a few thousand keys, with the perfect hash of the bucket's keys and,
+for each slot, the shard, block and place of its document. A key's look-up reads one row of it and one block.
 """
 
 from __future__ import annotations
@@ -334,6 +336,90 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
     return map_rows(near.select("ends", "payload", "width", "seeds", "slots", "prints", "low", "high"), run, "key long, ids array<long>")
 
 
+INDEX = "bucket long, buckets long, seeds binary, slots binary, prints binary, shards binary, blocks binary, places binary"
+KEYS_A_BUCKET = 4096
+
+
+def _places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Where each key of a block is; documents without a key are left out."""
+    for row in batch.to_pylist():
+        keys = np.frombuffer(row["keys"], "<i8")
+        has = ~np.unpackbits(np.frombuffer(row["keyless"], np.uint8), count=len(keys)).astype(bool) if row["keyless"] else np.ones(len(keys), bool)
+        n = int(has.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(keys[has]), pa.array(np.full(n, row["shard"])), pa.array(np.full(n, row["block"])), pa.array(np.flatnonzero(has).astype(np.int64))], names=["key", "shard", "block", "place"])
+
+
+def _buckets(buckets: int):
+    """One index row for each bucket; rows come sorted by bucket."""
+    names = [x.split()[0] for x in INDEX.split(", ")]
+    kinds = [pa.int64()] * 2 + [pa.binary()] * 6
+
+    def made(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+        keys, *where = (np.array(c, "<i8") for c in zip(*rows, strict=True))
+        values = [bucket, buckets, *(x.tobytes() for x in build_index(keys)), *(x.tobytes() for x in where)]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    if rows:
+                        yield made(now, rows)
+                    now, rows = bucket, []
+                rows.append(tuple(row))
+        if rows:
+            yield made(now, rows)
+
+    return run
+
+
+def write_index(spark: SparkSession, path: str, index: str) -> None:
+    """The index table of written files. A repeated key stands for its first place; documents without a key are not in it."""
+    blocks = spark.read.schema(T._parse_datatype_string(BLOCK)).parquet(path).select("shard", "block", "keys", "keyless")
+    n = blocks.agg(F.sum(F.length("keys"))).first()[0] or 0
+    buckets = max(1, n // (8 * KEYS_A_BUCKET))
+    places = map_rows(blocks, _places, "key long, shard long, block long, place long")
+    one = places.groupBy("key").agg(F.min(F.struct("shard", "block", "place")).alias("at"))
+    dealt = one.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "at.*").repartition(shuffle_count(spark), "bucket").sortWithinPartitions("bucket", "key")
+    dealt.mapInArrow(_buckets(buckets), INDEX).write.option("compression", "zstd").parquet(index)
+
+
+def seek(spark: SparkSession, path: str, index: str, keys: list[int]) -> DataFrame:
+    """(key, ids) of a stated list of keys: one index row and one block for each. Keys that aren't there give no row."""
+    wanted = np.unique(np.array(keys, np.int64))
+    table = spark.read.schema(T._parse_datatype_string(INDEX)).parquet(index)
+    head = table.select("buckets").first()
+    if head is None or not len(wanted):
+        return spark.createDataFrame([], "key long, ids array<long>")
+    of = mix(wanted.view(U64)).view(np.int64) % head["buckets"]
+    by_bucket: dict[int, list[int]] = {}
+    for k, b in zip(wanted.tolist(), of.tolist(), strict=True):
+        by_bucket.setdefault(b, []).append(k)
+
+    def locate(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for row in batch.to_pylist():
+            hashed = [np.frombuffer(row[c], "<u4") for c in ("seeds", "slots", "prints")]
+            where = [np.frombuffer(row[c], "<i8") for c in ("shards", "blocks", "places")]
+            out += [(k, *(int(w[at]) for w in where)) for k in by_bucket.get(row["bucket"], ()) if (at := find(k, *hashed)) is not None]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["key", "shard", "block", "place"])
+
+    def read(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys, ids = [], []
+        for row in batch.to_pylist():
+            ends = np.frombuffer(row["ends"], "<i8")
+            at = row["place"]
+            if np.frombuffer(row["keys"], "<i8")[at] == row["key"]:  # a foreign key may share its fingerprint
+                keys.append(row["key"])
+                ids.append(np.frombuffer(row["payload"], f"<u{row['width']}")[ends[at - 1] if at else 0 : ends[at]].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["key", "ids"])
+
+    found = map_rows(table.filter(F.col("bucket").isin(sorted(by_bucket))), locate, "key long, shard long, block long, place long")
+    blocks = spark.read.schema(T._parse_datatype_string(BLOCK)).parquet(path).select("shard", "block", "keys", "ends", "payload", "width")
+    return map_rows(blocks.join(F.broadcast(found), ["shard", "block"]), read, "key long, ids array<long>")  # a row for each stated key
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -342,11 +428,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all whole documents, written in order of doc_id and read back."""
-    import uuid
-
-    from .common import shared_dir, table
+    from .common import shared_path, table
 
-    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    path = shared_path(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path(), keyless=True)
     return read_ids(spark, path)
 
