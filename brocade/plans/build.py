@@ -13,16 +13,12 @@ DATASETS = {"COMPOSED": "composed", "EDITED": "edited", "POLYGON": "polygon"}
 WITHOUT_TARGET = "POLYGON"
 
 
-def region_assets(parts: DataFrame, width: int, height: int) -> DataFrame:
-    """(mask, regions): of each mask's parts (mask, region, x, y) the padded box and innermost point, in order, as an array."""
-    part = F.struct("mask", "region").alias("mask")
-    keyed = parts.select(part, "x", "y")
-    boxes = masks.boxes(keyed).select("mask", geometry.padded(F.array("x1", "y1", "x2", "y2"), F.lit(width), F.lit(height)).alias("box"), "area")
-    points = masks.innermost_points(parts.select(F.concat_ws("/", "mask", "region").alias("mask"), "x", "y"), width, height)
-    points = points.select(F.col("mask").alias("name"), F.array("x", "y").alias("point"))
-    both = boxes.withColumn("name", F.concat_ws("/", "mask.mask", "mask.region")).join(points, "name")
-    one = F.struct(F.col("mask.region").alias("n"), "box", "point", "area")
-    return both.groupBy(F.col("mask.mask").alias("mask")).agg(F.array_sort(F.collect_list(one)).alias("regions"))
+def region_assets(pixels: DataFrame, width: int, height: int, several: bool = True, strict: bool = True) -> DataFrame:
+    """(mask, regions): of each mask's regions the padded box, innermost point and area, in order, as an array."""
+    found = masks.region_shapes(pixels, width, height, several, strict)
+    box = geometry.padded(F.array("x1", "y1", "x2", "y2"), F.lit(width), F.lit(height))
+    one = F.struct(F.col("region").alias("n"), box.alias("box"), F.array("px", "py").alias("point"), "area")
+    return found.groupBy("mask").agg(F.array_sort(F.collect_list(one)).alias("regions"))
 
 
 def built_cases(selected: DataFrame, regions: DataFrame) -> DataFrame:

@@ -347,8 +347,7 @@ _REGIONS = f"""{_COMPONENTS}, number AS (SELECT mask, count(*) AS n FROM comps G
 @query(f"WITH {DERIVED_SQL}, {_REGIONS} SELECT mask, region, count(*) AS area, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM regs GROUP BY ALL")
 def mask_regions(spark, sf_dir):
     """Regions of masks: two components with all stray pixels at the nearer one, or the whole mask."""
-    parts = masks.regions(shapes(spark, sf_dir), 64, 48)
-    return parts.groupBy("mask", "region").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"))
+    return masks.region_shapes(shapes(spark, sf_dir), 64, 48).drop("px", "py")
 
 
 def _disc_sql(radius: int) -> str:
@@ -521,7 +520,7 @@ _FAR_IN = "beside AS (SELECT DISTINCT mask, region, x + dx AS x, y + dy AS y FRO
  CASE WHEN source_dataset <> 'POLYGON' THEN 'images/target/' || {_PATH} || '/' || {_FILE.format('case_id')} || '.png' END AS reference, trim(regexp_replace(target_prompt, '\\s+', ' ', 'g')) AS expected, coalesce(same_class, true) AS same_class FROM sel JOIN bx USING (mask) JOIN deep USING (mask, region)""")
 def built_cases(spark, sf_dir):
     """Nested cases from selections and derived regions, one row a region."""
-    found = build.region_assets(masks.regions(shapes(spark, sf_dir), 64, 48, strict=False), 64, 48)
+    found = order.held(build.region_assets(shapes(spark, sf_dir), 64, 48, strict=False))
     chosen = selections(spark, sf_dir).join(found, "mask")
     fits = (F.col("edit_type") != "multi_object_add") | (F.col("mask") % 4 < 2) | (F.size("regions") == 2)
     rows = build.built_cases(chosen.filter(fits).drop("regions"), chosen.select("case_id", "regions"))
