@@ -569,7 +569,7 @@ _TRIED = f"""tried AS (SELECT eval_index, method, setting, line, status, edit, p
  scored_result AS (SELECT r.*, CASE WHEN r.status = 'ok' THEN o.edit END AS edit, CASE WHEN r.status IN ('missing_output', 'annotation_conflict') THEN 0 ELSE coalesce(r.turn, 2) END AS attempts FROM result r LEFT JOIN ok o ON o.eval_index = r.eval_index AND o.method = r.method AND o.setting = r.setting AND o.turn = r.turn)"""
 
 
-@query(f"WITH {DERIVED_SQL}, {_GRID}, {_TRIED} SELECT method, setting, status, attempts, count(*) AS n, sum(edit)::BIGINT AS edits FROM scored_result GROUP BY ALL")
+@query(f"WITH {DERIVED_SQL}, {_GRID}, {_TRIED} SELECT method, setting, status, CAST(attempts AS INT) AS attempts, count(*) AS n, sum(edit)::BIGINT AS edits FROM scored_result GROUP BY ALL")
 def judged_jobs(spark, sf_dir):
     """Recorded replies judged again: malformed and cut ones are asked for once more."""
     got = judge.judged(_recorded_jobs(spark, sf_dir), judge.recorded())
