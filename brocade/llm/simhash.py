@@ -14,10 +14,10 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import EDGE, U64, components, forest, map_rows, mix, pieces, record, settle, shuffle_count, texts
+from .common import EDGE, U64, components, forest, forget, fresh, map_rows, mix, pieces, record, settle, shuffle_count, texts
 from .words import grams, hashes, split
 
 UPPER = bytes(range(65, 91))
@@ -237,6 +237,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, most: int = 2, key: str = "d
 
 #: Keys by which near copies meet, least values that a key joins, and bits of the sketch that drops far pairs.
 BANDS, LEAST, SKETCH = 20, 4, 128
+#: Shingles of the texts that meet in one task, about; keys with more get finer keys, and how many and how fine these are.
+WEIGHT, FINE_BANDS, FINE_LEAST = 1 << 19, 128, 12
 #: Sets of fewer shingles are compared without the sketch, whose majorities depend on single shingles there.
 SMALL = 10
 
@@ -291,13 +293,13 @@ def once(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(row[new], np.arange(len(first)))
 
 
-def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """BANDS keys of each row: each joins the least values of LEAST hashes (MinHash), so rows share one with chance J**LEAST."""
-    out = np.empty((len(first), BANDS), U64)
+def band_keys(h: np.ndarray, first: np.ndarray, bands: int = BANDS, least: int = LEAST) -> np.ndarray:
+    """Keys of each row: each joins the least values of some hashes (MinHash), so rows share one with chance J**least."""
+    out = np.empty((len(first), bands), U64)
     with np.errstate(over="ignore"):
-        for t in range(BANDS):
+        for t in range(bands):
             key = np.full(len(first), U64(t))
-            for factor in mix(np.arange(LEAST, dtype=U64) + U64(1000 + t * LEAST)) | U64(1):
+            for factor in mix(np.arange(least, dtype=U64) + U64(1000 + t * least)) | U64(1):
                 key = mix(key ^ np.minimum.reduceat(h * factor, first))
             out[:, t] = key
     return out
@@ -309,7 +311,7 @@ def _shingle_sets(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndar
     return once(*shingles(hashes(w), w.doc, part.num_rows, width))
 
 
-SKETCHED = [("node", pa.int64()), ("size", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64()), ("keys", pa.binary())]
+SKETCHED = [("node", pa.int64()), ("other", pa.int64()), ("size", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64()), ("keys", pa.binary())]
 MET = [("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64())]
 
 
@@ -321,7 +323,7 @@ def sketches(width: int):
             h, first = _shingle_sets(part, width)
             v0, v1 = (majority(x, first).view(np.int64) for x in (h, mix(h)))
             keys = [k.tobytes() for k in band_keys(h, first)]
-            yield record(SKETCHED, part.column("node").to_numpy(), np.diff(np.append(first, len(h))), v0, v1, keys)
+            yield record(SKETCHED, part.column("node").to_numpy(), part.column("other").to_numpy(), np.diff(np.append(first, len(h))), v0, v1, keys)
 
     return run
 
@@ -331,38 +333,30 @@ def shingle_sets(width: int):
         for part in pieces(batch, "text", 1 << 20):
             h, first = _shingle_sets(part, width)
             sets = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("node"), sets], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("other"), sets], names=["node", "other", "shingles"])
 
     return run
 
 
-def _deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Each text to its keys."""
-    keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
-    rest = [batch.column(k).to_numpy() for k in ("node", "size", "v0", "v1")]
-    for t in range(BANDS):
-        yield record(MET, keys[:, t], *rest)
-
+def _finer(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The finer keys of texts by their shingles."""
+    rest = [c for c in ("node", "size", "v0", "v1")]
+    for at in range(0, batch.num_rows, 200):
+        part = batch.slice(at, 200)
+        sets = part.column("shingles")
+        first = np.cumsum([0, *(len(x) for x in sets)])[:-1]
+        keys = band_keys(sets.flatten().to_numpy().view(U64), first, FINE_BANDS, FINE_LEAST)
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array([k.tobytes() for k in keys], pa.binary())], names=[*rest, "keys"])
 
-def _whole_keys(fn):
-    """mapInArrow of a function of columns; entries come sorted by the first, those of one value stay together."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, most = [], 0, 200_000
-        for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            rows += batch.num_rows
-            if rows >= most:
-                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))
-                held, rows = [[c[cut:] for c in cols]], rows - cut
-                most = max(200_000, 2 * rows)
-                if cut:
-                    yield from fn(*(c[:cut] for c in cols))
-        if rows:
-            yield from fn(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    return run
+def _deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Each text to its keys."""
+    for at in range(0, batch.num_rows, 2_000):
+        part = batch.slice(at, 2_000)
+        keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), np.int64).reshape(part.num_rows, -1)
+        rest = [part.column(k).to_numpy() for k in ("node", "size", "v0", "v1")]
+        for t in range(keys.shape[1]):
+            yield record(MET, keys[:, t], *rest)
 
 
 def _alike(size: np.ndarray, v0: np.ndarray, v1: np.ndarray, similarity: float):
@@ -383,44 +377,109 @@ def _begins(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(key)))
 
 
+LED = [*MET, ("leader", pa.int64()), ("near", pa.bool_())]
+
+
 def _lead(similarity: float):
-    """Entries of keys with several texts, the first text of each, and whether the two are to be compared."""
-    kinds = [*MET, ("leader", pa.int64()), ("near", pa.bool_())]
-
-    def run(key, node, size, v0, v1) -> Iterator[pa.RecordBatch]:
-        first, n = _begins(key)
-        lead = np.repeat(first, n)
-        alike = _alike(size, v0, v1, similarity)
-        shared = np.flatnonzero(np.repeat(n > 1, n))
-        for at in range(0, len(shared), 50_000):
-            i = shared[at : at + 50_000]
-            j = lead[i]
-            yield record(kinds, key[i], node[i], size[i], v0[i], v1[i], node[j], (i != j) & alike(i, j))
-
-    return _whole_keys(run)
-
-
-def _cross(similarity: float):
-    """Pairs of one key to be compared that the leaders' comparison left in different groups; a leader's own are done."""
-
-    def run(key, node, size, v0, v1, leader, root) -> Iterator[pa.RecordBatch]:
-        first, n = _begins(key)
-        mixed = np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first)
-        alike = _alike(size, v0, v1, similarity)
-        for at, many in zip(first[mixed].tolist(), n[mixed].tolist(), strict=True):
-            own = at + np.flatnonzero(node[at : at + many] != leader[at])
-            step = max(1, 1_000_000 // max(1, len(own)))
-            for k in range(0, len(own), step):
-                i, j = np.meshgrid(own[k : k + step], own[k:], indexing="ij")
-                i, j = i.ravel(), j.ravel()
-                open_ = (i < j) & (root[i] != root[j])
-                i, j = i[open_], j[open_]
-                near = alike(i, j)
-                a, b = node[i[near]], node[j[near]]
-                if len(a):
-                    yield record(EDGE, np.minimum(a, b), np.maximum(a, b))
-
-    return _whole_keys(run)
+    """Entries of keys with several texts, the first text of each key, and whether the two are to be compared.
+
+    Entries come sorted by key. Of a key that goes on only its first entry is held, and of it only whether it was sent.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waits = None, False  # the first entry of the key that goes on; whether it is still alone
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if last is not None:
+                cols = [np.concatenate([[x], c]) for x, c in zip(last, cols, strict=True)]
+            key, node, size, v0, v1 = cols
+            first, n = _begins(key)
+            lead = np.repeat(first, n)
+            send = np.repeat(n > 1, n)
+            if last is not None and not waits:
+                send[0] = False
+            alike = _alike(size, v0, v1, similarity)
+            shared = np.flatnonzero(send)
+            for at in range(0, len(shared), 50_000):
+                i = shared[at : at + 50_000]
+                j = lead[i]
+                yield record(LED, key[i], node[i], size[i], v0[i], v1[i], node[j], (i != j) & alike(i, j))
+            waits = n[-1] == 1 and (len(first) > 1 or last is None or waits)
+            last = [c[first[-1]] for c in cols]
+
+    return run
+
+
+HELD = [("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64()), ("root", pa.int64()), ("side", pa.int32()), ("shingles", pa.list_(pa.int64()))]
+
+
+def linked(node: np.ndarray, size: np.ndarray, v0: np.ndarray, v1: np.ndarray, root: np.ndarray, side: np.ndarray, sets: pa.ListArray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges among the groups (root) of texts that meet: one text against all those of other groups, by exact similarity.
+
+    Sets are bits of the shingles that several of these texts have. Groups that a link has joined are not compared any
+    more. Texts of side 1 meet those of side 2 only; those of side 0 meet all.
+    """
+    values = sets.flatten().to_numpy()
+    of = np.repeat(np.arange(len(node)), size)
+    distinct, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    use = times[place] > 1
+    words = max(1, -(-int((times > 1).sum()) // 64))
+    bits = np.zeros((len(node), words), U64)
+    at = number[place[use]]
+    order = np.lexsort((at >> 6, of[use]))
+    cell = (of[use] * words + (at >> 6))[order]
+    if len(cell):
+        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        bits.ravel()[cell[new]] = np.bitwise_or.reduceat(U64(1) << (at & 63)[order].astype(U64), new)
+    alike = _alike(size, v0, v1, similarity)
+    _, label = np.unique(root, return_inverse=True)
+    ends = label.copy()  # of each label the one it has joined
+    a, b = [], []
+    for i in range(len(node) - 1):
+        j = np.arange(i + 1, len(node))
+        own = ends[label]
+        j = j[(own[j] != own[i]) & ((side[j] == 0) | (side[j] != side[i]))]
+        j = j[alike(np.full(len(j), i), j)]
+        for k in range(0, len(j), 2_000_000 // words + 1):
+            part = j[k : k + 2_000_000 // words + 1]
+            both = np.bitwise_count(bits[i] & bits[part]).sum(axis=1, dtype=np.int64)
+            for other in part[both / (size[i] + size[part] - both) >= similarity].tolist():
+                x, y = ends[label[i]], ends[label[other]]
+                if x != y:
+                    ends[ends == max(x, y)] = min(x, y)
+                    a.append(node[i])
+                    b.append(node[other])
+    return forest(np.array(a, np.int64), np.array(b, np.int64))
+
+
+def _join_groups(similarity: float):
+    """Rows of HELD come sorted by key; a key's texts are held together, as many as WEIGHT allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(rows).combine_chunks()
+            cols = [table.column(n).to_numpy() for n in ("node", "size", "v0", "v1", "root", "side")]
+            if len(cols[0]) > 1 and cols[4].min() < cols[4].max():
+                sets = table.column("shingles").combine_chunks()
+                u, v = linked(*cols, sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets, similarity)
+                if len(u):
+                    yield record(EDGE, u, v)
+
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            first, n = _begins(key)
+            for at, many in zip(first.tolist(), n.tolist(), strict=True):
+                if held and held[0].column("key")[0].as_py() != key[at]:
+                    yield from compare(held)
+                    held = []
+                held.append(batch.slice(at, many))
+        if held:
+            yield from compare(held)
+
+    return run
 
 
 #: Shingles of all sets that may be broadcast (16 MB); beyond, pairs and sets are shuffled.
@@ -456,48 +515,108 @@ def loose_bits(similarity: float, bits: int = SKETCH) -> int:
     return floor(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
 
 
+def _led(texts_with_keys: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Entries of keys that several texts share, each with its key's leader, which is the first by a hash that differs by key."""
+    met = "key long, node long, size long, v0 long, v1 long"
+    dealt = map_rows(texts_with_keys, _deal, met).repartition(n, "key").sortWithinPartitions("key", F.xxhash64("key", "node"))
+    return settle(dealt.mapInArrow(_lead(similarity), f"{met}, leader long, near boolean"))
+
+
+def _stars(led: DataFrame) -> DataFrame:
+    return settle(led.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+
+
+def _open(led: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries of keys whose texts are in several groups, with their group (root) and the shingles of all the key's texts (weight)."""
+    entries = led.join(groups, "node", "left").select("key", "node", "size", "v0", "v1", F.coalesce("root", "node").alias("root"))
+    mixed = entries.groupBy("key").agg(F.sum("size").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "weight")
+    return settle(entries.join(mixed, "key"))
+
+
+def _links_across(entries: DataFrame, sets: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Star edges (a, b) between groups of the same key.
+
+    A key's texts meet in one task. Those of a key with more than WEIGHT shingles are dealt over parts, and each pair of
+    parts is a task of its own, so what a task holds is bounded. Only links leave a task.
+    """
+    parts = F.ceil(F.col("weight") / WEIGHT).cast("int")
+    own = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("a"), F.greatest(p, F.col("own")).alias("b")))
+    dealt = entries.withColumn("parts", parts).withColumn("own", own).withColumn("m", F.explode(meet))
+    side = F.when(F.col("m.a") == F.col("m.b"), 0).when(F.col("own") == F.col("m.a"), 1).otherwise(2)
+    key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "m.a", "m.b"))
+    rows = dealt.select(key.alias("key"), "node", "size", "v0", "v1", "root", side.alias("side")).join(sets, "node").select(*[c for c, _ in HELD])
+    return settle(rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_join_groups(similarity), "a long, b long"))
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(node, root) of every distinct text with a near copy: node is xxhash64 of the text, null as empty.
 
     Near copies are texts whose sets of word shingles of `width` (A-Z lower-cased) have that Jaccard similarity. Pairs
-    share one of BANDS MinHash keys, which misses one pair at 0.8 in some 38,000; sizes and a 128-bit SimHash of
-    the distinct shingles drop far ones;
-    the others are compared exactly. First every text is compared with the first one of its keys; then, of each key,
-    pairs that are not in one group by then. A text of fewer words is one shingle.
+    to compare share one of BANDS MinHash keys, which misses one pair at 0.8 in some 38,000; sizes and a 128-bit SimHash
+    of the distinct shingles drop far ones; the others are compared exactly. First every text is compared with the
+    leader of each of its keys. Where that leaves texts of a key in several groups, these are compared in the key's
+    task, from which only links come out. The texts of keys too heavy for a task get finer keys first, which miss one
+    pair at 0.8 in some 9,000 and bring together far fewer pairs below it. A text of fewer words is one shingle. Of
+    unequal texts with equal hashes, the one with the least second hash is the node, and the others have no near copies.
     """
     n = shuffle_count(docs.sparkSession)
-    given = docs.select(F.coalesce(text, F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    rows = settle(map_rows(given, sketches(width), "node long, size long, v0 long, v1 long, keys binary"))
-    classes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "v0", "v1", "keys")])
-    met = "key long, node long, size long, v0 long, v1 long"
-    dealt = map_rows(classes, _deal, met).repartition(n, "key").sortWithinPartitions("key", "node")
-    shared = settle(dealt.mapInArrow(_lead(similarity), f"{met}, leader long, near boolean"))
-    needed = given.join(shared.select("node").distinct(), "node", "left_semi")
-    sets = settle(map_rows(needed, shingle_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    stars = similar(settle(shared.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()), sets, similarity)
-    groups = components(stars)
-    entries = shared.join(groups, "node", "left").select("key", "node", "size", "v0", "v1", "leader", F.coalesce("root", "node").alias("root"))
-    apart = settle(entries.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_cross(similarity), "a long, b long").distinct())
-    return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(similar(apart, sets, similarity)))
+    given = docs.select(F.coalesce(text, F.lit("")).alias("text")).select("text", text_hash("text").alias("node"), second_hash("text").alias("other"))
+    rows = settle(map_rows(given, sketches(width), "node long, other long, size long, v0 long, v1 long, keys binary"))
+    classes = rows.groupBy("node").agg(F.min(F.struct("other", "size", "v0", "v1", "keys")).alias("m")).select("node", "m.*").drop("other")
+    led = _led(classes, similarity, n)
+    forget(rows)
+    nodes = settle(led.select("node").distinct())
+    # without a shuffle of texts, so that a text of many rows doesn't come to one task
+    needed = given.join(F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes, "node", "left_semi")
+    sets = map_rows(needed, shingle_sets(width), "node long, other long, shingles array<long>")
+    sets = settle(sets.groupBy("node").agg(F.min(F.struct("other", "shingles")).alias("m")).select("node", "m.shingles"))
+    stars = _stars(led)
+    groups = components(similar(stars, sets, similarity))
+    entries = _open(led, groups)
+    edges = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_links_across(entries.filter(F.col("weight") <= WEIGHT), sets, similarity, n))
+    heavy = settle(entries.filter(F.col("weight") > WEIGHT).select("node", "size", "v0", "v1").distinct())
+    if not heavy.isEmpty():
+        fine = _led(settle(map_rows(heavy.join(sets, "node"), _finer, "node long, size long, v0 long, v1 long, keys binary")), similarity, n)
+        groups = components(edges.union(similar(_stars(fine), sets, similarity)))
+        edges = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_links_across(_open(fine, groups), sets, similarity, n))
+    found = components(edges)
+    forget(led, nodes, sets, stars, entries, heavy)
+    return found
+
+
+def text_hash(text: str | Column) -> Column:
+    return F.xxhash64(text)
+
+
+def second_hash(text: str | Column) -> Column:
+    """A hash that is independent of the first; both together stand for a text."""
+    return F.xxhash64(F.lit("second"), text)
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all their columns, with one of each group of exact and near copies: that of the least key, then least text hash.
 
-    Null and empty texts are copies of each other. A row with a null key stays only where its group has no other.
+    Null and empty texts are copies of each other. A row with a null key stays only where its group has no other. Texts
+    are told apart by 128 bits of hashes.
     """
     from pyspark.sql import Window
 
     roots = near_copies(docs, width, similarity, text)
-    node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    keys = docs.select(F.col(key).alias("__key"), node.alias("node")).groupBy("node").agg(F.min("__key").alias("__key"))
-    of = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key"), F.col("node"))
-    stay = of.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.__key").alias("__key"), F.col("s.node").alias("__node"))
-    known = docs.withColumn("__own", node)
-    kept = known.join(stay, (known["__own"] == stay["__node"]) & known[key].eqNullSafe(stay["__key"]))
-    one = Window.partitionBy("__own", "__key").orderBy("__node")
-    return kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*[kept[f"`{c}`"] for c in docs.columns])
+    own, other, nth = (fresh(c, docs) for c in ("own", "other", "nth"))
+    bare = F.coalesce(docs[f"`{text}`"], F.lit(""))
+    known = docs.withColumns({own: text_hash(bare), other: second_hash(bare)})
+    keys = known.select(F.col(key).alias("key"), F.col(own).alias("node"), F.col(other).alias("other")).groupBy("node", "other").agg(F.min("key").alias("key"))
+    first = keys.groupBy("node").agg(F.min("other").alias("first"))
+    of = keys.join(first, "node").join(roots, "node", "left")
+    own_root = F.when(F.col("other") == F.col("first"), F.coalesce("root", "node")).otherwise(F.col("node"))
+    apart = F.when(F.col("other") != F.col("first"), F.col("other"))  # another text with the node's hash is alone
+    order = F.struct(F.col("key").isNull().alias("n"), F.col("key"), F.col("node"), F.col("other"))
+    stay = of.groupBy(own_root.alias("root"), apart.alias("apart")).agg(F.min(order).alias("s")).select("s.key", "s.node", "s.other")
+    stay = stay.toDF("stay key", "stay node", "stay other")
+    kept = known.join(stay, (known[own] == stay["stay node"]) & (known[other] == stay["stay other"]) & known[f"`{key}`"].eqNullSafe(stay["stay key"]))
+    one = Window.partitionBy(own, other, "stay key").orderBy("stay node")
+    return kept.withColumn(nth, F.row_number().over(one)).filter(F.col(nth) == 1).select(*[known[f"`{c}`"] for c in docs.columns])
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

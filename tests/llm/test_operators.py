@@ -331,11 +331,49 @@ def test_near_copies_repeats(spark):
         rows += [" ".join(w + w[:10] * 20), " ".join(w + w[:10] * 3)]
     want = groups_of(rows)
     assert sum(len(g) == 2 for g in want) == 20 and found_groups(spark, rows) == want
-    node = spark.createDataFrame([(t,) for t in rows[:2]], "text string").withColumn("node", F.lit(0).cast("long")).toArrow().to_batches()
+    node = spark.createDataFrame([(t,) for t in rows[:2]], "text string").withColumns({c: F.lit(0).cast("long") for c in ("node", "other")}).toArrow().to_batches()
     sketch = [r for b in node for part in simhash.sketches(5)(b) for r in part.to_pylist()]
     assert sum(((sketch[0][v] ^ sketch[1][v]) & (2**64 - 1)).bit_count() for v in ("v0", "v1")) > simhash.loose_bits(0.8)
 
 
+@pytest.mark.parametrize("weight", [1 << 19, 4000])
+def test_near_copies_crowd(spark, monkeypatch, weight):
+    monkeypatch.setattr(simhash, "WEIGHT", weight)  # with the small one finer keys come in, and the heaviest are dealt over parts
+    # one text edited in many ways: a crowd about half alike, in which only few pairs are near; small batches cut keys
+    rng = np.random.default_rng(14)
+    base = [f"b{x}" for x in range(150)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for k in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            w[k] = f"e{rng.integers(0, 3)}"
+        rows.append(" ".join(w))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = found_groups(spark, rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = groups_of(rows)
+    assert got == want and 1 < len(want) < 250
+
+
+def test_near_copies_equal_hashes(spark, monkeypatch):
+    # unequal texts with equal first hashes: none is lost as a copy of the other
+    monkeypatch.setattr(simhash, "text_hash", lambda text: F.length(text).cast("long"))
+    rows = [(1, "some words here"), (2, "words here some"), (3, "some words here"), (4, "other"), (5, "rehto"), (6, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("own", "other", "nth", "node")})
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and {r["doc_id"] for r in got.collect()} == {1, 2, 4, 5}
+
+
+def test_near_copies_recall(spark):
+    """Recall of pairs at 0.8 or more of the given documents against all pairs."""
+    rows = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    want, got = groups_of(rows), found_groups(spark, rows)
+    print("near-copy groups", sum(len(g) > 1 for g in want), "equal:", len(want & got) / len(want))
+    assert got == want
+
+
 def test_embeddings(spark, none):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(40, 16))
@@ -648,6 +686,29 @@ def test_token_ids_without_keys(spark, tmp_path):
     assert corpus_pipeline.encode(spark, df, "").filter("doc_id is null").count() == 3
 
 
+def test_token_index(spark, docs, tmp_path, monkeypatch):
+    """Look-ups through the index of files in shuffled order, with repeated and missing keys and documents without one."""
+    monkeypatch.setattr(tokens, "KEYS_A_BUCKET", 16)
+    monkeypatch.setattr(tokens, "BLOCK_DOCS", 9)
+    odd_rows = spark.createDataFrame([(None, "no key"), (5, "five again"), (5, "five again"), (-3, "below zero"), (2**62, "")], "doc_id long, text string")
+    given = docs.select("doc_id", "text").union(odd_rows)
+    path, index = str(tmp_path / "ids"), str(tmp_path / "index")
+    tokens.write_ids(given, path, tokens.tokenizer_path(), order=[F.md5(F.coalesce("text", F.lit("")))], keyless=True)
+    tokens.write_index(spark, path, index)
+    assert spark.read.parquet(index).count() > 5
+    encode = tokens.encoder(tokens.tokenizer_path())
+    want = {}
+    for r in given.filter("doc_id is not null").collect():
+        ids = np.frombuffer(encode([(r["text"] or "").encode()])[0], encode.dtype).tolist() + [2]
+        want.setdefault(r["doc_id"], []).append(ids)
+    got = {r["key"]: r["ids"] for r in tokens.seek(spark, path, index, [*want, 10**9, 10**9 + 1, -1]).collect()}
+    assert set(got) == set(want) and all(got[k] in v for k, v in want.items())
+    assert tokens.seek(spark, path, index, []).count() == 0 and tokens.seek(spark, path, index, [10**9]).count() == 0
+    tokens.write_ids(given.filter("doc_id = 0.5"), str(tmp_path / "no"), tokens.tokenizer_path())
+    tokens.write_index(spark, str(tmp_path / "no"), str(tmp_path / "no index"))
+    assert tokens.seek(spark, str(tmp_path / "no"), str(tmp_path / "no index"), [1]).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 4096])
 def test_perfect_hash(n):
     keys = np.arange(n) * 37 - 5
@@ -687,6 +748,8 @@ def test_pipeline(spark):
     assert not any(b in decontaminate.normal(r["text"]) for r in kept.collect() for b in bench)
     mixed = common.settle(corpus_pipeline.STAGES[3][1](spark, kept, sf))
     assert mixed.columns == docs.columns
+    hot = docs.limit(1).withColumns({"copy_no": F.lit(5), "shuffle_key": F.lit("mine")})
+    assert corpus_pipeline.STAGES[3][1](spark, hot, sf).columns == hot.columns
     last = corpus_pipeline.STAGES[4][1](spark, mixed, sf).collect()
     assert Counter(r["doc_id"] for r in last) == Counter(r["doc_id"] for r in mixed.collect())
     last.sort(key=lambda r: r["start"])
