@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import U64, forget, map_rows, mix, pieces, record, settle, shuffle_count, texts
 from .words import BASE, INVERSE, Words, gather, grams, hashes, powers, split
 
-PIECE = 1 << 20
+#: Bytes of text taken at a time in the first and in the second reading, where each piece sends a fragment's words once.
+PIECE, WIDE = 1 << 20, 3 << 20
 
 
 def minimizers(w: Words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +79,7 @@ def _fragments(window: int, gram: int, recurring, common):
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known, often = (np.frombuffer(b.value, np.uint8) for b in (recurring, common))
-        for part in pieces(batch, "text", PIECE):
+        for part in pieces(batch, "text", WIDE):
             w = split(texts(part.column("text")))
             h = hashes(w)
             seed, first, last = minimizers(w, h, window, gram)
@@ -102,6 +103,7 @@ def _fragments(window: int, gram: int, recurring, common):
             data, offsets = gather(w.buffer, w.start[first][order], w.start[first][order] + size)
             nulls = pa.py_buffer(np.packbits(new, bitorder="little").tobytes())
             fragment = pa.Array.from_buffers(pa.binary(), len(order), [nulls, pa.py_buffer(offsets), pa.py_buffer(data)])
+            low, high = (pa.array(x, pa.int64(), mask=~new) for x in (low, high))  # they stand with the fragment's words
             yield record(kinds, seed.view(np.int64)[order], key.view(np.int64)[order], own[order], doc[order], part.column("same").to_numpy()[row][order], (first - w.first[row]).astype(np.int32)[order], low, high, fragment)
 
     return run
@@ -218,14 +220,14 @@ def bitmap_of(seeds: DataFrame, bits: int) -> bytes:
     return whole.tobytes()
 
 
-def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 5, bits: int = 1 << 27, a_shard: int = 16_384) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 5, bits: int = 1 << 27, a_shard: int = 32_768) -> DataFrame:
     """(doc, same, spans): word ranges (start, stop) made of windows that also start in a document of a smaller id.
 
     docs: long doc, long same (hash of the text, parts rows of equal id), string text. Ranges may overlap. Documents are
     read twice whatever the size of the corpus. The bitmap of recurring minimizers has 8 bits for each, and `bits` (16
     MB) at most; where that is not enough, most fragments pass it and those that don't recur are dropped by a join with
     the recurring minimizers, split by Spark where one is hot. A shard has about `a_shard` occurrences of fragments, and
-    minimizers that alone have half as many are spread by window.
+    minimizers that alone have more are spread by window.
     """
     spark = docs.sparkSession
     n = shuffle_count(spark)
@@ -235,22 +237,22 @@ def repeated_ranges(docs: DataFrame, window: int = 13, gram: int = 5, bits: int
     whole = recurring.agg(F.count(F.lit(1)).alias("seeds"), F.coalesce(F.sum("times"), F.lit(0)).alias("times")).first()
     shards = max(8 * n, -(-whole["times"] // a_shard))
     size = min(bits, 1 << max(20, (8 * whole["seeds"]).bit_length()))
-    common = recurring.filter(F.col("times") > max(256, whole["times"] // (2 * shards)))
+    common = recurring.filter(F.col("times") > max(512, whole["times"] // shards))
     sent = [spark.sparkContext.broadcast(bitmap_of(x, size)) for x in (recurring, common)]
     notes = map_rows(docs.select("doc", "same", "text"), _fragments(window, gram, *sent), NOTES)
     if size < 4 * whole["seeds"]:
         notes = notes.join(recurring.select("seed"), "seed", "left_semi")
     notes = settle(notes.drop("seed"))
     shard = F.pmod(F.shiftrightunsigned("key", 8), F.lit(shards)).alias("shard")
-    patterns = notes.filter("fragment is not null").select(shard, "key", "hash", "low", "high", "fragment").repartition(n, "shard").sortWithinPartitions("shard")
+    patterns = notes.filter("fragment is not null").select(shard, "key", "hash", "low", "high", "fragment").repartition(max(n, whole["times"] // 500_000), "shard").sortWithinPartitions("shard")
     passages = settle(patterns.mapInArrow(_stream(window), "key long, hash long, found array<struct<start:int,stop:int,low:long>>"))
     forget(recurring)
     places = notes.select("key", "hash", "doc", "same", "at").join(passages, ["key", "hash"])
     spans = F.transform(F.filter("found", lambda x: x["low"] < F.col("doc")), lambda x: F.struct((x["start"] + F.col("at")).alias("start"), (x["stop"] + F.col("at")).alias("stop")))
-    # rows of equal id and text have equal spans: as a set they count once
-    found = settle(places.select("doc", "same", spans.alias("spans")).filter("size(spans) > 0").groupBy("doc", "same").agg(F.flatten(F.collect_set("spans")).alias("spans")))
+    ranges = settle(places.select("doc", "same", spans.alias("spans")).filter("size(spans) > 0"))
     forget(notes, passages)
-    return found
+    # rows of equal id and text have equal spans: as a set they count once
+    return ranges.groupBy("doc", "same").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def _kept(key: str):
