@@ -7,6 +7,7 @@ from .mixing import OP7_SQL, op7_poisson_mix
 from .passages import op2_repeats
 from .pii import op1_pii
 from .quality import op5_quality
+from .ranking import OP11_SQL, op11_ranking
 from .simhash import op3_simhash
 from .tokens import op10_token_ids
 from .toxicity import op6_toxicity
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_leaks": op9_leaks,
     "op10_token_ids": op10_token_ids,
+    "op11_ranking": op11_ranking,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_poisson_mix": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_poisson_mix": OP7_SQL, "op11_ranking": OP11_SQL}
