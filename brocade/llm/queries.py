@@ -11,6 +11,8 @@ from .ranking import OP11_SQL, op11_ranking
 from .simhash import op3_simhash
 from .tokens import op10_token_ids
 from .toxicity import op6_toxicity
+from .trees import op13_neighbours
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -24,6 +26,8 @@ QUERIES = {
     "op9_leaks": op9_leaks,
     "op10_token_ids": op10_token_ids,
     "op11_ranking": op11_ranking,
+    "op12_whitening": op12_whitening,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_poisson_mix": OP7_SQL, "op11_ranking": OP11_SQL}
