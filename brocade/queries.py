@@ -457,11 +457,11 @@ def _selected(spark, sf_dir):
 _SELECTED = f"sel AS (SELECT *, {_ONLY} AS alone FROM (SELECT *, {_N} AS n FROM selections WHERE source_dataset <> 'POLYGON'))"
 
 
-@query(f"""WITH {DERIVED_SQL}, {_SELECTED} SELECT mask, alone AS instruction, {', '.join(f"{_prompt_sql('alone', k)} AS {k}" for k in _SPOKEN)}, replace(local_caption, ' | ', CASE WHEN edit_type = 'multi_object_add' THEN '; ' ELSE ' ;  ' END) AS content FROM sel""")
+@query(f"""WITH {DERIVED_SQL}, {_SELECTED} SELECT mask, alone AS instruction, {', '.join(f"{_prompt_sql('alone', k)} AS {k}_prompt" for k in _SPOKEN)}, replace(local_caption, ' | ', CASE WHEN edit_type = 'multi_object_add' THEN '; ' ELSE ' ;  ' END) AS content FROM sel""")
 def region_instructions(spark, sf_dir):
     """Region-only instructions of every edit type, the prompts of all three locators, and the texts of what regions are to show."""
     rows = _selected(spark, sf_dir)
-    return rows.select("mask", F.col("only").alias("instruction"), *[text.locator_prompt(F.col("only"), F.col("n"), k).alias(k) for k in _SPOKEN], text.local_content(F.col("edit_type"), F.col("local_caption")).alias("content"))
+    return rows.select("mask", F.col("only").alias("instruction"), *[text.locator_prompt(F.col("only"), F.col("n"), k).alias(f"{k}_prompt") for k in _SPOKEN], text.local_content(F.col("edit_type"), F.col("local_caption")).alias("content"))
 
 
 _PREPARED = "prepared AS (" + " UNION ALL ".join(
