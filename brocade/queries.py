@@ -350,16 +350,16 @@ def mask_regions(spark, sf_dir):
     return masks.region_shapes(shapes(spark, sf_dir), 64, 48).drop("px", "py")
 
 
-def _disc_sql(radius: int) -> str:
+def disc_sql(radius: int) -> str:
     return f"(SELECT dx, dy FROM range(-{radius}, {radius + 1}) a(dx), range(-{radius}, {radius + 1}) b(dy) WHERE abs(dx) <= round_even({radius} * sqrt(({radius * radius} - dy * dy) * (1.0::DOUBLE / {radius * radius})), 0)) d"
 
 
-@query(f"SELECT mask, count(*) AS area, sum(x)::BIGINT AS xs, sum(y)::BIGINT AS ys FROM (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM pixels, {_disc_sql(3)} WHERE x + dx BETWEEN 0 AND 199 AND y + dy BETWEEN 0 AND 149) GROUP BY mask")
+@query(f"SELECT mask, count(*) AS area, sum(x)::BIGINT AS xs, sum(y)::BIGINT AS ys FROM (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM pixels, {disc_sql(3)} WHERE x + dx BETWEEN 0 AND 199 AND y + dy BETWEEN 0 AND 149) GROUP BY mask")
 def mask_dilations(spark, sf_dir):
     return masks.dilated(pixels(spark, sf_dir), 200, 150).groupBy("mask").agg(F.count(F.lit(1)).alias("area"), F.sum("x").alias("xs"), F.sum("y").alias("ys"))
 
 
-@query(f"SELECT mask, count(*) AS area FROM (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM shapes, {_disc_sql(1)} WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 47) GROUP BY mask")
+@query(f"SELECT mask, count(*) AS area FROM (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM shapes, {disc_sql(1)} WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 47) GROUP BY mask")
 def evaluation_masks(spark, sf_dir):
     """Union of a case's regions, widened."""
     return masks.evaluation_masks(masks.regions(shapes(spark, sf_dir), 64, 48, strict=False), 64, 48).groupBy("mask").agg(F.count(F.lit(1)).alias("area"))
@@ -697,3 +697,6 @@ def score_disagreements(spark, sf_dir):
     have = F.create_map(F.lit("edit"), F.col("edit"), F.lit("quality"), F.col("quality"))
     keys = F.array_sort(F.map_keys(summary.disagreements(want, have)))
     return records(spark, sf_dir).select("eval_index", "line", F.concat(F.lit("["), F.array_join(keys, ", "), F.lit("]")).alias("differing"))
+
+
+from . import picture_queries  # noqa: E402, F401  registers its queries here

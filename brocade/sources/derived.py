@@ -86,6 +86,23 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mask", "x", F.explode(F.sequence(F.col("r.y"), F.col("r.y") + F.col("r.h") - 1)).alias("y")).distinct()
 
 
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star or a triangle for each part, as a list of one flat list of coordinates with fractions, on a canvas of 64 by 48; some reach beyond it."""
+    p = F.col("p_partkey")
+    cx, cy, r, s = F.lit(10) + p % 45, F.lit(8) + p % 33, F.lit(4) + p % 11, F.lit(1) + p % 5
+    corners = [(cx, cy - r), (cx + s + 0.7, cy - s), (cx + r + 0.25, cy + 0.5), (cx + s, cy + s), (cx - 0.5, cy + r), (cx - s, cy + s), (cx - r - 0.75, cy), (cx - s, cy - s)]
+    flat = F.array(*[c.cast("double") for corner in corners for c in corner])
+    return table(spark, sf_dir, "part").select(p.cast("long").alias("mask"), F.array(F.when(p % 4 == 0, F.slice(flat, 1, 6)).otherwise(flat)).alias("polygon"), F.lit(64).alias("width"), F.lit(48).alias("height"))
+
+
+def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mask, region, x1, y1, x2, y2): the one or two rectangles of each part's shapes."""
+    p = F.col("p_partkey")
+    box = lambda n, x, y, w, h: F.struct(F.lit(n).alias("region"), *[v.cast("int").alias(k) for k, v in (("x1", x), ("y1", y), ("x2", x + w), ("y2", y + h))])
+    both = F.array(box(1, p % 20, p % 13, 6 + p % 9, 5 + p % 7), F.when(p % 4 > 0, box(2, 22 + p % 23, 14 + p % 17, 5 + p % 6, 4 + p % 5)))
+    return table(spark, sf_dir, "part").select(p.cast("long").alias("mask"), F.explode(F.array_compact(both)).alias("b")).select("mask", "b.*")
+
+
 def judge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of cases with every method and setting once: twenty events in a row are a case."""
     e, cents = F.col("event_id"), F.round(F.col("value") * 100).cast("long")
@@ -128,6 +145,8 @@ rectangles AS (SELECT p_partkey AS mask, p_partkey % 20 AS x0, p_partkey % 13 AS
   UNION ALL SELECT p_partkey, 22 + p_partkey % 23, 14 + p_partkey % 17, 5 + p_partkey % 6, 4 + p_partkey % 5 FROM part WHERE p_partkey % 4 > 0
   UNION ALL SELECT p_partkey, p_partkey % 64, 47 - p_partkey % 5, 1, 1 FROM part),
 shapes AS (SELECT DISTINCT mask, CAST(x0 + dx AS INT) AS x, CAST(y0 + dy AS INT) AS y FROM rectangles, range(0, 20) a(dx), range(0, 20) b(dy) WHERE dx < w AND dy < h),
+region_boxes AS (SELECT p_partkey AS mask, 1 AS region, CAST(p_partkey % 20 AS INT) AS x1, CAST(p_partkey % 13 AS INT) AS y1, CAST(p_partkey % 20 + 6 + p_partkey % 9 AS INT) AS x2, CAST(p_partkey % 13 + 5 + p_partkey % 7 AS INT) AS y2 FROM part
+  UNION ALL SELECT p_partkey, 2, CAST(22 + p_partkey % 23 AS INT), CAST(14 + p_partkey % 17 AS INT), CAST(22 + p_partkey % 23 + 5 + p_partkey % 6 AS INT), CAST(14 + p_partkey % 17 + 4 + p_partkey % 5 AS INT) FROM part WHERE p_partkey % 4 > 0),
 event_rows AS (SELECT event_id AS e, user_id, event_type, ts, CAST(round(value * 100) AS BIGINT) AS cents, event_id // 20 AS c, event_id % 5 AS m, (event_id // 5) % 4 AS s FROM events),
 event_scores AS (SELECT *, CASE WHEN c % 4 = 0 AND event_type = 'error' AND user_id % 3 = 0 THEN 'missing_output' WHEN c % 4 = 0 AND event_type = 'error' THEN 'judge_parse_error' ELSE 'ok' END AS status,
   c % 6 = 1 AND m <= 1 AND cents % 4 <> 0 OR c % 6 = 5 AND s = 0 AS easy, CASE WHEN c % 12 = 3 THEN 2 WHEN c % 12 = 9 THEN 3 WHEN c % 6 = 5 THEN 4 ELSE 5 END AS most FROM event_rows),
