@@ -216,10 +216,10 @@ def _search(sent, least: float):
     return run
 
 
-def dealt(placed: DataFrame, n: int, key: tuple[str, str] = ("bytes", "list")) -> DataFrame:
+def dealt(placed: DataFrame, n: int, key: tuple[str, str] = ("bytes", "list"), pairs: int | None = None) -> DataFrame:
     """Rows with the task they go to. A large list is a grid of blocks of its base and of its queries, each pair of blocks one task."""
     sizes = placed.groupBy(*key).agg(F.sum(1 - F.col("role")).alias("base"), F.sum("role").alias("queries"))
-    across = F.greatest(F.lit(1), F.ceil(F.least("base", F.lit(BASE_ROWS)) * F.col("queries") / TASK_PAIRS)).cast("int")
+    across = F.greatest(F.lit(1), F.ceil(F.least("base", F.lit(BASE_ROWS)) * F.col("queries") / (pairs or TASK_PAIRS))).cast("int")
     grid = settle(sizes.select(*key, F.greatest(F.lit(1), F.ceil(F.col("base") / BASE_ROWS)).cast("int").alias("down"), across.alias("across")).filter("down * across > 1"))
     gridded = placed.join(F.broadcast(grid) if grid.count() <= MOST_BROADCAST else grid, list(key), "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("down", "across")})
     row, column = F.pmod("rep", F.col("down")).cast("int"), F.pmod("rep", F.col("across")).cast("int")

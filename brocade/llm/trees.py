@@ -25,12 +25,12 @@ from .common import drawn, forget, settle, shuffle_count
 from .embeddings import dealt
 from .vectors import finite_rows, usual_length
 
-#: Trees; vectors they are fitted to, at most; vectors of a leaf, about; levels, at most; leaves of a subtree that one task takes.
-TREES, SAMPLE, LEAF, MOST_LEVELS, SUBTREE = 4, 20_000, 256, 16, 5
+#: Trees; vectors they are fitted to, at most; vectors of a leaf, about; levels, at most; levels of a subtree that one task takes.
+TREES, SAMPLE, LEAF, MOST_LEVELS, SUBTREE = 4, 20_000, 256, 16, 6
 #: Queries compared with all rows to set the budget; share of their neighbours that the budget's leaves hold; samples below which a node takes its parent's.
 TRIED, WANTED, FEW = 200, 0.96, 16
-#: Queries compared at a time, pairs whose exact products are held at a time.
-BLOCK, PAIRS = 256, 200_000
+#: Queries compared at a time, pairs whose exact products are held at a time, pairs of a subtree that one task compares, about.
+BLOCK, PAIRS, TASK_PAIRS = 256, 200_000, 64_000_000
 
 
 def norms(x: np.ndarray) -> np.ndarray:
@@ -200,8 +200,42 @@ def _placed(sent, budget: float, k: int, kind: str):
 PLACED = "tree int, node long, role int, rep long, vec binary, ids array<long>, leaves binary"
 
 
+PARTIAL = "query long, reps array<long>, scores array<double>, ids array<array<long>>"
+BEST = "query long, best array<struct<rep:long,id:long,score:double>>"
+
+
+def _merged(k: int):
+    """Partial results in order of query to the k + 1 best rows of each: classes found in several trees once, spelled out by key."""
+
+    def ranked(found: dict[int, tuple[float, list]]) -> list[tuple[int, int | None, float]]:
+        rows = [(-score, i is None, i or 0, rep) for rep, (score, ids) in found.items() for i in ids]
+        return [(rep, None if gone else i, -score) for score, gone, i, rep in sorted(rows)[: k + 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, {}
+        kind = pa.list_(pa.struct([("rep", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+        for batch in batches:
+            done: list[tuple[int, list]] = []
+            for query, reps, scores, ids in zip(*(batch.column(c).to_pylist() for c in ("query", "reps", "scores", "ids")), strict=True):
+                if query != now:
+                    if now is not None:
+                        done.append((now, ranked(found)))
+                    now, found = query, {}
+                found |= {r: (s, i) for r, s, i in zip(reps, scores, ids, strict=True)}
+                if len(found) > 10_000:  # however many subtrees a query visits, only its best are held
+                    best = {rep for rep, _, _ in ranked(found)}
+                    found = {r: v for r, v in found.items() if r in best}
+            if done:
+                q, best = zip(*done, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array([[dict(zip(("rep", "id", "score"), b, strict=True)) for b in x] for x in best], kind)], names=["query", "best"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([[dict(zip(("rep", "id", "score"), b, strict=True)) for b in ranked(found)]], kind)], names=["query", "best"])
+
+    return run
+
+
 def _compare(k: int, kind: str):
-    names = ["query", "rep", "score", "ids"]
+    names = [c.split()[0] for c in PARTIAL.split(", ")]
 
     def met(tree: int, base: list, queries: list) -> Iterator[pa.RecordBatch]:
         rep, vec, ids, leaves = zip(*base, strict=True)
@@ -218,8 +252,11 @@ def _compare(k: int, kind: str):
                 a, b = np.searchsorted(leaf, [place, place + 1])
                 if a < b:
                     best.add(of[asked == place], y[a:b], length[a:b], np.arange(a, b), least[a:b])
-            if len(best.query):
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_rep)[best.query]), pa.array(rep[best.place]), pa.array(best.score), pa.array([ids[order[p]] for p in best.place], pa.list_(pa.int64()))], names=names)
+            asks, begin = np.unique(best.query, return_index=True)  # one row a query: its best here, side by side
+            if len(asks):
+                offsets = pa.array(np.append(begin, len(best.query)), pa.int32())
+                columns = pa.array(rep[best.place]), pa.array(best.score), pa.array([ids[order[p]] for p in best.place], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_rep)[asks]), *[pa.ListArray.from_arrays(offsets, c) for c in columns]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, base, queries = None, [], []
@@ -338,13 +375,9 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec
         budget = set_budget(classes, forest, k, kind)
     sent = spark.sparkContext.broadcast(forest)
     placed = settle(classes.select("rep", "vec", "ids", "asked").mapInArrow(_placed(sent, budget, k, kind), PLACED))
-    found = dealt(placed, shuffle_count(spark), ("tree", "node")).mapInArrow(_compare(k, kind), "query long, rep long, score double, ids array<long>")
-    # one deal by query serves both groupings; a class found in several trees counts once
-    each = found.repartition(shuffle_count(spark), "query").groupBy("query", "rep").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
-    named = each.select("query", "rep", "score", F.explode("ids").alias("id"))
-    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id")))
-    # a query's own row may be among the best: one more than k
-    top = named.withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "score", "rep"))).alias("best"))
+    n = shuffle_count(spark)
+    found = dealt(placed, n, ("tree", "node"), TASK_PAIRS).mapInArrow(_compare(k, kind), PARTIAL)
+    top = found.repartition(n, "query").sortWithinPartitions("query").mapInArrow(_merged(k), BEST)
     of = classes.filter("asked").select(F.col("rep").alias("query"), "vec").join(settle(top), "query").select("vec", F.col("query").alias("own"), "best")
     others = F.filter("best", lambda b: ~((b["rep"] == F.col("own")) & b["id"].eqNullSafe(F.col("id"))))
     ranked = once.filter("asked").select("id", "vec").join(of, "vec").select(F.col("id").alias("query_id"), F.posexplode(F.slice(others, 1, k)).alias("at", "b"))

@@ -181,7 +181,7 @@ def test_neighbours_recall(spark, monkeypatch, base_rows, pairs):
     from brocade.llm import embeddings
 
     monkeypatch.setattr(embeddings, "BASE_ROWS", base_rows)
-    monkeypatch.setattr(embeddings, "TASK_PAIRS", pairs)
+    monkeypatch.setattr(trees, "TASK_PAIRS", pairs)
     rng = np.random.default_rng(6)
     vectors = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(rng.normal(size=(1500, 16)), rng.uniform(0.5, 2, 1500), strict=True))]
     got, want = ranked(trees.neighbours(as_vectors(spark, vectors), leaf=32)), nearest(vectors)
