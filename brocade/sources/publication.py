@@ -177,14 +177,15 @@ def manifest(spark: SparkSession, root: str, version: str | None = None) -> Data
 
 
 def contents(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
-    """(name, content) of the files that a set's manifest names."""
+    """(name, content) of the files that a set's manifest names. Spark's readers pass over empty files: these come from the manifest alone."""
     root, version = root.rstrip("/"), version or current(spark, root)
     listed = manifest(spark, root, version)
     if listed.isEmpty():
         return spark.createDataFrame([], FILE)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/sets/{version}/files")
     named = files.select(F.regexp_extract("path", r"/sets/[^/]+/files/(.*)$", 1).alias("name"), "content")
-    return named.join(listed.select("name"), "name", "left_semi")
+    full = named.join(listed.filter("size > 0").select("name"), "name", "left_semi")
+    return full.unionByName(listed.filter("size = 0").select("name", F.lit(b"").alias("content")))
 
 
 def broken(spark: SparkSession, root: str) -> DataFrame:
