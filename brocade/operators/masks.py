@@ -53,17 +53,29 @@ def split_scan(pixels: DataFrame, low: float = 0.15, high: float = 0.85, least:
     """
     lines = pixels.select("mask", F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("x").alias("place")), F.struct(F.lit(1).alias("axis"), F.col("y").alias("place")))).alias("l"))
     counts = lines.groupBy("mask", "l.axis", "l.place").agg(F.count(F.lit(1)).alias("n"))
-    # a mask has no more lines than its canvas has, so they are lists
-    axes = counts.groupBy("mask", "axis").agg(F.min("place").alias("a"), (F.max("place") - F.min("place") + 1).alias("span"), F.max("n").alias("most"), F.sum("n").alias("area"), F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("at"))
+    steps = counts.select("mask", "axis", F.explode(F.array(F.struct("place", "n"), F.struct((F.col("place") + 1).alias("place"), (-F.col("n")).alias("n")))).alias("s"))
+    return best_cut(steps.select("mask", "axis", "s.place", F.col("s.n").alias("step")), low, high, least, balance)
+
+
+def best_cut(steps: DataFrame, low: float = 0.15, high: float = 0.85, least: float = 0.12, balance: float = 0.18) -> DataFrame:
+    """split_scan from (mask, axis, place, step): by how much the number of set pixels on a line is more than on the line before.
+
+    All of it is windows over the lines of one mask and axis, empty ones too, which are no more than the canvas has.
+    """
+    axis = Window.partitionBy("mask", "axis")
+    by_place = axis.orderBy("place")
+    changes = steps.groupBy("mask", "axis", "place").agg(F.sum("step").alias("step"))
+    spans = changes.select("mask", "axis", "place", F.lead("place").over(by_place).alias("until"), F.sum("step").over(by_place).alias("n")).filter("until is not null")
+    lines = spans.select("mask", "axis", F.explode(F.sequence("place", F.col("until") - 1)).alias("place"), "n")
+    before = F.coalesce(F.sum("n").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first, span = F.min("place").over(axis), F.max("place").over(axis) - F.min("place").over(axis) + 1
+    tried = lines.select("mask", "axis", "place", "n", before.alias("left"), (F.col("place") - first).alias("o"), span.alias("span"), F.max("n").over(axis).alias("most"), F.sum("n").over(axis).alias("area"))
     begin = F.greatest(F.lit(1), F.floor(F.col("span") * low).cast("int"))
     stop = F.least(F.col("span") - 1, F.floor(F.col("span") * high).cast("int"))
-    n = lambda place: F.coalesce(F.element_at("at", place), F.lit(0))
-    sums = F.aggregate(F.sequence(F.col("a"), F.col("a") + F.col("span") - 2), F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + n(p))))
-    tried = axes.filter((F.col("span") >= 4) & (begin < stop)).withColumn("before", sums).withColumn("o", F.explode(F.sequence(begin, stop - 1)))
-    tried = tried.select("mask", "axis", (F.col("a") + F.col("o")).alias("place"), "area", "most", n(F.col("a") + F.col("o")).alias("n"), F.element_at("before", F.col("o") + 1).alias("left"))
     fair = F.least(F.col("left"), F.col("area") - F.col("left")) >= F.col("area") * least
     score = F.col("n") / F.greatest(F.lit(1.0), F.col("most").cast("double")) + balance * (F.abs(2 * F.col("left") - F.col("area")) / F.col("area"))
-    return tried.filter(fair).groupBy("mask").agg(F.min(F.struct(score.alias("score"), "axis", "place")).alias("s")).select("mask", "s.axis", "s.place", "s.score")
+    kept = tried.filter((F.col("span") >= 4) & (F.col("o") >= begin) & (F.col("o") < stop) & fair)
+    return kept.groupBy("mask").agg(F.min(F.struct(score.alias("score"), "axis", "place")).alias("s")).select("mask", "s.axis", "s.place", "s.score")
 
 
 def in_order(regions: DataFrame) -> DataFrame:

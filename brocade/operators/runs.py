@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import masks
+
 ROW = ["mask", "y"]
 
 
@@ -70,15 +72,15 @@ def boxes(runs: DataFrame) -> DataFrame:
     return runs.groupBy("mask").agg(F.min("x1").alias("x1"), F.min("y").alias("y1"), F.max("x2").alias("x2"), (F.max("y") + 1).alias("y2"), area)
 
 
-def coverage(runs: DataFrame, boxed: DataFrame, width: int, height: int) -> DataFrame:
-    """Share of each box (mask, bx1, by1, bx2, by2 with fractions) that the mask's disjoint runs set, over the pixels it touches within the canvas; 0 for a box outside it."""
+def coverage(runs: DataFrame, boxed: DataFrame, width: int, height: int, *keys: str) -> DataFrame:
+    """Share of each box (mask, bx1, by1, bx2, by2 with fractions, and keys that tell boxes apart) that the mask's disjoint runs set, over the pixels it touches within the canvas; 0 for a box outside it."""
     a, b = (F.greatest(F.lit(0), F.floor(c).cast("int")) for c in ("bx1", "by1"))
     c, d = F.least(F.lit(width), F.ceil("bx2").cast("int")), F.least(F.lit(height), F.ceil("by2").cast("int"))
     area = F.greatest(c - a, F.lit(0)) * F.greatest(d - b, F.lit(0))
     inside = F.when((F.col("y") >= b) & (F.col("y") < d), F.greatest(F.least("x2", c) - F.greatest("x1", a), F.lit(0)))
     joined = boxed.join(runs, "mask", "left").withColumns({"inside": inside, "area": area})
     share = F.when(F.first("area") > 0, F.coalesce(F.sum("inside"), F.lit(0)) / F.first("area")).otherwise(0.0)
-    return joined.groupBy("mask", "bx1", "by1", "bx2", "by2").agg(share.alias("coverage"))
+    return joined.groupBy("mask", "bx1", "by1", "bx2", "by2", *keys).agg(share.alias("coverage"))
 
 
 def holding(runs: DataFrame, points: DataFrame) -> DataFrame:
@@ -88,6 +90,27 @@ def holding(runs: DataFrame, points: DataFrame) -> DataFrame:
     return points.alias("p").join(row.alias("r"), met, "left_semi")
 
 
+def split_parts(runs: DataFrame) -> DataFrame:
+    """(mask, region, y, x1, x2): the two parts of each mask of disjoint runs at its best straight cut, in order of their means; masks without one are left out."""
+    n = (F.col("x2") - F.col("x1")).cast("long")
+    ends = ((0, F.col("x1"), F.lit(1)), (0, F.col("x2"), F.lit(-1)), (1, F.col("y"), n), (1, F.col("y") + 1, -n))
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), p.cast("int").alias("place"), s.cast("long").alias("step")) for a, p, s in ends]))
+    cut = masks.best_cut(runs.select("mask", steps.alias("s")).select("mask", "s.*")).select("mask", "axis", "place")
+    at = runs.join(cut, "mask")
+    place, across = F.col("place"), F.col("axis") == 0
+    left = at.select("mask", F.lit(1).alias("part"), "y", "x1", F.when(across, F.least("x2", place)).when(F.col("y") < place, F.col("x2")).otherwise(F.col("x1")).alias("x2"))
+    right = at.select("mask", F.lit(2).alias("part"), "y", F.when(across, F.greatest("x1", place)).when(F.col("y") >= place, F.col("x1")).otherwise(F.col("x2")).alias("x1"), "x2")
+    return in_order(left.unionByName(right).filter("x1 < x2"), "part")
+
+
+def in_order(parts: DataFrame, part: str) -> DataFrame:
+    """Parts of masks numbered from 1 as `region`, in order of mean x, then mean y; a mask has few."""
+    n = F.col("x2") - F.col("x1")
+    means = parts.groupBy("mask", part).agg((F.sum(n * (F.col("x1") + F.col("x2") - 1) / 2) / F.sum(n)).alias("mx"), (F.sum(n * F.col("y")) / F.sum(n)).alias("my"))
+    nth = F.row_number().over(Window.partitionBy("mask").orderBy("mx", "my", part))
+    return parts.join(means.select("mask", part, nth.alias("region")), ["mask", part]).select("mask", "region", "y", "x1", "x2")
+
+
 def disc_reach(radius: int) -> list[int]:
     """How far a round kernel reaches to both sides in each of its rows, rounded half to even."""
     return [round(radius * ((radius * radius - dy * dy) * (1.0 / max(1, radius * radius))) ** 0.5) for dy in range(-radius, radius + 1)]

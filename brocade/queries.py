@@ -301,7 +301,7 @@ def mask_unions(spark, sf_dir):
     return got.groupBy("mask").agg(F.count(F.lit(1)).alias("area"))
 
 
-def _split_sql(pixels: str) -> str:
+def split_sql(pixels: str) -> str:
     """cut: the best cut of each mask, every line of the range tried, empty ones too."""
     return f"""l AS (SELECT mask, 0 AS axis, x AS place, count(*) AS n FROM {pixels} GROUP BY ALL UNION ALL SELECT mask, 1, y, count(*) FROM {pixels} GROUP BY ALL),
  ax AS (SELECT mask, axis, min(place) AS a, max(place) - min(place) + 1 AS span, max(n) AS most, sum(n) AS area FROM l GROUP BY mask, axis),
@@ -311,15 +311,15 @@ def _split_sql(pixels: str) -> str:
   QUALIFY row_number() OVER (PARTITION BY mask ORDER BY n / greatest(1.0, most) + 0.18 * (abs(2 * lf - area) / area), axis, place) = 1)"""
 
 
-@query(f"WITH {DERIVED_SQL}, {_split_sql('shapes')} SELECT mask, axis, CAST(place AS INT) AS place, score FROM cut")
+@query(f"WITH {DERIVED_SQL}, {split_sql('shapes')} SELECT mask, axis, CAST(place AS INT) AS place, score FROM cut")
 def mask_splits(spark, sf_dir):
     return masks.split_scan(shapes(spark, sf_dir))
 
 
-_PARTS = "parts AS (SELECT mask, CASE WHEN CASE WHEN axis = 0 THEN x ELSE y END < place THEN 1 ELSE 2 END AS part, x, y FROM {0} JOIN cut USING (mask)), named AS (SELECT mask, part, row_number() OVER (PARTITION BY mask ORDER BY avg(x), avg(y), part) AS region FROM parts GROUP BY mask, part)"
+PARTS = "parts AS (SELECT mask, CASE WHEN CASE WHEN axis = 0 THEN x ELSE y END < place THEN 1 ELSE 2 END AS part, x, y FROM {0} JOIN cut USING (mask)), named AS (SELECT mask, part, row_number() OVER (PARTITION BY mask ORDER BY avg(x), avg(y), part) AS region FROM parts GROUP BY mask, part)"
 
 
-@query(f"WITH {DERIVED_SQL}, {_split_sql('pixels')}, {_PARTS.format('pixels')} SELECT mask, CAST(region AS INT) AS region, count(*) AS area, min(x) AS x1, min(y) AS y1 FROM parts JOIN named USING (mask, part) GROUP BY ALL")
+@query(f"WITH {DERIVED_SQL}, {split_sql('pixels')}, {PARTS.format('pixels')} SELECT mask, CAST(region AS INT) AS region, count(*) AS area, min(x) AS x1, min(y) AS y1 FROM parts JOIN named USING (mask, part) GROUP BY ALL")
 def split_regions(spark, sf_dir):
     """The two parts of each mask at its best cut, in order of their means."""
     return masks.split_parts(pixels(spark, sf_dir)).groupBy("mask", "region").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("x1"), F.min("y").alias("y1"))
@@ -398,7 +398,7 @@ _TWO = "two AS (SELECT mask, 1 AS region, mask % 20 AS x1, mask % 13 AS y1, mask
 @query(f"""WITH {DERIVED_SQL}, {_TWO}, inst AS (SELECT s.mask, region, x, y FROM shapes s JOIN two USING (mask) WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2 AND (x + y) % 7 > 0), own AS (SELECT mask, x, y, min(region) AS region FROM inst GROUP BY ALL HAVING count(*) = 1),
  near AS (SELECT s.mask, s.x, s.y, two.region FROM shapes s JOIN two USING (mask) ANTI JOIN own USING (mask, x, y) QUALIFY row_number() OVER (PARTITION BY s.mask, s.x, s.y ORDER BY ((s.x - (x1 + x2) / 2) / (x2 - x1)) * ((s.x - (x1 + x2) / 2) / (x2 - x1)) + ((s.y - (y1 + y2) / 2) / (y2 - y1)) * ((s.y - (y1 + y2) / 2) / (y2 - y1)), two.region) = 1),
  dealt AS (SELECT mask, region, x, y FROM own UNION ALL SELECT mask, region, x, y FROM near), bad AS (SELECT mask FROM (SELECT mask, region, count(*) AS n FROM dealt GROUP BY ALL) GROUP BY mask HAVING min(n) < 16 OR count(*) < 2), again AS (SELECT * FROM shapes SEMI JOIN bad USING (mask)),
- {_split_sql('again')}, {_PARTS.format('again')} SELECT mask, CAST(region AS INT) AS region, count(*) AS area FROM (SELECT mask, region, x, y FROM dealt ANTI JOIN bad USING (mask) UNION ALL SELECT mask, named.region, x, y FROM parts JOIN named USING (mask, part)) GROUP BY ALL""")
+ {split_sql('again')}, {PARTS.format('again')} SELECT mask, CAST(region AS INT) AS region, count(*) AS area FROM (SELECT mask, region, x, y FROM dealt ANTI JOIN bad USING (mask) UNION ALL SELECT mask, named.region, x, y FROM parts JOIN named USING (mask, part)) GROUP BY ALL""")
 def instance_partition(spark, sf_dir):
     """Masks dealt to two overlapping instances with gaps; where one would keep fewer than 16 pixels, split at the best cut instead."""
     whole = shapes(spark, sf_dir)
@@ -699,4 +699,4 @@ def score_disagreements(spark, sf_dir):
     return records(spark, sf_dir).select("eval_index", "line", F.concat(F.lit("["), F.array_join(keys, ", "), F.lit("]")).alias("differing"))
 
 
-from . import picture_queries  # noqa: E402, F401  registers its queries here
+from . import case_queries, picture_queries  # noqa: E402, F401  register their queries here
