@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import runs
+from .constants import AXES, METHODS, SETTINGS
+from .operators import boards, runs
 from .operators.order import held
 from .plans import instances
+from .picture_queries import scratch
 from .queries import DERIVED_SQL, PARTS, query, split_sql
-from .sources.derived import region_boxes, shapes, table
+from .sources.derived import cases, judge_records, records, region_boxes, shapes, table
+from .streaming import judging
 
 WIDTH, HEIGHT = 64, 48
 
@@ -84,3 +87,51 @@ def instance_regions(spark, sf_dir):
     regions, ways = instances.regions(union, boxes, made)
     sized = regions.groupBy("mask", "region").agg(F.sum(F.col("x2") - F.col("x1")).alias("area"), F.min("x1").alias("x1"), F.min("y").alias("y1"), F.max("x2").alias("x2"), (F.max("y") + 1).alias("y2"))
     return sized.join(ways, "mask")
+
+
+def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = cases(spark, sf_dir).select("eval_index", "case_id", "edit_type")
+    return boards.boards(numbered, records(spark, sf_dir).filter("variant = 'r1'"))
+
+
+_SHOWN = f"""grid AS (SELECT eval_index, method, setting FROM cases, unnest({list(METHODS)!r}) m(method), unnest({list(SETTINGS)!r}) s(setting)),
+ first AS (SELECT * FROM records WHERE variant = 'r1' QUALIFY row_number() OVER (PARTITION BY eval_index, method, setting ORDER BY line) = 1), filled AS (SELECT eval_index, method, setting, status, edit, quality FROM grid LEFT JOIN first USING (eval_index, method, setting)),
+ shown AS (SELECT eval_index, string_agg(method || '/' || setting || ':' || coalesce(status, 'pending') || ':' || coalesce(edit::VARCHAR, '-') || ':' || coalesce(quality::VARCHAR, '-'), ' ' ORDER BY list_position({list(METHODS)!r}, method), list_position({list(SETTINGS)!r}, setting)) AS cells,
+  CAST(count(CASE WHEN status IS NULL THEN 1 END) AS INT) AS absent FROM filled GROUP BY eval_index)"""
+
+
+@query(f"WITH {DERIVED_SQL}, {_SHOWN} SELECT eval_index, case_id, edit_type, eval_index // 20 AS page, cells, absent FROM shown JOIN cases USING (eval_index)")
+def case_boards(spark, sf_dir):
+    """Every case with a cell for each method and setting, pending where there is no record."""
+    score = lambda c, n: F.coalesce(c[n].cast("string"), F.lit("-"))
+    line = F.transform("cells", lambda c: F.concat(c["method"], F.lit("/"), c["setting"], F.lit(":"), c["status"], F.lit(":"), score(c, "edit"), F.lit(":"), score(c, "quality")))
+    return _boards(spark, sf_dir).select("eval_index", "case.case_id", "case.edit_type", "page", F.array_join(line, " ").alias("cells"), "absent")
+
+
+@query(f"WITH {DERIVED_SQL}, {_SHOWN} SELECT eval_index // 20 AS page, min(eval_index) AS \"first\", max(eval_index) AS \"last\", count(*) AS cases, sum(absent)::BIGINT AS absent FROM shown GROUP BY ALL")
+def board_pages(spark, sf_dir):
+    return boards.pages(_boards(spark, sf_dir))
+
+
+@query("SELECT r AS rank, count(o_orderkey) AS rows FROM range(0, 7) t(r) LEFT JOIN orders ON (o_orderkey + 3) % 7 = r GROUP BY r")
+def shard_balance(spark, sf_dir):
+    """Cases of each of seven workers."""
+    return boards.shard_balance(cases(spark, sf_dir), 7, 3)
+
+
+_REPLIES = "reply AS (SELECT eval_index // 2 AS c, method, setting, line, status, edit, preservation, quality, row_number() OVER (PARTITION BY eval_index // 2, method, setting ORDER BY updated_at, line) AS turn FROM judge_records)"
+
+
+@query(f"""WITH {DERIVED_SQL}, {_REPLIES}, k AS (SELECT c, method, setting, min(turn) FILTER (status = 'ok' AND turn <= 2) AS good, count(*) AS n FROM reply GROUP BY ALL)
+ SELECT k.c || '/' || k.method || '/' || k.setting AS key, CASE WHEN good IS NULL THEN 'judge_parse_error' ELSE 'ok' END AS status, CAST(coalesce(good, 2) AS INT) AS attempts, CAST(r.edit AS INT) AS edit, CAST(r.quality AS INT) AS quality
+ FROM k LEFT JOIN reply r ON r.c = k.c AND r.method = k.method AND r.setting = k.setting AND r.turn = k.good WHERE good IS NOT NULL OR n >= 2""")
+def streamed_judging(spark, sf_dir):
+    """Final records of keys whose replies come in as a stream of files, two cases' to a key."""
+    r = judge_records(spark, sf_dir)
+    key = F.concat_ws("/", F.floor(F.col("eval_index") / 2).cast("string"), "method", "setting")
+    said = F.to_json(F.struct("edit", "preservation", "quality", *[F.lit("seen").alias(f"{a}_evidence") for a in AXES]), {"ignoreNullFields": "false"})
+    text = F.when(F.col("status") == "ok", said).otherwise(F.lit("no object"))
+    root = scratch(spark, "replies")
+    r.select(key.alias("key"), F.col("updated_at").cast("timestamp").alias("at"), F.col("line").cast("long").alias("line"), text.alias("text"), F.lit("stop").alias("finish_reason")).write.parquet(f"{root}/in")
+    judging.run_available(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint")
+    return judging.finals(spark, f"{root}/out").select("key", "status", "attempts", "edit", "quality")

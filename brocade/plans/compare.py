@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import joins, summary
+from ..sources import publication, writers
 
 
 def one_protocol(records: DataFrame, protocol: str) -> None:
@@ -38,3 +41,17 @@ def complete(records: DataFrame, methods: int, cases: int, settings: int) -> Non
     rows = t.collect()  # one row a method
     if len(rows) != methods or any(r["c"] != cases or r["n"] != cases * settings or r["open"] for r in rows):
         raise ValueError("results are not complete")
+
+
+def publish(records: DataFrame, root: str, methods: int, cases: int, settings: int, files: DataFrame | None = None) -> str:
+    """Publish the comparison of complete records with its files (name, content); incomplete ones are an error before anything is written.
+
+    The set holds summary.json and summary.md, one row a method, and the given files; files of earlier sets go. Gives the set's version.
+    """
+    complete(records, methods, cases, settings)
+    spark = records.sparkSession
+    table = summary.method_table(records).orderBy("position").drop("position")
+    rows = [r.asDict() for r in table.collect()]  # one row a method
+    made = [("summary.json", json.dumps({r["method"]: r for r in rows}, indent=2, sort_keys=True, ensure_ascii=False) + "\n"), ("summary.md", writers.markdown_table(rows, table.columns))]
+    own = spark.createDataFrame([(n, bytearray(t.encode())) for n, t in made], publication.FILE)
+    return publication.publish(own if files is None else own.unionByName(files.select("name", "content")), root)

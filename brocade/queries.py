@@ -164,16 +164,15 @@ _FIRST = "first AS (SELECT * FROM records WHERE variant = 'r1' QUALIFY row_numbe
 @query(f"WITH {DERIVED_SQL}, {_GRID}, {_FIRST} SELECT method, setting, coalesce(status, 'pending') AS status, count(*) AS count FROM grid LEFT JOIN first USING (eval_index, method, setting) GROUP BY ALL")
 def pending_jobs(spark, sf_dir):
     """Every case, method and setting with its first record, pending where there is none."""
-    first = records(spark, sf_dir).filter("variant = 'r1'").groupBy("eval_index", "method", "setting").agg(F.min_by("status", "line").alias("status"))
-    rows = joins.with_pending(joins.expected_jobs(cases(spark, sf_dir).select("eval_index")), first, "eval_index", "method", "setting")
+    first = records(spark, sf_dir).filter("variant = 'r1'")
+    rows = joins.filled_grid(cases(spark, sf_dir).select("eval_index"), first, F.min_by("status", "line"), "status", F.lit("pending"))
     return rows.groupBy("method", "setting", "status").agg(F.count(F.lit(1)).alias("count"))
 
 
 @query(f"WITH {DERIVED_SQL}, {_GRID}, k AS (SELECT eval_index, method, setting, sum(e) AS e, sum(a) AS a FROM (SELECT eval_index, method, setting, 1 AS e, 0 AS a FROM grid UNION ALL SELECT eval_index, method, setting, 0, 1 FROM records) GROUP BY ALL) "
        "SELECT eval_index, method, setting, CASE WHEN a = 0 THEN 'missing' WHEN e = 0 THEN 'unexpected' ELSE 'duplicate' END AS problem FROM k WHERE a = 0 OR e = 0 OR a > 1")
 def coverage_errors(spark, sf_dir):
-    grid = joins.expected_jobs(cases(spark, sf_dir).select("eval_index"))
-    return joins.coverage_errors(grid, records(spark, sf_dir), "eval_index", "method", "setting")
+    return joins.grid_errors(cases(spark, sf_dir), records(spark, sf_dir))
 
 
 @query(f"WITH {DERIVED_SQL}, {_GRID} SELECT method, setting, count(*) AS count FROM grid WHERE NOT EXISTS (SELECT 1 FROM records r WHERE r.eval_index = grid.eval_index AND r.method = grid.method AND r.setting = grid.setting AND r.status = 'ok') GROUP BY ALL")

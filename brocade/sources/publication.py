@@ -165,6 +165,12 @@ def publish(files: DataFrame, root: str, name: str = "name", content: str = "con
     return version
 
 
+def copy_files(spark: SparkSession, paths: list[str], root: str) -> str:
+    """Publish copies of some files under their own names; a path without a file is an error."""
+    files = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content")
+    return publish(files, root)
+
+
 def manifest(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
     """(name, size, sha256) of the files of a set, the current one by default."""
     root, version = root.rstrip("/"), version or current(spark, root)

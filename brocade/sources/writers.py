@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,17 @@ def append_new(rows: DataFrame, path: str, key: str = "key") -> None:
     append_records(new.dropDuplicates([key]), path)
 
 
+def append_outcomes(rows: DataFrame, path: str) -> None:
+    """Append rows (run_id, error and more) to a table in one pass, those with an error in folders of their own: the log of a run's failures."""
+    rows.withColumn("failed", F.col("error").isNotNull()).write.mode("append").partitionBy("run_id", "failed").parquet(path)
+
+
+def error_log(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """The rows with an error, of one run or all; no file of other rows is opened."""
+    rows = spark.read.parquet(path).filter("cast(failed as boolean)").drop("failed")
+    return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
+
+
 def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without and with an error."""
     return rows.filter("error is null"), rows.filter("error is not null")
