@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import METHODS, SETTINGS
 from . import order
+from .stack import stacked
 
 CELL = ("status", "edit", "preservation", "quality", "output")
 
@@ -28,7 +29,7 @@ def boards(cases: DataFrame, records: DataFrame, per_page: int = 20, methods: Se
     given = records.select("eval_index", F.lit(None).cast(tagged.schema["case"].dataType).alias("case"), "method", "setting", F.col(line).alias("line"), cell.alias("cell"))
     grid = [(m, s) for m in methods for s in settings]
     first = [F.min_by("cell", F.when((F.col("method") == m) & (F.col("setting") == s), F.col("line"))).alias(f"c{i}") for i, (m, s) in enumerate(grid)]
-    rows = tagged.unionByName(given).groupBy("eval_index").agg(F.first("case", ignorenulls=True).alias("case"), *first).filter("case is not null")
+    rows = stacked(["eval_index"], tagged, given).groupBy("eval_index").agg(F.first("case", ignorenulls=True).alias("case"), *first).filter("case is not null")
     shown = [F.struct(F.lit(m).alias("method"), F.lit(s).alias("setting"), F.coalesce(F.col(f"c{i}.status"), F.lit("pending")).alias("status"), *[F.col(f"c{i}.{c}").alias(c) for c in kinds if c != "status"]) for i, (m, s) in enumerate(grid)]
     absent = sum((F.col(f"c{i}").isNull().cast("int") for i in range(len(grid))), F.lit(0))
     return rows.select("eval_index", "case", order.page(F.col("eval_index"), per_page).alias("page"), F.array(*shown).alias("cells"), absent.alias("absent"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stack import stacked
+
 
 def boxes(pixels: DataFrame) -> DataFrame:
     """Tight half-open box and area of each mask."""
@@ -23,7 +25,7 @@ def padded_boxes(found: DataFrame, width: int, height: int, ratio: float = 0.02)
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pixels that only one of two tables has, counted for each mask; 0 for equal masks."""
-    side = a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(-1))).groupBy("mask", "x", "y").agg(F.sum("s").alias("s"))
+    side = stacked(["mask", "x", "y"], a.withColumn("s", F.lit(1)), b.withColumn("s", F.lit(-1))).groupBy("mask", "x", "y").agg(F.sum("s").alias("s"))
     return side.groupBy("mask").agg(F.count_if(F.col("s") != 0).alias("mismatched"))
 
 
@@ -100,7 +102,8 @@ def whole_parts(parts: DataFrame, union: DataFrame, least: int = 16) -> DataFram
 
 def difference_free(parts: DataFrame, whole: DataFrame) -> DataFrame:
     """Masks whose parts overlap or don't make up the whole, with the pixels in question."""
-    n = parts.groupBy("mask", "x", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("whole", F.lit(0)).unionByName(whole.select("mask", "x", "y", F.lit(0).cast("long").alias("n"), F.lit(1).alias("whole")))
+    own = parts.groupBy("mask", "x", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("whole", F.lit(0))
+    n = stacked(["mask", "x", "y"], own, whole.select("mask", "x", "y", F.lit(0).cast("long").alias("n"), F.lit(1).alias("whole")))
     wrong = n.groupBy("mask", "x", "y").agg(F.sum("n").alias("n"), F.sum("whole").alias("w")).filter("n <> 1 or w <> 1")
     return wrong.groupBy("mask").agg(F.count(F.lit(1)).alias("pixels"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import masks
+from .stack import stacked
 
 ROW = ["mask", "y"]
 
@@ -27,6 +28,11 @@ def to_pixels(runs: DataFrame) -> DataFrame:
 
 def merged(runs: DataFrame) -> DataFrame:
     """Runs that overlap or touch made one; empty ones left out."""
+    return _merged(stacked(ROW, runs))
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """merged, of runs that are dealt by mask and row."""
     before = Window.partitionBy(*ROW).orderBy("x1", "x2").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*ROW).orderBy("x1", "x2").rowsBetween(Window.unboundedPreceding, 0)
     starts = runs.filter("x1 < x2").withColumn("new", (F.col("x1") > F.coalesce(F.max("x2").over(before), F.col("x1") - 1)).cast("int"))
@@ -45,10 +51,10 @@ def combined(a: DataFrame, b: DataFrame, keep: Column) -> DataFrame:
     """
     ends = lambda runs, name: [runs.select(*ROW, F.col(x).alias("x"), *[F.lit(step if n == name else 0).alias(n) for n in ("a", "b")]) for x, step in (("x1", 1), ("x2", -1))]
     events = [*ends(a.filter("x1 < x2"), "a"), *ends(b.filter("x1 < x2"), "b")]
-    at = events[0].unionByName(events[1]).unionByName(events[2]).unionByName(events[3]).groupBy(*ROW, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    at = stacked(ROW, *events).groupBy(*ROW, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     row = Window.partitionBy(*ROW).orderBy("x")
     spans = at.select(*ROW, F.col("x").alias("x1"), F.lead("x").over(row).alias("x2"), *[(F.sum(n).over(row) > 0).alias(n) for n in ("a", "b")])
-    return merged(spans.filter(F.col("x2").isNotNull() & keep).select(*ROW, "x1", "x2"))
+    return _merged(spans.filter(F.col("x2").isNotNull() & keep).select(*ROW, "x1", "x2"))
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def minus(a: DataFrame, b: DataFrame) -> DataFrame:
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """(mask, mismatched): pixels that only one of two tables sets; 0 for equal masks."""
     apart = combined(a, b, F.col("a") != F.col("b")).groupBy("mask").agg(F.sum(F.col("x2") - F.col("x1")).alias("n"))
-    there = a.select("mask").unionByName(b.select("mask")).distinct()
+    there = stacked(["mask"], a.select("mask").distinct(), b.select("mask").distinct()).distinct()
     return there.join(apart, "mask", "left").select("mask", F.coalesce("n", F.lit(0)).cast("long").alias("mismatched"))
 
 
@@ -98,9 +104,10 @@ def split_parts(runs: DataFrame) -> DataFrame:
     cut = masks.best_cut(runs.select("mask", steps.alias("s")).select("mask", "s.*")).select("mask", "axis", "place")
     at = runs.join(cut, "mask")
     place, across = F.col("place"), F.col("axis") == 0
-    left = at.select("mask", F.lit(1).alias("part"), "y", "x1", F.when(across, F.least("x2", place)).when(F.col("y") < place, F.col("x2")).otherwise(F.col("x1")).alias("x2"))
-    right = at.select("mask", F.lit(2).alias("part"), "y", F.when(across, F.greatest("x1", place)).when(F.col("y") >= place, F.col("x1")).otherwise(F.col("x2")).alias("x1"), "x2")
-    return in_order(left.unionByName(right).filter("x1 < x2"), "part")
+    left = F.struct(F.lit(1).alias("part"), F.col("x1"), F.when(across, F.least("x2", place)).when(F.col("y") < place, F.col("x2")).otherwise(F.col("x1")).alias("x2"))
+    right = F.struct(F.lit(2).alias("part"), F.when(across, F.greatest("x1", place)).when(F.col("y") >= place, F.col("x1")).otherwise(F.col("x2")).alias("x1"), F.col("x2"))
+    both = at.select("mask", "y", F.explode(F.array(left, right)).alias("p")).select("mask", "p.part", "y", "p.x1", "p.x2")
+    return in_order(both.filter("x1 < x2"), "part")
 
 
 def in_order(parts: DataFrame, part: str) -> DataFrame:
