@@ -19,17 +19,23 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) of a Poisson variable for k from 0 to far into the tail, as an array; the last is 1."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    step = lambda acc, k: F.struct(
-        (acc["f"] + F.when(k > 0, F.log(k.cast("double"))).otherwise(0.0)).alias("f"),
-        (acc["c"] + F.exp(k * F.log(rate) - rate - (acc["f"] + F.when(k > 0, F.log(k.cast("double"))).otherwise(0.0)))).alias("c"),
-        F.concat(acc["a"], F.array(F.least(F.lit(1.0), acc["c"] + F.exp(k * F.log(rate) - rate - (acc["f"] + F.when(k > 0, F.log(k.cast("double"))).otherwise(0.0)))))).alias("a"),
-    )
-    begin = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("a"))
-    table = F.aggregate(F.sequence(F.lit(0), last), begin, step, lambda acc: F.concat(acc["a"], F.array(F.lit(1.0))))
-    return F.when(rate > 0, table).otherwise(F.array(F.lit(1.0)))
+def poisson_table(rate: Column) -> Column:
+    """A Poisson variable's base and P(X <= k) for k from base on, as a struct: from 12 deviations below the rate to as far above; the last is 1.
+
+    Probabilities are weights that follow from each other, p(k + 1) = p(k) rate / (k + 1), over their sum, so nothing is
+    done for numbers below the base, of which none has a chance of 2^-52. The array is as wide as the root of the rate.
+    """
+    reach = 12 * F.sqrt(rate) + 30
+    base, last = F.greatest(F.lit(0), F.floor(rate - reach)).cast("int"), F.ceil(rate + reach).cast("int")
+    step = lambda acc, k: F.struct((w := acc["w"] * rate / k).alias("w"), (acc["c"] + w).alias("c"), F.concat(acc["a"], F.array(acc["c"] + w)).alias("a"))
+    begin = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("c"), F.array(F.lit(1.0)).alias("a"))
+    sums = F.aggregate(F.sequence(base + 1, last), begin, step, lambda acc: F.concat(F.transform(acc["a"], lambda c: c / acc["c"]), F.array(F.lit(1.0))))
+    return F.when(rate > 0, F.struct(base.alias("base"), sums.alias("cdf"))).otherwise(F.struct(F.lit(0).alias("base"), F.array(F.lit(1.0)).alias("cdf")))
+
+
+def poisson_count(table: Column, u: Column) -> Column:
+    """How many numbers k have P(X <= k) <= u: the count that u in [0, 1) stands for."""
+    return F.when(u > 0, table["base"] + F.size(F.filter(table["cdf"], lambda c: u >= c))).otherwise(0)
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float | None = None, source: str = "source") -> DataFrame:
@@ -61,15 +67,15 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     """
     spark = docs.sparkSession
     copy_no, shuffle_key = fresh("copy_no", docs), fresh("shuffle_key", docs)
-    tables = rates(docs, weights, temperature, total, source).select("source", poisson_cdf(F.col("rate")).alias("cdf"))
+    tables = rates(docs, weights, temperature, total, source).select("source", poisson_table(F.col("rate")).alias("table"))
     plain = [f"c{i}" for i in range(len(docs.columns))]
     own = dict(zip(docs.columns, plain, strict=True))
     rows = docs.toDF(*plain).withColumns({"key": F.col(own[key]).cast("string"), "of": F.col(own[source])})
-    reach = tables.agg(F.sum(F.size("cdf")).alias("n")).first()["n"] or 0  # numbers in all arrays
+    reach = tables.agg(F.sum(F.size("table.cdf")).alias("n")).first()["n"] or 0  # numbers in all arrays
     if reach <= MOST_BROADCAST:
         tables = F.broadcast(tables)
     drawn = rows.join(tables, rows["of"].eqNullSafe(tables["source"])).withColumn("u", uniform(F.lit(seed), F.col("key")))
-    drawn = drawn.select(*plain, "key", F.size(F.filter("cdf", lambda c: F.col("u") >= c)).alias("n")).filter("n > 0")
+    drawn = drawn.select(*plain, "key", poisson_count(F.col("table"), F.col("u")).alias("n")).filter("n > 0")
     copies = drawn.select(*plain, "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("no"))
     order = F.md5(F.concat_ws(":", F.lit(seed + "/order"), F.col("no").cast("string"), F.coalesce("key", F.lit(""))))
     copies = copies.select(*[F.col(own[c]).alias(c) for c in docs.columns], F.col("no").alias(copy_no), order.alias(shuffle_key))
@@ -81,11 +87,11 @@ def mix_sql(docs: str, columns: str, temperature: float = TEMPERATURE, seed: str
     return f"""
     WITH sizes AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {temperature}) AS w FROM {docs} GROUP BY source),
     rates AS (SELECT source, w / (SELECT sum(w) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate FROM sizes),
-    pmf AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rates, range(0, 1000) t(k) WHERE k <= rate + 12 * sqrt(rate) + 30),
+    pmf AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rates, LATERAL (SELECT unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k)),
     cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
     drawn AS (SELECT d.*, ('0x' || substr(md5('{seed}:' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM {docs} d),
     counted AS (SELECT d.*, (SELECT count(*) FROM cdf c WHERE c.source = d.source AND d.u >= c.c) AS n_copies FROM drawn d)
-    SELECT {columns} FROM counted, range(1, 1000) t(copy_no) WHERE copy_no <= n_copies"""
+    SELECT {columns} FROM counted, LATERAL (SELECT unnest(range(1, n_copies + 1)) AS copy_no)"""
 
 
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,8 @@ class Field:
         word = tokens[i].group().lower() if tokens[i].group().lower() in KEYWORDS else ""
         check = luhn(digits) if 14 <= len(digits) <= 19 else False
         octets = span.count(".") == 3 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in span.split("."))
-        key = (tuple(shapes[i:j]), before, shapes[j] if j < len(tokens) else "$", word, check, octets)
+        # all that the names below are made of: what was read before mustn't matter
+        key = (tuple(shapes[i:j]), before, shapes[j] if j < len(tokens) else "$", word, check, octets, len(digits))
         got = self.known.get(key)
         if got is None:
             whole = "".join(shapes[i:j])
