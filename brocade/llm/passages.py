@@ -293,6 +293,17 @@ def op2_repeats(spark, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP2_SQL = r"""
+WITH given AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+  windows AS (SELECT r, doc_id, i, list_slice(t, i, i + 12) AS w FROM given, LATERAL (SELECT unnest(range(1, len(t) - 11)) AS i)),
+  first AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w),
+  covered AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM windows JOIN first USING (w) WHERE least < doc_id),
+  removed AS (SELECT r, count(*) AS n FROM covered GROUP BY r),
+  words AS (SELECT r, p, t[p] AS word FROM given, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS p)),
+  kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS k FROM words ANTI JOIN covered USING (r, p) GROUP BY r)
+SELECT doc_id, len(t) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM given LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)"""
+
+
 def brute_force(docs: list[tuple[int, str]], window: int = 13) -> dict[int, tuple[int, int, str]]:
     """The same by its definition, for tests."""
     import re

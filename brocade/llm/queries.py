@@ -4,7 +4,7 @@ from .decontaminate import op9_leaks
 from .embeddings import op4_embeddings
 from .language import op8_language
 from .mixing import OP7_SQL, op7_poisson_mix
-from .passages import op2_repeats
+from .passages import OP2_SQL, op2_repeats
 from .pii import op1_pii
 from .quality import op5_quality
 from .ranking import OP11_SQL, op11_ranking
@@ -30,4 +30,4 @@ QUERIES = {
     "op13_neighbours": op13_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_poisson_mix": OP7_SQL, "op11_ranking": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_repeats": OP2_SQL, "op7_poisson_mix": OP7_SQL, "op11_ranking": OP11_SQL}

@@ -588,6 +588,7 @@ def test_poisson_inversion(spark):
         last = int(rate + 20 * rate**0.5 + 60)
         logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, last + 1)))])
         want = np.cumsum(np.exp(np.arange(last + 1) * (np.log(rate) if rate else 0.0) - rate - logs)) if rate else np.ones(last + 1)
+        want /= want[-1]  # sums of logs are not that exact
         assert np.abs(np.array(t["cdf"][:-1]) - want[t["base"] : t["base"] + len(t["cdf"]) - 1]).max(initial=0) < 1e-9
         assert t["base"] == 0 or want[t["base"] - 1] < 2.0**-52
         us = [0.0, 2.0**-52, 0.1, 0.5, 0.9, 0.99999]
