@@ -16,7 +16,8 @@ A written table has one row per block: a few thousand documents of one shard, in
 In a block, a key is found in constant time: hash it, add its bucket's displacement, compare the slot's fingerprint,
 read the slice that the slot names. An index table beside the files does the same for all of them, in whatever order
 they were written: it has one row for each bucket of a few thousand keys, with the perfect hash of the bucket's keys and,
-for each slot, the shard, block and place of its document. A key's look-up reads one row of it and one block.
+for each slot, the shard, block and place of its document. A key's look-up reads the index pages of its bucket, then, by
+conditions on shard and block that reach the scan, the payload pages of its block.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .common import MASK, U64, map_rows, mix, pieces, shuffle_count, texts
@@ -289,7 +289,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, key: str = "doc_i
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks of a written table with `base`, the ids of all shards before."""
-    blocks = spark.read.schema(T._parse_datatype_string(BLOCK)).parquet(path)
+    blocks = spark.read.schema(BLOCK).parquet(path)
     totals = blocks.select("shard", (F.length("payload") / F.col("width")).cast("long").alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     before = W.Window.orderBy("shard").rowsBetween(W.Window.unboundedPreceding, -1)  # one row a shard
     bases = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -329,7 +329,7 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["key", "ids"])
 
-    blocks = spark.read.schema(T._parse_datatype_string(BLOCK)).parquet(path)
+    blocks = spark.read.schema(BLOCK).parquet(path)
     if not wanted:
         return spark.createDataFrame([], "key long, ids array<long>")
     near = blocks.filter((F.col("low") <= wanted[-1]) & (F.col("high") >= wanted[0]))
@@ -376,7 +376,7 @@ def _buckets(buckets: int):
 
 def write_index(spark: SparkSession, path: str, index: str) -> None:
     """The index table of written files. A repeated key stands for its first place; documents without a key are not in it."""
-    blocks = spark.read.schema(T._parse_datatype_string(BLOCK)).parquet(path).select("shard", "block", "keys", "keyless")
+    blocks = spark.read.schema(BLOCK).parquet(path).select("shard", "block", "keys", "keyless")
     n = blocks.agg(F.sum(F.length("keys"))).first()[0] or 0
     buckets = max(1, n // (8 * KEYS_A_BUCKET))
     places = map_rows(blocks, _places, "key long, shard long, block long, place long")
@@ -388,7 +388,7 @@ def write_index(spark: SparkSession, path: str, index: str) -> None:
 def seek(spark: SparkSession, path: str, index: str, keys: list[int]) -> DataFrame:
     """(key, ids) of a stated list of keys: one index row and one block for each. Keys that aren't there give no row."""
     wanted = np.unique(np.array(keys, np.int64))
-    table = spark.read.schema(T._parse_datatype_string(INDEX)).parquet(index)
+    table = spark.read.schema(INDEX).parquet(index)
     head = table.select("buckets").first()
     if head is None or not len(wanted):
         return spark.createDataFrame([], "key long, ids array<long>")
@@ -416,8 +416,13 @@ def seek(spark: SparkSession, path: str, index: str, keys: list[int]) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["key", "ids"])
 
     found = map_rows(table.filter(F.col("bucket").isin(sorted(by_bucket))), locate, "key long, shard long, block long, place long")
-    blocks = spark.read.schema(T._parse_datatype_string(BLOCK)).parquet(path).select("shard", "block", "keys", "ends", "payload", "width")
-    return map_rows(blocks.join(F.broadcast(found), ["shard", "block"]), read, "key long, ids array<long>")  # a row for each stated key
+    rows = found.collect()  # a row for each stated key that is there
+    if not rows:
+        return spark.createDataFrame([], "key long, ids array<long>")
+    # both conditions reach the scan: of the payload only pages of these shards and blocks are read
+    near = F.col("shard").isin(sorted({r["shard"] for r in rows})) & F.col("block").isin(sorted({r["block"] for r in rows}))
+    blocks = spark.read.schema(BLOCK).parquet(path).filter(near).select("shard", "block", "keys", "ends", "payload", "width")
+    return map_rows(blocks.join(F.broadcast(spark.createDataFrame(rows, found.schema)), ["shard", "block"]), read, "key long, ids array<long>")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -773,6 +773,9 @@ def test_token_index(spark, docs, tmp_path, monkeypatch):
         want.setdefault(r["doc_id"], []).append(ids)
     got = {r["key"]: r["ids"] for r in tokens.seek(spark, path, index, [*want, 10**9, 10**9 + 1, -1]).collect()}
     assert set(got) == set(want) and all(got[k] in v for k, v in want.items())
+    one = tokens.seek(spark, path, index, [next(iter(want))])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == 1 and "EqualTo(shard," in plan and "EqualTo(block," in plan  # of the payload, one block's pages
     assert tokens.seek(spark, path, index, []).count() == 0 and tokens.seek(spark, path, index, [10**9]).count() == 0
     tokens.write_ids(given.filter("doc_id = 0.5"), str(tmp_path / "no"), tokens.tokenizer_path())
     tokens.write_index(spark, str(tmp_path / "no"), str(tmp_path / "no index"))
