@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import AXES, METHODS, SETTINGS
-from .operators import boards, runs
+from .functions import geometry
+from .operators import boards, masks, polygons as poly, runs, summary
 from .operators.order import held
-from .plans import instances
+from .plans import build, instances
 from .picture_queries import scratch
 from .queries import DERIVED_SQL, PARTS, query, split_sql
-from .sources.derived import cases, judge_records, records, region_boxes, shapes, table
+from .sources.derived import cases, judge_records, polygons, records, region_boxes, shapes, table
 from .streaming import judging
 
 WIDTH, HEIGHT = 64, 48
@@ -135,3 +136,38 @@ def streamed_judging(spark, sf_dir):
     r.select(key.alias("key"), F.col("updated_at").cast("timestamp").alias("at"), F.col("line").cast("long").alias("line"), text.alias("text"), F.lit("stop").alias("finish_reason")).write.parquet(f"{root}/in")
     judging.run_available(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint")
     return judging.finals(spark, f"{root}/out").select("key", "status", "attempts", "edit", "quality")
+
+
+@query(f"""WITH {DERIVED_SQL}, b AS (SELECT mask, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS area FROM shapes GROUP BY mask)
+ SELECT mask, greatest(0, x1 - 1) || ',' || greatest(0, y1 - 1) || ',' || least(64, x2 + 1) || ',' || least(48, y2 + 1) AS padded, area / (64 * 48) < 0.02 AS small,
+ CASE WHEN mask % 4 = 0 THEN (cx + (cx + s + 0.7) + (cx + r + 0.25)) / 3 ELSE (cx + (cx + s + 0.7) + (cx + r + 0.25) + (cx + s) + (cx - 0.5) + (cx - s) + (cx - r - 0.75) + (cx - s)) / 8 END::DOUBLE AS label_x
+ FROM b JOIN (SELECT p_partkey AS mask, (10 + p_partkey % 45)::DOUBLE AS cx, 4 + p_partkey % 11 AS r, 1 + p_partkey % 5 AS s FROM part) USING (mask)""")
+def region_geometry(spark, sf_dir):
+    """Padded boxes of masks, whether they are small targets, and where a polygon's label goes."""
+    found = masks.padded_boxes(runs.boxes(runs.from_pixels(shapes(spark, sf_dir))), WIDTH, HEIGHT)
+    anchors = polygons(spark, sf_dir).select("mask", geometry.centroid(poly.points(F.col("polygon")), "x").alias("label_x"))
+    return found.join(anchors, "mask").select("mask", F.array_join(F.col("box").cast("array<string>"), ",").alias("padded"), geometry.is_small(F.col("area"), F.lit(WIDTH), F.lit(HEIGHT)).alias("small"), "label_x")
+
+
+@query("SELECT c_custkey, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS contiguous FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_custkey")
+def contiguous_batches(spark, sf_dir):
+    """Whether the cases of each batch follow each other without gaps."""
+    listed = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("cases"))
+    return listed.join(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", geometry.contiguous(F.col("cases")).alias("contiguous"))
+
+
+@query(f"""WITH {DERIVED_SQL}, j AS (SELECT edit_type, source_dataset, elapsed_seconds, derived_from_output FROM judge_records JOIN cases USING (eval_index))
+ SELECT edit_type, source_dataset, count(*) AS count, sum(elapsed_seconds) AS elapsed_seconds_total, count(derived_from_output) AS derived_outputs FROM j GROUP BY GROUPING SETS ((), (edit_type), (source_dataset))""")
+def record_summaries(spark, sf_dir):
+    """Records, their seconds and derived ones: in all, by edit type and by source."""
+    rows = judge_records(spark, sf_dir).join(cases(spark, sf_dir).select("eval_index", "edit_type", "source_dataset"), "eval_index")
+    return summary.record_summaries(rows, "edit_type", "source_dataset")
+
+
+@query(f"WITH {DERIVED_SQL}, t AS (SELECT DISTINCT source_dataset, edit_type FROM cases), o AS (SELECT * FROM (VALUES ('add', 1), ('remove', 2), ('replace', 3), ('mixed', 4), ('counting', 5)) v(edit_type, nth)), k AS (SELECT c, string_agg(v || '=' || n, ', ' ORDER BY v) AS said FROM (SELECT 'd' AS c, source_dataset AS v, count(*) AS n FROM cases GROUP BY ALL UNION ALL SELECT 't', edit_type, count(*) FROM cases GROUP BY ALL) GROUP BY c) "
+       "SELECT (SELECT count(*) FROM cases) AS cases, (SELECT string_agg(edit_type, ',' ORDER BY nth) FROM o WHERE edit_type IN (SELECT edit_type FROM t)) AS edit_types, (SELECT said FROM k WHERE c = 'd') AS by_dataset, (SELECT said FROM k WHERE c = 't') AS by_type")
+def case_metadata(spark, sf_dir):
+    """The metadata document of a case table."""
+    said = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+    one = build.metadata(cases(spark, sf_dir))
+    return one.select("cases", F.array_join("edit_types", ",").alias("edit_types"), said("counts_by_source_dataset").alias("by_dataset"), said("counts_by_edit_type").alias("by_type"))

@@ -154,6 +154,13 @@ def record_summary(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(F.coalesce(F.col("elapsed_seconds"), F.lit(0.0))), F.lit(0.0)).alias("elapsed_seconds_total"), F.count("derived_from_output").alias("derived_outputs"))
 
 
+def record_summaries(records: DataFrame, *dimensions: str) -> DataFrame:
+    """record_summary of all records (a row without dimensions) and of each value of each dimension, in one pass."""
+    sets = [[], *[[F.col(d)] for d in dimensions]]
+    seconds = F.coalesce(F.sum(F.coalesce(F.col("elapsed_seconds"), F.lit(0.0))), F.lit(0.0)).alias("elapsed_seconds_total")
+    return records.groupingSets(sets, *dimensions).agg(F.count(F.lit(1)).alias("count"), seconds, F.count("derived_from_output").alias("derived_outputs"))
+
+
 def first_seen(rows: DataFrame, group: str, by: str) -> DataFrame:
     """(group, position): groups in the order in which they first come, by a column that orders rows. Groups are few."""
     seen = rows.groupBy(group).agg(F.min(by).alias("at"))

@@ -58,11 +58,6 @@ def numeric_stems(files: DataFrame) -> DataFrame:
     return files.filter(F.col("stem").rlike(r"^\d+$"))
 
 
-def path_parts(files: DataFrame, path: str = "path") -> DataFrame:
-    """model and setting from the last folders of a path."""
-    return files.withColumns({"model": F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1), "setting": F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)})
-
-
 def by_ordinal(spark: SparkSession, paths: Sequence[str], wanted: DataFrame, *columns: str) -> DataFrame:
     """Rows of Parquet files at stated places: wanted has file (its name) and row (from 0); only the named columns are read. A place that isn't there is an error."""
     rows = spark.read.parquet(*paths).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), *columns, F.lit(True).alias("there"))
