@@ -1,7 +1,7 @@
 """Sets of files, published whole: tasks write the files of a new set, then one rename makes the set the current one.
 
 A root holds `sets/<version>/files/...`, the manifest of each set (name, size, SHA-256) beside it, and CURRENT, which
-names the set that counts. Whoever reads goes through CURRENT, so what an interrupted publication leaves is never seen:
+names the set that counts. Whoever reads goes through CURRENT, so what an interrupted or failed publication leaves is never seen:
 until the rename the old set is whole, after it the new one. Sets that CURRENT no longer names go last, or with the
 next publication.
 """
