@@ -18,6 +18,7 @@ from ..functions.geometry import MARKERS
 from ..functions.png import CHANNELS, PICTURE, array_of, picture_frame, picture_row
 from ..functions.resampling import over
 from . import runs as run
+from .stack import met
 
 RUNS = "array<struct<y:int,x1:int,x2:int>>"
 LAYERS = "array<struct<nth:int,y:int,x1:int,x2:int,red:int,green:int,blue:int,opacity:int>>"
@@ -166,7 +167,7 @@ def painted(pictures: DataFrame, layers: DataFrame) -> DataFrame:
             rows.append(picture_row(out, "RGB"))
         return picture_frame(rows)
 
-    return pictures.join(listed, "mask", "left").withColumn("picture", F.pandas_udf(fn, PICTURE)("picture", "layers")).drop("layers")
+    return pictures.join(met(listed), "mask", "left").withColumn("picture", F.pandas_udf(fn, PICTURE)("picture", "layers")).drop("layers")
 
 
 def region_colour(region: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import audit, joins, order, pictures, runs
+from ..operators.stack import met
 
 #: How a case came to its regions: by the models, by a straight cut since two boxes weren't found, or by one since a region came out too small.
 BY_MODELS, BY_CUT, BY_CUT_AFTER = "partition", "spatial_split_fallback", "spatial_split_fallback_after_empty_partition"
@@ -52,7 +53,7 @@ def candidates(detections: DataFrame, union: DataFrame, width: int, height: int)
     boxed = detections.select(*key, *[F.element_at("box", i).alias(c) for i, c in enumerate(("bx1", "by1", "bx2", "by2"), 1)])
     covered = runs.coverage(union, boxed, width, height, "query", "place").select(*key, "coverage")
     whole = runs.boxes(union).select("mask", F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("whole"))
-    rows = detections.join(covered, key).join(whole, "mask").withColumn("overlap", geometry.box_iou(F.col("box"), F.col("whole")))
+    rows = detections.join(met(covered), key).join(met(whole), "mask").withColumn("overlap", geometry.box_iou(F.col("box"), F.col("whole")))
     scored = audit.candidates(rows).withColumn("total", joins.candidate_score(F.col("score"), F.col("coverage"), F.col("overlap")))
     return order.top_candidates(scored.withColumn("of", F.struct("mask", "query")), "of", "total", "place", 1 << 30).drop("of")
 
@@ -75,7 +76,7 @@ def chosen(found: DataFrame, cases: DataFrame) -> DataFrame:
     kind = "array<struct<rank:int,total:double,score:double,box:array<double>>>"
     lists = found.groupBy("mask").agg(*[F.array_sort(F.collect_list(F.when(F.col("query") == q, entry))).cast(kind).alias(n) for q, n in ((0, "first"), (1, "second"))])
     none = F.array().cast(kind)
-    rows = asked(cases.select("mask", "queries")).groupBy("mask").agg((F.min(F.lower(F.trim("text"))) == F.max(F.lower(F.trim("text")))).alias("same")).join(lists, "mask", "left")
+    rows = asked(cases.select("mask", "queries")).groupBy("mask").agg((F.min(F.lower(F.trim("text"))) == F.max(F.lower(F.trim("text")))).alias("same")).join(met(lists), "mask", "left")
     first, second = F.coalesce("first", none), F.coalesce("second", none)
     apart = order.greedy_apart(first, lambda a, b: geometry.box_iou(a["box"], b["box"]), 2, ONE_QUERY)
     pair = _best_pair(F.slice(first, 1, LISTED), F.slice(second, 1, LISTED))
@@ -98,7 +99,7 @@ def segmented(cases: DataFrame, boxes: DataFrame, segmenter: Callable[[pd.DataFr
                     flat.append((mask, region, best, [dict(zip(("y", "x1", "x2"), map(int, r), strict=True)) for r in pictures.bands(np.asarray(shapes[best], bool))]))
             yield pd.DataFrame(flat, columns=["mask", "region", "selected", "runs"])
 
-    return cases.join(boxes.filter(F.size("boxes") == 2).select("mask", F.transform("boxes", lambda b: b["box"]).alias("boxes")), "mask").mapInPandas(run, INSTANCE)
+    return cases.join(met(boxes.filter(F.size("boxes") == 2).select("mask", F.transform("boxes", lambda b: b["box"]).alias("boxes"))), "mask").mapInPandas(run, INSTANCE)
 
 
 def divided(union: DataFrame, instances: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -127,15 +128,15 @@ def regions(union: DataFrame, boxes: DataFrame, instances: DataFrame) -> tuple[D
     tables are read several times: hold them where they are dear to make.
     """
     both = boxes.filter(F.size("boxes") == 2)
-    of = union.join(both.select("mask"), "mask", "left_semi")
+    of = union.join(met(both.select("mask")), "mask", "left_semi")
     parts = order.held(divided(of, instances, both))
     areas = parts.groupBy("mask", "region").agg(F.sum(F.col("x2") - F.col("x1")).alias("n")).groupBy("mask").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("parts"))
     good = areas.filter((F.col("n") >= LEAST) & (F.col("parts") == 2)).select("mask")
-    kept = parts.join(good, "mask", "left_semi")
+    kept = parts.join(met(good), "mask", "left_semi")
     same = boxes.filter("same").select("mask")
-    named = runs.in_order(kept.join(same, "mask", "left_semi").withColumnRenamed("region", "part"), "part").unionByName(kept.join(same, "mask", "left_anti"))
-    cut = order.held(runs.split_parts(union.join(good, "mask", "left_anti")))
-    ids = union.select("mask").distinct().join(boxes.select("mask", F.size("boxes").alias("detections")), "mask", "left").withColumn("detections", F.coalesce("detections", F.lit(0)))
+    named = runs.in_order(kept.join(met(same), "mask", "left_semi").withColumnRenamed("region", "part"), "part").unionByName(kept.join(met(same), "mask", "left_anti"))
+    cut = order.held(runs.split_parts(union.join(met(good), "mask", "left_anti")))
+    ids = union.select("mask").distinct().join(met(boxes.select("mask", F.size("boxes").alias("detections"))), "mask", "left").withColumn("detections", F.coalesce("detections", F.lit(0)))
     how = F.when(F.col("good"), BY_MODELS).when(F.col("detections") == 2, BY_CUT_AFTER).otherwise(BY_CUT)
-    ways = ids.join(good.withColumn("good", F.lit(True)), "mask", "left").join(cut.select("mask", F.lit(True).alias("cut")).distinct(), "mask", "left").filter("good or cut")
+    ways = ids.join(met(good.withColumn("good", F.lit(True))), "mask", "left").join(met(cut.select("mask", F.lit(True).alias("cut")).distinct()), "mask", "left").filter("good or cut")
     return named.unionByName(cut), ways.select("mask", how.alias("method"), "detections")
