@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,25 +33,47 @@ def bands(mask: np.ndarray) -> np.ndarray:
     return np.column_stack([y, x1, np.nonzero(edge == -1)[1]])
 
 
+def parts_of(listed: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each list of structs begins and the last ends, and the structs' fields; null is an empty list. No object is made for a struct."""
+    n = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+    return np.append(0, np.cumsum(n)), [c.to_numpy(zero_copy_only=False) for c in listed.flatten().flatten()]
+
+
+def lists(rows: list[np.ndarray | None], **kinds: pa.DataType) -> pa.Array:
+    """Arrays (n, fields) as lists of structs; None is null."""
+    ends = np.append(0, np.cumsum([0 if r is None else len(r) for r in rows]))
+    flat = np.concatenate([r for r in rows if r is not None] or [np.zeros((0, len(kinds)), np.int64)])
+    fields = pa.StructArray.from_arrays([pa.array(flat[:, i]).cast(t) for i, t in enumerate(kinds.values())], names=list(kinds))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields, mask=pa.array([r is None for r in rows]))
+
+
+def picture_array(rows: list[tuple]) -> pa.Array:
+    """Rows of PICTURE."""
+    kinds = {"width": pa.int32(), "height": pa.int32(), "mode": pa.string(), "pixels": pa.binary(), "error": pa.string()}
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+
+def _fields(shown: pa.Array, *names: str) -> list[list]:
+    """Columns of pictures, null where the picture is."""
+    return [pc.struct_field(shown, n).to_pylist() for n in names]
+
+
 def _runs_where(test: Callable[[np.ndarray], np.ndarray]):
-    def fn(shown: pd.DataFrame) -> pd.Series:
-        out = []
-        for w, h, m, p in zip(*(shown[c] for c in ("width", "height", "mode", "pixels")), strict=True):
-            found = None if p is None else bands(test(array_of(int(w), int(h), m, p)))
-            out.append(None if found is None else [dict(zip(("y", "x1", "x2"), map(int, r), strict=True)) for r in found])
-        return pd.Series(out, dtype=object)
+    def fn(shown: pa.Array) -> pa.Array:
+        found = [None if p is None else bands(test(array_of(w, h, m, p))) for w, h, m, p in zip(*_fields(shown, "width", "height", "mode", "pixels"), strict=True)]
+        return lists(found, y=pa.int32(), x1=pa.int32(), x2=pa.int32())
 
     return fn
 
 
 def light_runs(picture: Column, least: int = 128) -> Column:
     """Runs of the pixels of a grey picture that have at least that value; null for what is no picture."""
-    return F.pandas_udf(_runs_where(lambda p: p[:, :, 0] >= least), RUNS)(picture)
+    return F.arrow_udf(_runs_where(lambda p: p[:, :, 0] >= least), RUNS)(picture)
 
 
 def clear_runs(picture: Column, below: int = 128) -> Column:
     """Runs of the pixels of a picture with opacity whose opacity is below that value."""
-    return F.pandas_udf(_runs_where(lambda p: p[:, :, -1] < below), RUNS)(picture)
+    return F.arrow_udf(_runs_where(lambda p: p[:, :, -1] < below), RUNS)(picture)
 
 
 def run_rows(rows: DataFrame, found: str = "runs", key: str = "mask") -> DataFrame:
@@ -65,18 +89,22 @@ def gathered(runs: DataFrame) -> DataFrame:
 def mask_picture(runs: Column, width: Column, height: Column) -> Column:
     """A grey picture of 255 on the runs and 0 elsewhere; runs beyond the canvas are an error of the picture."""
 
-    def fn(found: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+    def fn(found: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        at, (y, x1, x2) = parts_of(found)
         rows = []
-        for own, a, b in zip(found, w, h, strict=True):
-            out = np.zeros((int(b), int(a), 1), np.uint8)
-            inside = True
-            for r in own if own is not None else ():
-                inside &= 0 <= r["y"] < b and 0 <= r["x1"] <= r["x2"] <= a
-                out[max(0, r["y"]) : r["y"] + 1, max(0, r["x1"]) : max(0, r["x2"])] = 255
-            rows.append(picture_row(out, "L") if inside else picture_row(None, None, "beyond the canvas"))
-        return picture_frame(rows)
+        for i, (wide, high) in enumerate(zip(w.to_pylist(), h.to_pylist(), strict=True)):
+            own = slice(at[i], at[i + 1])
+            a, b, c = y[own], x1[own], x2[own]
+            if len(a) and (a.min() < 0 or a.max() >= high or b.min() < 0 or (b > c).any() or c.max() > wide):
+                rows.append(picture_row(None, None, "beyond the canvas"))
+                continue
+            steps = np.zeros((high, wide + 1), np.int32)
+            np.add.at(steps, (a, b), 1)
+            np.add.at(steps, (a, c), -1)
+            rows.append(picture_row(((np.cumsum(steps, axis=1)[:, :wide] > 0) * np.uint8(255))[:, :, None], "L"))
+        return picture_array(rows)
 
-    return F.pandas_udf(fn, PICTURE)(runs, width, height)
+    return F.arrow_udf(fn, PICTURE)(runs, width, height)
 
 
 def flat_picture(width: Column, height: Column, colour: Column) -> Column:
@@ -103,19 +131,17 @@ def statistics(picture: Column) -> Column:
 
 def colour_counts(picture: Column) -> Column:
     """How many pixels of an RGB picture have each colour, as an array of (red, green, blue, n) in order of colour."""
-    kind = "array<struct<red:int,green:int,blue:int,n:long>>"
-
-    def fn(shown: pd.DataFrame) -> pd.Series:
+    def fn(shown: pa.Array) -> pa.Array:
         out = []
-        for p in shown["pixels"]:
+        for (p,) in zip(*_fields(shown, "pixels"), strict=True):
             if p is None:
                 out.append(None)
                 continue
-            colour, n = np.unique(np.frombuffer(p, np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([65536, 256, 1]), return_counts=True)
-            out.append([{"red": int(c >> 16), "green": int(c >> 8 & 255), "blue": int(c & 255), "n": int(k)} for c, k in zip(colour, n, strict=True)])
-        return pd.Series(out, dtype=object)
+            c, n = np.unique(np.frombuffer(p, np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([65536, 256, 1]), return_counts=True)
+            out.append(np.column_stack([c >> 16, c >> 8 & 255, c & 255, n]))
+        return lists(out, red=pa.int32(), green=pa.int32(), blue=pa.int32(), n=pa.int64())
 
-    return F.pandas_udf(fn, kind)(picture)
+    return F.arrow_udf(fn, "array<struct<red:int,green:int,blue:int,n:long>>")(picture)
 
 
 def asset_errors(assets: DataFrame) -> DataFrame:
@@ -154,20 +180,41 @@ def painted(pictures: DataFrame, layers: DataFrame) -> DataFrame:
     fields = ("nth", "y", "x1", "x2", "red", "green", "blue", "opacity")
     listed = layers.groupBy("mask").agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(LAYERS).alias("layers"))
 
-    def fn(shown: pd.DataFrame, laid: pd.Series) -> pd.DataFrame:
+    def fn(shown: pa.Array, laid: pa.Array) -> pa.Array:
+        at, columns = parts_of(laid)
+        given = np.column_stack(columns).astype(np.int64)
         rows = []
-        for w, h, m, p, e, own in zip(*(shown[c] for c in ("width", "height", "mode", "pixels", "error")), laid, strict=True):
+        for i, (w, h, m, p, e) in enumerate(zip(*_fields(shown, "width", "height", "mode", "pixels", "error"), strict=True)):
             if p is None:
                 rows.append(picture_row(None, None, e))
                 continue
-            out = np.array(np.broadcast_to(array_of(int(w), int(h), m, p)[:, :, : min(3, CHANNELS[m])], (int(h), int(w), 3)))
-            for r in own if own is not None else ():
-                part = out[r["y"], r["x1"] : r["x2"]]
-                part[:] = over(np.array([r["red"], r["green"], r["blue"]]), np.array(r["opacity"]), part)
+            out = np.array(np.broadcast_to(array_of(w, h, m, p)[:, :, : min(3, CHANNELS[m])], (h, w, 3)))
+            paint(out, given[at[i] : at[i + 1]])
             rows.append(picture_row(out, "RGB"))
-        return picture_frame(rows)
-
-    return pictures.join(met(listed), "mask", "left").withColumn("picture", F.pandas_udf(fn, PICTURE)("picture", "layers")).drop("layers")
+        return picture_array(rows)
+
+    return pictures.join(met(listed), "mask", "left").withColumn("picture", F.arrow_udf(fn, PICTURE)("picture", "layers")).drop("layers")
+
+
+def paint(out: np.ndarray, layers: np.ndarray) -> None:
+    """Lay layers (rows of nth, y, x1, x2, red, green, blue, opacity in order of nth) on a picture, those of one step and colour at a time."""
+    flat, wide = out.reshape(-1, 3), out.shape[1]
+    if not len(layers):
+        return
+    step = layers[:, [0, 4, 5, 6, 7]]
+    first = np.flatnonzero(np.append(True, (step[1:] != step[:-1]).any(axis=1)))
+    for own in np.split(layers, first[1:]):
+        y, a, b = own[:, 1], np.maximum(own[:, 2], 0), np.minimum(own[:, 3], wide)
+        n = np.maximum(b - a, 0)
+        at = np.arange(n.sum()) + np.repeat(y * wide + a - np.cumsum(n) + n, n)
+        colour, opacity = own[0, 4:7], own[0, 7]
+        if opacity == 255:
+            flat[at] = colour
+        elif len(np.unique(at)) == len(at):
+            flat[at] = over(colour, opacity, flat[at])
+        else:  # a pixel that is laid on twice takes the colour twice
+            for k, m in zip(np.cumsum(n) - n, n, strict=True):
+                flat[at[k : k + m]] = over(colour, opacity, flat[at[k : k + m]])
 
 
 def region_colour(region: Column) -> Column:
