@@ -29,6 +29,7 @@ def outcomes(stream: DataFrame, tries: int = TRIES, wait: str = WAIT) -> DataFra
     A well-formed reply makes the status ok; the last of `tries` malformed ones judge_parse_error; no reply within
     `wait` of the last one judge_runtime_error. What comes after the final row is passed over until `wait` has gone by.
     """
+    names = [c.split()[0] for c in OUTCOME.split(", ")]
     pause = int(pd.Timedelta(wait).total_seconds() * 1000)
 
     def row(key: str, event: str, status: str | None, attempts: int, error: str | None, scores: dict | None = None) -> tuple:
@@ -43,8 +44,9 @@ def outcomes(stream: DataFrame, tries: int = TRIES, wait: str = WAIT) -> DataFra
                 out.append(row(key, "final", "judge_runtime_error", attempts, "no reply"))
             state.remove()
         else:
-            rows = pd.concat(list(groups)).sort_values(["at", "line"])
-            for text, reason in zip(rows["text"], rows["finish_reason"], strict=True):
+            # a key has few replies: plain rows, since frames for each key would take most of the time
+            rows = sorted((r for g in groups for r in zip(g["at"], g["line"], g["text"], g["finish_reason"], strict=True)), key=lambda r: (pd.isna(r[0]), r[:2]))
+            for _, _, text, reason in rows:
                 if done:
                     break
                 scores, error = (None, "truncated model response") if reason == "length" else records.parse_reply(text)
@@ -55,9 +57,10 @@ def outcomes(stream: DataFrame, tries: int = TRIES, wait: str = WAIT) -> DataFra
                 else:
                     out.append(row(key, "retry", None, attempts, error))
             state.update((attempts, done, error))
-            state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + pause)
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME.split(", ")])
-        yield frame.astype({"edit": "Int32", "preservation": "Int32", "quality": "Int32"})
+            last = max((int(r[0].timestamp() * 1000) for r in rows if not pd.isna(r[0])), default=0)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + pause)
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     return stream.groupBy("key").applyInPandasWithState(step, OUTCOME, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
