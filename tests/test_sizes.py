@@ -23,3 +23,22 @@ def made(spark, seed=3):
     stack[1, 1, 1] = True
     pixels = spark.createDataFrame([tuple(map(int, p)) for p in np.argwhere(stack)], "mask long, y int, x int")
     return stack, pixels.select("mask", "x", "y")
+
+
+def test_partition_in_the_stack(spark):
+    _, pixels = made(spark, 8)
+    rng = np.random.default_rng(2)
+    seen = [(m, r, int(x), int(y)) for m in range(12) for r in (1, 2) for y, x in rng.integers(0, (20, 30), (150, 2))]
+    instances = spark.createDataFrame(sorted(set(seen)), "mask long, region int, x int, y int")
+    rows = [(m, 1, 0, 0, 2 + m, 20) for m in range(12)] + [(m, 2, 14 - m, 1, 30, 7) for m in range(10)]  # two masks have one box
+    boxes = spark.createDataFrame(rows, "mask long, region int, x1 int, y1 int, x2 int, y2 int")
+    got = runs.to_pixels(masks.partitioned(pixels, instances, boxes, 30, 20).select(F.struct("mask", "region").alias("mask"), "y", "x1", "x2")).select("mask.mask", "mask.region", "x", "y")
+    want = masks.whole_parts(joins.partition(pixels, instances, boxes), pixels).select("mask", "region", "x", "y")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_masks_of_cases_are_never_broadcast(spark):
+    from brocade.queries import QUERIES
+
+    for name in ("run_coverage", "instance_boxes", "instance_regions", "instance_partition"):
+        assert "Broadcast" not in plan(QUERIES[name](spark, SF)), name
