@@ -25,6 +25,14 @@ def made(spark, seed=3):
     return stack, pixels.select("mask", "x", "y")
 
 
+def test_cuts_in_the_stack(spark):
+    _, pixels = made(spark)
+    got, want = masks.splits(pixels, 30, 20), masks.split_scan(pixels).select("mask", "axis", "place", "score")
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Window" not in plan(got)
+
+
 def test_partition_in_the_stack(spark):
     _, pixels = made(spark, 8)
     rng = np.random.default_rng(2)
