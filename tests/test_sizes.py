@@ -25,6 +25,14 @@ def made(spark, seed=3):
     return stack, pixels.select("mask", "x", "y")
 
 
+def test_difference_reads_each_table_once(spark):
+    a = spark.createDataFrame([(1, 0, 2, 5), (1, 0, 4, 9), (2, 1, 3, 3), (3, 0, 0, 4), (4, 2, 1, 2), (5, 1, 6, 2)], RUN)
+    b = spark.createDataFrame([(1, 0, 3, 8), (3, 0, 0, 2), (3, 0, 2, 4), (6, 0, 1, 4)], RUN)
+    assert sorted(map(tuple, runs.difference(a, b).collect())) == [(1, 2), (2, 0), (3, 0), (4, 1), (5, 0), (6, 3)]
+    text = plan(runs.difference(a, b))
+    assert "Join" not in text and text.count("Exchange") == 1
+
+
 def test_cuts_in_the_stack(spark):
     _, pixels = made(spark)
     got, want = masks.splits(pixels, 30, 20), masks.split_scan(pixels).select("mask", "axis", "place", "score")
