@@ -53,6 +53,10 @@ def test_difference_reads_each_table_once(spark):
     assert "Join" not in text and text.count("Exchange") == 1
 
 
+def test_polygons_are_dealt_before_they_become_edges(spark):
+    assert polygons(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_cuts_in_the_stack(spark):
     _, pixels = made(spark)
     got, want = masks.splits(pixels, 30, 20), masks.split_scan(pixels).select("mask", "axis", "place", "score")
