@@ -10,12 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import audit, joins, order, pictures, runs
-from ..operators.stack import met
+from ..operators.stack import met, stacked
 
 #: How a case came to its regions: by the models, by a straight cut since two boxes weren't found, or by one since a region came out too small.
 BY_MODELS, BY_CUT, BY_CUT_AFTER = "partition", "spatial_split_fallback", "spatial_split_fallback_after_empty_partition"
@@ -106,37 +106,49 @@ def divided(union: DataFrame, instances: DataFrame, boxes: DataFrame) -> DataFra
     """(mask, region, y, x1, x2): the union dealt to two instances (mask, region, y, x1, x2).
 
     What one instance alone sets is its own; the rest goes pixel by pixel to the nearer centre of the two boxes, in units of
-    their sides, the first of ties. Only that rest is made into pixels.
+    their sides, the first of ties. Only that rest is made into pixels. One sweep over the run ends of all three, which
+    are dealt by mask and stay so.
     """
-    own = [runs.intersection(instances.filter(F.col("region") == r), union) for r in (1, 2)]
-    alone = [runs.minus(own[0], own[1]), runs.minus(own[1], own[0])]
-    left = runs.to_pixels(runs.minus(union, alone[0].unionByName(alone[1])))
+    kinds = {"union": F.lit(1), "one": (F.col("region") == 1).cast("int"), "two": (F.col("region") == 2).cast("int")}
+
+    def ends(rows: DataFrame, *names: str) -> DataFrame:
+        at = [F.struct(F.col(x).alias("x"), *[(sign * kinds[n] if n in names else F.lit(0)).alias(n) for n in kinds]) for x, sign in (("x1", 1), ("x2", -1))]
+        return rows.filter("x1 < x2").select("mask", "y", F.explode(F.array(*at)).alias("e")).select("mask", "y", "e.*")
+
+    row = Window.partitionBy(*runs.ROW).orderBy("x")  # ends at one place count together, and have no pixels between them
+    steps = stacked(["mask"], ends(union, "union"), ends(instances, "one", "two"))
+    spans = steps.select(*runs.ROW, F.col("x").alias("x1"), F.lead("x").over(row).alias("x2"), *[(F.sum(n).over(row) > 0).alias(n) for n in kinds]).filter("union and x1 < x2")
+    own = F.when(F.col("one") & ~F.col("two"), 1).when(F.col("two") & ~F.col("one"), 2)
+    piece = lambda a, b: F.struct(a.alias("x"), b.alias("x2"))
+    pieces = F.when(F.col("own").isNotNull(), F.array(piece(F.col("x1"), F.col("x2")))).otherwise(F.transform(F.sequence(F.col("x1"), F.col("x2") - 1), lambda x: piece(x, x + 1)))
+    rows = spans.withColumn("own", own).select(*runs.ROW, "own", F.explode(pieces).alias("p")).select(*runs.ROW, "own", "p.*")
     at = lambda i: F.element_at("b.box", i)
     sides = boxes.select("mask", F.posexplode("boxes").alias("nth", "b")).select("mask", (F.col("nth") + 1).alias("centre"), ((at(1) + at(3)) / 2).alias("cx"), ((at(2) + at(4)) / 2).alias("cy"), (at(3) - at(1)).alias("sx"), (at(4) - at(2)).alias("sy"))
-    near = joins.nearest(left, sides, "mask").select(F.struct("mask", F.col("centre").alias("region")).alias("mask"), "y", F.col("x").alias("x1"), (F.col("x") + 1).alias("x2"))
-    rows = near
-    for r in (1, 2):
-        rows = rows.unionByName(alone[r - 1].select(F.struct("mask", F.lit(r).alias("region")).alias("mask"), "y", "x1", "x2"))
-    return runs.merged(rows).select("mask.mask", "mask.region", "y", "x1", "x2")
+    found = joins.nearest(rows, sides, "mask").select("mask", F.coalesce("own", "centre").alias("region"), "y", F.col("x").alias("x1"), "x2")
+    return runs.merged(found, True, "region").select("mask", "region", "y", "x1", "x2")
 
 
 def regions(union: DataFrame, boxes: DataFrame, instances: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(regions, ways): (mask, region, y, x1, x2) of every case, and (mask, method, detections) that says how they came about.
 
     Cases without two boxes are cut straight; so are those where a region would have fewer than 16 pixels. Of two equal
-    queries the regions are numbered by their means. A mask that can't be cut has no regions, and no way. The three
-    tables are read several times: hold them where they are dear to make.
+    queries the regions are numbered by their means. A mask that can't be cut has no regions, and no way. The union and the
+    boxes are read several times: hold them where they are dear to make.
     """
     both = boxes.filter(F.size("boxes") == 2)
     of = union.join(met(both.select("mask")), "mask", "left_semi")
-    parts = order.held(divided(of, instances, both))
-    areas = parts.groupBy("mask", "region").agg(F.sum(F.col("x2") - F.col("x1")).alias("n")).groupBy("mask").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("parts"))
-    good = areas.filter((F.col("n") >= LEAST) & (F.col("parts") == 2)).select("mask")
-    kept = parts.join(met(good), "mask", "left_semi")
-    same = boxes.filter("same").select("mask")
-    named = runs.in_order(kept.join(met(same), "mask", "left_semi").withColumnRenamed("region", "part"), "part").unionByName(kept.join(met(same), "mask", "left_anti"))
-    cut = order.held(runs.split_parts(union.join(met(good), "mask", "left_anti")))
+    n, of_mask = F.col("x2") - F.col("x1"), Window.partitionBy("mask")  # a mask has no more runs than half its pixels
+    total = lambda v, r: F.sum(F.when(F.col("region") == r, v)).over(of_mask)
+    sums = {f"{name}{r}": total(v, r) for r in (1, 2) for name, v in (("n", n), ("mx", n * (F.col("x1") + F.col("x2") - 1) / 2), ("my", n * F.col("y")))}
+    mean = lambda r: F.struct((F.col(f"mx{r}") / F.col(f"n{r}")).alias("x"), (F.col(f"my{r}") / F.col(f"n{r}")).alias("y"))
+    summed = divided(of, instances, both).join(met(both.select("mask", "same")), "mask").withColumns(sums)
+    good = F.coalesce((F.col("n1") >= LEAST) & (F.col("n2") >= LEAST), F.lit(False))
+    region = F.when(F.col("same") & (mean(2) < mean(1)), 3 - F.col("region")).otherwise(F.col("region"))
+    parts = order.held(summed.select("mask", region.alias("region"), "y", "x1", "x2", good.alias("good")))
+    named = parts.filter("good").drop("good")
+    fine = parts.filter("good").select("mask").distinct()
+    cut = order.held(runs.split_parts(union.join(met(fine), "mask", "left_anti")))
     ids = union.select("mask").distinct().join(met(boxes.select("mask", F.size("boxes").alias("detections"))), "mask", "left").withColumn("detections", F.coalesce("detections", F.lit(0)))
     how = F.when(F.col("good"), BY_MODELS).when(F.col("detections") == 2, BY_CUT_AFTER).otherwise(BY_CUT)
-    ways = ids.join(met(good.withColumn("good", F.lit(True))), "mask", "left").join(met(cut.select("mask", F.lit(True).alias("cut")).distinct()), "mask", "left").filter("good or cut")
-    return named.unionByName(cut), ways.select("mask", how.alias("method"), "detections")
+    ways = ids.join(met(fine.withColumn("good", F.lit(True))), "mask", "left").join(met(cut.select("mask", F.lit(True).alias("cut")).distinct()), "mask", "left").filter("good or cut")
+    return stacked(["mask"], named, cut), ways.select("mask", how.alias("method"), "detections")

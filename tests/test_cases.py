@@ -105,6 +105,29 @@ def test_instances_by_models(spark):
         instances.detected(cases, lambda rows: []).collect()
 
 
+def test_masks_are_divided_in_one_sweep(spark):
+    rng = np.random.default_rng(3)
+    whole, seen = rng.random((6, 9, 14)) < 0.7, rng.random((6, 2, 9, 14)) < 0.4
+    seen[0, 1], seen[1] = False, True
+    boxes = {m: [sorted(rng.integers(0, 14, 2).tolist()) + sorted(rng.integers(0, 9, 2).tolist()) for _ in range(2)] for m in range(5)}  # the last mask has none
+    pixel_runs = lambda a, *at: [(*at, int(y), int(x), int(x) + 1) for y, x in zip(*np.nonzero(a), strict=True)]
+    union = spark.createDataFrame([r for m in range(5) for r in pixel_runs(whole[m], m)], "mask long, y int, x1 int, x2 int")
+    made = spark.createDataFrame([r for m in range(6) for k in range(2) for r in pixel_runs(seen[m, k], m, k + 1)], "mask long, region int, y int, x1 int, x2 int")
+    both = spark.createDataFrame([(m, [([float(a), float(c), float(b), float(d)],) for a, b, c, d in own]) for m, own in boxes.items()], "mask long, boxes array<struct<box:array<double>>>")
+    rows = instances.divided(union, made, both)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 2  # run ends by mask, boxes by mask
+    got = np.zeros((6, 9, 14), int)
+    for r in rows.collect():
+        assert not got[r["mask"], r["y"], r["x1"] : r["x2"]].any() and r["x1"] < r["x2"]
+        got[r["mask"], r["y"], r["x1"] : r["x2"]] = r["region"]
+    for m, own in boxes.items():
+        for y, x in zip(*np.nonzero(whole[m]), strict=True):
+            far = [((x - (a + b) / 2) / max(1, b - a)) ** 2 + ((y - (c + d) / 2) / max(1, d - c)) ** 2 for a, b, c, d in own]
+            alone = seen[m, :, y, x].sum() == 1
+            assert got[m, y, x] == (seen[m, :, y, x].argmax() if alone else int(far[1] < far[0])) + 1
+    assert ((got > 0) == whole * (np.arange(6) < 5)[:, None, None]).all()
+
+
 def test_all_ways_occur(spark):
     ways = {r["method"] for r in QUERIES["instance_regions"](spark, "/root/testdata/sf0.001").select("method").distinct().collect()}
     assert ways == {instances.BY_MODELS, instances.BY_CUT, instances.BY_CUT_AFTER}
