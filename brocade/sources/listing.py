@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FOUR_DIGITS = r"^[0-9]{4}$"
@@ -28,9 +28,10 @@ def numeric(listed: DataFrame, kind: str = "json", pattern: str = DIGITS) -> Dat
 
 
 def paired(listed: DataFrame, kind: str = "png", partner: str = "json") -> DataFrame:
-    """Files of a kind that have a partner of the same folder and stem."""
-    has = listed.filter(F.col("kind") == partner).select("folder", "stem")
-    return listed.filter(F.col("kind") == kind).join(has, ["folder", "stem"], "left_semi")
+    """Files of a kind that have a partner of the same folder and stem; the listing is read once."""
+    has = F.max(F.col("kind") == partner).over(Window.partitionBy("folder", "stem"))
+    both = listed.filter(F.col("kind").isin(kind, partner)).withColumn("__has", has)
+    return both.filter((F.col("kind") == kind) & F.col("__has")).drop("__has")
 
 
 def progress(done: DataFrame, expected: DataFrame, *keys: str, per_key: int, when: str = "modified") -> DataFrame:

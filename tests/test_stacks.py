@@ -87,6 +87,28 @@ def test_stems_of_more_than_four_digits(spark, tmp_path):
     assert entry.queries()["progress_by_files"](spark, str(tmp_path)).filter("method is null").first()["done"] == 3
 
 
+def test_pairs_read_the_listing_once(spark, tmp_path):
+    from brocade.sources import listing
+
+    (tmp_path / "a").mkdir()
+    for name in ("a/1.png", "a/1.json", "a/2.png", "a/3.json", "1.json", "2.png"):
+        (tmp_path / name).write_text("x")
+    got = listing.paired(listing.files(spark, str(tmp_path)))
+    assert [(r["path"].rsplit("/", 2)[1], r["stem"], r["kind"]) for r in got.collect()] == [("a", "1", "png")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
+
+
+def test_sets_are_written_by_all_tasks(spark, tmp_path):
+    from brocade.sources import publication
+
+    root = str(tmp_path / "set")
+    rows = spark.range(200, numPartitions=1).selectExpr("concat('f', id) AS name", "cast(id AS string) AS content")
+    version = publication.publish(rows, root)
+    done = publication.json.loads(publication.read_text(spark, f"{root}/sets/{version}/committed.json"))
+    assert done["files"] == 200 == publication.manifest(spark, root).count() and len(done["parts"]) == 4
+    assert publication.broken(spark, root).isEmpty()
+
+
 def test_prepared_names_hold_the_whole_number(spark, tmp_path):
     import __spark_entry__ as entry
 
