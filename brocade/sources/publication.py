@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..operators.stack import dealt
+
 FILE = "name string, content binary"
 ENTRY = "name string, size long, sha256 string"
 
@@ -95,14 +97,17 @@ class FileSets(DataSource):
 
 
 def stage(files: DataFrame, root: str, name: str = "name", content: str = "content") -> str:
-    """Write a new set and return its version; nothing that is read changes. A name that is null, leaves the set or comes twice is an error."""
+    """Write a new set and return its version; nothing that is read changes. A name that is null, leaves the set or comes twice is an error.
+
+    Files are dealt over all tasks before they are written: a table that is small as it is read can come to many files.
+    """
     named = files.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"))
     twice = named.groupBy("name").count().filter("count > 1").first()
     if twice is not None:
         raise ValueError(f"two files of one name: {twice['name']}")
     version = uuid.uuid4().hex
     files.sparkSession.dataSource.register(FileSets)
-    named.write.format("file_set").mode("append").save(f"{root.rstrip('/')}/sets/{version}")
+    dealt(named, "name").write.format("file_set").mode("append").save(f"{root.rstrip('/')}/sets/{version}")
     return version
 
 
