@@ -4,6 +4,9 @@ Every 64-bit fingerprint lies within distance 3 of exactly one word of the perfe
 23-bit blocks; that pair of code words is its home anchor. If two fingerprints differ in at most d bits, the second
 lies within 3 + d of the first one's home, the excess over 3 summed over both blocks. So each fingerprint is sent to
 its home and, as a guest, to every anchor with an excess of at most d, and is compared there with those at home.
+
+Near copies of a stated similarity differ in more bits than that. Their SimHash has many blocks, each with its own
+anchors, and texts that share one block's home are compared.
 """
 
 from __future__ import annotations
@@ -235,11 +238,11 @@ def simhash_groups(docs: DataFrame, width: int = 3, most: int = 2, key: str = "d
 
 # --- near copies of a stated similarity ---------------------------------------------------------------------------
 
-#: Keys by which near copies meet, least values that a key joins, and bits of the sketch that drops far pairs.
-BANDS, LEAST, SKETCH = 20, 4, 128
-#: Shingles of the texts that meet in one task, about; keys with more get finer keys, and how many and how fine these are.
-WEIGHT, FINE_BANDS, FINE_LEAST = 1 << 19, 128, 12
-#: Sets of fewer shingles are compared without the sketch, whose majorities depend on single shingles there.
+#: Blocks of the sketch at whose anchors near copies meet, and its first bits, which drop far pairs there.
+BLOCKS, SKETCH = 80, 128
+#: Entries of an anchor, and shingles of the texts that are compared with each other, that one task holds, about.
+MOST_HELD, WEIGHT = 1_000_000, 1 << 19
+#: Sets of fewer shingles have a wider bound, since single shingles turn their majorities.
 SMALL = 10
 
 
@@ -293,15 +296,25 @@ def once(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(row[new], np.arange(len(first)))
 
 
-def band_keys(h: np.ndarray, first: np.ndarray, bands: int = BANDS, least: int = LEAST) -> np.ndarray:
-    """Keys of each row: each joins the least values of some hashes (MinHash), so rows share one with chance J**least."""
-    out = np.empty((len(first), bands), U64)
-    with np.errstate(over="ignore"):
-        for t in range(bands):
-            key = np.full(len(first), U64(t))
-            for factor in mix(np.arange(least, dtype=U64) + U64(1000 + t * least)) | U64(1):
-                key = mix(key ^ np.minimum.reduceat(h * factor, first))
-            out[:, t] = key
+def sketch(h: np.ndarray, first: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
+    """SimHash of each row, in words of 64 bits, with bits for that many blocks."""
+    out = np.empty((len(first), -(-blocks * LENGTH // 64)), U64)
+    for k in range(out.shape[1]):
+        out[:, k] = majority(h, first)
+        h = mix(h)
+    return out
+
+
+def block_anchors(sketched: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
+    """Of each block of each sketch the one code word within 3, with the block's number above it."""
+    out = np.empty((len(sketched), blocks), np.int32)
+    for t in range(blocks):
+        word, shift = divmod(t * LENGTH, 64)
+        bits = sketched[:, word] >> U64(shift)
+        if shift + LENGTH > 64:
+            bits = bits | (sketched[:, word + 1] << U64(64 - shift))
+        _, code, _ = near_words((bits & U64((1 << LENGTH) - 1)).astype(np.int64), 0)
+        out[:, t] = code | (t << LENGTH)
     return out
 
 
@@ -311,19 +324,20 @@ def _shingle_sets(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndar
     return once(*shingles(hashes(w), w.doc, part.num_rows, width))
 
 
-SKETCHED = [("node", pa.int64()), ("other", pa.int64()), ("size", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64()), ("keys", pa.binary())]
+SKETCHED = [("node", pa.int64()), ("other", pa.int64()), ("size", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64()), ("anchors", pa.binary())]
 MET = [("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("v0", pa.int64()), ("v1", pa.int64())]
 
 
 def sketches(width: int):
-    """Of each text: number of distinct shingles, sketch and keys."""
+    """Of each text: number of distinct shingles, the sketch's first bits and its anchors."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in pieces(batch, "text", 1 << 20):
             h, first = _shingle_sets(part, width)
-            v0, v1 = (majority(x, first).view(np.int64) for x in (h, mix(h)))
-            keys = [k.tobytes() for k in band_keys(h, first)]
-            yield record(SKETCHED, part.column("node").to_numpy(), part.column("other").to_numpy(), np.diff(np.append(first, len(h))), v0, v1, keys)
+            bits = sketch(h, first)
+            at = [k.tobytes() for k in block_anchors(bits)]
+            v0, v1 = (bits[:, k].view(np.int64) for k in (0, 1))
+            yield record(SKETCHED, part.column("node").to_numpy(), part.column("other").to_numpy(), np.diff(np.append(first, len(h))), v0, v1, at)
 
     return run
 
@@ -338,36 +352,29 @@ def shingle_sets(width: int):
     return run
 
 
-def _finer(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The finer keys of texts by their shingles."""
-    rest = [c for c in ("node", "size", "v0", "v1")]
-    for at in range(0, batch.num_rows, 200):
-        part = batch.slice(at, 200)
-        sets = part.column("shingles")
-        first = np.cumsum([0, *(len(x) for x in sets)])[:-1]
-        keys = band_keys(sets.flatten().to_numpy().view(U64), first, FINE_BANDS, FINE_LEAST)
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array([k.tobytes() for k in keys], pa.binary())], names=[*rest, "keys"])
-
-
 def _deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Each text to its keys."""
+    """Each text to its anchors."""
     for at in range(0, batch.num_rows, 2_000):
         part = batch.slice(at, 2_000)
-        keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), np.int64).reshape(part.num_rows, -1)
+        anchors_ = np.frombuffer(b"".join(part.column("anchors").to_pylist()), np.int32).reshape(part.num_rows, -1)
         rest = [part.column(k).to_numpy() for k in ("node", "size", "v0", "v1")]
-        for t in range(keys.shape[1]):
-            yield record(MET, keys[:, t], *rest)
+        for t in range(anchors_.shape[1]):
+            yield record(MET, anchors_[:, t].astype(np.int64), *rest)
 
 
 def _alike(size: np.ndarray, v0: np.ndarray, v1: np.ndarray, similarity: float):
     """Whether entries i and j may be that similar: by their sizes, surely, and by a sketch too far apart for all but one in 10,000."""
-    most = loose_bits(similarity)
+    most, few = loose_bits(similarity), small_bits(similarity)
     v0, v1 = v0.view(U64), v1.view(U64)  # counting bits takes signed values by their absolute
 
     def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        more = np.maximum(size[i], size[j])
-        apart = np.bitwise_count(v0[i] ^ v0[j]).astype(np.int16) + np.bitwise_count(v1[i] ^ v1[j])
-        return (np.minimum(size[i], size[j]) / more >= similarity) & ((apart <= most) | (more < SMALL))
+        apart = np.bitwise_count(v0[i] ^ v0[j]) + np.bitwise_count(v1[i] ^ v1[j])
+        near = apart <= max(most, few)
+        at = np.flatnonzero(near)
+        x, y = size[i[at]], size[j[at]]
+        more = np.maximum(x, y)
+        near[at] = (np.minimum(x, y) / more >= similarity) & (apart[at] <= np.where(more < SMALL, few, most))
+        return near
 
     return test
 
@@ -380,32 +387,77 @@ def _begins(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LED = [*MET, ("leader", pa.int64()), ("near", pa.bool_())]
 
 
-def _lead(similarity: float):
-    """Entries of keys with several texts, the first text of each key, and whether the two are to be compared.
+def together(key: np.ndarray, node: np.ndarray, size: np.ndarray, v0: np.ndarray, v1: np.ndarray, similarity: float) -> pa.RecordBatch | None:
+    """Texts at whole anchors, whose entries lie together, in groups: those that are alike, directly or through others there.
 
-    Entries come sorted by key. Of a key that goes on only its first entry is held, and of it only whether it was sent.
+    A group's key is made of its texts, so that a group found at several anchors is one; so is its leader.
     """
+    _, n = _begins(key)
+    several = np.repeat(n > 1, n)
+    key, node, size, v0, v1 = (c[several] for c in (key, node, size, v0, v1))
+    if not len(key):
+        return None
+    # those like the first one of their anchor need no comparison among each other: they go to the end
+    first, n = _begins(key)
+    lead = np.repeat(first, n)
+    member = _alike(size, v0, v1, similarity)(np.arange(len(key)), lead)
+    order = np.lexsort((member, key))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    node, size, v0, v1, member, lead = (c[order] for c in (node, size, v0, v1, member, place[lead]))
+    alike = _alike(size, v0, v1, similarity)
+    a, b = [np.flatnonzero(member)], [lead[member]]
+    rest = np.flatnonzero(~member)
+    after = np.repeat(first + n, n)[rest] - rest - 1
+    at, total = 0, np.cumsum(after)
+    while at < len(rest):  # pairs in blocks that stay in a core's cache
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 50_000, side="right")))
+        m = after[at:to]
+        i = np.repeat(rest[at:to], m)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        near = alike(i, j)
+        u, v = forest(i[near], j[near])
+        if len(u):
+            a.append(u)
+            b.append(v)
+        at = to
+    label = np.arange(len(node))
+    u, v = forest(np.concatenate(a), np.concatenate(b))
+    label[u] = v
+    shared = np.flatnonzero(np.bincount(label, minlength=len(node))[label] > 1)
+    if not len(shared):
+        return None
+    shared = shared[np.argsort(label[shared], kind="stable")]
+    first, n = _begins(label[shared])
+    with np.errstate(over="ignore"):
+        name = np.repeat(np.add.reduceat(mix(node[shared].view(U64)), first), n)
+    shared = shared[np.lexsort((mix(node[shared].view(U64) ^ name), label[shared]))]
+    leader = np.repeat(shared[first], n)
+    return record(LED, name.view(np.int64), *(c[shared] for c in (node, size, v0, v1)), node[leader], (shared != leader) & alike(shared, leader))
+
+
+LED = [*MET, ("leader", pa.int64()), ("near", pa.bool_())]
+
+
+def _meet(similarity: float):
+    """Entries come sorted by anchor; what is held at a time is some batches, or one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, waits = None, False  # the first entry of the key that goes on; whether it is still alone
+        held: list[list[np.ndarray]] = []
+        rows, most = 0, 200_000
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            if last is not None:
-                cols = [np.concatenate([[x], c]) for x, c in zip(last, cols, strict=True)]
-            key, node, size, v0, v1 = cols
-            first, n = _begins(key)
-            lead = np.repeat(first, n)
-            send = np.repeat(n > 1, n)
-            if last is not None and not waits:
-                send[0] = False
-            alike = _alike(size, v0, v1, similarity)
-            shared = np.flatnonzero(send)
-            for at in range(0, len(shared), 50_000):
-                i = shared[at : at + 50_000]
-                j = lead[i]
-                yield record(LED, key[i], node[i], size[i], v0[i], v1[i], node[j], (i != j) & alike(i, j))
-            waits = n[-1] == 1 and (len(first) > 1 or last is None or waits)
-            last = [c[first[-1]] for c in cols]
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+            if rows < most:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
+            most = max(200_000, 2 * rows)
+            if cut and (got := together(*(c[:cut] for c in cols), similarity)) is not None:
+                yield got
+        if rows and (got := together(*(np.concatenate(c) for c in zip(*held, strict=True)), similarity)) is not None:
+            yield got
 
     return run
 
@@ -515,11 +567,40 @@ def loose_bits(similarity: float, bits: int = SKETCH) -> int:
     return floor(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
 
 
-def _led(texts_with_keys: DataFrame, similarity: float, n: int) -> DataFrame:
-    """Entries of keys that several texts share, each with its key's leader, which is the first by a hash that differs by key."""
+@lru_cache
+def small_bits(similarity: float, bits: int = SKETCH) -> int:
+    """The same for sets of fewer than SMALL shingles, by the two such sets whose majorities differ most."""
+    from math import comb, floor
+
+    def over(have: int, own: int, size: int) -> float:
+        return sum(comb(own, x) for x in range(own + 1) if 2 * (have + x) > size) / 2**own
+
+    share = 0.0
+    for a in range(1, SMALL):
+        for b in range(a, SMALL):
+            for c in range(1, a + 1):
+                if c / (a + b - c) >= similarity:
+                    p = [(over(k, a - c, a), over(k, b - c, b)) for k in range(c + 1)]
+                    share = max(share, sum(comb(c, k) * (x * (1 - y) + y * (1 - x)) for k, (x, y) in enumerate(p)) / 2**c)
+    return floor(bits * share + 4 * (bits * share * (1 - share)) ** 0.5)
+
+
+def _led(classes: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Groups of texts that are alike at an anchor: their entries, each with its group's leader.
+
+    An anchor with more than MOST_HELD entries is split: of its parts each two meet in a task of their own.
+    """
     met = "key long, node long, size long, v0 long, v1 long"
-    dealt = map_rows(texts_with_keys, _deal, met).repartition(n, "key").sortWithinPartitions("key", F.xxhash64("key", "node"))
-    return settle(dealt.mapInArrow(_lead(similarity), f"{met}, leader long, near boolean"))
+    dealt = map_rows(classes, _deal, met)
+    if classes.count() > MOST_HELD:
+        full = settle(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_HELD).select("key", F.ceil(2 * F.col("n") / MOST_HELD).cast("int").alias("parts")))
+        if not full.isEmpty():
+            own = F.pmod(F.xxhash64("node", "key"), F.coalesce("parts", F.lit(1))).cast("int")
+            meet = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda p: F.xxhash64("key", F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
+            # at most one anchor in MOST_HELD entries is full
+            dealt = dealt.join(F.broadcast(full), "key", "left").withColumn("own", own).select(F.explode(meet).alias("key"), "node", "size", "v0", "v1")
+    dealt = dealt.repartition(n, "key").sortWithinPartitions("key")
+    return settle(dealt.mapInArrow(_meet(similarity), f"{met}, leader long, near boolean").dropDuplicates(["key", "node"]))
 
 
 def _stars(led: DataFrame) -> DataFrame:
@@ -527,7 +608,7 @@ def _stars(led: DataFrame) -> DataFrame:
 
 
 def _open(led: DataFrame, groups: DataFrame) -> DataFrame:
-    """Entries of keys whose texts are in several groups, with their group (root) and the shingles of all the key's texts (weight)."""
+    """Entries of keys whose texts are in several components, with their component (root) and the shingles of all the key's texts (weight)."""
     entries = led.join(groups, "node", "left").select("key", "node", "size", "v0", "v1", F.coalesce("root", "node").alias("root"))
     mixed = entries.groupBy("key").agg(F.sum("size").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "weight")
     return settle(entries.join(mixed, "key"))
@@ -552,20 +633,22 @@ def _links_across(entries: DataFrame, sets: DataFrame, similarity: float, n: int
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(node, root) of every distinct text with a near copy: node is xxhash64 of the text, null as empty.
 
-    Near copies are texts whose sets of word shingles of `width` (A-Z lower-cased) have that Jaccard similarity. Pairs
-    to compare share one of BANDS MinHash keys, which misses one pair at 0.8 in some 38,000; sizes and a 128-bit SimHash
-    of the distinct shingles drop far ones; the others are compared exactly. First every text is compared with the
-    leader of each of its keys. Where that leaves texts of a key in several groups, these are compared in the key's
-    task, from which only links come out. The texts of keys too heavy for a task get finer keys first, which miss one
-    pair at 0.8 in some 9,000 and bring together far fewer pairs below it. A text of fewer words is one shingle. Of
-    unequal texts with equal hashes, the one with the least second hash is the node, and the others have no near copies.
+    Near copies are texts whose sets of word shingles of `width` (A-Z lower-cased) have that Jaccard similarity. Of each
+    set a SimHash of BLOCKS blocks is made; in each block every text goes to the one anchor (word of the perfect Golay
+    code) that covers it. Pairs to compare share one of these anchors, which misses one pair at 0.8 in some 30,000, and
+    one in 500 where sets are smallest (4 of 5 shingles); at an anchor sizes and 128 of the bits drop far ones; the
+    others are compared exactly. First every text is compared with the leader of each of its groups of texts alike.
+    Where that leaves texts of a group in several components, these are compared in the group's task, from which only
+    links come out; groups too heavy for a task are dealt over several. A text of fewer words is one shingle. Of unequal
+    texts with equal hashes, the one with the least second hash is the node, and the others have no near copies.
     """
     n = shuffle_count(docs.sparkSession)
     given = docs.select(F.coalesce(text, F.lit("")).alias("text")).select("text", text_hash("text").alias("node"), second_hash("text").alias("other"))
-    rows = settle(map_rows(given, sketches(width), "node long, other long, size long, v0 long, v1 long, keys binary"))
-    classes = rows.groupBy("node").agg(F.min(F.struct("other", "size", "v0", "v1", "keys")).alias("m")).select("node", "m.*").drop("other")
-    led = _led(classes, similarity, n)
+    rows = settle(map_rows(given, sketches(width), "node long, other long, size long, v0 long, v1 long, anchors binary"))
+    classes = settle(rows.groupBy("node").agg(F.min(F.struct("other", "size", "v0", "v1", "anchors")).alias("m")).select("node", "m.*").drop("other"))
     forget(rows)
+    led = _led(classes, similarity, n)
+    forget(classes)
     nodes = settle(led.select("node").distinct())
     # without a shuffle of texts, so that a text of many rows doesn't come to one task
     needed = given.join(F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes, "node", "left_semi")
@@ -574,14 +657,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     stars = _stars(led)
     groups = components(similar(stars, sets, similarity))
     entries = _open(led, groups)
-    edges = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_links_across(entries.filter(F.col("weight") <= WEIGHT), sets, similarity, n))
-    heavy = settle(entries.filter(F.col("weight") > WEIGHT).select("node", "size", "v0", "v1").distinct())
-    if not heavy.isEmpty():
-        fine = _led(settle(map_rows(heavy.join(sets, "node"), _finer, "node long, size long, v0 long, v1 long, keys binary")), similarity, n)
-        groups = components(edges.union(similar(_stars(fine), sets, similarity)))
-        edges = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_links_across(_open(fine, groups), sets, similarity, n))
+    edges = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_links_across(entries, sets, similarity, n))
     found = components(edges)
-    forget(led, nodes, sets, stars, entries, heavy)
+    forget(led, nodes, sets, stars, entries)
     return found
 
 

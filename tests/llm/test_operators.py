@@ -369,6 +369,62 @@ def test_near_copies_crowd(spark, monkeypatch, weight):
     assert got == want and 1 < len(want) < 250
 
 
+def test_near_copies_meet_at_anchors(spark):
+    # candidates come from anchors: code words within 3 of each block of a SimHash, shared by the texts that meet
+    rng = np.random.default_rng(15)
+    rows = []
+    for _ in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        v = list(w)
+        for k in rng.choice(200, int(rng.integers(1, 9)), replace=False):
+            v[k] = "new"
+        rows += [" ".join(w), " ".join(v)]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "node long, other long, text string")
+    made = df.mapInArrow(lambda b: (x for y in b for x in simhash.sketches(5)(y)), "node long, other long, size long, v0 long, v1 long, anchors binary")
+    at = {r["node"]: np.frombuffer(bytes(r["anchors"]), np.int32) for r in made.collect()}
+    part = spark.createDataFrame([(0, 0, rows[0])], "node long, other long, text string").toArrow().to_batches()[0]
+    bits = simhash.sketch(*simhash._shingle_sets(part, 5))[0]
+    whole = sum(int(x) << (64 * k) for k, x in enumerate(bits))
+    for t in range(simhash.BLOCKS):
+        block, code = (whole >> (23 * t)) & (2**23 - 1), int(at[0][t])
+        assert code >> 23 == t and (block ^ code & (2**23 - 1)).bit_count() <= 3
+        assert simhash.syndromes(np.array([code & (2**23 - 1)]))[0] == 0
+    led = simhash._led(made, 0.8, 4).collect()
+    met = {frozenset((r["node"], r["leader"])) for r in led if r["near"]}
+    assert all((at[a] == at[b]).any() for a, b in met)
+    near = {frozenset((i, i + 1)) for i in range(0, 120, 2) if len(five(rows[i]) & five(rows[i + 1])) >= 0.8 * len(five(rows[i]) | five(rows[i + 1]))}
+    assert len(near) > 20 and near <= met
+
+
+@pytest.mark.parametrize("words,edits", [(49, 1), (8, 0)])
+def test_near_copies_miss_few(spark, words, edits):
+    # pairs at just 0.8, of 45 shingles each and of the smallest sets there are (4 of 5 shingles)
+    rng = np.random.default_rng(16)
+    rows = []
+    for _ in range(2000):
+        w = [f"w{x}" for x in rng.integers(0, 10**7, words)]
+        v = [*w[: words // 2], "new", *w[words // 2 + 1 :]] if edits else [*w, "new"]
+        rows += [" ".join(w), " ".join(v)]
+    near = sum(len(five(a) & five(b)) / len(five(a) | five(b)) == 0.8 for a, b in zip(rows[::2], rows[1::2]))
+    found = sum(len(g) == 2 for g in found_groups(spark, rows))
+    print("pairs", near, "found", found)
+    assert near == 2000 and found >= 0.995 * near
+
+
+def test_near_copies_full_anchors(spark, monkeypatch):
+    # anchors with many entries are dealt over parts of which each two meet; the groups stay the same
+    rng = np.random.default_rng(17)
+    rows = []
+    for _ in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 100)]
+        rows += [" ".join([*w[:k], "new", *w[k + 1 :]]) for k in (3, 40, 70)]
+    base = [f"b{x}" for x in range(200)]
+    rows += [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in range(0, 200, 2)]
+    want = found_groups(spark, rows)
+    monkeypatch.setattr(simhash, "MOST_HELD", 10)
+    assert found_groups(spark, rows) == want == groups_of(rows)
+
+
 def test_near_copies_equal_hashes(spark, monkeypatch):
     # unequal texts with equal first hashes: none is lost as a copy of the other
     monkeypatch.setattr(simhash, "text_hash", lambda text: F.length(text).cast("long"))
