@@ -1,12 +1,13 @@
-"""Pictures and masks between bytes, pixels and runs; locators and outlines drawn by runs.
+"""Pictures and masks between bytes, pixels and runs; locators and outlines.
 
-A picture is a column of the struct that functions/png.py describes. Drawing is done in run tables first (what is set
-where, by SQL), and painted onto each picture in one pass: a picture's runs are bounded by its canvas.
+A picture is a column of the struct that functions/png.py describes. Pixels take a hundred times the room of the bytes
+they come from: where a table of pictures is worked on, PNG bytes and regions are what goes between tasks and to Python,
+and pixels are only there for some pictures of one size at a time, within a function (marked, mask_png, png_colours).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FILL_OPACITY, HALO, REGION_COLORS, RING
+from ..functions import png
 from ..functions.geometry import MARKERS
-from ..functions.png import CHANNELS, PICTURE, array_of, picture_frame, picture_row
+from ..functions.png import PICTURE, array_of, picture_frame, picture_row
 from ..functions.resampling import over
 from . import runs as run
-from .stack import met
+from .masks import stack_squared_up
 
 RUNS = "array<struct<y:int,x1:int,x2:int>>"
-LAYERS = "array<struct<nth:int,y:int,x1:int,x2:int,red:int,green:int,blue:int,opacity:int>>"
 
 
 def bands(mask: np.ndarray) -> np.ndarray:
@@ -129,19 +130,27 @@ def statistics(picture: Column) -> Column:
     return F.pandas_udf(fn, "least long, greatest long, total long, n long, between long")(picture)
 
 
-def colour_counts(picture: Column) -> Column:
-    """How many pixels of an RGB picture have each colour, as an array of (red, green, blue, n) in order of colour."""
-    def fn(shown: pa.Array) -> pa.Array:
-        out = []
-        for (p,) in zip(*_fields(shown, "pixels"), strict=True):
-            if p is None:
-                out.append(None)
+def png_colours(data: Column) -> Column:
+    """How many pixels each colour has in the picture that PNG bytes hold, as an array of (red, green, blue, n) in order of colour; null for bytes that hold none."""
+
+    def fn(given: pa.Array) -> pa.Array:
+        out: list[np.ndarray | None] = [None] * len(given)
+        for places, shown in png.decoded(given.to_pylist(), "RGB"):
+            if isinstance(shown, str):
                 continue
-            c, n = np.unique(np.frombuffer(p, np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([65536, 256, 1]), return_counts=True)
-            out.append(np.column_stack([c >> 16, c >> 8 & 255, c & 255, n]))
+            codes = shown.reshape(len(places), -1, 3).astype(np.int32) @ np.array([65536, 256, 1], np.int32)
+            new = np.ones(codes.shape, bool)  # stretches of one colour are counted, not their pixels
+            np.not_equal(codes[:, 1:], codes[:, :-1], out=new[:, 1:])
+            start = np.flatnonzero(new)
+            both, of = np.unique((start // codes.shape[1] << 24) + codes.reshape(-1)[start], return_inverse=True)
+            n = np.bincount(of, np.diff(np.append(start, codes.size))).astype(np.int64)
+            c = both & 0xFFFFFF
+            listed = np.column_stack([c >> 16, c >> 8 & 255, c & 255, n])
+            for place, own in zip(places, np.split(listed, np.searchsorted(both >> 24, np.arange(1, len(places)))), strict=True):
+                out[place] = own
         return lists(out, red=pa.int32(), green=pa.int32(), blue=pa.int32(), n=pa.int64())
 
-    return F.arrow_udf(fn, "array<struct<red:int,green:int,blue:int,n:long>>")(picture)
+    return F.arrow_udf(fn, "array<struct<red:int,green:int,blue:int,n:long>>")(data)
 
 
 def asset_errors(assets: DataFrame) -> DataFrame:
@@ -169,31 +178,70 @@ def asset_errors(assets: DataFrame) -> DataFrame:
 # --- drawing ------------------------------------------------------------------------------------------------------
 
 
-def layer(runs: DataFrame, nth: Column, colour: tuple[int, int, int] | Column, opacity: int = 255) -> DataFrame:
-    """Runs as what is painted nth, in a colour (a tuple, or an array column)."""
-    c = F.array(*[F.lit(v) for v in colour]) if isinstance(colour, tuple) else colour
-    return runs.select("mask", nth.cast("int").alias("nth"), *[F.col(k).cast("int").alias(k) for k in ("y", "x1", "x2")], *[F.element_at(c, i).alias(k) for i, k in enumerate(("red", "green", "blue"), 1)], F.lit(opacity).alias("opacity"))
-
+Steps = Iterator[tuple[np.ndarray, tuple[int, int, int] | None, int]]
 
-def painted(pictures: DataFrame, layers: DataFrame) -> DataFrame:
-    """pictures (mask, picture) with their layers laid on in order of nth; those without any stay as they are."""
-    fields = ("nth", "y", "x1", "x2", "red", "green", "blue", "opacity")
-    listed = layers.groupBy("mask").agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(LAYERS).alias("layers"))
 
-    def fn(shown: pa.Array, laid: pa.Array) -> pa.Array:
-        at, columns = parts_of(laid)
-        given = np.column_stack(columns).astype(np.int64)
-        rows = []
-        for i, (w, h, m, p, e) in enumerate(zip(*_fields(shown, "width", "height", "mode", "pixels", "error"), strict=True)):
-            if p is None:
-                rows.append(picture_row(None, None, e))
-                continue
-            out = np.array(np.broadcast_to(array_of(w, h, m, p)[:, :, : min(3, CHANNELS[m])], (h, w, 3)))
-            paint(out, given[at[i] : at[i + 1]])
-            rows.append(picture_row(out, "RGB"))
-        return picture_array(rows)
+def marked(data: Column, regions: Column, mark: Callable[..., Steps]) -> Column:
+    """PNG bytes of the pictures that PNG bytes hold, with regions drawn on; null for bytes that hold none.
 
-    return pictures.join(met(listed), "mask", "left").withColumn("picture", F.arrow_udf(fn, PICTURE)("picture", "layers")).drop("layers")
+    regions: an array of structs, of which `region` numbers a picture's regions and the other fields go to mark. That gets the
+    height and width of some pictures, the place of each struct's picture among them and its fields, and gives what is laid on in turn, as
+    booleans (pictures, height, width), a colour (none: the region's) and an opacity. Regions come in order of their number.
+    """
+    def fn(given: pa.Array, found: pa.Array) -> pa.Array:
+        at, columns = parts_of(found)
+        fields = dict(zip((f.name for f in found.type.value_type), columns, strict=True))
+        values, out = given.to_pylist(), [None] * len(given)
+        for begin, end in png.blocks(map(png.size, values)):
+            alike: dict[bytes | None, list[int]] = {}
+            for i in range(begin, end):
+                alike.setdefault(values[i], []).append(i)
+            for places, shown in png.decoded(list(alike), "RGB"):  # equal bytes are read once
+                if isinstance(shown, str):
+                    continue
+                keys = list(alike)
+                rows = [keys[p] for p in places]
+                of = np.repeat(np.arange(len(rows)), [len(alike[r]) for r in rows])
+                own = np.array([i for r in rows for i in alike[r]])
+                stack, n = shown[of], at[own + 1] - at[own]
+                each = np.arange(n.sum()) + np.repeat(at[own] - np.cumsum(n) + n, n)
+                draw(stack, np.repeat(np.arange(len(own)), n), {k: v[each] for k, v in fields.items()}, mark)
+                for i, done in zip(own.tolist(), png.encoded(stack), strict=True):
+                    out[i] = done
+        return pa.array(out, pa.binary())
+
+    return F.arrow_udf(fn, "binary")(data, regions)
+
+
+def draw(stack: np.ndarray, of: np.ndarray, fields: dict[str, np.ndarray], mark: Callable[..., Steps]) -> None:
+    """Lay regions on a stack of pictures (n, height, width, 3), all steps of a region before those of the next; of: the picture of each of the regions' structs."""
+    for number in np.unique(fields["region"]):
+        own = fields["region"] == number
+        pictures, nth = np.unique(of[own], return_inverse=True)
+        for where, colour, opacity in mark(*stack.shape[1:3], len(pictures), nth, **{k: v[own].astype(np.int64) for k, v in fields.items() if k != "region"}):
+            picture, y, x = np.nonzero(where)
+            at = (pictures[picture], y, x)
+            top = np.array(colour or REGION_COLORS[(number - 1) % len(REGION_COLORS)], np.uint8)
+            stack[at] = top if opacity == 255 else over(top, np.array(opacity), stack[at])
+
+
+def run_raster(height: int, width: int, n: int, of: np.ndarray, y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """Booleans (n, height, width) of runs; what lies beyond the canvas is left out."""
+    steps = np.zeros((n, height, width + 1), np.int32)
+    x1, x2 = np.clip(x1, 0, width), np.clip(x2, 0, width)
+    own = (y >= 0) & (y < height) & (x1 < x2)
+    np.add.at(steps, (of[own], y[own], x1[own]), 1)
+    np.add.at(steps, (of[own], y[own], x2[own]), -1)
+    return np.cumsum(steps, axis=2)[:, :, :width] > 0
+
+
+def together(where: np.ndarray, n: int, of: np.ndarray) -> np.ndarray:
+    """What is set in any of the booleans of one picture."""
+    if len(of) == n:
+        return where[np.argsort(of)]
+    out = np.zeros((n, *where.shape[1:]), bool)
+    np.logical_or.at(out, of, where)
+    return out
 
 
 def paint(out: np.ndarray, layers: np.ndarray) -> None:
@@ -217,68 +265,45 @@ def paint(out: np.ndarray, layers: np.ndarray) -> None:
                 flat[at[k : k + m]] = over(colour, opacity, flat[at[k : k + m]])
 
 
-def region_colour(region: Column) -> Column:
-    """The colour of a region, numbered from 1; colours come again after the last."""
-    return F.element_at(F.array(*[F.array(*[F.lit(v) for v in c]) for c in REGION_COLORS]), ((region - 1) % len(REGION_COLORS)).cast("int") + 1)
-
-
-def _by_region(regions: DataFrame) -> DataFrame:
-    """Runs of regions under an id of picture and region, so that regions are worked on apart."""
-    return regions.select(F.struct(F.col("mask").alias("picture"), "region").alias("mask"), "y", "x1", "x2")
-
-
-def _layer_of(runs: DataFrame, step: int, steps: int, colour: tuple[int, int, int] | None, opacity: int = 255) -> DataFrame:
-    """A layer of region runs: all steps of a region come before those of the next."""
-    rows = runs.select(F.col("mask.picture").alias("mask"), F.col("mask.region").alias("region"), "y", "x1", "x2")
-    return layer(rows, F.col("region") * steps + step, colour or region_colour(F.col("region")), opacity)
-
-
 def line_width(width: int, height: int) -> int:
     share, least = MARKERS["line_width"]
     return max(least, round(min(width, height) * share))
 
 
-def mask_locator(regions: DataFrame, width: int, height: int) -> DataFrame:
-    """Layers that mark regions (mask, region, y, x1, x2) on a canvas: each filled in its colour with some opacity, its edge within a line's width to both sides in full."""
-    own = _by_region(regions)
-    return _layer_of(own, 0, 2, None, FILL_OPACITY).unionByName(_layer_of(run.edges(own, line_width(width, height), width, height), 1, 2, None))
+def mask_marks(height: int, width: int, n: int, of: np.ndarray, y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> Steps:
+    """Regions of runs filled in their colour with some opacity, their edge within a line's width to both sides in full."""
+    own, reach = run_raster(height, width, n, of, y, x1, x2), line_width(width, height)
+    yield own, None, FILL_OPACITY
+    yield stack_squared_up(own, reach) & stack_squared_up(~own, reach), None, 255  # beyond the canvas nothing is seen
 
 
-def box_locator(boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """Layers that mark boxes (mask, region, x1, y1, x2, y2): a frame of a line's width within the box."""
+def box_marks(height: int, width: int, n: int, of: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> Steps:
+    """A frame of a line's width within each box."""
     wide = line_width(width, height)
-    key = F.struct(F.col("mask").alias("picture"), "region").alias("mask")
-    rows = boxes.select(key, "x1", "x2", "y1", "y2", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y"))
-    edge = (F.col("y") < F.col("y1") + wide) | (F.col("y") >= F.col("y2") - wide)
-    bar = lambda a, b: F.struct(F.greatest(F.lit(0), a).alias("a"), F.least(F.lit(width), b).alias("b"))
-    x1, x2 = F.col("x1"), F.col("x2")
-    bars = F.when(edge, F.array(bar(x1, x2))).otherwise(F.array(bar(x1, F.least(x2, x1 + wide)), bar(F.greatest(x1, x2 - wide), x2)))
-    made = rows.filter((F.col("y") >= 0) & (F.col("y") < height)).select("mask", "y", F.explode(bars).alias("b")).select("mask", "y", F.col("b.a").alias("x1"), F.col("b.b").alias("x2"))
-    return _layer_of(run.merged(made), 0, 1, None)
 
+    def within(pad: int) -> np.ndarray:
+        (a, b), (c, d) = [(lo[:, None] + pad, hi[:, None] - pad) for lo, hi in ((x1, x2), (y1, y2))]
+        x, y = np.arange(width), np.arange(height)
+        return ((y >= c) & (y < d))[:, :, None] & ((x >= a) & (x < b))[:, None]
 
-def dot_runs(points: DataFrame, radius: int, width: int, height: int) -> DataFrame:
-    """Runs of discs about points (mask, x, y), within the canvas."""
-    one = points.select("mask", F.col("y"), F.col("x").alias("x1"), (F.col("x") + 1).alias("x2"))
-    return run.widened(one, run.disc_reach(radius), width, height)
+    yield together(within(0) & ~within(wide), n, of), None, 255
 
 
-def point_locator(points: DataFrame, width: int, height: int) -> DataFrame:
-    """Layers that mark points (mask, region, x, y): a dot of the region's colour within a white ring."""
-    size = lambda name: max(MARKERS[name][1], round(min(width, height) * MARKERS[name][0]))
-    radius, ring = size("point_radius"), size("point_outline")
-    own = points.select(F.struct(F.col("mask").alias("picture"), "region").alias("mask"), "x", "y")
-    outer, inner = dot_runs(own, radius, width, height), dot_runs(own, radius - ring, width, height)
-    return _layer_of(outer, 0, 2, RING).unionByName(_layer_of(inner, 1, 2, None))
+def point_marks(height: int, width: int, n: int, of: np.ndarray, x: np.ndarray, y: np.ndarray) -> Steps:
+    """A dot of the region's colour at each point, within a white ring."""
+    radius, ring = (max(MARKERS[name][1], round(min(width, height) * MARKERS[name][0])) for name in ("point_radius", "point_outline"))
+    for r, colour in ((radius, RING), (radius - ring, None)):
+        dy = np.arange(height) - y[:, None]
+        reach = np.where(abs(dy) <= r, np.array(run.disc_reach(r))[np.clip(dy, -r, r) + r], -1)
+        yield together(abs(np.arange(width) - x[:, None])[:, None] <= reach[:, :, None], n, of), colour, 255
 
 
 def outline_width(width: int, height: int) -> int:
     return max(2, round(max(width, height) / 400))
 
 
-def outlines(regions: DataFrame, width: int, height: int) -> DataFrame:
-    """Layers for a judge's view: around each region (mask, region, y, x1, x2) a contour in its colour, outside the region, with a dark pixel beyond."""
-    own = run.merged(_by_region(regions))
-    reach = outline_width(width, height)
-    around = lambda r: run.minus(run.squared_up(own, r, width, height), own)
-    return _layer_of(around(reach + 1), 0, 2, HALO).unionByName(_layer_of(around(reach), 1, 2, None))
+def outline_marks(height: int, width: int, n: int, of: np.ndarray, y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> Steps:
+    """For a judge's view: around each region of runs a contour in its colour, outside the region, with a dark pixel beyond."""
+    own, reach = run_raster(height, width, n, of, y, x1, x2), outline_width(width, height)
+    for r, colour in ((reach + 1, HALO), (reach, None)):
+        yield stack_squared_up(own, r) & ~own, colour, 255
