@@ -108,6 +108,50 @@ def mask_picture(runs: Column, width: Column, height: Column) -> Column:
     return F.arrow_udf(fn, PICTURE)(runs, width, height)
 
 
+def mask_png(runs: Column, width: Column, height: Column) -> Column:
+    """PNG bytes of mask_picture; null for runs beyond the canvas."""
+
+    def fn(found: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        at, columns = parts_of(found)
+        sizes, out = list(zip(w.to_pylist(), h.to_pylist(), strict=True)), [None] * len(found)
+        for begin, end in png.blocks(wide * high for wide, high in sizes):
+            alike: dict[tuple[int, int], list[int]] = {}
+            for i in range(begin, end):
+                alike.setdefault(sizes[i], []).append(i)
+            for (wide, high), listed in alike.items():
+                own = np.array(listed)
+                n = at[own + 1] - at[own]
+                of = np.repeat(np.arange(len(own)), n)
+                y, x1, x2 = (c[np.arange(n.sum()) + np.repeat(at[own] - np.cumsum(n) + n, n)] for c in columns)
+                beyond = np.unique(of[(y < 0) | (y >= high) | (x1 < 0) | (x1 > x2) | (x2 > wide)])
+                done = png.encoded(run_raster(high, wide, len(own), of, y, x1, x2)[..., None] * np.uint8(255))
+                for k in np.setdiff1d(np.arange(len(own)), beyond).tolist():
+                    out[listed[k]] = done[k]
+        return pa.array(out, pa.binary())
+
+    return F.arrow_udf(fn, "binary")(runs, width, height)
+
+
+def png_runs(data: Column, least: int = 128) -> Column:
+    """light_runs of the grey picture that PNG bytes hold, as a struct of error and runs; one of them is null."""
+
+    def fn(given: pa.Array) -> pa.Array:
+        found: list[np.ndarray | None] = [None] * len(given)
+        wrong: list[str | None] = [None] * len(given)
+        for places, shown in png.decoded(given.to_pylist(), "L"):
+            if isinstance(shown, str):
+                wrong[places[0]] = shown
+                continue
+            edge = np.diff(np.pad(shown[:, :, :, 0] >= least, ((0, 0), (0, 0), (1, 1))).astype(np.int8), axis=2)
+            of, y, x1 = np.nonzero(edge == 1)
+            listed = np.column_stack([y, x1, np.nonzero(edge == -1)[2]])
+            for place, own in zip(places, np.split(listed, np.searchsorted(of, np.arange(1, len(places)))), strict=True):
+                found[place] = own
+        return pa.StructArray.from_arrays([pa.array(wrong, pa.string()), lists(found, y=pa.int32(), x1=pa.int32(), x2=pa.int32())], names=["error", "runs"])
+
+    return F.arrow_udf(fn, f"error string, runs {RUNS}")(data)
+
+
 def flat_picture(width: Column, height: Column, colour: Column) -> Column:
     """A picture of one colour, an array of red, green and blue."""
 
@@ -153,24 +197,46 @@ def png_colours(data: Column) -> Column:
     return F.arrow_udf(fn, "array<struct<red:int,green:int,blue:int,n:long>>")(data)
 
 
+FACTS = {"error": pa.string(), "width": pa.int32(), "height": pa.int32(), "between": pa.int64(), "greatest": pa.int64(), "on": pa.bool_()}
+
+
+def _facts(shown: Iterator[tuple[list[int], np.ndarray | str]], px: pa.Array, py: pa.Array) -> pa.Array:
+    """FACTS of grey pictures, given as by png.decoded: how many values are neither 0 nor 255, the greatest, and whether the point lies on a 255."""
+    out: list[tuple] = [()] * len(px)
+    at = list(zip(px.to_pylist(), py.to_pylist(), strict=True))
+    for places, stack in shown:
+        if isinstance(stack, str):
+            out[places[0]] = (stack, None, None, None, None, False)
+            continue
+        h, w = stack.shape[1:3]
+        values = stack.reshape(len(places), -1)
+        between, greatest = ((values != 0) & (values != 255)).sum(axis=1).tolist(), values.max(axis=1).tolist()
+        for k, place in enumerate(places):
+            x, y = at[place]
+            on = x is not None and y is not None and 0 <= x < w and 0 <= y < h and bool(stack[k, int(y), int(x), 0] == 255)
+            out[place] = (None, w, h, between[k], greatest[k], on)
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(FACTS.values())], names=list(FACTS))
+
+
 def asset_errors(assets: DataFrame) -> DataFrame:
-    """(mask, rule) of mask pictures (mask, picture, source_width, source_height, px, py) that break a rule.
+    """(mask, rule) of mask pictures (mask, data or picture, source_width, source_height, px, py) that break a rule; data: PNG bytes.
 
     undecodable: no picture; not_binary: a value that is neither 0 nor 255; empty: nothing set; size: another size than the source; point: the
     region's point doesn't lie on it.
     """
-
-    def on(shown: pd.DataFrame, px: pd.Series, py: pd.Series) -> pd.Series:
-        out = []
-        for w, h, m, p, x, y in zip(*(shown[c] for c in ("width", "height", "mode", "pixels")), px, py, strict=True):
-            known = p is not None and not pd.isna(x) and not pd.isna(y)
-            out.append(bool(known and 0 <= x < w and 0 <= y < h and array_of(int(w), int(h), m, p)[int(y), int(x), 0] == 255))
-        return pd.Series(out)
-
-    there = F.col("picture.error").isNull()
-    s = assets.withColumn("s", statistics(F.col("picture"))).withColumn("on", F.pandas_udf(on, "boolean")("picture", "px", "py"))
-    size = (F.col("picture.width") != F.col("source_width")) | (F.col("picture.height") != F.col("source_height"))
-    rules = {"undecodable": ~there, "not_binary": there & (F.col("s.between") > 0), "empty": there & (F.col("s.greatest") < 255), "size": there & size, "point": there & ~F.col("on")}
+    def of_pictures(shown: pa.Array, px: pa.Array, py: pa.Array) -> pa.Array:
+        rows = enumerate(zip(*_fields(shown, "width", "height", "mode", "pixels", "error"), strict=True))
+        return _facts((([i], e or "no picture" if p is None else array_of(w, h, m, p)[None]) for i, (w, h, m, p, e) in rows), px, py)
+
+    def of_bytes(data: pa.Array, px: pa.Array, py: pa.Array) -> pa.Array:
+        return _facts(png.decoded(data.to_pylist(), "L"), px, py)
+
+    given = "data" if "data" in assets.columns else "picture"
+    facts = F.arrow_udf(of_bytes if given == "data" else of_pictures, "error string, width int, height int, between long, greatest long, on boolean")(given, "px", "py")
+    s = assets.withColumn("s", facts)
+    there = F.col("s.error").isNull()
+    size = (F.col("s.width") != F.col("source_width")) | (F.col("s.height") != F.col("source_height"))
+    rules = {"undecodable": ~there, "not_binary": there & (F.col("s.between") > 0), "empty": there & (F.col("s.greatest") < 255), "size": there & size, "point": there & ~F.col("s.on")}
     broken = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))
     return s.select("mask", F.explode(broken).alias("rule"))
 

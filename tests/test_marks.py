@@ -120,3 +120,32 @@ def test_pixels_stay_in_one_function(spark, name):
     made = plan(QUERIES[name](spark, SF))
     assert made.count("EvalPython") == 1 and "Window" not in made
     assert made.count("Exchange") == 2  # the pictures' ids and the regions
+
+
+def test_masks_through_bytes(spark):
+    rows = [(1, [(3, 0, 5), (3, 4, 9), (0, 2, 2)], 17, 14), (2, [(3, 0, 99)], 17, 14), (3, [(-1, 0, 1)], 17, 14), (4, None, 3, 2), (5, [(1, 0, 3)], 3, 2), (6, [(2, 0, 3)], 3, 2), (7, [(13, 16, 17)], 17, 14)]
+    df = spark.createDataFrame(rows, f"mask long, runs {pictures.RUNS}, w int, h int").coalesce(1)
+    made = df.select("mask", pictures.mask_png(F.col("runs"), F.col("w"), F.col("h")).alias("data"), pictures.mask_picture(F.col("runs"), F.col("w"), F.col("h")).alias("picture"))
+    for _, data, shown in made.collect():
+        assert data == (None if shown.error else png.encode(png.array_of(shown.width, shown.height, shown.mode, shown.pixels)))
+    seen = {r["mask"]: r["s"] for r in made.select("mask", pictures.png_runs(F.col("data")).alias("s")).collect()}
+    assert {m: s.error for m, s in seen.items() if s.error} == dict.fromkeys((2, 3, 6), "no bytes")
+    assert {m: [tuple(r) for r in s.runs] for m, s in seen.items() if not s.error} == {1: [(3, 0, 9)], 4: [], 5: [(1, 0, 3)], 7: [(13, 16, 17)]}
+
+
+def test_assets_of_bytes(spark):
+    grey = np.zeros((4, 5, 1), np.uint8)
+    part, whole = grey.copy(), grey + np.uint8(255)
+    part[2, 3] = 99
+    rows = [(1, png.encode(whole), 5, 4, 4, 3), (2, png.encode(whole), 4, 5, 5, 3), (3, png.encode(part), 5, 4, 3, 2), (4, None, 9, 9, 0, 0), (5, b"x", 5, 4, None, None), (6, png.encode(whole), 5, 4, None, 1)]
+    df = spark.createDataFrame([(m, None if d is None else bytearray(d), *rest) for m, d, *rest in rows], "mask long, data binary, source_width int, source_height int, px int, py int")
+    want = [(2, "point"), (2, "size"), (3, "empty"), (3, "not_binary"), (3, "point"), (4, "undecodable"), (5, "undecodable"), (6, "point")]
+    assert sorted(map(tuple, pictures.asset_errors(df).collect())) == want
+    assert sorted(map(tuple, pictures.asset_errors(df.withColumn("picture", png.picture(F.col("data"), "L")).drop("data")).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["decoded_masks", "mask_asset_errors"])
+def test_masks_go_as_bytes(spark, name):
+    made = plan(QUERIES[name](spark, SF))
+    assert made.count("EvalPython") == 2 and "Window" not in made and "Join" not in made
+    assert made.count("Exchange") == 1
