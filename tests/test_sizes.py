@@ -88,3 +88,10 @@ def test_masks_of_cases_are_never_broadcast(spark):
 
     for name in ("run_coverage", "instance_boxes", "instance_regions", "instance_partition"):
         assert "Broadcast" not in plan(QUERIES[name](spark, SF)), name
+
+
+def test_cases_are_dealt_as_numbers(spark):
+    from brocade.queries import QUERIES
+
+    made = plan(QUERIES["job_keys"](spark, SF))
+    assert made.count("Exchange") == 1 and "case-" not in made[made.index("Exchange") :]  # plans go from the end: texts are made above the exchange
