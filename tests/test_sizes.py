@@ -95,3 +95,14 @@ def test_cases_are_dealt_as_numbers(spark):
 
     made = plan(QUERIES["job_keys"](spark, SF))
     assert made.count("Exchange") == 1 and "case-" not in made[made.index("Exchange") :]  # plans go from the end: texts are made above the exchange
+
+
+def test_difference_of_runs_that_overlap(spark):
+    rng = np.random.default_rng(7)
+    sides = [[(int(m), int(y), int(x), int(x + n)) for m, y, x, n in zip(rng.integers(0, 9, 150), rng.integers(0, 3, 150), rng.integers(0, 40, 150), rng.integers(-2, 12, 150), strict=True)] for _ in range(2)]
+    pixels = [{(m, y, x) for m, y, x1, x2 in side for x in range(x1, x2)} for side in sides]
+    got = runs.difference(*[spark.createDataFrame(side, RUN) for side in sides])
+    assert {r["mask"]: r["mismatched"] for r in got.collect()} == {m: sum(p[0] == m for p in pixels[0] ^ pixels[1]) for m in range(9)}
+    dealt = [runs.merged(shape_runs(spark, SF), by_mask=True).filter(c) for c in ("x1 > 3", "y > 5")]
+    text = plan(runs.difference(*dealt))
+    assert text.count("Exchange") == 2 and "Generate explode(array" not in text  # both tables are dealt by mask, and stay where they are
